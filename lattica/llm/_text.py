@@ -53,8 +53,9 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
     """Bound Arrow batches by bytes as well as rows, so that very long texts can't pile up in one batch."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") in ("", "2147483647", "2147483647b", "9223372036854775807"):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.get(key).removesuffix("b").isdigit() or int(spark.conf.get(key).removesuffix("b")) >= 1 << 30:
+        spark.conf.set(key, size)
 
 
 def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
