@@ -32,6 +32,7 @@ BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
 N_FEATURES = 1 + len(PREFIXES)
 _SEEDS = mix(np.arange(701, 701 + N_FEATURES, dtype=U))
+_COPY_SEEDS = mix(np.arange(801, 807, dtype=U))
 #: What marks a feature as toxic: significance, and odds against clean documents.
 LEAST_G2, LEAST_ODDS = 20.0, 50.0
 SPAN = 0.5
@@ -127,10 +128,31 @@ def _by_doc(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return sums, largest
 
 
+def _without_copies(tokens: list[np.ndarray]) -> list[int]:
+    """Documents that share none of six min-hashes of word trigrams with an earlier one.
+
+    Copies of one document would otherwise make its ordinary words look like evidence.
+    """
+    seen: set[tuple[int, int]] = set()
+    keep = []
+    for i, t in enumerate(tokens):
+        w = np.concatenate([t[0].astype(U), np.zeros(2, U)])
+        h = mix(w[:-2] * U(0x9E3779B97F4A7C15) + w[1:-1] * U(0xC2B2AE3D27D4EB4F) + w[2:])
+        if not len(h):
+            continue
+        marks = {(j, int(mix(h ^ s).min())) for j, s in enumerate(_COPY_SEEDS)}
+        if not marks & seen:
+            keep.append(i)
+        seen |= marks
+    return keep
+
+
 def fit(labels: np.ndarray, tokens: list[np.ndarray], steps: int = 30, rate: float = 0.4, l2: float = 1e-4, max_chains: int = 1200) -> Model:
     """Train on documents given as ``N_FEATURES x n`` bucket arrays and 0/1 labels."""
-    toxic = labels == 1
     nothing = Model(np.zeros(1, np.float32), np.zeros((2, 2)), np.zeros(2), np.zeros(3), True)
+    chosen = _without_copies(tokens)
+    labels, tokens = labels[chosen], [tokens[i] for i in chosen]
+    toxic = labels == 1
     if not toxic.any():
         return nothing
     count = np.zeros((2, BUCKETS))
