@@ -17,7 +17,6 @@ text become those tokens; texts of any length are encoded whole; repeated rows a
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -217,7 +216,6 @@ def _encoder(content: str) -> Encoder:
     return kept[key]
 
 
-@functools.cache
 def character_class(category: str) -> str:
     """All code points whose category in Python's Unicode tables starts so, as ranges for a pattern."""
     ranges: list[list[int]] = []
@@ -230,20 +228,17 @@ def character_class(category: str) -> str:
     return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in ranges)
 
 
-@functools.cache
 def unassigned_pattern() -> regex.Pattern:
     """Code points that Python's tables don't know; texts with one get their pieces from the library's own tables."""
     return regex.compile(f"[{character_class('Cn')}]")
 
 
-@functools.cache
 def pieces_pattern() -> regex.Pattern:
     """The pattern of a piece, with letters and numbers as in Python's Unicode tables."""
     letters, numbers = character_class("L"), character_class("N")
     return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\p{{White_Space}}{letters}{numbers}]+")
 
 
-@functools.cache
 def read_vocabulary(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()

@@ -91,23 +91,23 @@ WITH page AS (
   SELECT page_id, sha1(coalesce(html, '')) AS digest, length(coalesce(html, '')) AS size, url,
     regexp_replace(regexp_replace(lower(regexp_extract(url, '^\s*[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)([^?#]*)(\?[^#]*)?', 1)), ':(80|443)$', ''), '^(www|m)\.', '')
     || regexp_replace(regexp_extract(url, '^\s*[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)([^?#]*)(\?[^#]*)?', 2), '/+$', '') AS base,
-    array_to_string(list_sort(list_filter(string_split(substr(regexp_extract(url, '^\s*[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)([^?#]*)(\?[^#]*)?', 3), 2), '&'), p -> p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&') AS q
+    array_to_string(list_sort(list_filter(string_split(substr(regexp_extract(url, '^\s*[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)([^?#]*)(\?[^#]*)?', 3), 2), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&') AS q
   FROM pages),
 p AS (SELECT page_id, digest, size, '"' || substr(digest, 1, 16) || '"' AS etag, CASE WHEN regexp_matches(url, '^\s*[a-zA-Z][a-zA-Z0-9+.\-]*://') THEN base || CASE WHEN q <> '' THEN '?' || q ELSE '' END ELSE trim(url) END AS canonical_url FROM page),
-revisit AS (SELECT page_id * 2 + 1 AS record_id, canonical_url, page_id + 500 AS at, digest, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 7 = 0 THEN '"outdated"' ELSE etag END AS etag FROM p),
-hit AS (SELECT record_id, max(b.page_id) AS page_id FROM revisit a JOIN p b ON a.canonical_url = b.canonical_url AND b.page_id < a.at GROUP BY record_id),
-found AS (SELECT a.record_id, a.canonical_url, a.at, b.page_id, b.digest, b.size, b.etag,
+revisit AS (SELECT page_id * 2 + 1 AS record_id, canonical_url, page_id + 500 AS seen_at, digest, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 7 = 0 THEN '"outdated"' ELSE etag END AS etag FROM p),
+hit AS (SELECT record_id, max(b.page_id) AS page_id FROM revisit a JOIN p b ON a.canonical_url = b.canonical_url AND b.page_id < a.seen_at GROUP BY record_id),
+found AS (SELECT a.record_id, a.canonical_url, a.seen_at, b.page_id, b.digest, b.size, b.etag,
     CASE WHEN b.page_id IS NULL THEN 'no earlier response' WHEN a.etag IS NOT NULL THEN CASE WHEN a.etag = b.etag THEN 'etag' ELSE 'etag differs' END WHEN a.digest = b.digest THEN 'digest' ELSE 'digest differs' END AS reason
   FROM revisit a LEFT JOIN hit USING (record_id) LEFT JOIN p b ON hit.page_id = b.page_id)
 SELECT record_id, canonical_url, page_id * 2 AS response_id, reason IN ('etag', 'digest') AS resolved, reason, CASE WHEN reason IN ('etag', 'digest') THEN digest END AS digest,
-  CASE WHEN reason IN ('etag', 'digest') THEN '{"cache-control":"max-age=60","content-length":"' || size || '","content-type":"text/html","date":"t' || at || '","etag":' || to_json(etag)::VARCHAR || '}' END AS headers
+  CASE WHEN reason IN ('etag', 'digest') THEN '{"cache-control":"max-age=60","content-length":"' || size || '","content-type":"text/html","date":"t' || seen_at || '","etag":' || to_json(etag)::VARCHAR || '}' END AS headers
 FROM found""",
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, coalesce(doc_id = max(doc_id) OVER w, max(doc_id) OVER w IS NULL) AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
     "op9_near_dedup": rf"""
 WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
   GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
