@@ -6,5 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from lattica.plans import frame_queries, sql_queries
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for name in TABLES:
+            if name in text:
+                spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        return spark.sql(text)
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **{name: _sql(text) for name, text in sql_queries.SAME.items()},
+    **{name: _sql(spark_text) for name, (spark_text, _) in sql_queries.PAIRS.items()},
+    **frame_queries.QUERIES,
+}
+ORACLE_SQL: dict[str, str] = {
+    **sql_queries.SAME,
+    **{name: duck_text for name, (_, duck_text) in sql_queries.PAIRS.items()},
+    **frame_queries.ORACLE_SQL,
+}

@@ -31,3 +31,9 @@ def build_session(app: str = "lattica", master: str | None = None, **conf: str)
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a dataset folder; column pruning and filters reach the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table as a stream of its files. The path is a pattern, as a plain path would have to be a folder."""
+    schema = read_table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def _key(df: DataFrame, key: str) -> str:
+    """The key's type. State of these operators is kept in RocksDB, which the session must name before the query starts."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     return dict(df.dtypes)[key]
 
 
@@ -24,7 +29,7 @@ class _Changelog(StatefulProcessor):
         n, s = self.state.get() if self.state.exists() else (0, 0.0)
         out = []
         for frame in rows:
-            for sign, value in zip(frame["_op"], frame["_v"], strict=True):
+            for sign, value in zip(frame["in_op"], frame["in_value"], strict=True):
                 if n:
                     out.append((key[0], n, s, -1))
                 n, s = n + int(sign), s + int(sign) * (0.0 if pd.isna(value) else float(value))
@@ -42,7 +47,7 @@ class _Changelog(StatefulProcessor):
 
 def retracting_aggregate(stream: DataFrame, key: str, value: str) -> DataFrame:
     """Count and sum per key as a changelog ``key, n, s, _op``. Input without ``_op`` counts as insertions."""
-    rows = stream.select(F.col(key).alias("key"), F.col(value).cast("double").alias("_v"), (F.col("_op") if "_op" in stream.columns else F.lit(1)).cast("int").alias("_op"))
+    rows = stream.select(F.col(key).alias("key"), F.col(value).cast("double").alias("in_value"), (F.col("_op") if "_op" in stream.columns else F.lit(1)).cast("int").alias("in_op"))
     return rows.groupBy("key").transformWithStateInPandas(_Changelog(), f"key {_key(stream, key)}, n bigint, s double, _op int", "Append", "None")
 
 
@@ -60,9 +65,9 @@ class _Rolling(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n, s, lo, hi = self.state.get() if self.state.exists() else (0, 0.0, float("inf"), float("-inf"))
-        frame = pd.concat(list(rows)).sort_values(["_t", "_id"], kind="stable")
+        frame = pd.concat(list(rows)).sort_values(["in_time", "in_id"], kind="stable")
         out = []
-        for i, v in zip(frame["_id"], frame["_v"], strict=True):
+        for i, v in zip(frame["in_id"], frame["in_value"], strict=True):
             if not pd.isna(v):
                 n, s, lo, hi = n + 1, s + v, min(lo, v), max(hi, v)
             out.append((key[0], i, n, s, lo, hi))
@@ -78,7 +83,7 @@ def rolling_aggregate(df: DataFrame, key: str, ts: str, ident: str, value: str)
     if not df.isStreaming:
         w = Window.partitionBy(key).orderBy(ts, ident).rowsBetween(Window.unboundedPreceding, 0)
         return df.select(F.col(key).alias("key"), F.col(ident).alias("id"), F.count(value).over(w).alias("n"), F.sum(value).over(w).alias("s"), F.min(value).over(w).alias("lo"), F.max(value).over(w).alias("hi"))
-    rows = df.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("_t"), F.col(ident).cast("long").alias("_id"), F.col(value).cast("double").alias("_v"))
+    rows = df.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("in_time"), F.col(ident).cast("long").alias("in_id"), F.col(value).cast("double").alias("in_value"))
     return rows.groupBy("key").transformWithStateInPandas(_Rolling(), f"key {_key(df, key)}, id bigint, n bigint, s double, lo double, hi double", "Append", "None")
 
 
@@ -93,9 +98,9 @@ class _OverRows(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = [r[0] for r in self.state.get()] if self.state.exists() else []
-        frame = pd.concat(list(rows)).sort_values(["_t", "_id"], kind="stable")
+        frame = pd.concat(list(rows)).sort_values(["in_time", "in_id"], kind="stable")
         out = []
-        for i, v in zip(frame["_id"], frame["_v"], strict=True):
+        for i, v in zip(frame["in_id"], frame["in_value"], strict=True):
             last = [*last, float(v)][-(self.n + 1) :]
             out.append((key[0], i, len(last), sum(last)))
         self.state.put([(v,) for v in last])
@@ -110,7 +115,7 @@ def over_rows(df: DataFrame, key: str, ts: str, ident: str, value: str, precedin
     if not df.isStreaming:
         w = Window.partitionBy(key).orderBy(ts, ident).rowsBetween(-preceding, 0)
         return df.select(F.col(key).alias("key"), F.col(ident).alias("id"), F.count(value).over(w).alias("n"), F.sum(value).over(w).alias("s"))
-    rows = df.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("_t"), F.col(ident).cast("long").alias("_id"), F.col(value).cast("double").alias("_v"))
+    rows = df.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("in_time"), F.col(ident).cast("long").alias("in_id"), F.col(value).cast("double").alias("in_value"))
     return rows.groupBy("key").transformWithStateInPandas(_OverRows(preceding), f"key {_key(df, key)}, id bigint, n bigint, s double", "Append", "None")
 
 
@@ -125,9 +130,9 @@ class _CountTrigger(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n, s, w = self.state.get() if self.state.exists() else (0, 0.0, 0)
-        frame = pd.concat(list(rows)).sort_values(["_t", "_id"], kind="stable")
+        frame = pd.concat(list(rows)).sort_values(["in_time", "in_id"], kind="stable")
         out = []
-        for v in frame["_v"]:
+        for v in frame["in_value"]:
             n, s = n + 1, s + float(v)
             if n == self.n:
                 out.append((key[0], w, s))
@@ -145,7 +150,7 @@ def count_windows(df: DataFrame, key: str, ts: str, ident: str, value: str, size
         from lattica.operators.relational import tumbling_count
 
         return tumbling_count(df, [key], [ts, ident], size, [F.sum(value).alias("s")]).select(F.col(key).alias("key"), F.col("window").cast("long").alias("w"), "s")
-    rows = df.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("_t"), F.col(ident).cast("long").alias("_id"), F.col(value).cast("double").alias("_v"))
+    rows = df.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("in_time"), F.col(ident).cast("long").alias("in_id"), F.col(value).cast("double").alias("in_value"))
     return rows.groupBy("key").transformWithStateInPandas(_CountTrigger(size), f"key {_key(df, key)}, w bigint, s double", "Append", "None")
 
 
@@ -158,7 +163,7 @@ class _TimeSort(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            for t, i, v in zip(frame["_ms"], frame["_id"], frame["_v"], strict=True):
+            for t, i, v in zip(frame["in_ms"], frame["in_id"], frame["in_value"], strict=True):
                 self.state.appendValue((int(t), int(i), float(v)))
                 self.handle.registerTimer(int(t))
         yield pd.DataFrame(columns=["key", "ms", "id", "v"])
@@ -176,6 +181,6 @@ class _TimeSort(StatefulProcessor):
 
 def time_sort(stream: DataFrame, key: str, ts: str, ident: str, value: str, delay: str) -> DataFrame:
     """Rows of each key in event-time order once the watermark has passed them; rows behind it are dropped."""
-    rows = stream.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", delay)
-    rows = rows.select(F.col(key).alias("key"), "_t", F.unix_millis("_t").alias("_ms"), F.col(ident).cast("long").alias("_id"), F.col(value).cast("double").alias("_v"))
+    rows = stream.withColumn("in_time", F.col(ts).cast("timestamp")).withWatermark("in_time", delay)
+    rows = rows.select(F.col(key).alias("key"), "in_time", F.unix_millis("in_time").alias("in_ms"), F.col(ident).cast("long").alias("in_id"), F.col(value).cast("double").alias("in_value"))
     return rows.groupBy("key").transformWithStateInPandas(_TimeSort(), f"key {_key(stream, key)}, ms bigint, id bigint, v double", "Append", "EventTime")

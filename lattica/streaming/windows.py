@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.plans.lineage import shared_dir
+
 
 def with_rowtime(df: DataFrame, ts: str, delay: str | None = None) -> DataFrame:
     """``ts`` as a TIMESTAMP, with a watermark on streams (bounded out-of-orderness; "0 seconds" for ascending time)."""
@@ -51,12 +54,22 @@ def split_late(df: DataFrame, ts: str, watermark: Column) -> tuple[DataFrame, Da
     return df.where(F.col(ts) > watermark), df.where(F.col(ts) <= watermark)
 
 
-def run_to_end(stream: DataFrame, checkpoint: str, mode: str = "append", name: str = "result") -> DataFrame:
-    """Run a stream over all available input and return what its memory sink holds."""
+def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all available input into the shared folder and read the result back.
+
+    Each micro-batch overwrites a folder of its own number, so a repeated batch leaves no second copy; in ``complete`` mode
+    the last batch replaces the earlier ones.
+    """
     spark: SparkSession = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    base = f"{shared_dir(spark)}/lattica/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/batch=none")
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{base}/out/batch={'all' if mode == 'complete' else batch}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out/batch=*")
 
 
 def async_lookup(df: DataFrame, fn, schema: str, capacity: int = 16, timeout: float = 10.0, ordered: bool = True) -> DataFrame:
