@@ -172,7 +172,11 @@ class _TimeSort(StatefulProcessor):
         due = expiredTimerInfo.getExpiryTimeInMs()
         held = sorted(tuple(r) for r in self.state.get())
         out = [(key[0], *r) for r in held if r[0] <= due]
-        self.state.put([r for r in held if r[0] > due])
+        later = [r for r in held if r[0] > due]
+        if later:
+            self.state.put(later)
+        else:
+            self.state.clear()
         yield pd.DataFrame(out, columns=["key", "ms", "id", "v"])
 
     def close(self) -> None:
