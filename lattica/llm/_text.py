@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 U = np.uint64
 _P = 0xD1342543DE82EF95  # odd, so that it has an inverse mod 2**64
 _PI = pow(_P, -1, 1 << 64)
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 SPACES = np.array([0x20, *range(0x09, 0x0E)])
 
 
@@ -51,7 +51,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
     """Bound Arrow batches by bytes as well as rows, so that very long texts can't pile up in one batch."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not spark.conf.get(key).removesuffix("b").isdigit() or int(spark.conf.get(key).removesuffix("b")) >= 1 << 30:
