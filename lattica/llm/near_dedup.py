@@ -40,7 +40,7 @@ BAND_ROWS, BANDS = 5, 64
 REGISTERS = BAND_ROWS * BANDS
 MANTISSA, ROUNDS = 10, 8
 #: Buckets of up to so many members are compared by pairs; the members of larger ones by blocks of about BLOCK.
-SMALL_BUCKET, BLOCK = 32, 512
+SMALL_BUCKET, BLOCK = 32, 1024
 #: Up to so many ids (8 bytes each) may be broadcast to pick documents; more go through a shuffled join.
 BROADCAST_IDS = 500_000
 _STEPS = mix(np.arange(101, 101 + WORDS_PER_SHINGLE, dtype=U)) | U(1)
@@ -251,7 +251,7 @@ def _across_blocks(rest: DataFrame, registers: DataFrame, docs: DataFrame) -> Da
     dealt = members.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("bucket", "band", "id", "component", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
     sets = _sets_of(members.select(F.col("id").alias("doc_id")), docs)
-    held = dealt.join(registers, "id").join(sets, "id")
+    held = dealt.join(sets.join(registers, "id"), "id")
     return cut(held.groupBy("bucket", "low", "high").applyInArrow(_settle, "a long, b long"), "block-links")
 
 
