@@ -3,13 +3,13 @@
 The vocabulary file (a public tokenizer in JSON; its path is a parameter, its content is broadcast, about 2 MB) fixes the
 rules: NFC, lower case, words by a pattern that drops white space, bytes as printable characters, an end-of-word mark.
 
-Within a partition, the distinct pieces that haven't been seen yet are laid out in one array of symbols with links to
-the neighbours. An index maps the rank of each pair to all positions where it occurs. The lowest active rank is taken
-until none is left: all its positions are merged from left to right and the lists of the pairs to the left and right are
-extended. A merge can only give rise to pairs of higher rank (checked when the vocabulary loads), so one ascending sweep
-over the whole partition gives each word what encoding it alone would give.
+Within a partition, the distinct words that haven't been seen yet are laid out in one array of symbols with links to the
+neighbours. An index maps each pair (by its rank) to all positions where it occurs, in ascending order of rank. A round
+takes, in every word, the lowest active rank, merges all its positions there from left to right, and updates the index
+only for the pairs to the left and right of a merge. A merge can only give rise to pairs of higher rank (checked when the
+vocabulary loads), so each word sees its ranks in ascending order; words don't touch, so they are swept side by side.
 
-Results are kept per piece in a dictionary of bounded size, so frequent pieces are encoded once per worker.
+Results are kept per piece in a dictionary of bounded size for the length of a task, so frequent pieces are encoded once.
 
 Defined cases: null text is empty text, with 0 tokens and the hashes of empty strings; the strings of special tokens in a
 text become those tokens; texts of any length are encoded whole; repeated rows are encoded alike; other columns aren't read.
@@ -18,12 +18,12 @@ text become those tokens; texts of any length are encoded whole; repeated rows a
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import sys
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,10 +31,13 @@ from pyspark.sql import functions as F
 
 from lattica.llm._text import blocks, bounded_batches
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
+NO_RANK = (1 << 31) - 1
 END = "</w>"
 #: str.split() takes these for white space; the pattern doesn't.
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
+_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+#: One of these after letters is a piece of its own.
+_MARKS = frozenset(".,;:!?")
 _SPACE = regex.compile(r"\p{White_Space}+")
 
 
@@ -53,23 +56,27 @@ class Vocabulary:
         self.ids: dict[str, int] = dict(data["model"]["vocab"])
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
-        self.merges: list[tuple[int, int, int]] = []
-        self.ranks: dict[tuple[int, int], int] = {}
         made: dict[int, int] = {}
+        codes, results = [], []
         for rank, pair in enumerate(data["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             a, b, new = self.ids[left], self.ids[right], self.ids[left + right]
             if made.get(a, -1) >= rank or made.get(b, -1) >= rank or new in made:
-                raise ValueError("a merge could give rise to a pair of lower rank; one ascending sweep would be wrong")
+                raise ValueError("a merge could give rise to a pair of lower rank; an ascending sweep would be wrong")
             made[new] = rank
-            self.merges.append((a, b, new))
-            self.ranks[a, b] = rank
+            codes.append(a << 32 | b)
+            results.append(new)
+        order = np.argsort(np.array(codes, np.int64))
+        self.codes, self.code_ranks, self.results = np.array(codes, np.int64)[order], order.astype(np.int64), np.array(results, np.int64)
         shown = byte_characters()
-        self.byte = [self.ids.get(c) for c in shown]
-        self.last = [self.ids.get(c + END) for c in shown]
+        self.byte = np.array([self.ids.get(c, -1) for c in shown], np.int64)
+        self.last = np.array([self.ids.get(c + END, -1) for c in shown], np.int64)
+        top = max(self.tokens) + 1
+        self.id_text, self.token_text = [str(i) for i in range(top)], [self.tokens.get(i, "") for i in range(top)]
         self.special_pattern = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
         self.content, self.library = content, None
+        self.pieces, self.unassigned = pieces_pattern(), unassigned_pattern()
 
     def library_pieces(self, text: str) -> list[str]:
         """The pieces of a text by the tokenizers library; for characters newer than Python's tables."""
@@ -81,69 +88,67 @@ class Vocabulary:
         normalizer, split = self.library
         return [piece for piece, _ in split.pre_tokenize_str(normalizer.normalize_str(text))]
 
-    def symbols(self, word: str) -> list[int]:
-        raw = word.encode("utf-8", "surrogatepass")
-        out = [self.byte[b] for b in raw[:-1]] + [self.last[raw[-1]]]
-        return [i for i in out if i is not None]
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols, ``NO_RANK`` where they don't merge."""
+        code = left << 32 | right
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.code_ranks[at], NO_RANK)
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word, by one sweep over the pair index of all of them."""
-        symbol: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        heads: list[int] = []
-        for word in words:
-            own = self.symbols(word)
-            at = len(symbol)
-            heads.append(at if own else -1)
-            symbol += own
-            before += [-1, *range(at, at + len(own) - 1)][: len(own)]
-            after += [*range(at + 1, at + len(own)), -1][: len(own)]
-        ranks, merges = self.ranks, self.merges
-        index: dict[int, list[int]] = {}
-        for p, q in enumerate(after):
-            if q >= 0 and (r := ranks.get((symbol[p], symbol[q]))) is not None:
-                index.setdefault(r, []).append(p)
-        active = list(index)
-        heapq.heapify(active)
-        while active:
-            rank = heapq.heappop(active)
-            left, right, new = merges[rank]
-            places = index.pop(rank)
-            if left == right:
-                places.sort()
-            for p in places:
-                q = after[p]
-                if symbol[p] != left or q < 0 or symbol[q] != right:
-                    continue
-                symbol[p], symbol[q] = new, -1
-                after[p] = n = after[q]
-                after[q] = -1
-                if n >= 0:
-                    before[n] = p
-                    if (r := ranks.get((new, symbol[n]))) is not None:
-                        if r not in index:
-                            index[r] = []
-                            heapq.heappush(active, r)
-                        index[r].append(p)
-                b = before[p]
-                if b >= 0 and (r := ranks.get((symbol[b], new))) is not None:
-                    if r not in index:
-                        index[r] = []
-                        heapq.heappush(active, r)
-                    index[r].append(b)
-        out = []
-        for p in heads:
-            ids = []
-            while p >= 0:
-                ids.append(symbol[p])
-                p = after[p]
-            out.append(ids)
-        return out
+        """The ids of each word, by sweeps over the pair index of all of them."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        if not sizes.sum():
+            return [[] for _ in words]
+        buf = np.frombuffer(b"".join(raw), np.uint8)
+        word = np.repeat(np.arange(len(words)), sizes)
+        symbol = self.byte[buf]
+        ends = np.cumsum(sizes)[sizes > 0] - 1
+        symbol[ends] = self.last[buf[ends]]
+        known = symbol >= 0
+        symbol, word = symbol[known], word[known]
+        n = len(symbol)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        edge = np.flatnonzero(np.concatenate([word[1:] != word[:-1], [True]]))
+        after[edge] = -1
+        before[edge[:-1] + 1] = -1
+        rank = np.full(n, NO_RANK, np.int64)
+        inner = np.flatnonzero(after >= 0)
+        rank[inner] = self.rank(symbol[inner], symbol[inner + 1])
+        lowest = np.empty(len(words), np.int64)
+        while len(active := np.flatnonzero(rank < NO_RANK)):
+            index = active[np.argsort(rank[active], kind="stable")]  # positions by pair, ranks ascending
+            lowest[word[index[::-1]]] = rank[index[::-1]]  # the last to be written is the first of its word
+            p = np.sort(index[rank[index] == lowest[word[index]]])
+            left = before[p]
+            chosen = np.zeros(n, bool)
+            chosen[p] = True
+            tied = p[(left >= 0) & chosen[np.maximum(left, 0)] & (rank[np.maximum(left, 0)] == rank[p])]
+            for x in tied.tolist():  # runs of one symbol: from left to right, every other pair
+                if chosen[before[x]]:
+                    chosen[x] = False
+            p = p[chosen[p]]
+            q = after[p]
+            symbol[p] = self.results[rank[p]]
+            symbol[q] = -1
+            rank[q] = NO_RANK
+            far = after[q]
+            after[p] = far
+            linked = far >= 0
+            before[far[linked]] = p[linked]
+            touched = np.concatenate([p, before[p][before[p] >= 0]])
+            inner = after[touched] >= 0
+            rank[touched[~inner]] = NO_RANK
+            touched = touched[inner]
+            rank[touched] = self.rank(symbol[touched], symbol[after[touched]])
+        alive = symbol >= 0
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(word[alive], minlength=len(words)))]).tolist()
+        flat = symbol[alive].tolist()
+        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space, as the file names no decoder."""
-        return " ".join(self.tokens[i] for i in ids)
+        return " ".join([self.token_text[i] for i in ids])
 
 
 def chunks(text: str) -> list[str]:
@@ -153,7 +158,7 @@ def chunks(text: str) -> list[str]:
         if "Σ" in text:  # no final sigma rule: each character is lowered by itself
             text = text.replace("Σ", "σ")
     text = text.lower()
-    return text.split() if not _SEPARATORS.search(text) else [c for c in _SPACE.split(text) if c]
+    return text.split() if _SEPARATORS.isdisjoint(text) else [c for c in _SPACE.split(text) if c]
 
 
 class Encoder:
@@ -163,31 +168,43 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.ids, self.shown, self.pattern = vocabulary, {}, {}, pieces_pattern()
-        self.unassigned = unassigned_pattern()
+        self.vocabulary, self.ids, self.shown, self.pattern = vocabulary, {}, {}, vocabulary.pieces
+        self.unassigned, self.plain = vocabulary.unassigned, set()
 
     def chunks(self, text: str) -> list[str]:
-        if text.isascii() or not self.unassigned.search(text):
-            return chunks(text)
-        return [" " + piece for piece in self.vocabulary.library_pieces(text)]
+        if not text.isascii() and (new := set(text) - self.plain):
+            if self.unassigned.search("".join(new)):
+                return [" " + piece for piece in self.vocabulary.library_pieces(text)]
+            self.plain |= new
+        return chunks(text)
+
+    def words(self, chunk: str) -> list[str]:
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[0] == " ":
+            return [chunk[1:]]
+        if chunk[-1] in _MARKS and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.pattern.findall(chunk)
 
     def learn(self, pieces: set[str]) -> None:
         v = self.vocabulary
-        findall = self.pattern.findall
-        split = [(c, [c[1:]] if c[0] == " " else findall(c)) for c in pieces]
+        split = [(c, self.words(c)) for c in pieces]
         words = list({w for _, ws in split for w in ws})
-        of = dict(zip(words, v.encode_words(words), strict=True))
+        encoded = v.encode_words(words)
+        id_text, token_text = v.id_text, v.token_text
+        ids_of = {w: " ".join([id_text[i] for i in ids]) for w, ids in zip(words, encoded, strict=True)}
+        shown_of = {w: " ".join([token_text[i] for i in ids]) for w, ids in zip(words, encoded, strict=True)}
         for c, ws in split:
-            ids = [i for w in ws for i in of[w]]
-            self.ids[c] = " ".join(map(str, ids))
-            self.shown[c] = v.decode(ids)
+            self.ids[c] = ids_of[ws[0]] if len(ws) == 1 else " ".join(filter(None, [ids_of[w] for w in ws]))
+            self.shown[c] = shown_of[ws[0]] if len(ws) == 1 else " ".join(filter(None, [shown_of[w] for w in ws]))
 
     def texts(self, texts: list[str]) -> list[tuple[str, str]]:
         """Ids and tokens of each text, both joined by one space."""
         v = self.vocabulary
         parts: list[list[str]] = []
         for text in texts:
-            if v.special_pattern and v.special_pattern.search(text):
+            if any(special in text for special in v.special):
                 own, at = [], 0
                 for m in v.special_pattern.finditer(text):
                     own += [*self.chunks(text[at : m.start()]), "\n" + m[0]]
@@ -196,8 +213,8 @@ class Encoder:
             else:
                 parts.append(self.chunks(text))
         wanted = set().union(*parts) if parts else set()
-        if len(self.ids) + len(wanted) > CACHE_PIECES:
-            self.ids, self.shown = {}, {}
+        if len(self.ids) + len(wanted) > CACHE_PIECES:  # what this block uses stays
+            self.ids, self.shown = ({c: kept[c] for c in wanted if c in kept} for kept in (self.ids, self.shown))
         missing = wanted.difference(self.ids)
         marks = {c for c in missing if c[0] == "\n"}
         self.learn(missing - marks)
@@ -207,12 +224,12 @@ class Encoder:
         return [(" ".join(filter(None, map(ids, p))), " ".join(filter(None, map(shown, p)))) for p in parts]
 
 
-def _encoder(content: str) -> Encoder:
-    """One encoder per vocabulary and worker process."""
+def _vocabulary(content: str) -> Vocabulary:
+    """One vocabulary per worker process; encoders, which keep pieces, live for one task."""
     kept = sys.__dict__.setdefault("_lattica_bpe", {})
     key = hash(content)
     if key not in kept:
-        kept[key] = Encoder(Vocabulary(content))
+        kept[key] = Vocabulary(content)
     return kept[key]
 
 
@@ -254,7 +271,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False)
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value)
+        encoder = Encoder(_vocabulary(shared.value))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in blocks(texts):
