@@ -17,6 +17,7 @@ text become those tokens; texts of any length are encoded whole; repeated rows a
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import sys
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 
 from lattica.llm._text import blocks, bounded_batches
 
-CACHE_PIECES = 150_000
+CACHE_PIECES = 300_000
+BLOCK_BYTES = 4 << 20
 NO_RANK = (1 << 31) - 1
 END = "</w>"
 #: str.split() takes these for white space; the pattern doesn't.
@@ -95,11 +97,16 @@ class Vocabulary:
         return np.where(self.codes[at] == code, self.code_ranks[at], NO_RANK)
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word, by sweeps over the pair index of all of them."""
+        """The ids of each word."""
+        flat, bounds = self.sweep(words)
+        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def sweep(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """The ids of all words in one list, and where each word begins, by sweeps over the pair index of all of them."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         sizes = np.array([len(r) for r in raw], np.int64)
         if not sizes.sum():
-            return [[] for _ in words]
+            return [], [0] * (len(words) + 1)
         buf = np.frombuffer(b"".join(raw), np.uint8)
         word = np.repeat(np.arange(len(words)), sizes)
         symbol = self.byte[buf]
@@ -143,8 +150,7 @@ class Vocabulary:
             rank[touched] = self.rank(symbol[touched], symbol[after[touched]])
         alive = symbol >= 0
         bounds = np.concatenate([[0], np.cumsum(np.bincount(word[alive], minlength=len(words)))]).tolist()
-        flat = symbol[alive].tolist()
-        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return symbol[alive].tolist(), bounds
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space, as the file names no decoder."""
@@ -179,8 +185,6 @@ class Encoder:
         return chunks(text)
 
     def words(self, chunk: str) -> list[str]:
-        if chunk.isalpha():
-            return [chunk]
         if chunk[0] == " ":
             return [chunk[1:]]
         if chunk[-1] in _MARKS and chunk[:-1].isalpha():
@@ -189,15 +193,22 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         v = self.vocabulary
-        split = [(c, self.words(c)) for c in pieces]
-        words = list({w for _, ws in split for w in ws})
-        encoded = v.encode_words(words)
-        id_text, token_text = v.id_text, v.token_text
-        ids_of = {w: " ".join([id_text[i] for i in ids]) for w, ids in zip(words, encoded, strict=True)}
-        shown_of = {w: " ".join([token_text[i] for i in ids]) for w, ids in zip(words, encoded, strict=True)}
+        whole = [c for c in pieces if c.isalpha()]
+        split = [(c, self.words(c)) for c in pieces if not c.isalpha()]
+        words = [*whole, *{w for _, ws in split for w in ws}.difference(whole)]
+        flat, bounds = v.sweep(words)
+        spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+        texts = list(map(v.id_text.__getitem__, flat))
+        ids = [" ".join(texts[a:b]) for a, b in spans]
+        texts = list(map(v.token_text.__getitem__, flat))
+        shown = [" ".join(texts[a:b]) for a, b in spans]
+        self.ids.update(zip(whole, ids, strict=False))
+        self.shown.update(zip(whole, shown, strict=False))
+        place = {w: k for k, w in enumerate(words)}
         for c, ws in split:
-            self.ids[c] = ids_of[ws[0]] if len(ws) == 1 else " ".join(filter(None, [ids_of[w] for w in ws]))
-            self.shown[c] = shown_of[ws[0]] if len(ws) == 1 else " ".join(filter(None, [shown_of[w] for w in ws]))
+            at = [place[w] for w in ws]
+            self.ids[c] = " ".join([x for k in at if (x := ids[k])])
+            self.shown[c] = " ".join([x for k in at if (x := shown[k])])
 
     def texts(self, texts: list[str]) -> list[tuple[str, str]]:
         """Ids and tokens of each text, both joined by one space."""
@@ -221,6 +232,8 @@ class Encoder:
         for c in marks:
             self.ids[c], self.shown[c] = str(v.special[c[1:]]), c[1:]
         ids, shown = self.ids.__getitem__, self.shown.__getitem__
+        if all(map(ids, wanted)):
+            return [(" ".join(map(ids, p)), " ".join(map(shown, p))) for p in parts]
         return [(" ".join(filter(None, map(ids, p))), " ".join(filter(None, map(shown, p)))) for p in parts]
 
 
@@ -272,9 +285,10 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(_vocabulary(shared.value))
+        gc.disable()  # no cycles here, only many strings, which a collection would walk through again and again
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in blocks(texts):
+            for lo, hi in blocks(texts, BLOCK_BYTES):
                 done = encoder.texts(texts[lo:hi])
                 columns = [
                     batch.column(0).slice(lo, hi - lo),
@@ -285,6 +299,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False)
                 if keep_ids:
                     columns += [pa.array([[int(x) for x in i.split()] for i, _ in done], pa.list_(pa.int32())), pa.array([d for _, d in done], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
+        gc.enable()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
