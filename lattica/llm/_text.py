@@ -6,7 +6,9 @@ Every function takes whole texts. Work inside a batch goes by blocks of whole do
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +53,39 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bound Arrow batches by bytes as well as rows, so that very long texts can't pile up in one batch."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not spark.conf.get(key).removesuffix("b").isdigit() or int(spark.conf.get(key).removesuffix("b")) >= 1 << 30:
         spark.conf.set(key, size)
 
 
+def _trim() -> None:
+    """Give freed memory back to the system; Python workers live on between tasks and stages."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, with Arrow on the system's allocator and memory given back after each batch."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            _trim()
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        gc.collect()  # functions and tables of earlier tasks of this worker, which hang in reference cycles
+        _trim()
+        yield from run(each(batches))
+        _trim()
+
+    return wrapped
+
+
 def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of whole documents of about ``limit`` bytes together."""
     lo = size = 0

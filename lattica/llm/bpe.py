@@ -30,10 +30,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm._text import blocks, bounded_batches
+from lattica.llm._text import blocks, bounded_batches, lean
 
-CACHE_PIECES = 300_000
-BLOCK_BYTES = 4 << 20
+CACHE_PIECES = 200_000
+BLOCK_BYTES = 2 << 20
 NO_RANK = (1 << 31) - 1
 END = "</w>"
 #: str.split() takes these for white space; the pattern doesn't.
@@ -75,6 +75,7 @@ class Vocabulary:
         self.last = np.array([self.ids.get(c + END, -1) for c in shown], np.int64)
         top = max(self.tokens) + 1
         self.id_text, self.token_text = [str(i) for i in range(top)], [self.tokens.get(i, "") for i in range(top)]
+        del self.ids, self.tokens
         self.special_pattern = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
         self.content, self.library = content, None
@@ -302,4 +303,4 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False)
         gc.enable()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)

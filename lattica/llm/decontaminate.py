@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm._text import BY_LETTER, U, Words, blocks, bounded_batches, folded, mix
+from lattica.llm._text import BY_LETTER, U, Words, blocks, bounded_batches, folded, lean, mix
 
 BUCKETS = 1 << 18
 WINDOW, STRIDE = 32, 16
@@ -60,7 +60,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """idf of every bucket over the whole corpus. At most ``BUCKETS`` + 1 sums reach the driver."""
     bounded_batches(docs.sparkSession)
-    counts = docs.select("text").mapInArrow(_document_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = docs.select("text").mapInArrow(lean(_document_frequencies), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = counts["bucket"].to_numpy(), counts["n"].to_numpy()
     df = np.zeros(BUCKETS)
     df[bucket[bucket >= 0]] = n[bucket >= 0]
@@ -93,7 +93,7 @@ def randomized_svd(spark: SparkSession, rows: list[tuple[np.ndarray, np.ndarray]
                         np.add.at(total, c, np.outer(v, y))
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
-        out = sum(np.frombuffer(r["total"], np.float64) for r in table.mapInArrow(part, "total binary").collect())
+        out = sum(np.frombuffer(r["total"], np.float64) for r in table.mapInArrow(lean(part), "total binary").collect())
         shared.unpersist()
         return out.reshape(q.shape[1], q.shape[1]) if gram else out.reshape(q.shape)
 
@@ -213,8 +213,8 @@ def _search(index: Index, h: np.ndarray, bounds: np.ndarray, out: list[list[Matc
     end = np.minimum(start + WINDOW, bounds[doc + 1])
     total = mass[end] - mass[start]
     able = np.flatnonzero(held[end] - held[start] >= COSINE**2 * total - 1e-9)
-    for lo in range(0, len(able), 4096):
-        own = able[lo : lo + 4096]
+    for lo in range(0, len(able), 512):  # 512 passages of 32 words and 256 dimensions are 16 MB
+        own = able[lo : lo + 512]
         at = np.concatenate([np.arange(a, b) for a, b in zip(start[own], end[own], strict=True)])
         row = np.repeat(np.arange(len(own)), end[own] - start[own])
         known = place[at] >= 0
@@ -294,7 +294,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "cosine", "common", "kind"])
 
-        part = source.mapInArrow(run, MATCH_SCHEMA)
+        part = source.mapInArrow(lean(run), MATCH_SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], MATCH_SCHEMA)
 
@@ -315,5 +315,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for lo, hi in blocks(texts):
                     yield batch.slice(lo, hi - lo).filter(pa.array([not found for found in find(indexes, texts[lo:hi])]))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
     return out

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm._sample import fold, sample, with_texts
-from lattica.llm._text import U, blocks, bounded_batches
+from lattica.llm._text import U, blocks, bounded_batches, lean
 
 BUCKETS = 1 << 16
 _NOT_LETTERS = regex.compile(r"\P{L}+")
@@ -78,7 +78,7 @@ def train(docs: DataFrame, max_rows: int = 12_000, smoothing: float = 0.5) -> Mo
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(4) != 2))
     picked = sample(rows.select("doc_id", F.col("lang").alias("label")), max_rows)
     texts = with_texts(docs, picked).select("text", "label").repartition(8)
-    counts = texts.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = texts.mapInArrow(lean(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang, bucket, n = (counts[c].to_numpy() for c in ("lang", "bucket", "n"))
     langs = sorted(set(lang.tolist()))
     table = np.zeros((BUCKETS, len(langs)))
@@ -119,4 +119,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(4) == 2).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")

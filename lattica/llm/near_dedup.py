@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm._text import BY_SPACE, U, Words, as_bytes, blocks, bounded_batches, mix
+from lattica.llm._text import BY_SPACE, U, Words, as_bytes, blocks, bounded_batches, lean, mix
 from lattica.operators.components import connected_components
 from lattica.plans.lineage import cut
 
@@ -155,7 +155,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, digest of the set, registers)`` of every row; no shuffle."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, registers binary")
+    return source.mapInArrow(lean(_signatures), "doc_id long, n_shingles long, digest binary, registers binary")
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,14 +206,14 @@ def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     ids = cut(ids.distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    return cut(texts.mapInArrow(_sets, "id long, shingles binary"), "sets")
+    return cut(texts.mapInArrow(lean(_sets), "id long, shingles binary"), "sets")
 
 
 def _links(pairs: DataFrame, registers: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    near = cut(_beside(pairs, registers, "registers").mapInArrow(_estimated, "a long, b long"), "near-pairs")
+    near = cut(_beside(pairs, registers, "registers").mapInArrow(lean(_estimated), "a long, b long"), "near-pairs")
     sets = _sets_of(near.select(F.explode(F.array("a", "b")).alias("doc_id")), docs)
-    return cut(_beside(near, sets, "shingles").mapInArrow(_confirmed, "a long, b long").distinct(), "links")
+    return cut(_beside(near, sets, "shingles").mapInArrow(lean(_confirmed), "a long, b long").distinct(), "links")
 
 
 def _settle(table: pa.Table) -> pa.Table:
@@ -264,7 +264,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     first = classes.select(F.col("rep").alias("doc_id"), "digest")
     registers = signed.join(first, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("id"), "registers")
     registers = cut(registers, "registers")
-    buckets = registers.select("id", "registers").mapInArrow(_band_rows, "bucket long, band int, id long")
+    buckets = registers.select("id", "registers").mapInArrow(lean(_band_rows), "bucket long, band int, id long")
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("other"), F.count(F.lit(1)).alias("m")).where("leader <> other").select("bucket", "leader", "m")
     members = cut(buckets.join(shared, "bucket"), "buckets")
     stars = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()

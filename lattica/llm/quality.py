@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm._sample import fold, sample, with_texts
-from lattica.llm._text import BY_LETTER, BY_SPACE, U, Words, blocks, bounded_batches, folded, mix
+from lattica.llm._text import BY_LETTER, BY_SPACE, U, Words, blocks, bounded_batches, folded, lean, mix
 
 WORD_BUCKETS = 1 << 16
 SHAPES, BINS = 1 << 10, 32
@@ -131,7 +131,7 @@ def train(docs: DataFrame, ratings: DataFrame, max_rows: int = 8000) -> Model:
     bounded_batches(docs.sparkSession)
     usable = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade >= 0").where(fold(5) != 0)
     rows = with_texts(docs, sample(usable, max_rows)).select("text", "grade")
-    state = rows.mapInArrow(_feature_rows, "grade int, buckets binary, amounts binary").repartition(1).mapInArrow(_fit_rows, "model binary").first()
+    state = rows.mapInArrow(lean(_feature_rows), "grade int, buckets binary, amounts binary").repartition(1).mapInArrow(lean(_fit_rows), "model binary").first()
     return Model(**pickle.loads(state["model"])) if state else fit(np.zeros(0, int), [])
 
 
@@ -150,4 +150,4 @@ def score(docs: DataFrame, model: Model, tail_grade: int = 1, least: float = 0.5
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= least)], names=["doc_id", "held_out", "expected_grade", "tail_probability", "selected"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(5) == 0).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, expected_grade double, tail_probability double, selected boolean")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, expected_grade double, tail_probability double, selected boolean")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm._sample import fold, sample, with_texts
-from lattica.llm._text import BY_LETTER, U, Words, blocks, bounded_batches, folded, mix
+from lattica.llm._text import BY_LETTER, U, Words, blocks, bounded_batches, folded, lean, mix
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
@@ -245,8 +245,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean:
     bounded_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(fold(5) != 0)
     picked = sample(usable.where("toxic = 1"), max_toxic).union(sample(usable.where("toxic = 0"), max_clean))
-    rows = with_texts(docs, picked).select("text", "toxic").mapInArrow(_token_rows, "toxic int, tokens binary")
-    state = rows.repartition(1).mapInArrow(_fit_rows, "model binary").first()
+    rows = with_texts(docs, picked).select("text", "toxic").mapInArrow(lean(_token_rows), "toxic int, tokens binary")
+    state = rows.repartition(1).mapInArrow(lean(_fit_rows), "model binary").first()
     return Model(**pickle.loads(state["model"])) if state else fit(np.zeros(0, int), [])
 
 
@@ -285,7 +285,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, SPANS)], names=["doc_id", "held_out", "score", "predicted", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(5) == 0).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,prob:double>>")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,prob:double>>")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -300,4 +300,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
             for lo, hi, scores, _ in _evidence(model, batch.column(at).to_pylist()):
                 yield batch.slice(lo, hi - lo).filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
