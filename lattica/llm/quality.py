@@ -123,6 +123,8 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         grades += batch.column(0).to_pylist()
         rows += [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float64)) for i, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+    order = sorted(range(len(grades)), key=lambda i: (grades[i], rows[i][0].tobytes(), rows[i][1].tobytes()))  # rows come in any order
+    grades, rows = [grades[i] for i in order], [rows[i] for i in order]
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(fit(np.array(grades, int), rows)))], pa.binary())], names=["model"])
 
 

@@ -236,7 +236,8 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels += batch.column(0).to_pylist()
         tokens += [np.frombuffer(t, np.int32).reshape(N_FEATURES, -1) for t in batch.column(1).to_pylist()]
-    model = fit(np.array(labels, int), tokens)
+    order = sorted(range(len(labels)), key=lambda i: (labels[i], tokens[i].tobytes()))  # rows come in any order
+    model = fit(np.array([labels[i] for i in order], int), [tokens[i] for i in order])
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(model))], pa.binary())], names=["model"])
 
 
