@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 U = np.uint64
 _P = 0xD1342543DE82EF95  # odd, so that it has an inverse mod 2**64
 _PI = pow(_P, -1, 1 << 64)
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 512 << 10
 SPACES = np.array([0x20, *range(0x09, 0x0E)])
 
 
