@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm._text import blocks, bounded_batches, lean
+from lattica.llm._text import blocks, bounded_batches, lean, release_heap
 
 CACHE_PIECES = 200_000
 BLOCK_BYTES = 2 << 20
@@ -282,6 +282,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False)
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    release_heap(spark)
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm._text import BY_LETTER, U, Words, blocks, bounded_batches, folded, lean, mix
+from lattica.llm._text import BY_LETTER, U, Words, blocks, bounded_batches, folded, lean, mix, release_heap
 
 BUCKETS = 1 << 18
 WINDOW, STRIDE = 32, 16
@@ -303,6 +303,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, with all their columns; no shuffle."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    release_heap(spark)
     at = docs.columns.index("text")
     out = docs
     for indexes in build_indexes(docs, benchmark):
