@@ -5,7 +5,9 @@
    a Spark job over the rows and sums dense partial products) gives the latent space of the passages.
 3. Every document is cut into passages of ``WINDOW`` words at every ``STRIDE``. A passage whose words of benchmark
    vocabulary carry too little of its TF-IDF mass can't reach the cosine threshold with any item and is passed over; the
-   others are projected and compared with all items by cosine.
+   others are projected and compared with all items by cosine. Apart from the cosine, a passage that with its surroundings
+   holds so many of an item's rarest words that ``COPY`` of the item can be there in order is a candidate too, so no copy
+   hangs on word weights (a widely copied item lowers the weight of its own words), on the cosine or on an item's length.
 4. A candidate is confirmed on words: the longest common subsequence of the item and the passage with its surroundings.
    At ``COPY`` of the item it is a copy; from ``PARAPHRASE`` it is a paraphrase if the item's answer (its last sentence,
    or its last quarter if it has only one) is there too.
@@ -110,6 +112,19 @@ def answer_words(text: str) -> int:
     return int(last if 0 < last < whole else max(1, whole // 4))
 
 
+class Gate:
+    """Counts that a region must reach: of an item's rarest ``2 * misses + 1`` words, all but ``misses``."""
+
+    def __init__(self, items: int, words: int):
+        self.member = np.zeros((words + 1, items), np.uint8)  # the last row is for words of no item
+        self.need = np.zeros(items, np.int32)
+
+    def add(self, item: int, places: np.ndarray, idf: np.ndarray, misses: int) -> None:
+        rarest = np.argsort(-idf, kind="stable")[: 2 * misses + 1]
+        self.member[places[rarest], item] = 1
+        self.need[item] = len(rarest) - misses
+
+
 class Index:
     """One group of benchmark items: vocabulary, latent space, words for confirmation."""
 
@@ -134,6 +149,16 @@ class Index:
         for i in self.long:
             b, n = np.unique(_bucket(hashes[i]), return_counts=True)
             self.rows.append((self.place[b], n * idf[b]))
+        self._gate(hashes)
+
+    def _gate(self, hashes: list[np.ndarray]) -> None:
+        """What an accepted region must hold of each item, whatever the cosine; see ``_by_words``."""
+        copy = Gate(len(self.rows), int((self.place >= 0).sum()))
+        for k, i in enumerate(self.long):
+            n, bucket = self.sizes[i], _bucket(hashes[i])
+            copy.add(k, self.place[bucket], self.idf[bucket], n - int(np.ceil(COPY * n - 1e-9)))
+        self.gates = [(g.member, g.need) for g in (copy,)]
+        self.radius = np.array([-(-self.sizes[i] // STRIDE) for i in self.long], np.int64)
 
     def project(self, spark: SparkSession) -> Index:
         """Fit the latent space of the items."""
@@ -212,6 +237,21 @@ def _search(index: Index, h: np.ndarray, bounds: np.ndarray, out: list[list[Matc
     start = bounds[doc] + nth * STRIDE
     end = np.minimum(start + WINDOW, bounds[doc + 1])
     total = mass[end] - mass[start]
+    seen: dict[tuple[int, int], float] = {}  # the best share so far of a document and an item
+    tried: set[tuple[int, int]] = set()
+
+    def confirm(p: int, k: int, cosine: float) -> None:
+        i, d = index.long[k], int(doc[p])
+        size = index.sizes[i]
+        a, b = max(int(bounds[d]), int(start[p]) - size), min(int(bounds[d + 1]), int(end[p]) + size)
+        length, bits = common_subsequence(index.masks[i], size, h[a:b].tolist())
+        share = length / size
+        answer = index.answers[i]
+        there = (bits >> (size - answer)).bit_count() >= ANSWER * answer
+        if share >= COPY or share >= PARAPHRASE and there:
+            seen[d, k] = max(share, seen.get((d, k), 0.0))
+            out[d].append((index.ids[i], cosine, share, "copy" if share >= COPY else "paraphrase"))
+
     able = np.flatnonzero(held[end] - held[start] >= COSINE**2 * total - 1e-9)
     for lo in range(0, len(able), 512):  # 512 passages of 32 words and 256 dimensions are 16 MB
         own = able[lo : lo + 512]
@@ -225,16 +265,54 @@ def _search(index: Index, h: np.ndarray, bounds: np.ndarray, out: list[list[Matc
             latent[row[first]] = np.add.reduceat(index.basis[place[at]] * weight[at][:, None], first, axis=0)
         cosine = latent @ index.items.T / np.sqrt(np.maximum(total[own], 1e-9))[:, None].astype(np.float32)
         for p, k in zip(*np.nonzero(cosine >= COSINE), strict=True):
-            i = index.long[k]
-            d = int(doc[own[p]])
-            size = index.sizes[i]
-            a, b = max(int(bounds[d]), int(start[own[p]]) - size), min(int(bounds[d + 1]), int(end[own[p]]) + size)
-            length, bits = common_subsequence(index.masks[i], size, h[a:b].tolist())
-            share = length / size
-            answer = index.answers[i]
-            there = (bits >> (size - answer)).bit_count() >= ANSWER * answer
-            if share >= COPY or share >= PARAPHRASE and there:
-                out[d].append((index.ids[i], float(cosine[p, k]), share, "copy" if share >= COPY else "paraphrase"))
+            tried.add((int(own[p]), int(k)))
+            confirm(int(own[p]), int(k), float(cosine[p, k]))
+    for p, k in _by_words(index, place, bounds, doc, nth):
+        if (p, k) not in tried and seen.get((int(doc[p]), k), 0.0) < 1.0:
+            at = np.arange(start[p], end[p])
+            at = at[place[at] >= 0]
+            latent = (index.basis[place[at]] * weight[at][:, None]).sum(axis=0)
+            confirm(p, k, float(latent @ index.items[k] / np.sqrt(max(total[p], 1e-9))))
+
+
+def _by_words(index: Index, place: np.ndarray, bounds: np.ndarray, doc: np.ndarray, nth: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Passages and items whose words in common allow a confirmation; a superset of what the confirmation accepts.
+
+    A subsequence that leaves out at most m words of an item holds all but m of any chosen ones. The words of a passage
+    and its surroundings that are among an item's chosen ones (its rarest) are counted in steps of ``STRIDE`` words.
+    """
+    counts = np.diff(bounds)
+    steps = -(-counts // STRIDE)
+    first = np.concatenate([[0], np.cumsum(steps)])
+    # the words in rows of STRIDE, each document from a row of its own
+    grid = np.full(int(first[-1]) * STRIDE, -1, np.int32)
+    shift = np.repeat(first[:-1] * STRIDE - bounds[:-1], counts)
+    grid[np.arange(bounds[0], bounds[-1]) + shift] = place[bounds[0] : bounds[-1]]
+    grid = grid.reshape(-1, STRIDE)
+    here = first[doc] + nth
+    reach = int(index.radius.max()) + 2
+    piece = max(512, 4 * reach)
+    for lo in range(0, len(doc), piece):
+        own = np.arange(lo, min(lo + piece, len(doc)))
+        base = max(0, int(here[own[0]]) - reach)
+        rows = grid[base : int(here[own[-1]]) + reach]
+        sums = []
+        for member, _ in index.gates:
+            total = np.zeros((len(rows) + 1, member.shape[1]), np.int32)
+            for r in range(0, len(rows), 512):
+                np.cumsum(member[rows[r : r + 512]].sum(axis=1, dtype=np.uint8), axis=0, dtype=np.int32, out=total[r + 1 : r + 513])
+                total[r + 1 : r + 513] += total[r]
+            sums.append(total)
+        for radius in np.unique(index.radius):
+            items = np.flatnonzero(index.radius == radius)
+            a = np.maximum(first[doc[own]], here[own] - radius) - base
+            b = np.minimum(first[doc[own] + 1], here[own] + 2 + radius) - base
+            held = [(t := s[:, items])[b] - t[a] for s in sums]
+            passed = held[0] >= index.gates[0][1][items]
+            p, k = np.nonzero(passed)
+            for j in np.argsort(-held[0][p, k], kind="stable"):
+                yield int(own[p[j]]), int(items[k[j]])
+
 
 
 def build_indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Index]]:

@@ -221,6 +221,16 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_decontamination_finds_widely_copied_items(spark):
+    item = prose(60, 16, 5000)
+    rare = [" ".join(f"r{i}x{j}" for j in range(80)) for i in range(30)]
+    texts = [f"{t[:300]} {item} {t[300:]}" if i % 2 == 0 else t for i, t in enumerate(rare)]
+    bench = spark.createDataFrame([(1, item), (2, prose(61, 30, 5000))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.kind, r.common) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert found == {(i, 1, "copy", 1.0) for i in range(0, 30, 2)}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs(spark, texts), bench).collect()} == set(range(1, 30, 2))
+
+
 def test_latent_space_recall_against_brute_force(spark):
     r = np.random.default_rng(4)
     rows = [(np.sort(r.choice(500, 30, replace=False)), r.random(30).astype(np.float32)) for _ in range(120)]
