@@ -5,9 +5,11 @@
    a Spark job over the rows and sums dense partial products) gives the latent space of the passages.
 3. Every document is cut into passages of ``WINDOW`` words at every ``STRIDE``. A passage whose words of benchmark
    vocabulary carry too little of its TF-IDF mass can't reach the cosine threshold with any item and is passed over; the
-   others are projected and compared with all items by cosine. Apart from the cosine, a passage that with its surroundings
-   holds so many of an item's rarest words that ``COPY`` of the item can be there in order is a candidate too, so no copy
-   hangs on word weights (a widely copied item lowers the weight of its own words), on the cosine or on an item's length.
+   others are projected and compared with all items by cosine. Apart from the cosine, counts of an item's rarest words
+   make candidates where ``COPY`` of the item can be there in order, or ``PARAPHRASE`` of it and ``ANSWER`` of its answer.
+   They follow from the shares that step 4 asks for, so nothing hangs on word weights (a widely copied item lowers the
+   weight of its own words), on the cosine or on an item's length. A paraphrase under the cosine must lie in a stretch of
+   ``SPREAD`` times the item's words (up to two ``STRIDE`` more): over wider ones common words make up half an item by chance.
 4. A candidate is confirmed on words: the longest common subsequence of the item and the passage with its surroundings.
    At ``COPY`` of the item it is a copy; from ``PARAPHRASE`` it is a paraphrase if the item's answer (its last sentence,
    or its last quarter if it has only one) is there too.
@@ -39,6 +41,7 @@ RANK, OVERSAMPLE, POWER_STEPS = 256, 16, 2
 GROUPS = 4
 COSINE = 0.40
 COPY, PARAPHRASE, ANSWER = 0.75, 0.50, 0.80
+SPREAD = 1.5
 SHORT = 8
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -113,16 +116,24 @@ def answer_words(text: str) -> int:
 
 
 class Gate:
-    """Counts that a region must reach: of an item's rarest ``2 * misses + 1`` words, all but ``misses``."""
+    """Counts that a region must reach: of an item's rarest words, all but those that a confirmation lets go."""
 
     def __init__(self, items: int, words: int):
         self.member = np.zeros((words + 1, items), np.uint8)  # the last row is for words of no item
         self.need = np.zeros(items, np.int32)
 
     def add(self, item: int, places: np.ndarray, idf: np.ndarray, misses: int) -> None:
-        rarest = np.argsort(-idf, kind="stable")[: 2 * misses + 1]
-        self.member[places[rarest], item] = 1
-        self.need[item] = len(rarest) - misses
+        """``misses`` words may be missing. So many of the rarest are looked at that chance is least likely to hold the others."""
+        order = np.argsort(-idf, kind="stable")
+        new = np.zeros(len(order), bool)
+        new[np.unique(places[order], return_index=True)[1]] = True
+        mean = np.cumsum(np.where(new, -np.log1p(-np.exp(-idf[order].astype(np.float64)).clip(0, 0.9)), 0.0)).clip(1e-9)
+        need = np.arange(1, len(order) + 1) - misses
+        bound = np.where(need > mean, need - mean - need * np.log(need.clip(1) / mean), 0.0)  # Chernoff, logarithm
+        bound[need < 1] = np.inf
+        chosen = int(np.argmin(bound)) + 1
+        self.member[places[order[:chosen]], item] = 1
+        self.need[item] = chosen - misses
 
 
 class Index:
@@ -153,12 +164,16 @@ class Index:
 
     def _gate(self, hashes: list[np.ndarray]) -> None:
         """What an accepted region must hold of each item, whatever the cosine; see ``_by_words``."""
-        copy = Gate(len(self.rows), int((self.place >= 0).sum()))
+        copy, most, answer = (Gate(len(self.rows), int((self.place >= 0).sum())) for _ in range(3))
         for k, i in enumerate(self.long):
             n, bucket = self.sizes[i], _bucket(hashes[i])
-            copy.add(k, self.place[bucket], self.idf[bucket], n - int(np.ceil(COPY * n - 1e-9)))
-        self.gates = [(g.member, g.need) for g in (copy,)]
+            place, idf, last = self.place[bucket], self.idf[bucket], self.answers[i]
+            copy.add(k, place, idf, n - int(np.ceil(COPY * n - 1e-9)))
+            most.add(k, place, idf, n - int(np.ceil(PARAPHRASE * n - 1e-9)))
+            answer.add(k, place[n - last :], idf[n - last :], last - int(np.ceil(ANSWER * last - 1e-9)))
+        self.gates = [(g.member, g.need) for g in (copy, most, answer)]
         self.radius = np.array([-(-self.sizes[i] // STRIDE) for i in self.long], np.int64)
+        self.spread = np.array([-int(-SPREAD * self.sizes[i] // STRIDE) + 1 for i in self.long], np.int64)
 
     def project(self, spark: SparkSession) -> Index:
         """Fit the latent space of the items."""
@@ -240,17 +255,29 @@ def _search(index: Index, h: np.ndarray, bounds: np.ndarray, out: list[list[Matc
     seen: dict[tuple[int, int], float] = {}  # the best share so far of a document and an item
     tried: set[tuple[int, int]] = set()
 
-    def confirm(p: int, k: int, cosine: float) -> None:
+    def cosine_of(p: int, k: int) -> float:
+        at = np.arange(start[p], end[p])
+        at = at[place[at] >= 0]
+        latent = (index.basis[place[at]] * weight[at][:, None]).sum(axis=0)
+        return float(latent @ index.items[k] / np.sqrt(max(total[p], 1e-9)))
+
+    def confirm(p: int, k: int, cosine: float | None, words: tuple[int, int] | None = None, kinds: tuple[str, ...] = ("copy", "paraphrase")) -> None:
         i, d = index.long[k], int(doc[p])
         size = index.sizes[i]
-        a, b = max(int(bounds[d]), int(start[p]) - size), min(int(bounds[d + 1]), int(end[p]) + size)
-        length, bits = common_subsequence(index.masks[i], size, h[a:b].tolist())
+        a, b = words or (max(int(bounds[d]), int(start[p]) - size), min(int(bounds[d + 1]), int(end[p]) + size))
+        near, mask, bits = h[a:b].tolist(), index.masks[i], 0
+        for w in mask.keys() & set(near):
+            bits |= mask[w]
+        if bits.bit_count() < PARAPHRASE * size:  # too few of its words, in whatever order
+            return
+        length, bits = common_subsequence(mask, size, near)
         share = length / size
         answer = index.answers[i]
         there = (bits >> (size - answer)).bit_count() >= ANSWER * answer
-        if share >= COPY or share >= PARAPHRASE and there:
+        kind = "copy" if share >= COPY else "paraphrase" if share >= PARAPHRASE and there else ""
+        if kind in kinds:
             seen[d, k] = max(share, seen.get((d, k), 0.0))
-            out[d].append((index.ids[i], cosine, share, "copy" if share >= COPY else "paraphrase"))
+            out[d].append((index.ids[i], cosine_of(p, k) if cosine is None else cosine, share, kind))
 
     able = np.flatnonzero(held[end] - held[start] >= COSINE**2 * total - 1e-9)
     for lo in range(0, len(able), 512):  # 512 passages of 32 words and 256 dimensions are 16 MB
@@ -267,16 +294,17 @@ def _search(index: Index, h: np.ndarray, bounds: np.ndarray, out: list[list[Matc
         for p, k in zip(*np.nonzero(cosine >= COSINE), strict=True):
             tried.add((int(own[p]), int(k)))
             confirm(int(own[p]), int(k), float(cosine[p, k]))
-    for p, k in _by_words(index, place, bounds, doc, nth):
-        if (p, k) not in tried and seen.get((int(doc[p]), k), 0.0) < 1.0:
-            at = np.arange(start[p], end[p])
-            at = at[place[at] >= 0]
-            latent = (index.basis[place[at]] * weight[at][:, None]).sum(axis=0)
-            confirm(p, k, float(latent @ index.items[k] / np.sqrt(max(total[p], 1e-9))))
+    for p, k, words in _by_words(index, place, bounds, doc, nth):
+        if seen.get((int(doc[p]), k), 0.0) < 1.0:
+            if words:
+                confirm(p, k, None, words)
+            elif (p, k) not in tried:
+                confirm(p, k, None, None, ("copy",))
 
 
-def _by_words(index: Index, place: np.ndarray, bounds: np.ndarray, doc: np.ndarray, nth: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Passages and items whose words in common allow a confirmation; a superset of what the confirmation accepts.
+def _by_words(index: Index, place: np.ndarray, bounds: np.ndarray, doc: np.ndarray, nth: np.ndarray) -> Iterator[tuple[int, int, tuple[int, int] | None]]:
+    """Passages and items whose words in common allow a confirmation: of a copy in the passage with its surroundings, and of
+    a paraphrase in the stretch of words that is returned. A superset of what the confirmation accepts there.
 
     A subsequence that leaves out at most m words of an item holds all but m of any chosen ones. The words of a passage
     and its surroundings that are among an item's chosen ones (its rarest) are counted in steps of ``STRIDE`` words.
@@ -290,7 +318,7 @@ def _by_words(index: Index, place: np.ndarray, bounds: np.ndarray, doc: np.ndarr
     grid[np.arange(bounds[0], bounds[-1]) + shift] = place[bounds[0] : bounds[-1]]
     grid = grid.reshape(-1, STRIDE)
     here = first[doc] + nth
-    reach = int(index.radius.max()) + 2
+    reach = int(max(index.radius.max() + 2, index.spread.max()))
     piece = max(512, 4 * reach)
     for lo in range(0, len(doc), piece):
         own = np.arange(lo, min(lo + piece, len(doc)))
@@ -303,16 +331,26 @@ def _by_words(index: Index, place: np.ndarray, bounds: np.ndarray, doc: np.ndarr
                 np.cumsum(member[rows[r : r + 512]].sum(axis=1, dtype=np.uint8), axis=0, dtype=np.int32, out=total[r + 1 : r + 513])
                 total[r + 1 : r + 513] += total[r]
             sums.append(total)
+        low, high = first[doc[own]], first[doc[own] + 1]
+
+        def reached(gate: int, items: np.ndarray, a: np.ndarray, b: np.ndarray, sums: list = sums, base: int = base) -> tuple[np.ndarray, np.ndarray]:
+            of = sums[gate][:, items]
+            held = of[b - base] - of[a - base]
+            return held >= index.gates[gate][1][items], held
+
         for radius in np.unique(index.radius):
             items = np.flatnonzero(index.radius == radius)
-            a = np.maximum(first[doc[own]], here[own] - radius) - base
-            b = np.minimum(first[doc[own] + 1], here[own] + 2 + radius) - base
-            held = [(t := s[:, items])[b] - t[a] for s in sums]
-            passed = held[0] >= index.gates[0][1][items]
+            passed, held = reached(0, items, np.maximum(low, here[own] - radius), np.minimum(high, here[own] + 2 + radius))
             p, k = np.nonzero(passed)
-            for j in np.argsort(-held[0][p, k], kind="stable"):
-                yield int(own[p[j]]), int(items[k[j]])
-
+            for j in np.argsort(-held[p, k], kind="stable"):
+                yield int(own[p[j]]), int(items[k[j]]), None
+        for spread in np.unique(index.spread):
+            items = np.flatnonzero(index.spread == spread)
+            a, b = here[own], np.minimum(high, here[own] + spread)
+            for p, k in zip(*np.nonzero(reached(1, items, a, b)[0] & reached(2, items, a, b)[0]), strict=True):
+                at, d = int(own[p]), int(doc[own[p]])
+                begin = int(bounds[d]) + int(nth[at]) * STRIDE
+                yield at, int(items[k]), (begin, min(begin + int(spread) * STRIDE, int(bounds[d + 1])))
 
 
 def build_indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Index]]:

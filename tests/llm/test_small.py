@@ -231,6 +231,31 @@ def test_decontamination_finds_widely_copied_items(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs(spark, texts), bench).collect()} == set(range(1, 30, 2))
 
 
+def test_decontamination_finds_what_the_confirmation_accepts(spark):
+    r = random.Random(12)
+    items = [prose(300 + i, 24, 2000) + ". " + prose(400 + i, 6, 2000) for i in range(30)] + [prose(500 + i, 8 + i % 5, 2000) for i in range(10)]
+    texts = []
+    for i, item in enumerate(items):
+        words = item.split()
+        if i < 30:  # half of the words in place, the answer among them
+            for j in r.sample(range(24), 15):
+                words[j] = f"w{r.randrange(2000)}"
+        texts.append(f"{prose(600 + i, 100 + i, 2000)} {' '.join(words)} {prose(700 + i, 90, 2000)}")
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *itertools.accumulate(range(len(b)), lambda left, j, x=x, old=row: max(left, old[j] + 1 if x == b[j] else old[j + 1]), initial=0)][1:]
+        return row[-1]
+
+    plain = [t.replace(".", "").split() for t in texts]
+    for i, item in enumerate(items):
+        assert common(item.replace(".", "").split(), plain[i]) >= (0.5 if i < 30 else 1.0) * len(item.split())
+    found = {(x.doc_id, x.item_id): x.kind for x in decontaminate.contaminated(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert all((i, i) in found for i in range(40)) and all(found[i, i] == "copy" for i in range(30, 40))
+    assert set(found) == {(i, i) for i in range(40)}
+
+
 def test_latent_space_recall_against_brute_force(spark):
     r = np.random.default_rng(4)
     rows = [(np.sort(r.choice(500, 30, replace=False)), r.random(30).astype(np.float32)) for _ in range(120)]
