@@ -256,6 +256,13 @@ def test_decontamination_finds_what_the_confirmation_accepts(spark):
     assert set(found) == {(i, i) for i in range(40)}
 
 
+def test_decontamination_finds_long_items(spark):
+    items = [prose(800 + i, n, 5000) for i, n in enumerate((150, 300, 800, 2000))]
+    texts = [f"{prose(810 + i, 333, 5000)} {t} {prose(820 + i, 250, 5000)}" for i, t in enumerate(items)] + [prose(830, 4000, 5000)]
+    found = {(r.doc_id, r.item_id, r.common) for r in decontaminate.contaminated(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert found == {(i, i, 1.0) for i in range(4)}
+
+
 def test_latent_space_recall_against_brute_force(spark):
     r = np.random.default_rng(4)
     rows = [(np.sort(r.choice(500, 30, replace=False)), r.random(30).astype(np.float32)) for _ in range(120)]
