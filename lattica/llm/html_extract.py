@@ -10,7 +10,8 @@ Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles
 by role, or by the words of a class or id.
 
 Defined cases: null and empty pages, and pages without content text, give an empty string; unclosed, crossed and truncated
-tags are repaired as browsers do for paragraphs, list items and table cells; unknown character references stay as they
+tags are repaired as browsers do for paragraphs, list items and table cells; a script or another raw element ends at its
+own end tag, whatever stands in it, or with the page; unknown character references stay as they
 are; text outside any element is a block of its own; repeated rows are extracted alike; other columns are not read.
 """
 
@@ -33,6 +34,7 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？؟،]")
 _WORD = re.compile(r"[a-z0-9]+")
 # Names from the HTML standard and common names of page parts.
 RAW = frozenset("script style noscript template iframe svg canvas object math title textarea select audio video".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NEVER = frozenset("head nav footer aside form menu dialog button label fieldset".split())
@@ -97,13 +99,9 @@ def text_blocks(page: str) -> list[tuple[_Node, str]]:
                 flush()
             stack.pop()
 
-    raw = None
-    for m in _TOKEN.finditer(page):
-        tag = m[2]
-        if raw is not None:
-            if tag and m[1] and tag.lower() == raw:
-                raw = None
-            continue
+    at = 0
+    while m := _TOKEN.match(page, at):
+        at, tag = m.end(), m[2]
         if tag is None:
             if not m[0].startswith(("<!", "<?")) and not stack[-1].off:
                 pending.append(m[0])
@@ -119,7 +117,8 @@ def text_blocks(page: str) -> list[tuple[_Node, str]]:
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
-                raw = tag
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
             continue
         if tag in VOID:
             if tag in ("br", "hr", "img") and not stack[-1].off:

@@ -303,6 +303,12 @@ def test_html_extraction(spark):
     assert html_extract.extract(d.where("page_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("script", ["for(i=0;i<n;i++){f(i)}", 's="<!-- "', "if(a<b){}", "x='<![CDATA['", 's="</scripts>"', "a = '<?'", "var q='<a title=\\''"])
+def test_html_after_scripts(script):
+    page = f"<body><script>{script}</SCRIPT ><article><p>First one, here.</p><style>a<b</style><p>Second one, there.</p></article><script>{script}"
+    assert html_extract.main_text(page) == "First one, here. Second one, there."
+
+
 def calls(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, call_id string, seq long, name string, arguments string, depends_on array<string>, status string")
 
