@@ -207,3 +207,17 @@ def test_cli(spark):
     assert "Range" in c.run("EXPLAIN SELECT * FROM lattica_cli")
     assert c.run("SET spark.sql.shuffle.partitions=4")
     assert c.run("RESET") == "reset"
+
+
+@pytest.mark.parametrize("name", ["g13_pagerank", "g08_sssp", "g09_label_propagation"])
+def test_graph_queries_take_all_events(spark, tmp_path, name):
+    from lattica.plans import catalog
+
+    pairs = [(1 + i % 7, i) for i in range(300)]
+    spark.createDataFrame(pairs, "user_id long, event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    if name == "g08_sssp":
+        want = {1} | {-1 - e for u, e in pairs if u == 1}
+        assert {r[0]: r[1] for r in got if r[1] is not None and r[1] != float("inf")} == {v: float(v != 1) for v in want}
+    else:
+        assert sorted(r[0] for r in got) == sorted({u for u, _ in pairs} | {-1 - e for _, e in pairs})
