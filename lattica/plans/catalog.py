@@ -1,4 +1,4 @@
-"""The catalogue of queries: one per operator of the inventory, with DuckDB SQL where SQL can express it."""
+"""The catalogue of queries: the operators of the inventory that are reproduced (the README names the others), with DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
