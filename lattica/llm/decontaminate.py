@@ -1,77 +1,58 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed words are counted over the whole corpus (a fixed number of buckets).
-2. Benchmark passages become TF-IDF rows. A distributed randomised SVD (range finder with power iterations; each step is
-   a Spark job over the rows and sums dense partial products) gives the latent space of the passages.
-3. Every document is cut into passages of ``WINDOW`` words at every ``STRIDE``. A passage whose words of benchmark
-   vocabulary carry too little of its TF-IDF mass can't reach the cosine threshold with any item and is passed over; the
-   others are projected and compared with all items by cosine. Apart from the cosine, counts of an item's rarest words
-   make candidates where ``COPY`` of the item can be there in order, or ``PARAPHRASE`` of it and ``ANSWER`` of its answer.
-   They follow from the shares that step 4 asks for, so nothing hangs on word weights (a widely copied item lowers the
-   weight of its own words), on the cosine or on an item's length. A paraphrase under the cosine must lie in a stretch of
-   ``SPREAD`` times the item's words (up to two ``STRIDE`` more): over wider ones common words make up half an item by chance.
-4. A candidate is confirmed on words: the longest common subsequence of the item and the passage with its surroundings.
-   At ``COPY`` of the item it is a copy; from ``PARAPHRASE`` it is a paraphrase if the item's answer (its last sentence,
-   or its last quarter if it has only one) is there too.
-Items of fewer than ``SHORT`` words are too small a part of a passage for a cosine; they are looked up as exact runs of words.
-
-Items are grouped by at most ``RANK``, each group with a latent space of its own: passages of a benchmark have little in
-common, and a space of fewer dimensions than items would blur them. ``GROUPS`` groups are searched in one pass over the
-documents, which bounds what is broadcast; a larger benchmark takes more passes. Documents are never shuffled.
-
-Defined cases: null, empty or wordless items and documents match nothing; equal items each match; repeated rows match
-alike; a null ``doc_id`` is reported as null; empty tables give empty results; other columns are not read or pass through.
+1. Benchmark items are cut into overlapping passages, which become TF-IDF rows. A word's document frequency counts benchmark
+   items, so copies of an item in the corpus can't lower the weight of its words, and documents are read once only.
+2. A distributed randomised SVD (range finder with power iterations; each step is a Spark job over the rows and sums dense
+   partial products) gives a latent space of ``rank_of`` dimensions, fewer than half the passages: the overlapping passages
+   of one item, and the words that occur together in them, share directions.
+3. The words of a document are summed in the latent space by cells of ``STEP`` words; runs of cells are its passages, short
+   ones beside items of up to ``SCALES[0]`` words and longer ones beside the others. Those whose cosine with a passage of an
+   item reaches ``COSINE`` are candidates. The cosine is taken inside the latent space, so what a space of few dimensions
+   loses of an item it loses of the item's copies alike.
+4. A candidate is confirmed on words: the longest common subsequence of the whole item and a stretch of ``SPREAD`` times the
+   item's words. At ``COPY`` of the item it is a copy; from ``PARAPHRASE`` it is a paraphrase if ``ANSWER`` of the item's
+   answer (its last sentence, or its last quarter if it has only one) is there too. Stretches begin at every ``STEP`` words,
+   or at every eighth of an item where that is more, and are longer by that much.
+Items of fewer than ``SHORT`` words are no paraphrase of anything; they are looked up as exact runs of words.
+
+Passages are grouped by at most ``PASSAGES`` (a longer item spans groups), each group with a latent space of its own;
+``GROUPS`` groups are searched in one pass over the documents, which bounds what is broadcast; a larger benchmark takes
+more passes. Documents are never shuffled.
+
+Defined cases: null, empty or wordless items and documents match nothing; items and documents of any length are searched
+whole; equal items each match; of equal shares the larger cosine is reported; repeated rows match alike; a null ``doc_id``
+is reported as null; empty tables give empty results; other columns are not read or pass through.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm._text import BY_LETTER, U, Words, blocks, bounded_batches, folded, lean, mix, release_heap
+from lattica.llm._text import BY_LETTER, U, Words, blocks, bounded_batches, folded, lean, mix
 
-BUCKETS = 1 << 18
-WINDOW, STRIDE = 32, 16
-RANK, OVERSAMPLE, POWER_STEPS = 256, 16, 2
-GROUPS = 4
+STEP = 8
+#: Words of a document's passages; items of up to the first have one passage, of the first length.
+SCALES = (16, 32)
+RANK, OVERSAMPLE, POWER_STEPS = 160, 16, 2
+PASSAGES, GROUPS = 1024, 4
 COSINE = 0.40
 COPY, PARAPHRASE, ANSWER = 0.75, 0.50, 0.80
 SPREAD = 1.5
 SHORT = 8
+#: Cells of a document that are projected at a time.
+PIECE = 4096
+_BITS = 18
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & U(BUCKETS - 1)).astype(np.int64)
-
-
-def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, docs = np.zeros(BUCKETS, np.int64), 0
-    for batch in batches:
-        texts = [folded(t) for t in batch.column(0).to_pylist()]
-        docs += len(texts)
-        for lo, hi in blocks(texts):
-            words = Words(texts[lo:hi], BY_LETTER)
-            total += np.bincount(np.unique(words.doc() * BUCKETS + _bucket(words.hashes())) & (BUCKETS - 1), minlength=BUCKETS)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], docs))], names=["bucket", "n"])
-
-
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """idf of every bucket over the whole corpus. At most ``BUCKETS`` + 1 sums reach the driver."""
-    bounded_batches(docs.sparkSession)
-    counts = docs.select("text").mapInArrow(lean(_document_frequencies), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    bucket, n = counts["bucket"].to_numpy(), counts["n"].to_numpy()
-    df = np.zeros(BUCKETS)
-    df[bucket[bucket >= 0]] = n[bucket >= 0]
-    return np.log((1.0 + n[bucket < 0].sum()) / (0.5 + df)).clip(0.05).astype(np.float32)
-
-
 def randomized_svd(spark: SparkSession, rows: list[tuple[np.ndarray, np.ndarray]], features: int, rank: int, seed: int = 11) -> np.ndarray:
     """Right singular vectors (features x rank) of a sparse matrix given by rows of (columns, values).
 
@@ -80,7 +61,7 @@ def randomized_svd(spark: SparkSession, rows: list[tuple[np.ndarray, np.ndarray]
     width = min(rank + OVERSAMPLE, features, max(1, len(rows)))
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, width)))[0]
     packed = [(c.astype(np.int32).tobytes(), v.astype(np.float32).tobytes()) for c, v in rows]
-    table = spark.createDataFrame(packed, "columns binary, amounts binary").repartition(min(8, max(1, len(rows) // 64)))
+    table = spark.createDataFrame(packed, "columns binary, amounts binary").repartition(min(4, max(1, len(rows) // 64)))
 
     def products(q: np.ndarray, gram: bool) -> np.ndarray:
         shared = spark.sparkContext.broadcast(q)
@@ -98,7 +79,7 @@ def randomized_svd(spark: SparkSession, rows: list[tuple[np.ndarray, np.ndarray]
                         np.add.at(total, c, np.outer(v, y))
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
-        out = sum(np.frombuffer(r["total"], np.float64) for r in table.mapInArrow(lean(part), "total binary").collect())
+        out = sum(np.frombuffer(r["total"], np.float64) for r in table.mapInArrow(lean(part), "total binary").toLocalIterator())
         shared.unpersist()
         return out.reshape(q.shape[1], q.shape[1]) if gram else out.reshape(q.shape)
 
@@ -108,6 +89,11 @@ def randomized_svd(spark: SparkSession, rows: list[tuple[np.ndarray, np.ndarray]
     return q @ vectors[:, np.argsort(-values)[:rank]]
 
 
+def rank_of(passages: int) -> int:
+    """Dimensions of the latent space of so many passages."""
+    return max(1, min(RANK, passages // 2))
+
+
 def answer_words(text: str) -> int:
     """How many of an item's last words are its answer."""
     whole = np.diff(Words([folded(text)], BY_LETTER).bounds)[0]
@@ -115,76 +101,93 @@ def answer_words(text: str) -> int:
     return int(last if 0 < last < whole else max(1, whole // 4))
 
 
-class Gate:
-    """Counts that a region must reach: of an item's rarest words, all but those that a confirmation lets go."""
+def cuts(words: int, length: int) -> list[int]:
+    """Where the passages of ``length`` words of an item begin: at every half length, and the last at the item's end."""
+    return [*range(0, max(1, words - length), length // 2), *([words - length] if words > length else [])]
+
+
+class Item:
+    """An item's words for confirmation."""
+
+    __slots__ = ("id", "size", "answer", "mask", "step", "stretch")
 
-    def __init__(self, items: int, words: int):
-        self.member = np.zeros((words + 1, items), np.uint8)  # the last row is for words of no item
-        self.need = np.zeros(items, np.int32)
+    def __init__(self, id: int, hashes: np.ndarray, answer: int):
+        self.id, self.size, self.answer = id, len(hashes), answer
+        #: Stretches begin at every so many words, and have so many.
+        self.step = max(STEP, self.size // 8 // STEP * STEP)
+        self.stretch = int(np.ceil(SPREAD * self.size)) + self.step
+        self.mask: dict[int, int] = {}
+        for i, w in enumerate(hashes.tolist()):
+            self.mask[w] = self.mask.get(w, 0) | 1 << i
 
-    def add(self, item: int, places: np.ndarray, idf: np.ndarray, misses: int) -> None:
-        """``misses`` words may be missing. So many of the rarest are looked at that chance is least likely to hold the others."""
-        order = np.argsort(-idf, kind="stable")
-        new = np.zeros(len(order), bool)
-        new[np.unique(places[order], return_index=True)[1]] = True
-        mean = np.cumsum(np.where(new, -np.log1p(-np.exp(-idf[order].astype(np.float64)).clip(0, 0.9)), 0.0)).clip(1e-9)
-        need = np.arange(1, len(order) + 1) - misses
-        bound = np.where(need > mean, need - mean - need * np.log(need.clip(1) / mean), 0.0)  # Chernoff, logarithm
-        bound[need < 1] = np.inf
-        chosen = int(np.argmin(bound)) + 1
-        self.member[places[order[:chosen]], item] = 1
-        self.need[item] = chosen - misses
+    def common(self, words: list[int]) -> tuple[float, str]:
+        """Share of the item in common with a stretch of words, and what that makes the stretch."""
+        length, bits = common_subsequence(self.mask, self.size, words)
+        there = (bits >> (self.size - self.answer)).bit_count() >= ANSWER * self.answer
+        share = length / self.size
+        return share, "copy" if share >= COPY else "paraphrase" if share >= PARAPHRASE and there else ""
 
 
 class Index:
-    """One group of benchmark items: vocabulary, latent space, words for confirmation."""
-
-    def __init__(self, ids: list[int], hashes: list[np.ndarray], answers: list[int], idf: np.ndarray):
-        self.ids, self.answers, self.idf = ids, answers, idf
-        self.masks = []
-        for h in hashes:
-            mask: dict[int, int] = {}
-            for i, w in enumerate(h.tolist()):
-                mask[w] = mask.get(w, 0) | 1 << i
-            self.masks.append(mask)
-        self.sizes = [len(h) for h in hashes]
-        self.long = [i for i, n in enumerate(self.sizes) if n >= SHORT]
+    """One group of passages: vocabulary, latent space, words of its items."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray, int]], parts: list[tuple[int, int]], frequency: dict[int, int], number: int):
+        """``items``: (item_id, word hashes, words of the answer); ``parts``: (item, first word) of the passages to search with."""
+        self.items = [Item(*x) for x in items]
         self.runs: dict[int, dict[int, list[int]]] = {}
-        for i, h in enumerate(hashes):
+        for i, (_, h, _) in enumerate(items):
             if 0 < len(h) < SHORT:
                 self.runs.setdefault(len(h), {}).setdefault(int(_runs(h, len(h))[0]), []).append(i)
-        active = np.unique(np.concatenate([_bucket(hashes[i]) for i in self.long])) if self.long else np.zeros(0, np.int64)
-        self.place = np.full(BUCKETS, -1, np.int32)
-        self.place[active] = np.arange(len(active))
-        self.rows = []
-        for i in self.long:
-            b, n = np.unique(_bucket(hashes[i]), return_counts=True)
-            self.rows.append((self.place[b], n * idf[b]))
-        self._gate(hashes)
-
-    def _gate(self, hashes: list[np.ndarray]) -> None:
-        """What an accepted region must hold of each item, whatever the cosine; see ``_by_words``."""
-        copy, most, answer = (Gate(len(self.rows), int((self.place >= 0).sum())) for _ in range(3))
-        for k, i in enumerate(self.long):
-            n, bucket = self.sizes[i], _bucket(hashes[i])
-            place, idf, last = self.place[bucket], self.idf[bucket], self.answers[i]
-            copy.add(k, place, idf, n - int(np.ceil(COPY * n - 1e-9)))
-            most.add(k, place, idf, n - int(np.ceil(PARAPHRASE * n - 1e-9)))
-            answer.add(k, place[n - last :], idf[n - last :], last - int(np.ceil(ANSWER * last - 1e-9)))
-        self.gates = [(g.member, g.need) for g in (copy, most, answer)]
-        self.radius = np.array([-(-self.sizes[i] // STRIDE) for i in self.long], np.int64)
-        self.spread = np.array([-int(-SPREAD * self.sizes[i] // STRIDE) + 1 for i in self.long], np.int64)
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, U), *(items[i][1][o : o + SCALES[1]] for i, o in parts)]))
+        self.maybe = np.zeros(1 << _BITS, bool)
+        self.maybe[(self.vocabulary & U((1 << _BITS) - 1)).astype(np.int64)] = True
+        idf = np.log((1.0 + number) / np.array([frequency[w] for w in self.vocabulary.tolist()])) + 0.1
+        self.member = np.zeros((len(items), len(self.vocabulary) + 1), bool)  # the last column is for words of no item
+        self.rows, self.parts = [], []
+
+        def row(i: int, o: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+            at, n = np.unique(np.searchsorted(self.vocabulary, items[i][1][o : o + length]), return_counts=True)
+            return at, n * idf[at]
+
+        for i, o in parts:
+            self.parts.append((i, o, *row(i, o, SCALES[1])))
+            self.member[i, self.parts[-1][2]] = True
+            near = items[i][1][o : o + SCALES[1]]
+            self.rows += [self.parts[-1][2:], *(row(i, o + c, SCALES[0]) for c in cuts(len(near), SCALES[0]) if len(near) > SCALES[0])]
+        self.idf = idf
+        held = np.bincount([i for i, _ in parts], minlength=len(items)) if parts else np.zeros(len(items), int)
+        #: Words that a stretch must hold; 0 where this group has only some passages of an item, whose words it doesn't know.
+        self.need = np.array([np.ceil(PARAPHRASE * x.size - 1e-9) if k == len(cuts(x.size, SCALES[1])) else 0 for x, k in zip(self.items, held, strict=True)])
 
     def project(self, spark: SparkSession) -> Index:
-        """Fit the latent space of the items."""
-        if self.long:
-            v = randomized_svd(spark, self.rows, int((self.place >= 0).sum()), RANK)
-            self.basis = v.astype(np.float32)
-            latent = np.stack([(x[:, None] * v[c]).sum(axis=0) for c, x in self.rows])
-            norms = np.array([np.sqrt((x * x).sum()) for _, x in self.rows])
-            self.items = (latent / np.maximum(norms, 1e-9)[:, None]).astype(np.float32)
+        """Fit the latent space of the passages."""
+        if self.rows:
+            v = randomized_svd(spark, self.rows, len(self.vocabulary), rank_of(len(self.rows)))
+            self.place_in(v)
         return self
 
+    def place_in(self, v: np.ndarray) -> None:
+        """Take the columns of ``v`` for the latent space."""
+        self.weights = np.concatenate([v * self.idf[:, None], np.zeros((1, v.shape[1]))]).astype(np.float32)
+        latent = np.stack([x @ v[c] for _, _, c, x in self.parts])
+        latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
+        item, offset = (np.array([p[j] for p in self.parts], np.int64) for j in (0, 1))
+        size = np.array([self.items[i].size for i in item], np.int64)
+        self.searches = []
+        for length, own in zip(SCALES, (size <= SCALES[0], size > SCALES[0]), strict=True):
+            if own.any():
+                self.searches.append((length // STEP, length // 2 // STEP, np.ascontiguousarray(latent[own].T, np.float32), item[own], offset[own]))
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """The place of each word in the vocabulary; the one after the last where it isn't there."""
+        out = np.full(len(h), len(self.vocabulary), np.int32)
+        at = np.flatnonzero(self.maybe[(h & U((1 << _BITS) - 1)).astype(np.int64)])
+        if len(at):
+            found = np.minimum(np.searchsorted(self.vocabulary, h[at]), len(self.vocabulary) - 1)
+            same = self.vocabulary[found] == h[at]
+            out[at[same]] = found[same]
+        return out
+
 
 def _runs(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of every run of ``n`` words."""
@@ -212,180 +215,162 @@ Match = tuple[int, float, float, str]
 def find(indexes: list[Index], texts: list[bytes]) -> list[list[Match]]:
     """For each document of a block: (item_id, cosine, share of the item in common, kind), the best for each item."""
     words = Words(texts, BY_LETTER)
-    out: list[list[Match]] = [[] for _ in texts]
+    best: list[dict[int, Match]] = [{} for _ in texts]
     if len(words):
         h = words.hashes()
         for index in indexes:
-            _search(index, h, words.bounds, out)
-    best = []
-    for found in out:
-        by_item: dict[int, Match] = {}
-        for x in found:
-            if x[0] not in by_item or (x[2], x[1]) > (by_item[x[0]][2], by_item[x[0]][1]):
-                by_item[x[0]] = x
-        best.append(sorted(by_item.values()))
-    return best
-
-
-def _search(index: Index, h: np.ndarray, bounds: np.ndarray, out: list[list[Match]]) -> None:
-    n = len(h)
+            for d, match in _search(index, h, words.bounds):
+                old = best[d].get(match[0])
+                if old is None or (match[2], match[1]) > (old[2], old[1]):
+                    best[d][match[0]] = match
+    return [[found[i] for i in sorted(found)] for found in best]
+
+
+def candidates(index: Index, place: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Blocks of (document, first word of the passage, end of the passage, item, first word in the item, cosine)."""
+    counts = np.diff(bounds)
+    first = np.concatenate([[0], np.cumsum(-(-counts // STEP))])
+    known = np.flatnonzero(place < len(index.vocabulary))
+    owner = np.searchsorted(bounds, known, side="right") - 1
+    cell = first[owner] + (known - bounds[owner]) // STEP
+    doc_of = np.repeat(np.arange(len(counts)), np.diff(first))
+    beyond = max(s[0] for s in index.searches) - 1
+    for lo in range(0, int(first[-1]), PIECE):
+        hi = min(lo + PIECE, int(first[-1]))
+        sums = np.zeros((hi - lo + beyond, index.weights.shape[1]), np.float32)
+        a, b = np.searchsorted(cell, [lo, hi + beyond])
+        if a == b:
+            continue
+        own = cell[a:b] - lo
+        head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        sums[own[head]] = np.add.reduceat(index.weights[place[known[a:b]]], head, axis=0)
+        for cells, stride, latent, item, offset in index.searches:
+            start = np.arange(lo, hi)
+            doc = doc_of[lo:hi]
+            start, doc = (x[(start - first[doc]) % stride == 0] for x in (start, doc))
+            total = sums[start - lo]
+            for j in range(1, cells):
+                inside = start + j < first[doc + 1]
+                total[inside] += sums[start[inside] + j - lo]
+            norm = np.sqrt(np.einsum("ij,ij->i", total, total))
+            some = np.flatnonzero(norm > 1e-6)
+            for at in range(0, len(some), 1024):
+                rows = some[at : at + 1024]
+                cosine = total[rows] @ latent
+                w, k = np.nonzero(cosine >= COSINE * norm[rows][:, None])
+                if len(w):
+                    d, begin = doc[rows[w]], bounds[doc[rows[w]]] + (start[rows[w]] - first[doc[rows[w]]]) * STEP
+                    yield d, begin, np.minimum(begin + cells * STEP, bounds[d + 1]), item[k], offset[k], cosine[w, k] / norm[rows[w]]
+
+
+def _search(index: Index, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, Match]]:
     for size, wanted in index.runs.items():
-        if n >= size:
+        if len(h) >= size:
             runs = _runs(h, size)
             for p in np.flatnonzero(np.isin(runs, np.array(list(wanted), U))):
                 d = int(np.searchsorted(bounds, p, side="right")) - 1
                 if p + size <= bounds[d + 1]:
-                    out[d] += [(index.ids[i], 1.0, 1.0, "short") for i in wanted[int(runs[p])]]
-    if not index.long:
+                    yield from ((d, (index.items[i].id, 1.0, 1.0, "short")) for i in wanted[int(runs[p])])
+    if not index.parts:
         return
-    bucket = _bucket(h)
-    weight = index.idf[bucket]
-    place = index.place[bucket]
-    square = weight.astype(np.float64) ** 2
-    mass = np.concatenate([[0.0], np.cumsum(square)])
-    held = np.concatenate([[0.0], np.cumsum(np.where(place >= 0, square, 0.0))])
-    # passages start at every STRIDE words of a document; the last may be shorter
-    counts = np.diff(bounds)
-    passages = np.where(counts > 0, 1 + np.maximum(0, -(-(counts - WINDOW) // STRIDE)), 0)
-    doc = np.repeat(np.arange(len(out)), passages)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(passages) - passages, passages)
-    start = bounds[doc] + nth * STRIDE
-    end = np.minimum(start + WINDOW, bounds[doc + 1])
-    total = mass[end] - mass[start]
-    seen: dict[tuple[int, int], float] = {}  # the best share so far of a document and an item
-    tried: set[tuple[int, int]] = set()
-
-    def cosine_of(p: int, k: int) -> float:
-        at = np.arange(start[p], end[p])
-        at = at[place[at] >= 0]
-        latent = (index.basis[place[at]] * weight[at][:, None]).sum(axis=0)
-        return float(latent @ index.items[k] / np.sqrt(max(total[p], 1e-9)))
-
-    def confirm(p: int, k: int, cosine: float | None, words: tuple[int, int] | None = None, kinds: tuple[str, ...] = ("copy", "paraphrase")) -> None:
-        i, d = index.long[k], int(doc[p])
-        size = index.sizes[i]
-        a, b = words or (max(int(bounds[d]), int(start[p]) - size), min(int(bounds[d + 1]), int(end[p]) + size))
-        near, mask, bits = h[a:b].tolist(), index.masks[i], 0
-        for w in mask.keys() & set(near):
-            bits |= mask[w]
-        if bits.bit_count() < PARAPHRASE * size:  # too few of its words, in whatever order
-            return
-        length, bits = common_subsequence(mask, size, near)
-        share = length / size
-        answer = index.answers[i]
-        there = (bits >> (size - answer)).bit_count() >= ANSWER * answer
-        kind = "copy" if share >= COPY else "paraphrase" if share >= PARAPHRASE and there else ""
-        if kind in kinds:
-            seen[d, k] = max(share, seen.get((d, k), 0.0))
-            out[d].append((index.ids[i], cosine_of(p, k) if cosine is None else cosine, share, kind))
-
-    able = np.flatnonzero(held[end] - held[start] >= COSINE**2 * total - 1e-9)
-    for lo in range(0, len(able), 512):  # 512 passages of 32 words and 256 dimensions are 16 MB
-        own = able[lo : lo + 512]
-        at = np.concatenate([np.arange(a, b) for a, b in zip(start[own], end[own], strict=True)])
-        row = np.repeat(np.arange(len(own)), end[own] - start[own])
-        known = place[at] >= 0
-        at, row = at[known], row[known]
-        latent = np.zeros((len(own), index.basis.shape[1]), np.float32)
-        if len(at):
-            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            latent[row[first]] = np.add.reduceat(index.basis[place[at]] * weight[at][:, None], first, axis=0)
-        cosine = latent @ index.items.T / np.sqrt(np.maximum(total[own], 1e-9))[:, None].astype(np.float32)
-        for p, k in zip(*np.nonzero(cosine >= COSINE), strict=True):
-            tried.add((int(own[p]), int(k)))
-            confirm(int(own[p]), int(k), float(cosine[p, k]))
-    for p, k, words in _by_words(index, place, bounds, doc, nth):
-        if seen.get((int(doc[p]), k), 0.0) < 1.0:
-            if words:
-                confirm(p, k, None, words)
-            elif (p, k) not in tried:
-                confirm(p, k, None, None, ("copy",))
-
-
-def _by_words(index: Index, place: np.ndarray, bounds: np.ndarray, doc: np.ndarray, nth: np.ndarray) -> Iterator[tuple[int, int, tuple[int, int] | None]]:
-    """Passages and items whose words in common allow a confirmation: of a copy in the passage with its surroundings, and of
-    a paraphrase in the stretch of words that is returned. A superset of what the confirmation accepts there.
-
-    A subsequence that leaves out at most m words of an item holds all but m of any chosen ones. The words of a passage
-    and its surroundings that are among an item's chosen ones (its rarest) are counted in steps of ``STRIDE`` words.
-    """
-    counts = np.diff(bounds)
-    steps = -(-counts // STRIDE)
-    first = np.concatenate([[0], np.cumsum(steps)])
-    # the words in rows of STRIDE, each document from a row of its own
-    grid = np.full(int(first[-1]) * STRIDE, -1, np.int32)
-    shift = np.repeat(first[:-1] * STRIDE - bounds[:-1], counts)
-    grid[np.arange(bounds[0], bounds[-1]) + shift] = place[bounds[0] : bounds[-1]]
-    grid = grid.reshape(-1, STRIDE)
-    here = first[doc] + nth
-    reach = int(max(index.radius.max() + 2, index.spread.max()))
-    piece = max(512, 4 * reach)
-    for lo in range(0, len(doc), piece):
-        own = np.arange(lo, min(lo + piece, len(doc)))
-        base = max(0, int(here[own[0]]) - reach)
-        rows = grid[base : int(here[own[-1]]) + reach]
-        sums = []
-        for member, _ in index.gates:
-            total = np.zeros((len(rows) + 1, member.shape[1]), np.int32)
-            for r in range(0, len(rows), 512):
-                np.cumsum(member[rows[r : r + 512]].sum(axis=1, dtype=np.uint8), axis=0, dtype=np.int32, out=total[r + 1 : r + 513])
-                total[r + 1 : r + 513] += total[r]
-            sums.append(total)
-        low, high = first[doc[own]], first[doc[own] + 1]
-
-        def reached(gate: int, items: np.ndarray, a: np.ndarray, b: np.ndarray, sums: list = sums, base: int = base) -> tuple[np.ndarray, np.ndarray]:
-            of = sums[gate][:, items]
-            held = of[b - base] - of[a - base]
-            return held >= index.gates[gate][1][items], held
-
-        for radius in np.unique(index.radius):
-            items = np.flatnonzero(index.radius == radius)
-            passed, held = reached(0, items, np.maximum(low, here[own] - radius), np.minimum(high, here[own] + 2 + radius))
-            p, k = np.nonzero(passed)
-            for j in np.argsort(-held[p, k], kind="stable"):
-                yield int(own[p[j]]), int(items[k[j]]), None
-        for spread in np.unique(index.spread):
-            items = np.flatnonzero(index.spread == spread)
-            a, b = here[own], np.minimum(high, here[own] + spread)
-            for p, k in zip(*np.nonzero(reached(1, items, a, b)[0] & reached(2, items, a, b)[0]), strict=True):
-                at, d = int(own[p]), int(doc[own[p]])
-                begin = int(bounds[d]) + int(nth[at]) * STRIDE
-                yield at, int(items[k]), (begin, min(begin + int(spread) * STRIDE, int(bounds[d + 1])))
+    place = index.places(h)
+    size = np.array([x.size for x in index.items], np.int64)
+    stretch, step = (np.array([getattr(x, f) for x in index.items], np.int64) for f in ("stretch", "step"))
+    done: set[tuple[int, int, int]] = set()  # stretches that were compared: (document, item, first word)
+    whole: set[tuple[int, int]] = set()
+    for d, begin, end, item, offset, cosine in candidates(index, place, bounds):
+        # where the stretch may begin: an item of one passage lies around the document's passage, a longer one beside its own part
+        n = size[item]
+        slack = n // 4 + STEP
+        low = np.where(n <= SCALES[1], begin - n, begin - offset - slack)
+        high = np.where(n <= SCALES[1], end, begin - offset + slack)
+        low = np.maximum(bounds[d], low)
+        low = low - (low - bounds[d]) % step[item]
+        high = np.maximum(low + 1, np.minimum(high, bounds[d + 1]))
+        top = np.minimum(bounds[d + 1], high - 1 + stretch[item])
+        good = _enough(index, place, item, low, top, stretch[item])
+        for c in good[np.argsort(-cosine[good], kind="stable")].tolist():
+            doc, i = int(d[c]), int(item[c])
+            own = index.items[i]
+            if (doc, i) in whole:
+                continue
+            starts = [s for s in range(int(low[c]), int(high[c]), own.step) if (doc, i, s) not in done]
+            done.update((doc, i, s) for s in starts)
+            if not starts:
+                continue
+            words = h[starts[0] : min(int(bounds[doc + 1]), starts[-1] + own.stretch)].tolist()
+            if common_subsequence(own.mask, own.size, words)[0] < PARAPHRASE * own.size:
+                continue
+            for s in starts:
+                share, kind = own.common(words[s - starts[0] : s - starts[0] + own.stretch])
+                if kind:
+                    yield doc, (own.id, float(cosine[c]), share, kind)
+                    if share == 1.0:
+                        whole.add((doc, i))
+                        break
+
+
+def _enough(index: Index, place: np.ndarray, item: np.ndarray, low: np.ndarray, top: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """Which candidates have so many words of their item in some stretch, in whatever order: what a confirmation implies."""
+    good = []
+    edges = np.concatenate([[0], np.cumsum(top - low)])
+    lo = 0
+    while lo < len(item):
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + (1 << 18), side="right")) - 1)
+        own = np.arange(lo, hi)
+        length = (top - low)[own]
+        begin = edges[own] - edges[lo]
+        at = np.arange(edges[hi] - edges[lo]) - np.repeat(begin - low[own], length)
+        held = index.member[np.repeat(item[own], length), place[at]]
+        total = np.concatenate([[0], np.cumsum(held, dtype=np.int32)])
+        span = np.minimum(np.repeat(begin + length, length), np.arange(len(at)) + np.repeat(stretch[own], length))
+        most = np.maximum.reduceat(total[span] - total[:-1], begin)
+        good.append(own[most >= index.need[item[own]]])
+        lo = hi
+    return np.concatenate(good) if good else np.zeros(0, np.int64)
 
 
 def build_indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Index]]:
-    """For each pass over the documents, its groups of items. A pass holds at most ``GROUPS * RANK`` items."""
+    """For each pass over the documents, its groups of passages. A pass holds at most ``GROUPS * PASSAGES`` of them."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND length(trim(text)) > 0")
-    if items.isEmpty():
-        return
-    idf = inverse_frequencies(docs)
-    rows: list = []
-    for row in items.orderBy("item_id", "text").toLocalIterator():
-        rows.append(row)
-        if len(rows) == GROUPS * RANK:
-            yield _groups(spark, rows, idf)
-            rows = []
-    if rows:
-        yield _groups(spark, rows, idf)
-
-
-def _groups(spark: SparkSession, rows: list, idf: np.ndarray) -> list[Index]:
-    out = []
-    for lo in range(0, len(rows), RANK):
-        group = [(r["item_id"], h, answer_words(r["text"])) for r in rows[lo : lo + RANK] if len(h := Words([folded(r["text"])], BY_LETTER).hashes())]
-        if group:
-            out.append(Index([g[0] for g in group], [g[1] for g in group], [g[2] for g in group], idf).project(spark))
-    return out
-
-
-def _load(states: list[dict]) -> list[Index]:
-    out = []
-    for state in states:
-        index = Index.__new__(Index)
-        index.__dict__.update(state)
-        out.append(index)
-    return out
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND length(trim(text)) > 0").orderBy("item_id", "text")
+    frequency: dict[int, int] = {}
+    number = 0
+    for row in items.toLocalIterator():
+        number += 1
+        for w in set(Words([folded(row["text"])], BY_LETTER).hashes().tolist()):
+            frequency[w] = frequency.get(w, 0) + 1
+    pending: list[Index] = []
+    own: list[tuple[int, np.ndarray, int]] = []
+    parts: list[tuple[int, int]] = []
+
+    def close() -> None:
+        if own:
+            pending.append(Index(own.copy(), parts.copy(), frequency, number).project(spark))
+        own.clear()
+        parts.clear()
+
+    for row in items.toLocalIterator():
+        h = Words([folded(row["text"])], BY_LETTER).hashes()
+        if not len(h):
+            continue
+        new = [None] if len(h) < SHORT else cuts(len(h), SCALES[1])
+        fresh = True
+        for o in new:
+            if len(parts) == PASSAGES or len(own) == PASSAGES and fresh:
+                close()
+                fresh = True
+                if len(pending) == GROUPS:
+                    yield pending
+                    pending = []
+            if fresh:
+                own.append((row["item_id"], h, answer_words(row["text"])))
+                fresh = False
+            if o is not None:
+                parts.append((len(own) - 1, o))
+    close()
+    if pending:
+        yield pending
 
 
 MATCH_SCHEMA = "doc_id long, item_id long, cosine double, common double, kind string"
@@ -398,10 +383,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for indexes in build_indexes(docs, benchmark):
-        shared = spark.sparkContext.broadcast([x.__dict__ for x in indexes])
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(indexes))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            indexes = _load(shared.value)
+            indexes = pickle.loads(shared.value)
             for batch in batches:
                 texts, ids = [folded(t) for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
                 for lo, hi in blocks(texts):
@@ -412,21 +397,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         part = source.mapInArrow(lean(run), MATCH_SCHEMA)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], MATCH_SCHEMA)
+    if out is None:
+        return spark.createDataFrame([], MATCH_SCHEMA)
+    return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, with all their columns; no shuffle."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    release_heap(spark)
     at = docs.columns.index("text")
     out = docs
     for indexes in build_indexes(docs, benchmark):
-        shared = spark.sparkContext.broadcast([x.__dict__ for x in indexes])
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(indexes))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            indexes = _load(shared.value)
+            indexes = pickle.loads(shared.value)
             for batch in batches:
                 texts = [folded(t) for t in batch.column(at).to_pylist()]
                 for lo, hi in blocks(texts):

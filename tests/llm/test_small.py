@@ -257,23 +257,86 @@ def test_decontamination_finds_what_the_confirmation_accepts(spark):
 
 
 def test_decontamination_finds_long_items(spark):
-    items = [prose(800 + i, n, 5000) for i, n in enumerate((150, 300, 800, 2000))]
+    items = [prose(800 + i, n, 5000) for i, n in enumerate((150, 300, 800, 5000))]
     texts = [f"{prose(810 + i, 333, 5000)} {t} {prose(820 + i, 250, 5000)}" for i, t in enumerate(items)] + [prose(830, 4000, 5000)]
     found = {(r.doc_id, r.item_id, r.common) for r in decontaminate.contaminated(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
     assert found == {(i, i, 1.0) for i in range(4)}
 
 
-def test_latent_space_recall_against_brute_force(spark):
+def test_decontamination_against_all_pairs(spark):
+    """Every document with every item, by dynamic programming over every stretch."""
+    r = random.Random(21)
+    items = [prose(900 + i, n, 3000) + ". " + prose(950 + i, max(2, n // 5), 3000) for i, n in enumerate([8, 10, 14, 20, 25, 33, 40, 60, 90] * 4)]
+    texts = []
+    for i, item in enumerate(items):
+        words = item.replace(".", "").split()
+        for j in r.sample(range(int(0.8 * len(words))), int((0.0, 0.2, 0.45)[i % 3] * len(words))):
+            words[j] = f"w{r.randrange(3000)}"
+        texts.append(f"{prose(1000 + i, 60 + i, 3000)} {' '.join(words)} {prose(1100 + i, 50, 3000)}")
+    texts += [texts[0], prose(1200, 300, 3000)]
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *itertools.accumulate(range(len(b)), lambda left, j, x=x, old=row: max(left, old[j] + 1 if x == b[j] else old[j + 1]), initial=0)][1:]
+        return row[-1]
+
+    want, verbatim = set(), set()
+    for d, text in enumerate(texts):
+        t = text.replace(".", "").split()
+        for i, item in enumerate(items):
+            w, last = item.replace(".", "").split(), decontaminate.answer_words(item)
+            if len(set(w) & set(t)) < 0.5 * len(w):
+                continue
+            for s in range(0, len(t), 8):
+                stretch = t[s : s + int(np.ceil(1.5 * len(w))) + 8]
+                share = common(w, stretch) / len(w)
+                if share >= 0.75 or share >= 0.5 and common(w[-last:], stretch) >= last:
+                    want.add((d, i))
+                    if share == 1:
+                        verbatim.add((d, i))
+    found = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert len(verbatim) >= 13 and verbatim <= found
+    assert len(want & found) >= 0.95 * len(want) and len(want) >= 35
+    assert found <= want | {(d, i) for d, i in found if i == d}
+
+
+def latent_index(texts):
+    items = [(i, Words([t.encode()], BY_LETTER).hashes(), 4) for i, t in enumerate(texts)]
+    frequency = {}
+    for _, h, _ in items:
+        for w in set(h.tolist()):
+            frequency[w] = frequency.get(w, 0) + 1
+    return decontaminate.Index(items, [(i, o) for i, x in enumerate(items) for o in decontaminate.cuts(len(x[1]), 32)], frequency, len(items))
+
+
+def test_latent_space_is_small_and_decides(spark):
+    texts = [prose(1300 + i, 36, 6000) for i in range(60)]
+    index = latent_index(texts).project(spark)
+    rank = index.weights.shape[1]
+    assert len(index.rows) > 2 * rank - 2 and rank < len(index.parts) * 3 and rank < len(index.vocabulary) / 4
+    planted = [f"{prose(1400 + i, 50, 6000)} {t} {prose(1500 + i, 50, 6000)}".encode() for i, t in enumerate(texts)]
+    assert all(i in {m[0] for m in found} for i, found in enumerate(decontaminate.find([index], planted)))
+    without = latent_index(texts)  # any other space of so many dimensions loses items or passes far more candidates
+    without.place_in(np.eye(len(without.vocabulary))[:, : rank // 4])
+    hits = [i in {m[0] for m in found} for i, found in enumerate(decontaminate.find([without], planted))]
+    assert sum(hits) < 45
+
+
+def test_randomised_svd_against_numpy(spark):
     r = np.random.default_rng(4)
-    rows = [(np.sort(r.choice(500, 30, replace=False)), r.random(30).astype(np.float32)) for _ in range(120)]
-    v = decontaminate.randomized_svd(spark, rows, 500, 120)
+    topics = r.random((12, 500)) * (r.random((12, 500)) < 0.1)
+    rows = []
+    for _ in range(120):
+        x = r.random(12) ** 4 @ topics + 0.02 * (r.random(500) < 0.02)
+        c = np.flatnonzero(x)
+        rows.append((c, x[c].astype(np.float32)))
     full = np.zeros((120, 500))
     for i, (c, x) in enumerate(rows):
         full[i, c] = x
-    exact, latent = full @ full.T, (full @ v) @ (full @ v).T
-    assert np.corrcoef(exact.ravel(), latent.ravel())[0, 1] > 0.99
-    near = [set(np.argsort(-m)[:5]) for m in exact]
-    assert np.mean([len(near[i] & set(np.argsort(-latent[i])[:5])) / 5 for i in range(120)]) >= 0.9
+    v, exact = decontaminate.randomized_svd(spark, rows, 500, 10), np.linalg.svd(full, full_matrices=False)[2][:10]
+    assert v.shape == (500, 10) and np.allclose(v.T @ v, np.eye(10), atol=1e-6)
+    assert np.linalg.norm(full @ v) >= 0.999 * np.linalg.norm(full @ exact.T)
 
 
 def test_common_subsequence_against_dynamic_programming():
