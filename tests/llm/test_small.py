@@ -366,6 +366,60 @@ def test_html_extraction(spark):
     assert html_extract.extract(d.where("page_id < 0")).count() == 0
 
 
+LONG = "<p>The council met on Monday, and it decided, after a long debate, to rebuild the old bridge over the river. Work begins soon.</p>"
+MORE = "<p>Residents had asked for this for years, and many were pleased, though some worried about the cost, which may reach two million.</p>"
+STORY = "T The council met on Monday, and it decided, after a long debate, to rebuild the old bridge over the river. Work begins soon. {}Residents had asked for this for years, and many were pleased, though some worried about the cost, which may reach two million.{}"
+
+
+@pytest.mark.parametrize(
+    ("page", "between", "after"),
+    [
+        (f"<body><div class='col with-sidebar'><article><h1>T</h1>{LONG}{MORE}</article></div><div class='sidebar'><p>About us, here.</p></div>", "", ""),
+        (f"<article><h1>T</h1>{LONG}<div class='recipe cookie'><p>Mix the flour, then bake.</p></div>{MORE}</article>", "Mix the flour, then bake. ", ""),
+        (f"<div class=story><h1>T</h1>{LONG}{MORE}<div class='links-row'><a href=a>One</a> <a href=b>Two</a></div><div class='readers'><p>Nice one.</p><p>Me too!</p></div></div><div>(c) us</div>", "", ""),
+        (f"<body><div><a href=1>Home</a> <a href=2>News</a></div><div><h1>T</h1>{LONG}<h2>Sub</h2><p>Short.</p>{MORE}<ul><li>one<li>two</ul></div><div><p>Sign up.</p></div>", "Sub Short. ", " one two"),
+        (f"<article><h1>T</h1>{LONG}{MORE}<div id=comments>{LONG * 3}</div></article><div class=ad>{LONG}</div>", "", ""),
+        (f"<body class='no-sidebar'><div class='a1'><h1>T</h1>{LONG}<div class='b2'><a href=x>See</a> <a href=y>also</a></div>{MORE}<table><tr><td>1<td>2</table></div><div class='c3'><p>All rights, reserved.</p></div>", "", " 1 2"),
+    ],
+)
+def test_html_content_is_chosen_by_ratios(page, between, after, monkeypatch):
+    assert html_extract.main_text(page) == STORY.format(between, after)
+
+
+def test_html_without_ratios_is_wrong(monkeypatch):
+    pages = ["<body><div>" + "<p>Home</p><p>News</p>" * 20 + f"</div><div class=s><h1>T</h1>{LONG}{MORE}</div><div class=t><p>Sign up.</p></div>", f"<div class=story><h1>T</h1>{LONG}{MORE}<div class='readers'><p>Nice one.</p></div></div><div><p>Ok.</p></div>"]
+    assert all(html_extract.main_text(p) == STORY.format("", "") for p in pages)
+    monkeypatch.setattr(html_extract, "path_ratios", lambda blocks: ([1.0] * len(blocks), [1.0] * len(blocks)))
+    assert all(html_extract.main_text(p) != STORY.format("", "") for p in pages)
+
+
+def test_html_path_ratios_against_brute_force():
+    page = f"<body><div class='m1'><a href=x>Go, now.</a></div><div class=s><h1>T</h1>{LONG}<p>So, it is.</p>{MORE}</div><div class='m2'><a href=y>Up</a> a.</div>"
+    found = html_extract.text_blocks(page)
+    texts = ["Go, now.", "T", re.sub("<.*?>", "", LONG), "So, it is.", re.sub("<.*?>", "", MORE), "Up a."]
+    paths, linked = ["div.m", "h1", "p", "p", "p", "div.m"], [8, 0, 0, 0, 0, 2]
+    assert [t for _, t, _ in found] == texts
+
+    def mean(of, i):
+        own = [j for j in range(6) if paths[j] == paths[i]]
+        return sum(of(j) for j in own) / len(own)
+
+    length = [mean(lambda j: len(texts[j]), i) for i in range(6)]
+    marks = [mean(lambda j: len(re.findall("[.,]", texts[j])), i) for i in range(6)]
+    free = [1 - mean(lambda j: linked[j], i) / length[i] for i in range(6)]
+    around = lambda x, i: (x[max(i - 1, 0)] + 2 * x[i] + x[min(i + 1, 5)]) / 4
+    smoothed, own = html_extract.path_ratios(found)
+    assert np.allclose(smoothed, [np.sqrt((around(length, i) + 1) * (around(marks, i) + 1)) * free[i] for i in range(6)])
+    assert np.allclose(own, [np.sqrt((length[i] + 1) * (marks[i] + 1)) * free[i] for i in range(6)])
+
+
+def test_html_long_pages_and_repeated_rows(spark):
+    body = "<article>" + f"{LONG}{MORE}<p>Of.</p>" * 3000 + "</article>"
+    d = spark.createDataFrame([(1, "u", body, 1), (1, "u", body, 2), (None, None, None, None)], "page_id long, url string, html string, n_chars int")
+    got = html_extract.extract(d).collect()
+    assert got[0] == got[1] and got[0].text.count("Of.") == 3000 and got[2].text == "" and got[2].page_id is None
+
+
 @pytest.mark.parametrize("script", ["for(i=0;i<n;i++){f(i)}", 's="<!-- "', "if(a<b){}", "x='<![CDATA['", 's="</scripts>"', "a = '<?'", "var q='<a title=\\''"])
 def test_html_after_scripts(script):
     page = f"<body><script>{script}</SCRIPT ><article><p>First one, here.</p><style>a<b</style><p>Second one, there.</p></article><script>{script}"
