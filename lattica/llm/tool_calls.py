@@ -3,15 +3,20 @@
 Calls and results meet in a shuffled hash join on conversation and call identifier. Calls get a topological position in
 their conversation: the label of a call is the largest of its own sequence number and the labels of what it depends on
 (with a depth that counts steps at an equal number), so that a call stands after all its dependencies and otherwise in
-sequence. Positions are counted in two levels, within runs of sequence numbers and over the runs, so that one huge
-conversation spreads over tasks. Arguments are parsed once as variants and checked against the tool's schema; the linked
-record is serialised as canonical JSON (no white space, keys of objects sorted at every level).
+sequence. Labels are found by peeling: a round closes the dependencies on calls whose label is known, and lets the others
+jump over calls that wait for few. Chains and ladders of any length so take a logarithmic number of rounds, and what no
+round can peel any more is in or behind a cycle. Positions are counted in two levels, within runs of sequence numbers and
+over the runs, so that one huge conversation spreads over tasks. Repeated identifiers are reduced by an aggregate that
+combines before the shuffle. Arguments are parsed as variants and checked against the tool's schema; the linked record is
+serialised as canonical JSON (no white space, keys of objects sorted at every level).
 
 Defined cases: a repeated call identifier keeps its first call (by sequence, then text) and marks the others
-``duplicate_call``; of several results the first counts; a result without a call is ``orphan_result`` without a position;
-a null identifier links with nothing; arguments that are null or no JSON object are an error and are serialised as text;
-an unknown tool is an error; a missing dependency is an error and doesn't hold a call back; calls in or behind a cycle
-are marked so and stand last; empty tables give empty results; further columns are not read.
+``duplicate_call``, of equal rows all but one; of several results the first counts; a result without a call is
+``orphan_result`` without a position; a null identifier or conversation links with nothing: such a call is ``no_result``
+without a position and such a result ``orphan_result``; arguments that are null, longer than a variant may be (16 MB), or
+anything but one JSON object with distinct keys (text after it included) are an error and are serialised as text; an unknown
+tool is an error; a missing dependency is an error and doesn't hold a call back; calls in or behind a cycle are marked so
+and stand last, in sequence; empty tables give empty results; further columns are not read.
 """
 
 from __future__ import annotations
@@ -19,10 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.plans.lineage import cut
+from lattica.plans.lineage import cut, drop
 
 #: Length of a run of sequence numbers that is ranked in one group.
 RUN = 256
+#: A dependency jumps over a call if the two wait for at most so many calls, multiplied.
+JUMP = 64
 
 
 def _kind(value: Column) -> Column:
@@ -39,41 +46,64 @@ def _kind(value: Column) -> Column:
     )
 
 
-def _first(rows: DataFrame, text: str) -> DataFrame:
-    order = Window.partitionBy("conv_id", "call_id").orderBy("seq", F.col(text).asc_nulls_first())
-    return rows.withColumn("nth", F.row_number().over(order))
-
-
 def topological_labels(calls: DataFrame) -> DataFrame:
     """``conv_id, call_id, at, depth, cyclic, missing`` of every call (``conv_id, call_id, seq, depends_on``).
 
-    Only conversations with a dependency that isn't earlier in sequence are iterated.
+    Only conversations with a dependency that isn't earlier in sequence are peeled.
     """
-    size = calls.groupBy("conv_id").agg(F.count(F.lit(1)).alias("calls"))
     edges = calls.select("conv_id", "call_id", "seq", F.explode("depends_on").alias("dep"))
     known = calls.select("conv_id", F.col("call_id").alias("dep"), F.col("seq").alias("dep_seq"))
     edges = edges.join(known, ["conv_id", "dep"], "left")
     missing = edges.where("dep_seq IS NULL").groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_set("dep")).alias("missing"))
-    late = edges.where("dep_seq >= seq").select("conv_id").distinct()
-    late = cut(late, "late-dependencies")
-    labels = calls.select("conv_id", "call_id", F.col("seq").alias("at"), F.lit(0).cast("long").alias("depth"))
+    late = cut(edges.where("dep_seq >= seq").select("conv_id").distinct(), "late-dependencies")
+    labels = calls.select("conv_id", "call_id", F.struct(F.col("seq").alias("at"), F.lit(0).cast("long").alias("depth")).alias("label"))
+    labels = labels.join(missing, ["conv_id", "call_id"], "left")
     if late.isEmpty():
-        return labels.join(missing, ["conv_id", "call_id"], "left").withColumn("cyclic", F.lit(False))
-    some = cut(edges.where("dep_seq IS NOT NULL").join(late, "conv_id", "left_semi").select("conv_id", "call_id", "dep"), "dependencies")
-    now = cut(labels.join(late, "conv_id", "left_semi").join(size, "conv_id"), "labels")
+        return labels.select("conv_id", "call_id", "label.at", "label.depth", F.lit(False).alias("cyclic"), "missing")
+    waits = cut(edges.where("dep_seq IS NOT NULL").join(late, "conv_id", "left_semi").select("conv_id", "call_id", F.struct(F.col("seq").alias("at"), F.lit(0).cast("long").alias("depth")).alias("label"), "dep", F.lit(1).cast("long").alias("steps")), "dependencies")
+    peeled = _peel(waits, labels.select("conv_id", "call_id", "label").join(late, "conv_id", "left_semi")).withColumnRenamed("label", "found")
+    rows = labels.join(peeled, ["conv_id", "call_id"], "left")
+    label = F.coalesce("found", "label")
+    return rows.select("conv_id", "call_id", label["at"].alias("at"), label["depth"].alias("depth"), F.coalesce("waiting", F.lit(False)).alias("cyclic"), "missing")
+
+
+def _peel(waits: DataFrame, first: DataFrame) -> DataFrame:
+    """``conv_id, call_id, label, waiting`` of every call that waits for another; ``waiting`` stays true if no order exists.
+
+    ``waits``: one row per dependency that is still open, ``label`` being the call's so far and ``steps`` the calls that the
+    dependency stands for. Each round drops the files of the one before.
+    """
+    key = ["conv_id", "call_id"]
+    own = first
+    done: list[DataFrame] = []
     while True:
-        of_dep = now.select("conv_id", F.col("call_id").alias("dep"), F.struct(F.col("at"), (F.col("depth") + 1).alias("depth")).alias("least"))
-        pushed = some.join(of_dep, ["conv_id", "dep"]).groupBy("conv_id", "call_id").agg(F.max("least").alias("least"))
-        new = F.greatest(F.struct("at", "depth"), F.coalesce("least", F.struct("at", "depth")))
-        after = now.join(pushed, ["conv_id", "call_id"], "left").withColumn("new", new)
-        after = after.select("conv_id", "call_id", F.col("new.at").alias("at"), F.least(F.col("new.depth"), F.col("calls") + 1).alias("depth"), "calls", (F.struct("at", "depth") != F.struct(F.col("new.at"), F.least(F.col("new.depth"), F.col("calls") + 1))).alias("moved"))
-        after = cut(after, "labels")
-        if after.where("moved").isEmpty():
+        state = waits.groupBy(*key).agg(F.max("label").alias("label"), F.count(F.lit(1)).alias("open"))
+        # what each call waits for: a label that is known (open is null), or a call that waits itself
+        target = own.select("conv_id", F.col("call_id").alias("dep"), F.col("label").alias("dep_label"))
+        target = target.join(state.select("conv_id", F.col("call_id").alias("dep"), F.col("label").alias("so_far"), "open"), ["conv_id", "dep"], "left")
+        target = target.select("conv_id", "dep", F.coalesce("so_far", "dep_label").alias("dep_label"), F.col("open").alias("dep_open"))
+        met = waits.join(target, ["conv_id", "dep"]).join(state.select(*key, "open"), key)
+        met = met.withColumn("jump", F.coalesce(F.col("dep_open") * F.col("open") <= JUMP, F.lit(False)))
+        further = waits.select("conv_id", F.col("call_id").alias("dep"), F.col("dep").alias("next"), F.col("steps").alias("next_steps")).withColumn("jump", F.lit(True))
+        met = met.join(further, ["conv_id", "dep", "jump"], "left")
+        gained = F.when(F.col("dep_open").isNull() | F.col("jump"), F.struct(F.col("dep_label.at").alias("at"), (F.col("dep_label.depth") + F.col("steps")).alias("depth")))
+        met = met.select(*key, F.greatest("label", F.coalesce(gained, "label")).alias("label"), F.when(F.col("dep_open").isNotNull(), F.coalesce("next", "dep")).alias("dep"), F.least(F.col("steps") + F.coalesce("next_steps", F.lit(0)), F.lit(1 << 40)).alias("steps"))  # grows without end in a cycle
+        after = cut(met.groupBy(*key, "dep").agg(F.max("label").alias("label"), F.max("steps").alias("steps")), "dependencies")
+        by_call = after.groupBy(*key).agg(F.max("label").alias("label"), F.count("dep").alias("left"))
+        closed = cut(by_call.where("left = 0").select(*key, "label"), "peeled")
+        drop(waits)
+        waits = cut(after.where("dep IS NOT NULL").join(by_call.where("left > 0").select(*key, F.col("label").alias("best")), key).select(*key, F.col("best").alias("label"), "dep", "steps"), "dependencies")
+        drop(after)
+        if closed.isEmpty():
             break
-        now = after.drop("moved")
-    moved = after.select("conv_id", "call_id", F.col("at").alias("at2"), F.col("depth").alias("depth2"), (F.col("depth") > F.col("calls")).alias("cyclic2"))
-    labels = labels.join(moved, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("at2", "at").alias("at"), F.coalesce("depth2", "depth").alias("depth"), F.coalesce("cyclic2", F.lit(False)).alias("cyclic"))
-    return labels.join(missing, ["conv_id", "call_id"], "left")
+        done.append(closed)
+        own = own.join(closed.withColumnRenamed("label", "new"), key, "left").select(*key, F.coalesce("new", "label").alias("label"))
+        if len(done) % 8 == 0:  # the plan must not grow with the rounds
+            own = cut(own, "labels")
+    cyclic = waits.select(*key).distinct().select(*key, F.lit(None).cast("struct<at:bigint,depth:bigint>").alias("label"), F.lit(True).alias("waiting"))
+    for closed in done:
+        cyclic = cyclic.unionByName(closed.withColumn("waiting", F.lit(False)))
+    return cyclic
 
 
 def _positions(labels: DataFrame) -> DataFrame:
@@ -92,18 +122,25 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     ``calls``: ``conv_id, call_id, seq, name, arguments`` (JSON text), ``depends_on`` (array of identifiers);
     ``results``: ``conv_id, call_id, seq, content``; ``schemas``: ``name, param, type, required``.
     """
-    own = _first(calls.select("conv_id", "call_id", F.col("seq").cast("long").alias("seq"), "name", "arguments", "depends_on"), "arguments").where("call_id IS NOT NULL AND conv_id IS NOT NULL")
-    answers = _first(results.select("conv_id", "call_id", F.col("seq").cast("long").alias("result_seq"), "content").withColumnRenamed("result_seq", "seq"), "content")
-    answers = answers.where("nth = 1 AND call_id IS NOT NULL AND conv_id IS NOT NULL").select("conv_id", "call_id", F.col("seq").alias("result_seq"), "content", F.lit(True).alias("answered"))
-    named = own.withColumn("nth", F.col("nth").cast("long"))
-    joined = named.join(answers.withColumn("nth", F.lit(1).cast("long")).hint("shuffle_hash"), ["conv_id", "call_id", "nth"], "full")
-    skeleton = own.where("nth = 1").select("conv_id", "call_id", "seq", F.expr("filter(array_distinct(coalesce(depends_on, cast(array() as array<string>))), d -> d is not null)").alias("depends_on"))
-    placed = _positions(topological_labels(skeleton)).select("conv_id", "call_id", F.lit(1).cast("long").alias("nth"), "position", "cyclic", "missing")
+    ident = F.monotonically_increasing_id()
+    given = cut(calls.select("conv_id", "call_id", F.col("seq").cast("long").alias("seq"), "name", "arguments", "depends_on").withColumn("row", ident), "calls")
+    named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    firsts = given.where(named).groupBy("conv_id", "call_id").agg(F.min(F.struct("seq", "arguments", "row", "name", "depends_on")).alias("c")).select("conv_id", "call_id", "c.*")
+    answers = results.select("conv_id", "call_id", F.col("seq").cast("long").alias("seq"), "content")
+    first_answers = answers.where(named).groupBy("conv_id", "call_id").agg(F.min(F.struct("seq", "content")).alias("a")).select("conv_id", "call_id", F.col("a.seq").alias("result_seq"), "a.content", F.lit(True).alias("answered"))
+    skeleton = firsts.select("conv_id", "call_id", "seq", F.expr("filter(array_distinct(coalesce(depends_on, cast(array() as array<string>))), d -> d is not null)").alias("depends_on"))
+    placed = _positions(topological_labels(skeleton)).select("conv_id", "call_id", "position", "cyclic", "missing")
+    linked = firsts.join(first_answers.hint("shuffle_hash"), ["conv_id", "call_id"], "full").join(placed, ["conv_id", "call_id"], "left").withColumn("repeated", F.lit(False))
+    others = given.join(firsts.select("row"), "row", "left_anti").withColumn("repeated", named)
+    lost = answers.where(~named).select("conv_id", "call_id", F.col("seq").alias("result_seq"), "content", F.lit(True).alias("answered")).withColumn("repeated", F.lit(False))
+    joined = linked.unionByName(others, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True)
     tools = schemas.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("param", "type", "required"))).alias("schema"))
-    rows = joined.join(placed, ["conv_id", "call_id", "nth"], "left").join(tools, "name", "left")
-    rows = rows.withColumn("args", F.try_parse_json("arguments")).withColumn("keys", F.json_object_keys("arguments"))
-    is_call = F.col("seq").isNotNull() | F.col("name").isNotNull() | F.col("arguments").isNotNull()
-    status = F.when(~is_call, "orphan_result").when(F.col("nth") > 1, "duplicate_call").when(F.col("answered"), "linked").otherwise("no_result")
+    rows = joined.join(tools, "name", "left")
+    # a parser stops behind the first value; inside brackets of both kinds any further text is an error
+    one_value = F.try_parse_json(F.concat(F.lit("["), "arguments", F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"a":'), "arguments", F.lit("}"))).isNotNull()
+    rows = rows.withColumn("args", F.when(one_value, F.try_parse_json("arguments"))).withColumn("keys", F.when(F.col("args").isNotNull(), F.json_object_keys("arguments")))
+    is_call = F.col("row").isNotNull()
+    status = F.when(~is_call, "orphan_result").when(F.col("repeated"), "duplicate_call").when(F.col("answered"), "linked").otherwise("no_result")
     wrong_type = F.filter(
         F.col("schema"),
         lambda s: F.array_contains("keys", s["param"])

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from lattica.llm import bpe, decontaminate, exact_dedup, filters, html_extract, langid, near_dedup, quality, tool_calls, toxicity, warc
 from lattica.llm._text import BY_LETTER, BY_SPACE, Words
+from lattica.plans.lineage import cut
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, bucket string, id long"
 
@@ -441,7 +442,8 @@ def test_tool_calls(spark):
     r = spark.createDataFrame([(1, "a", 5, "late"), (1, "a", 4, "first"), (1, "lost", 6, "orphan"), (None, None, 1, "x")], "conv_id long, call_id string, seq long, content string")
     s = spark.createDataFrame(SCHEMAS, "name string, param string, type string, required boolean")
     got = {(x.conv_id, x.call_id, x.seq): x for x in tool_calls.link_tool_calls(c, r, s).collect()}
-    assert len(got) == 7
+    assert len(got) == 10 and got[None, "a", 1].status == got[3, None, 1].status == "no_result" and got[None, None, 1].status == "orphan_result"
+    assert got[None, "a", 1].position is None and got[None, "a", 1].errors == "missing: x"
     assert [got[1, k, n].position for k, n in (("a", 2), ("b", 1), ("c", 3))] == [1, 2, 3]
     assert got[1, "a", 2].errors == "type: x" and got[1, "a", 2].status == "linked" and json.loads(got[1, "a", 2].record)["result"] == "first"
     assert got[1, "b", 1].valid and got[1, "b", 1].record == '{"arguments":{"x":1,"y":2},"depends_on":["a"],"id":"b","name":"add"}'
@@ -462,6 +464,36 @@ def test_tool_call_order_on_random_graphs(spark):
     assert all(sorted(p for (w, _), p in got.items() if w == v) == list(range(1, 31)) for v in range(5))
 
 
+def linked(spark, rows, results=()):
+    s = spark.createDataFrame(SCHEMAS, "name string, param string, type string, required boolean")
+    return tool_calls.link_tool_calls(calls(spark, rows), spark.createDataFrame(list(results), "conv_id long, call_id string, seq long, content string"), s)
+
+
+def test_tool_call_cycles_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(tool_calls, "cut", lambda df, name="": (rounds.append(name), cut(df, name))[1])
+    rows = [(1, f"c{i}", i, "add", '{"x":1}', [f"c{i - 1}"] if i else [], "") for i in range(1000)]
+    rows[300] = (1, "c300", 300, "add", '{"x":1}', ["c301"], "")  # c300 and c301 wait for one another, and all behind them
+    rows += [(2, f"d{i}", 1000 - i, "add", '{"x":1}', [f"d{i - 1}", f"d{max(i - 2, 0)}"] if i else [], "") for i in range(60)]  # a ladder against the sequence
+    got = {(x.conv_id, x.call_id): x for x in linked(spark, rows).collect()}
+    assert rounds.count("peeled") < 15
+    assert all((got[1, f"c{i}"].errors == "cycle") == (i >= 300) and got[1, f"c{i}"].position == i + 1 for i in range(1000))
+    assert all(got[2, f"d{i}"].position == i + 1 and got[2, f"d{i}"].valid for i in range(60))
+
+
+@pytest.mark.parametrize("text", ['{"x":1} trailing', '{"x":1}{"x":2}', '{"x":1},{"x":2}', '{"x":1}]', '{"x":1}}', '{"x":1},"y":2', '{"x":1,"x":2}', '{"x":1}] {"x":1}', '{"x":NaN}', "", "null", "1"])
+def test_tool_call_arguments_are_one_object(spark, text):
+    row = linked(spark, [(1, "a", 1, "add", text, None, "")]).first()
+    assert row.valid is False and "arguments are no JSON object" in row.errors and json.loads(row.record)["arguments"] == text
+
+
+def test_tool_call_repeated_rows_and_long_arguments(spark):
+    long = json.dumps({"x": 1, "y": 2.5, "z": "w" * 3_000_000})
+    got = linked(spark, [(1, "a", 1, "add", '{"x":1}', None, "")] * 3 + [(1, "b", 2, "add", long, None, "")], [(1, "a", 5, "r")] * 2).collect()
+    assert sorted(r.status for r in got) == ["duplicate_call", "duplicate_call", "linked", "no_result"]
+    assert [r.errors for r in got if r.call_id == "b"] == ["unknown: z"]
+
+
 def test_tool_calls_stay_native(spark):
     c = calls(spark, [(1, "b", 1, "add", "{}", [], "")])
     plan = tool_calls.link_tool_calls(c, spark.createDataFrame([], "conv_id long, call_id string, seq long, content string"), spark.createDataFrame(SCHEMAS, "name string, param string, type string, required boolean"))._jdf.queryExecution().executedPlan().toString()
