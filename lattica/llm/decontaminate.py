@@ -142,7 +142,7 @@ class Index:
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[(self.vocabulary & U((1 << _BITS) - 1)).astype(np.int64)] = True
         idf = np.log((1.0 + number) / np.array([frequency[w] for w in self.vocabulary.tolist()])) + 0.1
-        self.member = np.zeros((len(items), len(self.vocabulary) + 1), bool)  # the last column is for words of no item
+        self.often = np.zeros((len(items), len(self.vocabulary) + 1), np.uint16)  # a word's places in an item; the last column is for words of no item
         self.rows, self.parts = [], []
 
         def row(i: int, o: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,9 +151,12 @@ class Index:
 
         for i, o in parts:
             self.parts.append((i, o, *row(i, o, SCALES[1])))
-            self.member[i, self.parts[-1][2]] = True
             near = items[i][1][o : o + SCALES[1]]
             self.rows += [self.parts[-1][2:], *(row(i, o + c, SCALES[0]) for c in cuts(len(near), SCALES[0]) if len(near) > SCALES[0])]
+        for i in {i for i, _ in parts}:
+            at = np.searchsorted(self.vocabulary, items[i][1])
+            at = at[self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == items[i][1]] if len(items[i][1]) > SCALES[1] else at
+            self.often[i] = np.minimum(np.bincount(at, minlength=len(self.vocabulary) + 1), 65535)
         self.idf = idf
         held = np.bincount([i for i, _ in parts], minlength=len(items)) if parts else np.zeros(len(items), int)
         #: Words that a stretch must hold; 0 where this group has only some passages of an item, whose words it doesn't know.
@@ -276,6 +279,7 @@ def _search(index: Index, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[i
     place = index.places(h)
     size = np.array([x.size for x in index.items], np.int64)
     stretch, step = (np.array([getattr(x, f) for x in index.items], np.int64) for f in ("stretch", "step"))
+    before = _before(place)
     done: set[tuple[int, int, int]] = set()  # stretches that were compared: (document, item, first word)
     whole: set[tuple[int, int]] = set()
     for d, begin, end, item, offset, cosine in candidates(index, place, bounds):
@@ -288,7 +292,7 @@ def _search(index: Index, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[i
         low = low - (low - bounds[d]) % step[item]
         high = np.maximum(low + 1, np.minimum(high, bounds[d + 1]))
         top = np.minimum(bounds[d + 1], high - 1 + stretch[item])
-        good = _enough(index, place, item, low, top, stretch[item])
+        good = _enough(index, place, before, item, low, top, stretch[item])
         for c in good[np.argsort(-cosine[good], kind="stable")].tolist():
             doc, i = int(d[c]), int(item[c])
             own = index.items[i]
@@ -310,8 +314,18 @@ def _search(index: Index, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[i
                         break
 
 
-def _enough(index: Index, place: np.ndarray, item: np.ndarray, low: np.ndarray, top: np.ndarray, stretch: np.ndarray) -> np.ndarray:
-    """Which candidates have so many words of their item in some stretch, in whatever order: what a confirmation implies."""
+def _before(place: np.ndarray) -> np.ndarray:
+    """Where the word at each place occurs the last time before; -1 where it doesn't."""
+    out = np.full(len(place), -1, np.int64)
+    order = np.argsort(place, kind="stable")
+    same = np.flatnonzero(place[order[1:]] == place[order[:-1]])
+    out[order[same + 1]] = order[same]
+    return out
+
+
+def _enough(index: Index, place: np.ndarray, before: np.ndarray, item: np.ndarray, low: np.ndarray, top: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """Which candidates have so many words of their item, in whatever order, as a confirmation implies: in some stretch, and
+    in the whole region with each different word counted as often as the item has it."""
     good = []
     edges = np.concatenate([[0], np.cumsum(top - low)])
     lo = 0
@@ -321,11 +335,14 @@ def _enough(index: Index, place: np.ndarray, item: np.ndarray, low: np.ndarray,
         length = (top - low)[own]
         begin = edges[own] - edges[lo]
         at = np.arange(edges[hi] - edges[lo]) - np.repeat(begin - low[own], length)
-        held = index.member[np.repeat(item[own], length), place[at]]
-        total = np.concatenate([[0], np.cumsum(held, dtype=np.int32)])
-        span = np.minimum(np.repeat(begin + length, length), np.arange(len(at)) + np.repeat(stretch[own], length))
-        most = np.maximum.reduceat(total[span] - total[:-1], begin)
-        good.append(own[most >= index.need[item[own]]])
+        often = index.often[np.repeat(item[own], length), place[at]]
+        first = np.where(before[at] < np.repeat(low[own], length), often, 0)
+        able = np.add.reduceat(first, begin, dtype=np.int64) >= index.need[item[own]]
+        if able.any():
+            total = np.concatenate([[0], np.cumsum(often > 0, dtype=np.int32)])
+            span = np.minimum(np.repeat(begin + length, length), np.arange(len(at)) + np.repeat(stretch[own], length))
+            able &= np.maximum.reduceat(total[span] - total[:-1], begin) >= index.need[item[own]]
+            good.append(own[able])
         lo = hi
     return np.concatenate(good) if good else np.zeros(0, np.int64)
 
