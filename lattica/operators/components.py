@@ -7,33 +7,49 @@ from pyspark.sql import functions as F
 
 from lattica.plans.lineage import cut, drop
 
+#: A hub has more links than this, and than a sixteenth of a task's fair share of all links.
+LEAST_HUB = 256
+
 
 def _mark(edges: DataFrame) -> tuple:
     """Row count and an order-free checksum: equal for two rounds when nothing moved."""
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def _hub(edges: DataFrame, rows: int) -> int:
+    return max(LEAST_HUB, rows // (16 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def with_least(pairs: DataFrame, hub: int) -> DataFrame:
+    """``src, dst, m`` with the least ``dst`` of each ``src``.
+
+    The links of a vertex with more than ``hub`` of them stay where they are and get its minimum by broadcast; with
+    :func:`_hub` there are at most 32 such vertices for each shuffle partition, however large the graph. The others meet
+    theirs in a shuffled join, where no key has more than ``hub`` rows.
+    """
+    least = pairs.groupBy("src").agg(F.min("dst").alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("src", "m"))
+    others = pairs.join(hubs.select("src"), "src", "left_anti").join(least.where(F.col("n") <= hub).select("src", "m"), "src")
+    return pairs.join(hubs, "src").union(others).select("src", "dst", "m")
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(id, component)`` for every vertex of an undirected edge list; ``component`` is its smallest vertex.
 
-    Every round is a min-aggregate (combined before the shuffle) and an equi-join, which adaptive execution splits when
-    a hub vertex is hot. Edges never reach the driver, only a count and a checksum do. Self loops keep their vertex,
-    null endpoints are ignored and an empty edge list gives an empty result.
+    Rounds go on until nothing moves; each is a min-aggregate (combined before the shuffle) and a join that spreads the
+    links of hub vertices over all tasks. Edges never reach the driver, only a count and a checksum do. Self loops keep
+    their vertex, null endpoints are ignored and an empty edge list gives an empty result.
     """
     pairs = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
     pairs = cut(pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
     vertices = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     now = pairs.where("src <> dst")
     before, mark, owned = None, _mark(now), None
-    for _ in range(max_rounds):
-        if mark == before or not mark[0]:
-            break
+    while mark != before and mark[0]:
+        hub = _hub(now, mark[0])
         both = now.select("src", "dst").union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("m", "src").alias("m"))
-        large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
-        large = large.where("src <> dst")
-        small_min = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(small_min, "src").select(
+        large = with_least(both, hub).where("dst > src").select(F.col("dst").alias("src"), F.least("m", "src").alias("dst")).where("src <> dst").distinct()
+        small = with_least(large, hub).select(
             F.explode(F.array(F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")), F.struct("src", F.col("m").alias("dst")))).alias("e")
         )
         after = cut(small.select("e.src", "e.dst").where("src <> dst").distinct(), "stars")

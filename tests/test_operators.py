@@ -221,3 +221,18 @@ def test_graph_queries_take_all_events(spark, tmp_path, name):
         assert {r[0]: r[1] for r in got if r[1] is not None and r[1] != float("inf")} == {v: float(v != 1) for v in want}
     else:
         assert sorted(r[0] for r in got) == sorted({u for u, _ in pairs} | {-1 - e for _, e in pairs})
+
+
+def test_components_spread_the_links_of_a_hub(spark, monkeypatch):
+    from lattica.operators import components
+
+    n = 100_000
+    star = spark.range(1, n + 1, 1, 4).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    placed = components.with_least(star, 256).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(placed) == 4 and max(r["count"] for r in placed) <= n / 4
+    high = star.select(F.col("dst").alias("src"), F.lit(n + 7).cast("long").alias("dst"))  # the hub has the largest id
+    got = G.connected_components(high.union(spark.createDataFrame([(n + 50, n + 51)], "src long, dst long")))
+    assert got.where("component = 1").count() == n + 1 and got.where(f"component = {n + 50}").count() == 2
+    monkeypatch.setattr(components, "LEAST_HUB", 2)
+    chain = edges(spark, [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(9)])
+    assert dict(G.connected_components(chain).collect()) == {i: 0 for i in range(61)} | {200 + i: 200 for i in range(9)}
