@@ -3,11 +3,12 @@
 The vocabulary file (a public tokenizer in JSON; its path is a parameter, its content is broadcast, about 2 MB) fixes the
 rules: NFC, lower case, words by a pattern that drops white space, bytes as printable characters, an end-of-word mark.
 
-Within a partition, the distinct words that haven't been seen yet are laid out in one array of symbols with links to the
-neighbours. An index maps each pair (by its rank) to all positions where it occurs, in ascending order of rank. A round
-takes, in every word, the lowest active rank, merges all its positions there from left to right, and updates the index
-only for the pairs to the left and right of a merge. A merge can only give rise to pairs of higher rank (checked when the
-vocabulary loads), so each word sees its ranks in ascending order; words don't touch, so they are swept side by side.
+Within a partition, the distinct words that haven't been seen yet are laid out in one list of symbols with links to the
+neighbours. An index maps each pair (by its rank) to all positions where it occurs in any word; a heap holds the ranks that
+are active. The least rank is taken out, all its positions are merged from left to right, and the pairs to the left and
+right of each merge move to the lists of their new ranks; nothing else is looked at again. A merge can only give rise to
+pairs of higher rank (checked when the vocabulary loads), so the ranks come in ascending order for every word at once, and a
+word of any length takes time in proportion to its merges.
 
 Results are kept per piece in a dictionary of bounded size for the length of a task, so frequent pieces are encoded once.
 
@@ -17,9 +18,12 @@ text become those tokens; texts of any length are encoded whole; repeated rows a
 
 from __future__ import annotations
 
+import functools
 import gc
 import hashlib
+import heapq
 import json
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -30,16 +34,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm._text import blocks, bounded_batches, lean, release_heap
+from lattica.llm._text import blocks, bounded_batches, lean
 
 CACHE_PIECES = 200_000
 BLOCK_BYTES = 2 << 20
+#: Symbols that share a pair index: more are no faster, as the index then outgrows a processor's cache.
+INDEX_BYTES = 32 << 10
 NO_RANK = (1 << 31) - 1
 END = "</w>"
 #: str.split() takes these for white space; the pattern doesn't.
 _SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 #: One of these after letters is a piece of its own.
 _MARKS = frozenset(".,;:!?")
+#: The pattern of a piece for text in ASCII, in lower case and without white space.
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _SPACE = regex.compile(r"\p{White_Space}+")
 
 
@@ -69,7 +77,14 @@ class Vocabulary:
             codes.append(a << 32 | b)
             results.append(new)
         order = np.argsort(np.array(codes, np.int64))
-        self.codes, self.code_ranks, self.results = np.array(codes, np.int64)[order], order.astype(np.int64), np.array(results, np.int64)
+        self.codes, self.code_ranks, self.results = np.array(codes, np.int64)[order], order.astype(np.int64), results
+        # ranks by what stands to the right, or to the left, of a symbol
+        self.right_of: dict[int, dict[int, int]] = {}
+        self.left_of: dict[int, dict[int, int]] = {}
+        for r, c in enumerate(codes):
+            left, right = c >> 32, c & 0xFFFFFFFF
+            self.right_of.setdefault(left, {})[right] = r
+            self.left_of.setdefault(right, {})[left] = r
         shown = byte_characters()
         self.byte = np.array([self.ids.get(c, -1) for c in shown], np.int64)
         self.last = np.array([self.ids.get(c + END, -1) for c in shown], np.int64)
@@ -103,8 +118,19 @@ class Vocabulary:
         return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def sweep(self, words: list[str]) -> tuple[list[int], list[int]]:
-        """The ids of all words in one list, and where each word begins, by sweeps over the pair index of all of them."""
+        """The ids of all words in one list, and where each word begins. An index covers words of about ``INDEX_BYTES``."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        ids: list[int] = []
+        bounds = [0]
+        for lo, hi in blocks(raw, INDEX_BYTES):
+            flat, own = self._indexed(raw[lo:hi])
+            bounds += [len(ids) + b for b in own[1:]]
+            ids += flat
+        return ids, bounds
+
+    def _indexed(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """The same for words that share one pair index."""
+        raw = words
         sizes = np.array([len(r) for r in raw], np.int64)
         if not sizes.sum():
             return [], [0] * (len(words) + 1)
@@ -116,43 +142,66 @@ class Vocabulary:
         known = symbol >= 0
         symbol, word = symbol[known], word[known]
         n = len(symbol)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         edge = np.flatnonzero(np.concatenate([word[1:] != word[:-1], [True]]))
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         after[edge] = -1
         before[edge[:-1] + 1] = -1
         rank = np.full(n, NO_RANK, np.int64)
         inner = np.flatnonzero(after >= 0)
         rank[inner] = self.rank(symbol[inner], symbol[inner + 1])
-        lowest = np.empty(len(words), np.int64)
-        while len(active := np.flatnonzero(rank < NO_RANK)):
-            index = active[np.argsort(rank[active], kind="stable")]  # positions by pair, ranks ascending
-            lowest[word[index[::-1]]] = rank[index[::-1]]  # the last to be written is the first of its word
-            p = np.sort(index[rank[index] == lowest[word[index]]])
-            left = before[p]
-            chosen = np.zeros(n, bool)
-            chosen[p] = True
-            tied = p[(left >= 0) & chosen[np.maximum(left, 0)] & (rank[np.maximum(left, 0)] == rank[p])]
-            for x in tied.tolist():  # runs of one symbol: from left to right, every other pair
-                if chosen[before[x]]:
-                    chosen[x] = False
-            p = p[chosen[p]]
-            q = after[p]
-            symbol[p] = self.results[rank[p]]
-            symbol[q] = -1
-            rank[q] = NO_RANK
-            far = after[q]
-            after[p] = far
-            linked = far >= 0
-            before[far[linked]] = p[linked]
-            touched = np.concatenate([p, before[p][before[p] >= 0]])
-            inner = after[touched] >= 0
-            rank[touched[~inner]] = NO_RANK
-            touched = touched[inner]
-            rank[touched] = self.rank(symbol[touched], symbol[after[touched]])
+        active = np.flatnonzero(rank < NO_RANK)
+        order = active[np.argsort(rank[active], kind="stable")]
+        ranks, first = np.unique(rank[order], return_index=True)
+        positions, first = order.tolist(), [*first.tolist(), len(order)]
+        index: list[list[int] | None] = [None] * len(self.results)
+        ranks = ranks.tolist()
+        for r, a, b in zip(ranks, first[:-1], first[1:], strict=True):
+            index[r] = positions[a:b]
+        symbols = [*symbol.tolist(), -1]  # what -1 points to
+        self._merge(symbols, [*rank.tolist(), NO_RANK], [*after.tolist(), -1], [*before.tolist(), -1], index, ranks)
+        symbol = np.array(symbols[:-1], np.int64)
         alive = symbol >= 0
         bounds = np.concatenate([[0], np.cumsum(np.bincount(word[alive], minlength=len(words)))]).tolist()
         return symbol[alive].tolist(), bounds
 
+    def _merge(self, symbol: list[int], rank: list[int], after: list[int], before: list[int], index: list[list[int] | None], heap: list[int]) -> None:
+        """Apply all merges in ascending rank. ``index``: positions by rank; ``heap``: the ranks that have some, ascending."""
+        none: dict[int, int] = {}
+        push, pop = heapq.heappush, heapq.heappop
+        while heap:
+            r = pop(heap)
+            places, new, index[r] = index[r], self.results[r], None
+            places.sort()
+            right, left = self.right_of.get(new, none).get, self.left_of.get(new, none).get
+            for p in places:
+                if rank[p] != r:  # its pair is gone
+                    continue
+                q = after[p]
+                symbol[p], symbol[q], rank[q] = new, -1, NO_RANK
+                far = after[p] = after[q]
+                before[far] = p
+                k = right(symbol[far])
+                if k is None:
+                    rank[p] = NO_RANK
+                else:
+                    rank[p] = k
+                    if (own := index[k]) is None:
+                        index[k] = [p]
+                        push(heap, k)
+                    else:
+                        own.append(p)
+                near = before[p]
+                k = left(symbol[near])
+                if k is None:
+                    rank[near] = NO_RANK
+                else:
+                    rank[near] = k
+                    if (own := index[k]) is None:
+                        index[k] = [near]
+                        push(heap, k)
+                    else:
+                        own.append(near)
+
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space, as the file names no decoder."""
         return " ".join([self.token_text[i] for i in ids])
@@ -190,22 +239,23 @@ class Encoder:
             return [chunk[1:]]
         if chunk[-1] in _MARKS and chunk[:-1].isalpha():
             return [chunk[:-1], chunk[-1]]
-        return self.pattern.findall(chunk)
+        return (_ASCII_PIECES if chunk.isascii() else self.pattern).findall(chunk)
 
     def learn(self, pieces: set[str]) -> None:
         v = self.vocabulary
         whole = [c for c in pieces if c.isalpha()]
-        split = [(c, self.words(c)) for c in pieces if not c.isalpha()]
-        words = [*whole, *{w for _, ws in split for w in ws}.difference(whole)]
-        flat, bounds = v.sweep(words)
-        spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+        split = [(c, self.words(c)) for c in pieces.difference(whole)]
+        place = dict(zip(whole, range(len(whole)), strict=True))
+        for _, ws in split:
+            for w in ws:
+                place.setdefault(w, len(place))
+        flat, bounds = v.sweep(list(place))
         texts = list(map(v.id_text.__getitem__, flat))
-        ids = [" ".join(texts[a:b]) for a, b in spans]
+        ids = [" ".join(texts[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
         texts = list(map(v.token_text.__getitem__, flat))
-        shown = [" ".join(texts[a:b]) for a, b in spans]
+        shown = [" ".join(texts[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
         self.ids.update(zip(whole, ids, strict=False))
         self.shown.update(zip(whole, shown, strict=False))
-        place = {w: k for k, w in enumerate(words)}
         for c, ws in split:
             at = [place[w] for w in ws]
             self.ids[c] = " ".join([x for k in at if (x := ids[k])])
@@ -247,21 +297,20 @@ def _vocabulary(content: str) -> Vocabulary:
     return kept[key]
 
 
+@functools.cache
+def _categories() -> bytes:
+    """The first letter of every code point's category in Python's Unicode tables; U for unassigned."""
+    return "".join(map(unicodedata.category, map(chr, range(sys.maxunicode + 1)))).replace("Cn", "Ux").encode()[::2]
+
+
 def character_class(category: str) -> str:
-    """All code points whose category in Python's Unicode tables starts so, as ranges for a pattern."""
-    ranges: list[list[int]] = []
-    for c in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(c)).startswith(category):
-            if ranges and ranges[-1][1] == c - 1:
-                ranges[-1][1] = c
-            else:
-                ranges.append([c, c])
-    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in ranges)
+    """All code points whose category starts with a letter, as ranges for a pattern."""
+    return "".join(f"\\U{m.start():08X}-\\U{m.end() - 1:08X}" for m in re.finditer(b"%s+" % category.encode(), _categories()))
 
 
 def unassigned_pattern() -> regex.Pattern:
     """Code points that Python's tables don't know; texts with one get their pieces from the library's own tables."""
-    return regex.compile(f"[{character_class('Cn')}]")
+    return regex.compile(f"[{character_class('U')}]")
 
 
 def pieces_pattern() -> regex.Pattern:
@@ -282,7 +331,6 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False)
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    release_heap(spark)
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
