@@ -323,27 +323,34 @@ def _before(place: np.ndarray) -> np.ndarray:
     return out
 
 
-def _enough(index: Index, place: np.ndarray, before: np.ndarray, item: np.ndarray, low: np.ndarray, top: np.ndarray, stretch: np.ndarray) -> np.ndarray:
-    """Which candidates have so many words of their item, in whatever order, as a confirmation implies: in some stretch, and
-    in the whole region with each different word counted as often as the item has it."""
-    good = []
+def _regions(low: np.ndarray, top: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates by blocks of about 2**18 words: which, all words of their regions, the lengths and where each begins."""
     edges = np.concatenate([[0], np.cumsum(top - low)])
     lo = 0
-    while lo < len(item):
+    while lo < len(low):
         hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + (1 << 18), side="right")) - 1)
-        own = np.arange(lo, hi)
-        length = (top - low)[own]
-        begin = edges[own] - edges[lo]
-        at = np.arange(edges[hi] - edges[lo]) - np.repeat(begin - low[own], length)
-        often = index.often[np.repeat(item[own], length), place[at]]
-        first = np.where(before[at] < np.repeat(low[own], length), often, 0)
-        able = np.add.reduceat(first, begin, dtype=np.int64) >= index.need[item[own]]
-        if able.any():
-            total = np.concatenate([[0], np.cumsum(often > 0, dtype=np.int32)])
-            span = np.minimum(np.repeat(begin + length, length), np.arange(len(at)) + np.repeat(stretch[own], length))
-            able &= np.maximum.reduceat(total[span] - total[:-1], begin) >= index.need[item[own]]
-            good.append(own[able])
+        length, begin = (top - low)[lo:hi], edges[lo:hi] - edges[lo]
+        yield np.arange(lo, hi), np.arange(edges[hi] - edges[lo]) - np.repeat(begin - low[lo:hi], length), length, begin
         lo = hi
+
+
+def _enough(index: Index, place: np.ndarray, before: np.ndarray, item: np.ndarray, low: np.ndarray, top: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """Which candidates have so many words of their item, in whatever order, as a confirmation implies: in the whole region
+    with each different word counted as often as the item has it, and in some stretch."""
+    often, width = index.often.ravel(), index.often.shape[1]
+    good = []
+    for own, at, length, begin in _regions(low, top):
+        held = often.take(np.repeat(item[own] * width, length) + place.take(at))
+        held[before.take(at) >= np.repeat(low[own], length)] = 0
+        good.append(own[np.add.reduceat(held, begin, dtype=np.int32) >= index.need[item[own]]])
+    some = np.concatenate(good) if good else np.zeros(0, np.int64)
+    good = []
+    for own, at, length, begin in _regions(low[some], top[some]):
+        own = some[own]
+        held = often.take(np.repeat(item[own] * width, length) + place.take(at)) > 0
+        total = np.concatenate([[0], np.cumsum(held, dtype=np.int32)])
+        span = np.minimum(np.repeat(begin + length, length), np.arange(len(at)) + np.repeat(stretch[own], length))
+        good.append(own[np.maximum.reduceat(total[span] - total[:-1], begin) >= index.need[item[own]]])
     return np.concatenate(good) if good else np.zeros(0, np.int64)
 
 
