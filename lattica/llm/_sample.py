@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Texts of a training sample, in bytes together; the row that crosses it is the last.
+MAX_BYTES = 64 << 20
+
 
 def fold(n: int) -> Column:
     """``crc32(doc_id as text) mod n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
-def sample(rows: DataFrame, n: int, seed: int = 7) -> DataFrame:
-    """At most ``n`` rows, those with the least hash of ``doc_id``: a bounded sample that doesn't hang on file order."""
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
-
-
-def with_texts(docs: DataFrame, picked: DataFrame) -> DataFrame:
-    """The texts of a bounded sample. Its ids may be broadcast because the sample has a fixed largest size."""
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+def sample(rows: DataFrame, n: int, by: str | None = None, seed: int = 7) -> DataFrame:
+    """At most ``n`` different rows (of each value of ``by``), those with the least hash of ``doc_id``: a bounded sample that
+    doesn't hang on file order. Tasks cut their rows to ``n`` before the shuffle."""
+    order = [F.xxhash64("doc_id", F.lit(seed)), *map(F.col, rows.columns)]
+    if by is None:
+        return rows.distinct().orderBy(*order).limit(n)
+    return rows.withColumn("__nth", F.dense_rank().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__nth") <= n).drop("__nth").distinct()
+
+
+def with_texts(docs: DataFrame, picked: DataFrame, rows: int, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The texts of a bounded sample (at most ``rows`` rows of ``doc_id`` and other columns, which may be broadcast).
+
+    A repeated row of ``docs`` counts once and a ``doc_id`` with several texts with each; at most ``rows`` rows and about
+    ``max_bytes`` of text are taken, in an order by hash.
+    """
+    source = docs.select("doc_id", "text")
+    text_hash = F.xxhash64("text").alias("__hash")
+    keys = source.join(F.broadcast(picked), "doc_id").select("doc_id", *[c for c in picked.columns if c != "doc_id"], text_hash, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("__size"))
+    order = [F.xxhash64("doc_id", F.lit(11)), F.col("doc_id"), F.col("__hash")]
+    keys = keys.distinct().orderBy(*order).limit(rows)
+    before = F.sum("__size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))  # a bounded number of rows
+    kept = keys.where(F.col("__hash").isNotNull()).withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < max_bytes).drop("__before", "__size")
+    found = source.withColumn("__hash", F.xxhash64("text")).join(F.broadcast(kept), ["doc_id", "__hash"])
+    columns = [c for c in kept.columns if c != "__hash"]
+    return found.groupBy(*columns, "__hash").agg(F.first("text").alias("text")).drop("__hash")

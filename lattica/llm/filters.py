@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm._text import release_heap
 from lattica.llm.exact_dedup import exact_dedup
 from lattica.llm.near_dedup import near_dedup
 from lattica.plans.lineage import cut
@@ -22,7 +21,6 @@ def _small(keys: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """Without the rows whose text a row with a larger ``doc_id`` repeats. A null ``doc_id`` loses against any other."""
-    release_heap(docs.sparkSession)
     gone = _small(exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")).distinct())
     marked = docs.withColumn(_SHA, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     return marked.join(gone, marked["doc_id"].cast("long").eqNullSafe(gone["__gone"]) & (marked[_SHA] == gone["__sha"]), "left_anti").drop(_SHA)
@@ -30,6 +28,5 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate component: the one with the smallest ``doc_id``. Rows without an id stay."""
-    release_heap(docs.sparkSession)
     gone = _small(near_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

@@ -4,9 +4,11 @@ Texts are lower-cased; every run of characters that aren't letters becomes one s
 hashed into ``BUCKETS``. The log-probability matrix (buckets x languages, float32) is broadcast; a batch is scored by
 gathering the rows of its n-grams and summing them by document.
 
-Training reads a bounded sample of rows (``max_rows``) outside the held-out fold; prediction covers every whole text.
+Training reads a bounded sample of rows outside the held-out fold, ``max_rows`` of each language and ``max_bytes`` of text in
+all, so that rare languages are learned too; prediction covers every whole text. The prior is the share of a language among
+all rows that could have been taken, not in the sample.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; with no training row everything is
+Defined cases: repeated rows are learned once; texts of any length are read whole; an empty table gives an empty result; null texts and texts without a letter are ``und`` with score 0; with no training row everything is
 ``und``; ties go to the language first in sorted order; a null ``doc_id`` counts as empty text for the fold; repeated
 rows are predicted alike; other columns are not read.
 """
@@ -21,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm._sample import fold, sample, with_texts
+from lattica.llm._sample import MAX_BYTES, fold, sample, with_texts
 from lattica.llm._text import U, blocks, bounded_batches, lean
 
 BUCKETS = 1 << 16
@@ -69,23 +71,24 @@ class Model:
         self.langs, self.table, self.prior = langs, table, prior
 
 
-def train(docs: DataFrame, max_rows: int = 12_000, smoothing: float = 0.5) -> Model:
-    """Count n-grams of at most ``max_rows`` rows with a language and outside the held-out fold.
+def train(docs: DataFrame, max_rows: int = 4000, max_bytes: int = MAX_BYTES, smoothing: float = 0.5) -> Model:
+    """Count n-grams of at most ``max_rows`` rows of each language, outside the held-out fold.
 
     Counts are summed per task before they are shuffled; the result has at most languages x ``BUCKETS`` rows.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(4) != 2))
-    picked = sample(rows.select("doc_id", F.col("lang").alias("label")), max_rows)
-    texts = with_texts(docs, picked).select("text", "label").repartition(8)
+    rows = rows.select("doc_id", F.col("lang").alias("label"))
+    held = dict(rows.groupBy("label").count().collect())  # one row a language
+    picked = sample(rows, max_rows, "label")
+    texts = with_texts(docs, picked, max_rows * max(1, len(held)), max_bytes).select("text", "label").repartition(8)
     counts = texts.mapInArrow(lean(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang, bucket, n = (counts[c].to_numpy() for c in ("lang", "bucket", "n"))
     langs = sorted(set(lang.tolist()))
     table = np.zeros((BUCKETS, len(langs)))
     table[bucket, np.searchsorted(np.array(langs, dtype=object), lang)] = n
     table += smoothing
-    held = dict(picked.groupBy("label").count().collect())
-    prior = np.log(np.array([held.get(x, 0) + 1.0 for x in langs]) / (sum(held.values()) + len(langs))) if langs else np.zeros(0)
+    prior = np.log(np.array([held.get(x, 0) + 1.0 for x in langs]) / (sum(held.get(x, 0) for x in langs) + len(langs))) if langs else np.zeros(0)
     return Model(langs, np.log(table / table.sum(axis=0)).astype(np.float32), prior)
 
 

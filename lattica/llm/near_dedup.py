@@ -17,7 +17,7 @@ Jaccard probability.
 
 Defined cases: null and white-space-only texts have an empty set, no links, and are their own component; fewer than five
 words are one shingle; rows that share a ``doc_id`` are one document (linked through any of them); a null ``doc_id``
-links with nothing and is kept; empty tables give empty results; other columns are not read.
+links with nothing and is kept; texts of any length are read whole and ties between equal minima make equal registers; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -266,6 +266,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     registers = cut(registers, "registers")
     buckets = registers.select("id", "registers").mapInArrow(lean(_band_rows), "bucket long, band int, id long")
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("other"), F.count(F.lit(1)).alias("m")).where("leader <> other").select("bucket", "leader", "m")
+    shared = cut(shared, "shared-buckets")  # from files, so that a small one is broadcast and a hot bucket of a large one is split
     members = cut(buckets.join(shared, "bucket"), "buckets")
     stars = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     stars = cut(stars, "stars-by-leader")
@@ -274,6 +275,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     # what a leader doesn't reach: members of one bucket that are still in different components
     placed = members.where("m > 2").join(joined, "id", "left").select("bucket", "band", "id", "m", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    mixed = cut(mixed, "mixed")
     rest = cut(placed.join(mixed, "bucket", "left_semi"), "mixed-buckets")
     small = rest.where(F.col("m") <= SMALL_BUCKET)
     a = small.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))

@@ -6,9 +6,11 @@ its hashed token shapes (kinds of the first and last character), plus weights fo
 length class. Expected grade and the tail probability P(grade >= g) follow; texts whose tail probability reaches one half
 are selected.
 
-Training reads a bounded sample of graded rows (``max_rows``) outside the held-out fold; scoring covers whole texts.
+Training reads a bounded sample of graded rows (``max_rows`` rows, ``max_bytes`` of text) outside the held-out fold; scoring
+covers whole texts.
 
-Defined cases: null and empty texts have no words, shapes or lines and get the score of their length class; without
+Defined cases: repeated rows are learned once, a document with several grades with each; an empty table gives an empty result;
+texts of any length are read whole; null and empty texts have no words, shapes or lines and get the score of their length class; without
 training rows every grade is 0 and nothing is selected; ratings with null parts are ignored; repeated rows are scored
 alike; a null ``doc_id`` counts as held out; other columns are not read.
 """
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm._sample import fold, sample, with_texts
+from lattica.llm._sample import MAX_BYTES, fold, sample, with_texts
 from lattica.llm._text import BY_LETTER, BY_SPACE, U, Words, blocks, bounded_batches, folded, lean, mix
 
 WORD_BUCKETS = 1 << 16
@@ -128,11 +130,11 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(fit(np.array(grades, int), rows)))], pa.binary())], names=["model"])
 
 
-def train(docs: DataFrame, ratings: DataFrame, max_rows: int = 8000) -> Model:
+def train(docs: DataFrame, ratings: DataFrame, max_rows: int = 8000, max_bytes: int = MAX_BYTES) -> Model:
     """Train on at most ``max_rows`` rows of ``ratings`` (``doc_id, grade`` from 0) outside the held-out fold."""
     bounded_batches(docs.sparkSession)
     usable = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade >= 0").where(fold(5) != 0)
-    rows = with_texts(docs, sample(usable, max_rows)).select("text", "grade")
+    rows = with_texts(docs, sample(usable, max_rows), max_rows, max_bytes).select("text", "grade")
     state = rows.mapInArrow(lean(_feature_rows), "grade int, buckets binary, amounts binary").repartition(1).mapInArrow(lean(_fit_rows), "model binary").first()
     return Model(**pickle.loads(state["model"])) if state else fit(np.zeros(0, int), [])
 

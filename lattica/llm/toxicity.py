@@ -8,15 +8,19 @@ scan over 2x2 transfer matrices, with documents cut apart by rank-one matrices,
 is one vectorised pass. A document's score is a logistic function of the expected number of toxic tokens and the largest
 marginal; tokens with a marginal of at least one half form the offending spans (code point offsets in the text).
 
-Training reads a bounded sample of labelled rows (``max_toxic``, ``max_clean``); scoring covers every whole text.
+Training reads a bounded sample of labelled rows (``max_toxic`` and ``max_clean`` rows, ``max_bytes`` of text); scoring covers
+every whole text. Toxic features are counted over the whole sample; the field is trained on ``max_chains`` of its documents, in an
+order by hash, and on every further toxic one that holds a toxic feature which those don't, so none stays without a weight.
 
-Defined cases: null and empty texts and texts without a token get the score of no evidence, which is below one half;
+Defined cases: repeated rows are learned once; a document that is labelled both ways counts as toxic; texts of any length are
+scored whole; null and empty texts and texts without a token get the score of no evidence, which is below one half;
 without any toxic training row, everything scores 0; a null ``doc_id`` counts as held out; label rows with nulls, or
 without a document, are ignored; repeated rows are scored alike; other columns pass through untouched or are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm._sample import fold, sample, with_texts
+from lattica.llm._sample import MAX_BYTES, fold, sample, with_texts
 from lattica.llm._text import BY_LETTER, U, Words, blocks, bounded_batches, folded, lean, mix
 
 BUCKETS = 1 << 18
@@ -171,8 +175,13 @@ def fit(labels: np.ndarray, tokens: list[np.ndarray], steps: int = 30, rate: flo
     if not marked.any():
         return nothing
     tags = [marked[x].any(axis=0) if y else np.zeros(x.shape[1], bool) for y, x in zip(labels, tokens, strict=True)]
-    order = np.concatenate([np.flatnonzero(toxic)[: max_chains // 2], np.flatnonzero(~toxic)[: max_chains // 2]])
-    order = [i for i in order if tokens[i].shape[1]]
+    covered = ~marked
+    order = []
+    for i in np.flatnonzero(toxic):
+        if tokens[i].shape[1] and (len(order) < max_chains // 2 or not covered[tokens[i]].all()):
+            order.append(i)
+            covered[tokens[i]] = True
+    order += [i for i in np.flatnonzero(~toxic)[: max_chains // 2] if tokens[i].shape[1]]
     x = np.concatenate([tokens[i] for i in order], axis=1)
     y = np.concatenate([tags[i] for i in order]).astype(np.float64)
     starts = np.zeros(x.shape[1], bool)
@@ -231,23 +240,24 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo).cast(pa.int32()), pa.array(rows, pa.binary())], names=["toxic", "tokens"])
 
 
-def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fit_rows(batches: Iterator[pa.RecordBatch], max_chains: int) -> Iterator[pa.RecordBatch]:
     labels, tokens = [], []
     for batch in batches:
         labels += batch.column(0).to_pylist()
         tokens += [np.frombuffer(t, np.int32).reshape(N_FEATURES, -1) for t in batch.column(1).to_pylist()]
-    order = sorted(range(len(labels)), key=lambda i: (labels[i], tokens[i].tobytes()))  # rows come in any order
-    model = fit(np.array([labels[i] for i in order], int), [tokens[i] for i in order])
+    order = sorted(range(len(labels)), key=lambda i: (hashlib.blake2b(tokens[i].tobytes()).digest(), labels[i]))  # rows come in any order
+    model = fit(np.array([labels[i] for i in order], int), [tokens[i] for i in order], max_chains=max_chains)
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(model))], pa.binary())], names=["model"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 4000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 4000, max_chains: int = 1200, max_bytes: int = MAX_BYTES) -> Model:
     """Train on at most ``max_toxic`` and ``max_clean`` labelled rows outside the held-out fold, in one task."""
     bounded_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(fold(5) != 0)
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = sample(usable.where("toxic = 1"), max_toxic).union(sample(usable.where("toxic = 0"), max_clean))
-    rows = with_texts(docs, picked).select("text", "toxic").mapInArrow(lean(_token_rows), "toxic int, tokens binary")
-    state = rows.repartition(1).mapInArrow(lean(_fit_rows), "model binary").first()
+    rows = with_texts(docs, picked, max_toxic + max_clean, max_bytes).select("text", "toxic").mapInArrow(lean(_token_rows), "toxic int, tokens binary")
+    state = rows.repartition(1).mapInArrow(lean(lambda batches: _fit_rows(batches, max_chains)), "model binary").first()
     return Model(**pickle.loads(state["model"])) if state else fit(np.zeros(0, int), [])
 
 

@@ -174,6 +174,88 @@ def test_language_identification(spark):
     assert langid.predict(d, langid.train(d.where("doc_id < 0"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_identification_against_brute_force(spark):
+    """Naive Bayes by counting n-grams in dictionaries; n-grams that share a bucket count as one."""
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklabmn"}
+    r = random.Random(3)
+    word = lambda x: "".join(r.choice(letters[x]) for _ in range(r.randrange(2, 7)))
+    rows = [(i, " ".join(word(x) for _ in range(12)), x) for i in range(300) for x in [r.choice(["aa", "bb", "cc"])]]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), smoothing=0.5)
+    import zlib
+
+    def grams(text):
+        t = f" {text} "
+        own = [t[i : i + 2] for i in range(len(t) - 1)] + [t[i : i + 3] for i in range(len(t) - 2)]
+        buckets = langid._grams([text])[0].tolist()
+        assert len(buckets) == len(own) and len(set(zip(own, buckets, strict=True))) == len(set(own))  # one bucket for each n-gram
+        return buckets
+
+    learned = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    counts, total = {x: {} for x in letters}, {}
+    for _, text, x in learned:
+        for g in grams(text):
+            counts[x][g] = counts[x].get(g, 0) + 1
+    for x in letters:
+        total[x] = sum(counts[x].values()) + 0.5 * langid.BUCKETS
+    size = {x: sum(y == x for _, _, y in learned) for x in letters}
+    held = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    want = np.array([[sum(np.log((counts[x].get(g, 0) + 0.5) / total[x]) for g in grams(t)) + np.log((size[x] + 1) / (len(learned) + 3)) for x in sorted(letters)] for t in held])
+    found = langid._scores(model, held)
+    assert model.langs == sorted(letters) and np.allclose(want, found, atol=1e-3)
+
+
+def test_training_takes_repeated_rows_once(spark, monkeypatch):
+    taken = []
+    original = langid.with_texts
+    monkeypatch.setattr(langid, "with_texts", lambda *a: (taken.append(original(*a).count()), original(*a))[1])
+    d = spark.createDataFrame([(i % 40, f"word number {i % 40}", "en" if i % 2 else "de") for i in range(1600)], "doc_id long, text string, lang string")
+    model = langid.train(d)
+    assert taken[0] <= 40 and model.langs == ["de", "en"]
+    ratings = spark.createDataFrame([(i % 40, i % 2) for i in range(400)], "doc_id long, grade int")
+    assert quality.score(d, quality.train(d, ratings)).count() == 1600
+    rare = spark.createDataFrame([(i, "the house and water", "en") for i in range(3000)] + [(5000 + i, "der garten und wasser", "de") for i in range(8)], "doc_id long, text string, lang string")
+    model = langid.train(rare, max_rows=50)
+    assert model.langs == ["de", "en"] and model.prior[1] - model.prior[0] > 5
+    empty = langid.train(rare.where("doc_id < 0"))
+    assert langid.predict(rare.where("doc_id < 0"), empty).count() == 0 and empty.langs == []
+    small = langid.with_texts(rare, rare.select("doc_id", F.col("lang").alias("label")).limit(100), 100, 200)
+    assert small.agg(F.sum(F.octet_length("text"))).first()[0] <= 220
+
+
+def test_cumulative_link_fit_against_gradient_by_differences():
+    """At the optimum no small step of any weight or threshold raises the likelihood, computed grade by grade."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(400, 2))
+    y = np.digitize(x @ np.array([1.5, -1.0]) + r.logistic(size=400), [-1.0, 1.0])
+    model = quality.fit(y, [(np.array([0, 1]), row) for row in x], steps=800, rate=0.1, l2=0.0)
+
+    def likelihood(w, cuts):
+        out = 0.0
+        for row, g in zip(x, y, strict=True):
+            below = [1 / (1 + np.exp(-(c - row @ w))) for c in cuts]
+            out += np.log(([*below, 1.0][g]) - ([0.0, *below][g]))
+        return out / len(y)
+
+    w, cuts = model.weights[:2], model.thresholds
+    best = likelihood(w, cuts)
+    for k in range(4):
+        for step in (-0.05, 0.05):
+            d = np.zeros(4)
+            d[k] = step
+            assert likelihood(w + d[:2], cuts + d[2:]) < best + 1e-5
+    assert np.allclose(w, [1.5, -1.0], atol=0.4) and np.allclose(cuts, [-1, 1], atol=0.4)
+
+
+def test_toxicity_covers_features_beyond_the_chains(spark):
+    texts = [f"{prose(i, 30)} {('idiot', 'moron', 'friend', 'pal')[i % 4 if i % 40 > 3 else 1 + i % 3]} {prose(9000 + i, 30)}" for i in range(400)]
+    d = docs(spark, texts)
+    toxic = [int("idiot" in t or "moron" in t) for t in texts]
+    labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)] * 2 + [(0, 1, 1 - toxic[0])], "doc_id long, quality int, toxic int")
+    model = toxicity.train(d, labels, max_chains=8)
+    got = {r.doc_id: r.predicted for r in toxicity.score(d.union(d), model).collect()}
+    assert all(got[i] == toxic[i] for i in range(1, 400))
+
+
 def test_quality_orders_grades(spark):
     texts = [f"{prose(i, 60)}." if i % 3 else "junk | " * 40 for i in range(150)]
     d = docs(spark, [*texts, None, ""])
