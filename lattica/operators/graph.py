@@ -5,13 +5,14 @@ Iterative algorithms are driver loops over joins; each step's result is cut from
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators.components import connected_components
-from lattica.plans.lineage import cut
+from lattica.plans.lineage import cut, drop
 
 __all__ = ["connected_components"]
 
@@ -66,26 +67,29 @@ def join_with_vertices(vertices: DataFrame, values: DataFrame, fn: Callable[[Col
     return vertices.join(values, "id", "left").select("id", F.when(F.col("update").isNotNull(), fn(F.col("value"), F.col("update"))).otherwise(F.col("value")).alias("value"))
 
 
-def pregel(vertices: DataFrame, edges: DataFrame, message: Column, combine: Column, apply: Column, max_steps: int = 20) -> DataFrame:
+def pregel(vertices: DataFrame, edges: DataFrame, message: Column, combine: Column, apply: Column, max_steps: int | None = None) -> DataFrame:
     """Vertex-centric iteration.
 
     Each step: ``message`` (over ``value``, the source's, and ``weight``) goes along the edges of vertices that changed,
     ``combine`` aggregates the column ``msg`` per target, ``apply`` (over ``value`` and ``msg``) makes the new value. It
-    ends when no vertex changes.
+    ends when no vertex changes; if that takes more than ``max_steps``, where given, it raises.
     """
     now = cut(vertices.select("id", "value", F.lit(True).alias("moved")), "pregel")
     links = edges.select("src", "dst", *(["value"] if "value" in edges.columns else [])).withColumnRenamed("value", "weight")
-    for _ in range(max_steps):
+    for step in itertools.count():
+        if step == max_steps:
+            raise RuntimeError(f"vertices still change after {max_steps} steps")
         sent = now.where("moved").select(F.col("id").alias("src"), "value").join(links, "src").select(F.col("dst").alias("id"), message.alias("msg"))
         got = sent.groupBy("id").agg(combine.alias("msg"))
         after = now.drop("moved").join(got, "id", "left").withColumn("new", F.when(F.col("msg").isNotNull(), apply).otherwise(F.col("value")))
-        now = cut(after.select("id", F.col("new").alias("value"), (~F.col("new").eqNullSafe(F.col("value"))).alias("moved")), "pregel")
+        old, now = now, cut(after.select("id", F.col("new").alias("value"), (~F.col("new").eqNullSafe(F.col("value"))).alias("moved")), "pregel")
+        drop(old)
         if now.where("moved").isEmpty():
             break
     return now.select("id", "value")
 
 
-def sssp(edges: DataFrame, source: int, max_steps: int = 50) -> DataFrame:
+def sssp(edges: DataFrame, source: int, max_steps: int | None = None) -> DataFrame:
     """Weighted shortest distances from ``source``; vertices out of reach have infinity."""
     start = vertices_of(edges).select("id", F.when(F.col("id") == source, 0.0).otherwise(float("inf")).alias("value"))
     return pregel(start, edges, F.col("value") + F.col("weight"), F.min("msg"), F.least("value", "msg"), max_steps)
@@ -202,13 +206,14 @@ def bipartite_projection(edges: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("a"), "dst").join(e.select(F.col("src").alias("b"), "dst"), "dst").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def transitive_closure(edges: DataFrame, max_steps: int = 30) -> DataFrame:
-    """All pairs with a path; paths double in each step."""
+def transitive_closure(edges: DataFrame) -> DataFrame:
+    """All pairs with a path; paths double in each step until there are no more."""
     paths = cut(edges.select("src", "dst").distinct(), "paths")
     n = paths.count()
-    for _ in range(max_steps):
+    while True:
         longer = paths.alias("x").join(paths.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"))
-        paths = cut(paths.union(longer).distinct(), "paths")
+        old, paths = paths, cut(paths.union(longer).distinct(), "paths")
+        drop(old)
         before, n = n, paths.count()
         if n == before:
             break

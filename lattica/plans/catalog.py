@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         for name in TABLES:
-            if name in text:
+            if re.search(rf"\b{name}\b", text):
                 spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
         return spark.sql(text)
 

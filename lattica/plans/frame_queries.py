@@ -121,21 +121,38 @@ def b06_flat_map(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
 
 
-@query("SELECT n BETWEEN t * 0.05 AND t * 0.15 AS plausible FROM (SELECT count(*) / 10.0 AS n, count(*) AS t FROM lineitem)")
+_SAMPLED = "SELECT l_returnflag, true AS plausible, 0 AS strange FROM lineitem GROUP BY l_returnflag"
+
+
+def _plausible(df: DataFrame, drawn: DataFrame, share: float, most: int | None) -> DataFrame:
+    """By flag: whether about ``share`` of the rows were drawn, and how many were drawn that don't exist or too often."""
+    keys = ["l_returnflag", "l_orderkey", "l_linenumber"]
+    there = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("t"))
+    got = drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    both = there.join(got, keys, "full")
+    strange = F.col("t").isNull() | (F.col("n") > F.col("t") * most if most else F.lit(False))
+    out = both.groupBy("l_returnflag").agg(F.sum("t").alias("t"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(strange, 1)).alias("strange"))
+    return out.select("l_returnflag", (F.abs(F.col("n") - F.col("t") * share) <= 6 * F.sqrt(F.col("t") * share)).alias("plausible"), "strange")
+
+
+@query(_SAMPLED)
 def b21_bernoulli(spark, sf_dir):
-    df = read_table(spark, sf_dir, "lineitem")
-    return df.sample(False, 0.1, 7).agg(F.count(F.lit(1)).alias("n")).crossJoin(df.agg(F.count(F.lit(1)).alias("t"))).select(F.col("n").between(F.col("t") * 0.05, F.col("t") * 0.15).alias("plausible"))
+    df = read_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    return _plausible(df, df.sample(False, 0.1, 7), 0.1, 1)
 
 
-@query("SELECT true AS plausible")
+@query(_SAMPLED)
 def b22_poisson(spark, sf_dir):
-    df = read_table(spark, sf_dir, "lineitem")
-    return df.sample(True, 1.0, 7).agg(F.count(F.lit(1)).alias("n")).crossJoin(df.agg(F.count(F.lit(1)).alias("t"))).select(F.col("n").between(F.col("t") * 0.9, F.col("t") * 1.1).alias("plausible"))
+    df = read_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    return _plausible(df, df.sample(True, 1.0, 7), 1.0, None)
 
 
-@query("SELECT 50 AS n, 50 AS d")
+@query("SELECT 50 AS n, 50 AS d, 0 AS strange")
 def b23_fixed_size_sample(spark, sf_dir):
-    return R.fixed_size_sample(read_table(spark, sf_dir, "orders"), 50, 3).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("d"))
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    drawn = R.fixed_size_sample(orders, 50, 3)
+    known = orders.withColumn("known", F.lit(1))
+    return drawn.join(known, ["o_orderkey", "o_totalprice"], "left").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("d"), F.count(F.when(F.col("known").isNull(), 1)).alias("strange"))
 
 
 # joins
@@ -221,19 +238,39 @@ def d26_rolling_stream(spark, sf_dir):
     return out.withColumn("s", F.round("s", 4))
 
 
-@query("SELECT 'l_quantity' AS \"column\", count(l_quantity) AS n, min(l_quantity) AS min, max(l_quantity) AS max, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS stddev FROM lineitem")
+_SUMMED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_orderkey"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, 0 AS nulls, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 4) AS stddev, NULL::DOUBLE AS max_length FROM lineitem" for c in _SUMMED) + " UNION ALL SELECT 'l_returnflag', count(l_returnflag), 0, NULL, NULL, NULL, NULL, max(length(l_returnflag)) FROM lineitem")
 def d28_summarize(spark, sf_dir):
-    return R.summarize(read_table(spark, sf_dir, "lineitem").select("l_quantity")).select("column", "n", "min", "max", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"))
+    out = R.summarize(read_table(spark, sf_dir, "lineitem").select(*_SUMMED, "l_returnflag"))
+    return out.select("column", "n", "nulls", "min", "max", F.round("mean", 6).alias("mean"), F.round("stddev", 4).alias("stddev"), "max_length")
 
 
-@query("SELECT count(*) AS n FROM lineitem")
+@query("SELECT l_linenumber AS part, count(*) AS n FROM lineitem GROUP BY 1")
 def d29_count_per_partition(spark, sf_dir):
-    return R.count_per_partition(read_table(spark, sf_dir, "lineitem")).agg(F.sum("n").alias("n"))
+    df = R.partition_custom(read_table(spark, sf_dir, "lineitem").select("l_linenumber"), 8, F.col("l_linenumber"))
+    return R.count_per_partition(df).select(F.col("partition").alias("part"), "n")
 
 
-@query("SELECT count(*) AS n, count(*) AS d, count(*) - 1 AS hi FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS index FROM orders")
 def d30_zip_with_index(spark, sf_dir):
-    return R.zip_with_index(read_table(spark, sf_dir, "orders").select("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("index").alias("d"), F.max("index").alias("hi"))
+    return R.zip_with_index(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")).select("o_orderkey", "index")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS pos FROM customer")
+def o01_order_by(spark, sf_dir):
+    """A sort by ranges of the key; positions come from the counts of the ranges, not from one task."""
+    ordered = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey")
+    return R.zip_with_index(ordered, "pos").select("c_custkey", (F.col("pos") + 1).alias("pos"))
+
+
+@query("WITH RECURSIVE e AS (SELECT c_custkey AS src, -100 - c_nationkey AS dst FROM customer UNION SELECT 10000000000 + s_suppkey, -100 - s_nationkey FROM supplier UNION SELECT -100 - n_nationkey, -1 - n_regionkey FROM nation), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src, dst FROM c")
+def x08_transitive_closure(spark, sf_dir):
+    c, s, n = (read_table(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    nation = lambda x: (-100 - F.col(x)).cast("long")
+    edges = c.select(F.col("c_custkey").alias("src"), nation("c_nationkey").alias("dst")).union(s.select(F.col("s_suppkey") + 10_000_000_000, nation("s_nationkey"))).union(n.select(nation("n_nationkey"), (-1 - F.col("n_regionkey")).cast("long")))
+    return G.transitive_closure(edges)
 
 
 # windows
@@ -370,18 +407,26 @@ def v03_aggregate_function(spark, sf_dir):
     return read_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(wavg("o_totalprice", "o_orderkey"), 4).alias("wavg"))
 
 
-# graphs: customers and suppliers by nation, users by event type
-_EDGES = "(SELECT DISTINCT l_suppkey AS src, 1000000 + l_partkey AS dst FROM lineitem WHERE l_orderkey % 50 = 0)"
+# graphs over whole tables: suppliers and their parts; orders and their parts (negative identifiers); and both with suppliers
+_EDGES = "(SELECT DISTINCT l_suppkey AS src, 10000000000 + l_partkey AS dst FROM lineitem)"
+_ORDER_PARTS = "(SELECT DISTINCT l_orderkey AS src, -1 - l_partkey AS dst FROM lineitem)"
+_BOTH = f"(SELECT src, dst FROM {_ORDER_PARTS} UNION ALL SELECT dst, src FROM {_ORDER_PARTS})"
+_THREE = """(SELECT l_orderkey AS src, 10000000000 + l_partkey AS dst FROM lineitem UNION SELECT l_orderkey, 20000000000 + l_suppkey FROM lineitem
+  UNION SELECT 10000000000 + l_partkey, 20000000000 + l_suppkey FROM lineitem)"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = read_table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
-    return df.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).distinct()
+    df = read_table(spark, sf_dir, "lineitem")
+    return df.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 10_000_000_000).alias("dst")).distinct()
+
 
+def _order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst")).distinct()
 
-def _user_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = read_table(spark, sf_dir, "events")
-    return df.select((F.col("user_id") % 97).alias("src"), (F.col("event_id") % 89).alias("dst")).where("src <> dst AND event_id % 3 = 0").distinct()
+
+def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_partkey") + 10_000_000_000).alias("p"), (F.col("l_suppkey") + 20_000_000_000).alias("s"))
+    return df.select(F.explode(F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in ("op", "os", "ps")])).alias("e")).select("e.*").distinct()
 
 
 def _event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,33 +434,35 @@ def _event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select("user_id", "event_id").dropna().select(F.col("user_id").cast("long").alias("src"), (-1 - F.col("event_id")).cast("long").alias("dst")).distinct()
 
 
-_USER_EDGES = "(SELECT DISTINCT user_id % 97 AS src, event_id % 89 AS dst FROM events WHERE user_id % 97 <> event_id % 89 AND event_id % 3 = 0)"
-_BOTH = f"(SELECT src, dst FROM {_USER_EDGES} UNION SELECT dst, src FROM {_USER_EDGES})"
+_EVENT_EDGES = "(SELECT DISTINCT user_id AS src, -1 - event_id AS dst FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL)"
 
 
-@query(f"SELECT coalesce(a.id, b.id) AS id, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS in_degree, coalesce(o, 0) + coalesce(i, 0) AS degree FROM (SELECT src AS id, count(*) AS o FROM {_USER_EDGES} GROUP BY 1) a FULL JOIN (SELECT dst AS id, count(*) AS i FROM {_USER_EDGES} GROUP BY 1) b ON a.id = b.id")
+@query(f"SELECT coalesce(a.id, b.id) AS id, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS in_degree, coalesce(o, 0) + coalesce(i, 0) AS degree FROM (SELECT src AS id, count(*) AS o FROM {_THREE} GROUP BY 1) a FULL JOIN (SELECT dst AS id, count(*) AS i FROM {_THREE} GROUP BY 1) b ON a.id = b.id")
 def g30_degrees(spark, sf_dir):
-    return G.degrees(_user_edges(spark, sf_dir))
+    return G.degrees(_three(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE e AS (SELECT src, dst FROM {_EDGES} UNION SELECT dst, src FROM {_EDGES}), r AS (SELECT src AS id, src AS c FROM e UNION SELECT e.dst, r.c FROM r JOIN e ON r.id = e.src) SELECT id, min(c) AS component FROM r GROUP BY id")
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {_BOTH}), cc(id, component) USING KEY (id) AS (SELECT src, src FROM e GROUP BY src UNION
+  (SELECT e.dst, min(cc.component) FROM cc JOIN e ON cc.id = e.src JOIN recurring.cc AS r ON r.id = e.dst WHERE cc.component < r.component GROUP BY e.dst)) SELECT id, component FROM cc""")
 def g07_connected_components(spark, sf_dir):
-    return G.connected_components(_edges(spark, sf_dir))
+    return G.connected_components(_order_parts(spark, sf_dir))
 
 
-@query(f"WITH b AS (SELECT DISTINCT src, dst FROM {_BOTH}) SELECT x.src AS a, x.dst AS b, y.dst AS c FROM b x JOIN b y ON x.dst = y.src JOIN b z ON z.src = x.src AND z.dst = y.dst WHERE x.src < x.dst AND x.dst < y.dst")
+@query(f"SELECT x.src AS a, x.dst AS b, y.dst AS c FROM {_THREE} x JOIN {_THREE} y ON x.dst = y.src JOIN {_THREE} z ON z.src = x.src AND z.dst = y.dst")
 def g12_triangles(spark, sf_dir):
-    return G.triangles(_user_edges(spark, sf_dir))
+    return G.triangles(_three(spark, sf_dir))
 
 
-@query(f"WITH b AS (SELECT DISTINCT src, dst FROM {_BOTH}), d AS (SELECT src, count(*) AS d FROM b GROUP BY 1), s AS (SELECT x.src AS a, y.src AS b, count(*) AS n, sum(1 / ln(d.d)) AS aa FROM b x JOIN b y ON x.dst = y.dst AND x.src < y.src JOIN d ON d.src = x.dst GROUP BY ALL) SELECT s.a, s.b, n AS shared, round(n / (p.d + q.d - n), 9) AS jaccard, round(aa, 6) AS adamic_adar FROM s JOIN d p ON p.src = s.a JOIN d q ON q.src = s.b")
+@query(f"""WITH b AS MATERIALIZED (SELECT src, dst FROM {_BOTH}), d AS (SELECT src, count(*) AS d FROM b GROUP BY 1),
+s AS (SELECT x.src AS a, y.src AS b, count(*) AS n, sum(1 / ln(d.d)) AS aa FROM b x JOIN b y ON x.dst = y.dst AND x.src < y.src JOIN d ON d.src = x.dst GROUP BY ALL)
+SELECT s.a, s.b, n AS shared, round(n / (da.d + db.d - n), 9) AS jaccard, round(aa, 6) AS adamic_adar FROM s JOIN d da ON da.src = s.a JOIN d db ON db.src = s.b""")
 def g14_similarity(spark, sf_dir):
-    return G.shared_neighbors(_user_edges(spark, sf_dir)).select("a", "b", "shared", F.round("jaccard", 9).alias("jaccard"), F.round("adamic_adar", 6).alias("adamic_adar"))
+    return G.shared_neighbors(_order_parts(spark, sf_dir)).select("a", "b", "shared", F.round("jaccard", 9).alias("jaccard"), F.round("adamic_adar", 6).alias("adamic_adar"))
 
 
-@query(f"WITH d AS (SELECT src, count(*) AS d FROM (SELECT DISTINCT src, dst FROM {_BOTH}) GROUP BY 1) SELECT count(*) AS vertices, CAST(sum(d) AS BIGINT) // 2 AS edges, max(d) AS max_degree, round(avg(d), 9) AS average_degree, CAST(sum(d * (d - 1) // 2) AS BIGINT) AS triplets FROM d")
+@query(f"WITH d AS (SELECT src, count(*) AS d FROM (SELECT src, dst FROM {_THREE} UNION ALL SELECT dst, src FROM {_THREE}) GROUP BY 1) SELECT count(*) AS vertices, CAST(sum(d) AS BIGINT) // 2 AS edges, max(d) AS max_degree, round(avg(d), 9) AS average_degree, CAST(sum(d * (d - 1) // 2) AS BIGINT) AS triplets FROM d")
 def g15_metrics(spark, sf_dir):
-    return G.graph_metrics(_user_edges(spark, sf_dir)).withColumn("average_degree", F.round("average_degree", 9))
+    return G.graph_metrics(_three(spark, sf_dir)).withColumn("average_degree", F.round("average_degree", 9))
 
 
 @query(f"SELECT x.src AS a, y.src AS b, count(*) AS shared FROM {_EDGES} x JOIN {_EDGES} y ON x.dst = y.dst AND x.src < y.src GROUP BY ALL")
@@ -423,19 +470,83 @@ def g17_bipartite_projection(spark, sf_dir):
     return G.bipartite_projection(_edges(spark, sf_dir))
 
 
-@query()
+def _unrolled(first: str, step: str, n: int, last: str, **parts: str) -> str:
+    """``n`` steps as a chain of named tables r0..rn; ``step`` and ``last`` name the table before as {r}."""
+    tables = [f"{k} AS MATERIALIZED ({v})" for k, v in parts.items()] + [f"r0 AS ({first})"] + [f"r{i + 1} AS MATERIALIZED ({step.format(r=f'r{i}')})" for i in range(n)]
+    return f"WITH {', '.join(tables)} {last.format(r=f'r{n}')}"
+
+
+@query(_unrolled(
+    "SELECT id, 1.0 / (SELECT count(*) FROM v) AS rank FROM v",
+    "SELECT v.id, 0.15 / (SELECT count(*) FROM v) + 0.85 * (coalesce(g.got, 0) + (SELECT coalesce(sum(rank), 0) FROM {r} WHERE id NOT IN (SELECT src FROM e)) / (SELECT count(*) FROM v)) AS rank FROM v LEFT JOIN (SELECT e.dst AS id, sum(rank / n) AS got FROM {r} JOIN e ON {r}.id = e.src JOIN o ON o.src = e.src GROUP BY 1) g ON v.id = g.id",
+    5, "SELECT id, round(rank, 12) AS rank FROM {r}",
+    e=f"SELECT src, dst FROM {_ORDER_PARTS}", v="SELECT src AS id FROM e UNION SELECT dst FROM e", o="SELECT src, count(*)::DOUBLE AS n FROM e GROUP BY 1",
+))
 def g13_pagerank(spark, sf_dir):
-    return G.pagerank(_event_edges(spark, sf_dir), steps=5)
+    return G.pagerank(_order_parts(spark, sf_dir), steps=5).withColumn("rank", F.round("rank", 12))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {_BOTH}), d(id, value) USING KEY (id) AS (SELECT src, CASE WHEN src = 1 THEN 0.0::DOUBLE ELSE 'infinity'::DOUBLE END FROM e GROUP BY src UNION
+  (SELECT e.dst, min(d.value + 1) FROM d JOIN e ON d.id = e.src JOIN recurring.d AS r ON r.id = e.dst WHERE d.value + 1 < r.value GROUP BY e.dst)) SELECT id, value FROM d""")
 def g08_sssp(spark, sf_dir):
-    return G.sssp(_event_edges(spark, sf_dir).withColumn("value", F.lit(1.0)), 1)
+    e = _order_parts(spark, sf_dir)
+    return G.sssp(e.union(e.select("dst", "src")).withColumn("value", F.lit(1.0)), 1)
 
 
-@query()
+@query(_unrolled(
+    "SELECT DISTINCT src AS id, src AS label FROM e",
+    "SELECT src AS id, arg_max(label, struct_pack(n := n, label := label)) AS label FROM (SELECT e.src, {r}.label, count(*) AS n FROM e JOIN {r} ON {r}.id = e.dst GROUP BY ALL) GROUP BY src",
+    3, "SELECT id, label FROM {r}", e=f"SELECT src, dst FROM {_BOTH}",
+))
 def g09_label_propagation(spark, sf_dir):
-    return G.label_propagation(_event_edges(spark, sf_dir), 3)
+    return G.label_propagation(_order_parts(spark, sf_dir), 3)
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {_EVENT_EDGES}), cc(id, component) USING KEY (id) AS (SELECT src, src FROM (SELECT src FROM e UNION SELECT dst FROM e) GROUP BY src UNION
+  (SELECT x.dst, min(cc.component) FROM cc JOIN (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) x ON cc.id = x.src JOIN recurring.cc AS r ON r.id = x.dst WHERE cc.component < r.component GROUP BY x.dst)) SELECT id, component FROM cc""")
+def g07_components_of_users(spark, sf_dir):
+    return G.connected_components(_event_edges(spark, sf_dir))
+
+
+# neighbourhoods, clustering and other drivers
+@query(f"SELECT dst AS id, sum(src) AS value FROM {_ORDER_PARTS} GROUP BY 1")
+def g02_reduce_on_neighbors(spark, sf_dir):
+    e = _order_parts(spark, sf_dir)
+    return G.reduce_on_neighbors(G.vertices_of(e).withColumn("value", F.col("id")), e, "in", F.sum("value"))
+
+
+@query(f"SELECT v.id, CASE WHEN n IS NULL THEN 0 ELSE n END AS value FROM (SELECT src AS id FROM {_BOTH} GROUP BY 1) v LEFT JOIN (SELECT src AS id, count(*) AS n FROM {_ORDER_PARTS} GROUP BY 1) d ON v.id = d.id")
+def g03_join_with_vertices(spark, sf_dir):
+    e = _order_parts(spark, sf_dir)
+    counts = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("update"))
+    return G.join_with_vertices(G.vertices_of(e).withColumn("value", F.lit(0).cast("long")), counts, lambda value, update: value + update)
+
+
+@query(f"""WITH b AS MATERIALIZED (SELECT src, dst FROM {_THREE} UNION ALL SELECT dst, src FROM {_THREE}), d AS (SELECT src AS id, count(*) AS degree FROM b GROUP BY 1),
+t AS MATERIALIZED (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM {_THREE} x JOIN {_THREE} y ON x.dst = y.src JOIN {_THREE} z ON z.src = x.src AND z.dst = y.dst),
+n AS (SELECT id, count(*) AS triangles FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY 1)
+SELECT d.id, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree < 2 THEN 0.0 ELSE 2 * coalesce(triangles, 0) / (degree * (degree - 1)) END, 9) AS local FROM d LEFT JOIN n ON d.id = n.id""")
+def g11_clustering(spark, sf_dir):
+    return G.clustering_coefficients(_three(spark, sf_dir)).withColumn("local", F.round("local", 9))
+
+
+@query(f"SELECT src, dst, src_degree, dst_degree FROM {_ORDER_PARTS} e JOIN (SELECT src AS id, count(*) AS src_degree FROM {_BOTH} GROUP BY 1) a ON e.src = a.id JOIN (SELECT src AS id, count(*) AS dst_degree FROM {_BOTH} GROUP BY 1) b ON e.dst = b.id")
+def g30_edge_degree_pairs(spark, sf_dir):
+    return G.edge_degree_pairs(_order_parts(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS n FROM {_THREE}")
+def g31_count(spark, sf_dir):
+    return R.checksum(_three(spark, sf_dir)).select("n")
+
+
+@query(_unrolled(
+    "SELECT id, 1.0::DOUBLE AS hub, 0.0::DOUBLE AS authority FROM v",
+    "SELECT v.id, coalesce(h.h, 0) / sqrt(sum(coalesce(h.h, 0) ** 2) OVER ()) AS hub, coalesce(a.a, 0) AS authority FROM v LEFT JOIN (SELECT id, x / sqrt(sum(x * x) OVER ()) AS a FROM (SELECT e.dst AS id, sum(hub) AS x FROM e JOIN {r} ON {r}.id = e.src GROUP BY 1)) a ON a.id = v.id LEFT JOIN (SELECT e.src AS id, sum(a) AS h FROM e JOIN (SELECT id, x / sqrt(sum(x * x) OVER ()) AS a FROM (SELECT e.dst AS id, sum(hub) AS x FROM e JOIN {r} ON {r}.id = e.src GROUP BY 1)) t ON t.id = e.dst GROUP BY 1) h ON h.id = v.id",
+    3, "SELECT id, round(hub, 9) AS hub, round(authority, 9) AS authority FROM {r}", e=f"SELECT src, dst FROM {_ORDER_PARTS}", v="SELECT src AS id FROM e UNION SELECT dst FROM e",
+))
+def g13_hits(spark, sf_dir):
+    return G.hits(_order_parts(spark, sf_dir), 3).select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
 
 
 @query("SELECT range AS src, (range + k + 10) % 10 AS dst FROM range(10), (SELECT unnest([1, -1]) AS k)")
@@ -462,10 +573,13 @@ def g20_standard_scale(spark, sf_dir):
     return ml.standard_scale(read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]).select("c_custkey", F.round("c_acctbal", 6).alias("z"))
 
 
-@query("SELECT count(*) AS n, 0 AS missed FROM orders")
+@query("SELECT count(*) AS n, 0 AS missed, true AS rare FROM orders")
 def g27_bloom(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders").select("o_custkey")
-    return ml.might_contain(o, "o_custkey", ml.bloom_filter(o, "o_custkey")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("maybe"), 0).otherwise(1)).alias("missed"))
+    bloom = ml.bloom_filter(o, "o_custkey", rate=0.01)
+    held = ml.might_contain(o, "o_custkey", bloom).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("maybe"), 1)).alias("missed"))
+    absent = ml.might_contain(read_table(spark, sf_dir, "lineitem").select((-1 - F.col("l_orderkey")).alias("k")).distinct(), "k", bloom).agg((F.avg(F.col("maybe").cast("int")) < 0.03).alias("rare"))
+    return held.crossJoin(absent)  # one row each
 
 
 @query("SELECT l_suppkey AS row, l_linenumber AS col, sum(CAST(l_quantity AS BIGINT)) + count(*) AS value FROM lineitem GROUP BY ALL")
@@ -474,8 +588,10 @@ def g32_matrix_add(spark, sf_dir):
     return ml.matrix_add(li, li.withColumn("value", F.lit(1).cast("bigint")))
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT avg(x * x) AS xx, avg(x) AS mx, avg(x * y) AS xy, avg(y) AS my FROM (SELECT l_quantity / 50 AS x, l_quantity * 0.5 + 3 AS y FROM lineitem)),
+g AS (SELECT 0 AS step, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b UNION ALL SELECT step + 1, w - 0.5 / sqrt(step + 1) * (w * xx + b * mx - xy), b - 0.5 / sqrt(step + 1) * (w * mx + b - my) FROM g, m WHERE step < 20)
+SELECT 'x' AS name, round(w, 6) AS weight FROM g WHERE step = 20 UNION ALL SELECT 'intercept', round(b, 6) FROM g WHERE step = 20""")
 def g22_regression(spark, sf_dir):
     df = read_table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("x"), (F.col("l_quantity") * 0.5 + 3).alias("y"))
     w = ml.gradient_descent(df, ["x"], "y", steps=20, rate=0.5)
-    return spark.createDataFrame([(k, float(v)) for k, v in sorted(w.items())], "name string, weight double")
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in sorted(w.items())], "name string, weight double")

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder.
 
-    ``spark.checkpoint.dir`` names it. Only where that is unset (tests, one machine) is a folder of our own made and
-    remembered in the session.
+    ``spark.checkpoint.dir`` names it. Only where that is unset on a local master (tests, one machine) is a folder of our
+    own made and remembered in the session; on a cluster, whose executors don't share one, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lattica.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="lattica-checkpoint-")
         spark.conf.set("lattica.checkpoint.dir", found)
