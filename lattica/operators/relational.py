@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -130,6 +130,13 @@ def summarize(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
+def accumulate(df: DataFrame, run: Callable[[DataFrame], object], **counters: Column) -> dict:
+    """Run an action on ``df`` while ``counters`` (aggregates) observe its rows; returns them by name."""
+    seen = Observation()
+    run(df.observe(seen, *[c.alias(name) for name, c in counters.items()]))
+    return seen.get
+
+
 def map_partition(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """Iterator of pandas frames to iterator of pandas frames, per partition."""
     return df.mapInPandas(fn, schema)

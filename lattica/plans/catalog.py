@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.plans import frame_queries, sql_queries
+from lattica.plans import stream_queries as stream_queries  # adds its queries to those of frame_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -364,18 +364,18 @@ def f28_overlaps(spark, sf_dir):
 # event patterns
 @query("WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) SELECT a.user_id, a.event_id AS a, b.event_id AS b FROM o a JOIN o b ON a.user_id = b.user_id AND b.rn = a.rn + 1 WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
 def s24_cep_next(spark, sf_dir):
-    p = cep.Pattern.begin("a").where(lambda e: e["event_type"] == "click").next("b").where(lambda e: e["event_type"] == "purchase")
-    df = read_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("o"))
-    ranked = df.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("o"))).drop("o")
-    return cep.match(ranked, p, "user_id", "n", lambda m: (m["a"][0]["user_id"], m["a"][0]["event_id"], m["b"][0]["event_id"]), "user_id long, a long, b long")
+    return _pairs(spark, sf_dir, "strict")
 
 
 @query("WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) SELECT a.user_id, a.event_id AS a, (SELECT arg_min(b.event_id, b.rn) FROM o b WHERE b.user_id = a.user_id AND b.rn > a.rn AND b.event_type = 'purchase') AS b FROM o a WHERE a.event_type = 'click' AND EXISTS (SELECT 1 FROM o b WHERE b.user_id = a.user_id AND b.rn > a.rn AND b.event_type = 'purchase')")
 def s24_cep_followed_by(spark, sf_dir):
-    p = cep.Pattern.begin("a").where(lambda e: e["event_type"] == "click").followed_by("b").where(lambda e: e["event_type"] == "purchase")
-    df = read_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("o"))
-    ranked = df.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("o"))).drop("o")
-    return cep.match(ranked, p, "user_id", "n", lambda m: (m["a"][0]["user_id"], m["a"][0]["event_id"], m["b"][0]["event_id"]), "user_id long, a long, b long")
+    return _pairs(spark, sf_dir, "relaxed")
+
+
+def _pairs(spark: SparkSession, sf_dir: str, follow: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    found = cep.sequence(e, "user_id", ["ts", "event_id"], [("a", F.col("event_type") == "click", "strict"), ("b", F.col("event_type") == "purchase", follow)])
+    return found.select("a.user_id", F.col("a.event_id").alias("a"), F.col("b.event_id").alias("b"))
 
 
 # functions of users

@@ -1,16 +1,22 @@
 """Event patterns over keyed, ordered events: sequences, quantifiers, negation, time limits and skip strategies.
 
-The matcher is a list of partial matches per key. It runs per key over a whole batch (``match``), or inside a stateful
-processor whose state is that list.
+The matcher is a list of partial matches per key. It runs per key over a whole batch (:func:`match`), or inside a stateful
+processor whose state is that list (:func:`match_stream`). Plain sequences, whose steps are conditions on columns, need no
+matcher: :func:`sequence` is one window per step in the JVM.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 Event = dict[str, Any]
 Condition = Callable[[Event, dict[str, list[Event]]], bool]
@@ -263,8 +269,6 @@ def match(df: DataFrame, pattern: Pattern, key: str, order: str, select: Callabl
     ``select`` maps step names to events and gives a row or a list of rows. ``order`` must be numeric or a timestamp
     (then in seconds).
     """
-    import pandas as pd
-
     columns = [part.strip().split()[0] for part in schema.split(",")]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -279,3 +283,74 @@ def match(df: DataFrame, pattern: Pattern, key: str, order: str, select: Callabl
         return pd.DataFrame(rows, columns=columns)
 
     return df.groupBy(key).applyInPandas(run, schema)
+
+
+def sequence(df: DataFrame, key: str, order: list[str], steps: list[tuple[str, Column, str]]) -> DataFrame:
+    """Matches of a plain sequence: one struct column per step, from its name, condition and follow kind.
+
+    ``strict`` asks for the very next event, ``relaxed`` for the next one that meets the condition; the kind of the first
+    step doesn't matter. All steps share one shuffle and one sort, and each is a running function of it.
+    """
+    back = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
+    event = F.struct(*df.columns)
+    rows = df.withColumn("__tail", F.array(event))
+    for i in range(len(steps) - 1, 0, -1):
+        _, condition, follow = steps[i]
+        here = F.when(condition, F.col("__tail"))
+        after = F.lag(here).over(back) if follow == "strict" else F.last(here, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("__tail", F.concat(F.array(event), F.coalesce(after, F.array().cast(f"array<{_struct_type(df)}>"))))
+    found = rows.where(steps[0][1] & (F.size("__tail") == len(steps)))
+    return found.select(*[F.col("__tail")[i].alias(name) for i, (name, _, _) in enumerate(steps)])
+
+
+def _struct_type(df: DataFrame) -> str:
+    return "struct<" + ",".join(f"`{name}`:{kind}" for name, kind in df.dtypes) + ">"
+
+
+class _Stream(StatefulProcessor):
+    """The matcher of each key, kept as bytes; rows of a micro-batch are fed in (time, id) order."""
+
+    def __init__(self, pattern: bytes, select: bytes, columns: list[str], timeouts: bool):
+        self.pattern, self.select, self.columns, self.timeouts = pattern, select, columns, timeouts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("matcher", "runs binary, n bigint, blocked bigint, last double")
+        self.made, self.row = pickle.loads(self.pattern), pickle.loads(self.select)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        matcher, last = Matcher(self.made), float("-inf")
+        if self.state.exists():
+            runs, matcher.n, matcher.blocked, last = self.state.get()
+            matcher.runs = [Run(*r) for r in pickle.loads(runs)]
+        frame = pd.concat(list(rows)).sort_values(["__time", "__id"], kind="stable")
+        out = []
+        for event in frame.to_dict("records"):
+            if event["__time"] < last:  # behind what was matched already
+                continue
+            last = event["__time"]
+            found, expired = matcher.feed(event, last)
+            for run in expired if self.timeouts else found:
+                made = self.row(run.events)
+                out += made if isinstance(made, list) else [made]
+        self.state.update((pickle.dumps([(r.at, r.count, r.events, r.start, r.numbers, r.last, r.stopped) for r in matcher.runs]), matcher.n, matcher.blocked, last))
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def match_stream(stream: DataFrame, pattern: Pattern, key: str, ts: str, ident: str, select: Callable[[dict[str, list[Event]]], tuple | list[tuple]], schema: str, timeouts: bool = False) -> DataFrame:
+    """Matches (or partial matches that ran out of time) of every key of a stream, as they are found.
+
+    Rows of a key count in order of ``ts`` and ``ident`` within a micro-batch; a row that is older than one of an earlier
+    micro-batch is dropped. State per key is its partial matches, which ``within`` bounds.
+    """
+    from lattica.streaming.stateful import _key
+
+    pattern.validate()
+    _key(stream, key)
+    time = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+    rows = stream.select(*stream.columns, time.alias("__time"), F.col(ident).alias("__id"))
+    rows = rows.select(*[c for c in rows.columns if c != key], F.col(key), F.col(key).alias("__key"))
+    processor = _Stream(cloudpickle.dumps(pattern), cloudpickle.dumps(select), [part.strip().split()[0] for part in schema.split(",")], timeouts)
+    return rows.groupBy("__key").transformWithStateInPandas(processor, schema, "Append", "None")

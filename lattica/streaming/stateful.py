@@ -20,35 +20,69 @@ def _key(df: DataFrame, key: str) -> str:
 
 
 class _Changelog(StatefulProcessor):
-    """Sum and count per key with retractions: (-1, old row) before (+1, new row); only -1 when the count reaches zero."""
+    """Aggregates per key with retractions: (-1, old row) before (+1, new row); only -1 when no row is left.
+
+    Values are kept with their signed counts in a map, so that a minimum or maximum that is taken back gives way to the next
+    one, a distinct value goes with its last copy, and a retraction that comes before its row cancels out.
+    """
+
+    def __init__(self, ttl: int | None):
+        self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("acc", "n bigint, s double")
+        self.state = handle.getValueState("acc", "n bigint, c bigint, s double, lo double, hi double, d bigint", self.ttl)
+        self.values = handle.getMapState("values", "v double", "c bigint", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, s = self.state.get() if self.state.exists() else (0, 0.0)
+        n, c, s, lo, hi, d = self.state.get() if self.state.exists() else (0, 0, 0.0, None, None, 0)
         out = []
         for frame in rows:
-            for sign, value in zip(frame["in_op"], frame["in_value"], strict=True):
-                if n:
-                    out.append((key[0], n, s, -1))
-                n, s = n + int(sign), s + int(sign) * (0.0 if pd.isna(value) else float(value))
-                if n:
-                    out.append((key[0], n, s, 1))
-        if n:
-            self.state.update((n, s))
+            for sign, value in zip(frame["in_op"].tolist(), frame["in_value"].tolist(), strict=True):
+                if n > 0:
+                    out.append((key[0], n, c, s if c else None, lo, hi, d, -1))
+                n += sign
+                if not pd.isna(value):
+                    held = self.values.getValue((value,))[0] if self.values.containsKey((value,)) else 0
+                    now = held + sign
+                    if now:
+                        self.values.updateValue((value,), (now,))
+                    else:
+                        self.values.removeKey((value,))
+                    c, s = c + sign, s + sign * value
+                    if held <= 0 < now:
+                        d += 1
+                        lo, hi = value if lo is None or value < lo else lo, value if hi is None or value > hi else hi
+                    elif now <= 0 < held:
+                        d -= 1
+                        if value in (lo, hi):  # the next one takes its place
+                            left = [k[0] for k, x in self.values.iterator() if x[0] > 0]
+                            lo, hi = min(left, default=None), max(left, default=None)
+                if n > 0:
+                    out.append((key[0], n, c, s if c else None, lo, hi, d, 1))
+        if n or c or s:
+            self.state.update((n, c, s, lo, hi, d))
         elif self.state.exists():
             self.state.clear()
-        yield pd.DataFrame(out, columns=["key", "n", "s", "_op"])
+        yield pd.DataFrame(out, columns=["key", "n", "c", "s", "lo", "hi", "d", "_op"])
 
     def close(self) -> None:
         pass
 
 
-def retracting_aggregate(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """Count and sum per key as a changelog ``key, n, s, _op``. Input without ``_op`` counts as insertions."""
+def retracting_aggregates(stream: DataFrame, key: str, value: str, ttl_ms: int | None = None) -> DataFrame:
+    """COUNT(*) ``n``, COUNT ``c``, SUM ``s``, MIN ``lo``, MAX ``hi`` and COUNT DISTINCT ``d`` per key as a changelog.
+
+    Input without ``_op`` counts as insertions; rows with ``_op`` -1 take back an equal earlier row. State that isn't touched
+    for ``ttl_ms`` of processing time is dropped.
+    """
     rows = stream.select(F.col(key).alias("key"), F.col(value).cast("double").alias("in_value"), (F.col("_op") if "_op" in stream.columns else F.lit(1)).cast("int").alias("in_op"))
-    return rows.groupBy("key").transformWithStateInPandas(_Changelog(), f"key {_key(stream, key)}, n bigint, s double, _op int", "Append", "None")
+    schema = f"key {_key(stream, key)}, n bigint, c bigint, s double, lo double, hi double, d bigint, _op int"
+    return rows.groupBy("key").transformWithStateInPandas(_Changelog(ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None")
+
+
+def retracting_aggregate(stream: DataFrame, key: str, value: str) -> DataFrame:
+    """Count and sum per key as a changelog ``key, n, s, _op``; a sum of nulls only is null."""
+    return retracting_aggregates(stream, key, value).select("key", "n", "s", "_op")
 
 
 def materialize(changelog: DataFrame, key: str = "key") -> DataFrame:
@@ -70,7 +104,7 @@ class _Rolling(StatefulProcessor):
         for i, v in zip(frame["in_id"], frame["in_value"], strict=True):
             if not pd.isna(v):
                 n, s, lo, hi = n + 1, s + v, min(lo, v), max(hi, v)
-            out.append((key[0], i, n, s, lo, hi))
+            out.append((key[0], i, n, *((s, lo, hi) if n else (None, None, None))))
         self.state.update((n, s, lo, hi))
         yield pd.DataFrame(out, columns=["key", "id", "n", "s", "lo", "hi"])
 
@@ -101,8 +135,9 @@ class _OverRows(StatefulProcessor):
         frame = pd.concat(list(rows)).sort_values(["in_time", "in_id"], kind="stable")
         out = []
         for i, v in zip(frame["in_id"], frame["in_value"], strict=True):
-            last = [*last, float(v)][-(self.n + 1) :]
-            out.append((key[0], i, len(last), sum(last)))
+            last = [*last, None if pd.isna(v) else float(v)][-(self.n + 1) :]
+            held = [x for x in last if x is not None]
+            out.append((key[0], i, len(held), sum(held) if held else None))
         self.state.put([(v,) for v in last])
         yield pd.DataFrame(out, columns=["key", "id", "n", "s"])
 
@@ -120,7 +155,7 @@ def over_rows(df: DataFrame, key: str, ts: str, ident: str, value: str, precedin
 
 
 class _CountTrigger(StatefulProcessor):
-    """Fires the sum of every ``n`` rows of a key and clears."""
+    """Fires the sum of every ``n`` rows of a key (null where all values are) and clears."""
 
     def __init__(self, n: int):
         self.n = n
@@ -129,14 +164,14 @@ class _CountTrigger(StatefulProcessor):
         self.state = handle.getValueState("acc", "n bigint, s double, w bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, s, w = self.state.get() if self.state.exists() else (0, 0.0, 0)
+        n, s, w = self.state.get() if self.state.exists() else (0, None, 0)
         frame = pd.concat(list(rows)).sort_values(["in_time", "in_id"], kind="stable")
         out = []
         for v in frame["in_value"]:
-            n, s = n + 1, s + float(v)
+            n, s = n + 1, s if pd.isna(v) else float(v) + (s or 0.0)
             if n == self.n:
                 out.append((key[0], w, s))
-                n, s, w = 0, 0.0, w + 1
+                n, s, w = 0, None, w + 1
         self.state.update((n, s, w))
         yield pd.DataFrame(out, columns=["key", "w", "s"])
 
@@ -155,36 +190,166 @@ def count_windows(df: DataFrame, key: str, ts: str, ident: str, value: str, size
 
 
 class _TimeSort(StatefulProcessor):
-    """Holds rows until the watermark passes them and emits them in (time, id) order."""
+    """Holds rows by their time until the watermark passes it and emits them in (time, id) order, numbered from 1.
+
+    One map entry and one timer for each different time, so a row costs the same however many are held.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getListState("held", "t bigint, id bigint, v double")
+        self.held = handle.getMapState("held", "t bigint", "ids array<bigint>, vs array<double>")
+        self.count = handle.getValueState("count", "n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, tuple[list[int], list[float | None]]] = {}
         for frame in rows:
-            for t, i, v in zip(frame["in_ms"], frame["in_id"], frame["in_value"], strict=True):
-                self.state.appendValue((int(t), int(i), float(v)))
-                self.handle.registerTimer(int(t))
-        yield pd.DataFrame(columns=["key", "ms", "id", "v"])
+            for t, i, v in zip(frame["in_ms"].tolist(), frame["in_id"].tolist(), frame["in_value"].tolist(), strict=True):
+                ids, vs = new.setdefault(int(t), ([], []))
+                ids.append(int(i))
+                vs.append(None if pd.isna(v) else float(v))
+        for t, (ids, vs) in new.items():
+            if self.held.containsKey((t,)):
+                old = self.held.getValue((t,))
+                ids, vs = [*old[0], *ids], [*old[1], *vs]
+            else:
+                self.handle.registerTimer(t)
+            self.held.updateValue((t,), (ids, vs))
+        yield pd.DataFrame(columns=["key", "ms", "id", "v", "pos"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs()
-        held = sorted(tuple(r) for r in self.state.get())
-        out = [(key[0], *r) for r in held if r[0] <= due]
-        later = [r for r in held if r[0] > due]
-        if later:
-            self.state.put(later)
-        else:
-            self.state.clear()
-        yield pd.DataFrame(out, columns=["key", "ms", "id", "v"])
+        n = self.count.get()[0] if self.count.exists() else 0
+        out = []
+        if self.held.containsKey((due,)):
+            ids, vs = self.held.getValue((due,))
+            for i, v in sorted(zip(ids, vs, strict=True), key=lambda x: x[0]):
+                n += 1
+                out.append((key[0], due, i, v, n))
+            self.held.removeKey((due,))
+            self.count.update((n,))
+        yield pd.DataFrame(out, columns=["key", "ms", "id", "v", "pos"])
 
     def close(self) -> None:
         pass
 
 
 def time_sort(stream: DataFrame, key: str, ts: str, ident: str, value: str, delay: str) -> DataFrame:
-    """Rows of each key in event-time order once the watermark has passed them; rows behind it are dropped."""
+    """Rows of each key in event-time order, numbered by ``pos``, once the watermark has passed their time.
+
+    Rows behind the watermark are dropped; those at or after the last watermark wait for more input.
+    """
     rows = stream.withColumn("in_time", F.col(ts).cast("timestamp")).withWatermark("in_time", delay)
     rows = rows.select(F.col(key).alias("key"), "in_time", F.unix_millis("in_time").alias("in_ms"), F.col(ident).cast("long").alias("in_id"), F.col(value).cast("double").alias("in_value"))
-    return rows.groupBy("key").transformWithStateInPandas(_TimeSort(), f"key {_key(stream, key)}, ms bigint, id bigint, v double", "Append", "EventTime")
+    return rows.groupBy("key").transformWithStateInPandas(_TimeSort(), f"key {_key(stream, key)}, ms bigint, id bigint, v double, pos bigint", "Append", "EventTime")
+
+
+class _Inactive(StatefulProcessor):
+    """A row for each pause: the key's last time, once no row came for ``gap`` ms of event time."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t bigint, n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, n = self.last.get() if self.last.exists() else (None, 0)
+        out = []
+        if last is not None:
+            self.handle.deleteTimer(last + self.gap)
+        for t in sorted(int(t) for frame in rows for t in frame["in_ms"].tolist()):
+            if last is not None and t > last + self.gap:
+                out.append((key[0], last, n))
+                n = 0
+            last, n = t if last is None else max(last, t), n + 1
+        self.last.update((last, n))
+        self.handle.registerTimer(last + self.gap)
+        yield pd.DataFrame(out, columns=["key", "last_ms", "n"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.last.exists():
+            last, n = self.last.get()
+            if last + self.gap == expiredTimerInfo.getExpiryTimeInMs():
+                out.append((key[0], last, n))
+                self.last.clear()
+        yield pd.DataFrame(out, columns=["key", "last_ms", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def inactivity(stream: DataFrame, key: str, ts: str, gap_ms: int, delay: str) -> DataFrame:
+    """``key, last_ms, n`` whenever a key pauses for more than ``gap_ms`` of event time: a process function with timers."""
+    rows = stream.withColumn("in_time", F.col(ts).cast("timestamp")).withWatermark("in_time", delay)
+    rows = rows.select(F.col(key).alias("key"), "in_time", F.unix_millis("in_time").alias("in_ms"))
+    return rows.groupBy("key").transformWithStateInPandas(_Inactive(gap_ms), f"key {_key(stream, key)}, last_ms bigint, n bigint", "Append", "EventTime")
+
+
+class _Enrich(StatefulProcessor):
+    """Two connected inputs: the right one sets the key's value, the left one waits for it in list state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("value", "v string")
+        self.waiting = handle.getListState("waiting", "id bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows))
+        value = self.value.get()[0] if self.value.exists() else None
+        ids = frame["in_id"][frame["in_side"] == 0].tolist()
+        set_to = frame["in_value"][frame["in_side"] == 1].tolist()
+        if set_to:
+            value = max(set_to)
+            self.value.update((value,))
+            ids = [*(r[0] for r in self.waiting.get()), *ids] if self.waiting.exists() else ids
+            self.waiting.clear()
+        if value is None:
+            if ids:
+                self.waiting.appendList([(int(i),) for i in ids])
+            ids = []
+        yield pd.DataFrame([(key[0], int(i), value) for i in ids], columns=["key", "id", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+def connect_enrich(left: DataFrame, right: DataFrame, key: str, ident: str, value: str) -> DataFrame:
+    """``key, id, value`` for every row of ``left``, as soon as ``right`` has set the key's value (the largest of a batch counts)."""
+    kind = _key(left, key)
+    a = left.select(F.col(key).alias("key"), F.lit(0).alias("in_side"), F.col(ident).cast("long").alias("in_id"), F.lit(None).cast("string").alias("in_value"))
+    b = right.select(F.col(key).cast(kind).alias("key"), F.lit(1).alias("in_side"), F.lit(None).cast("long").alias("in_id"), F.col(value).cast("string").alias("in_value"))
+    return a.unionByName(b).groupBy("key").transformWithStateInPandas(_Enrich(), f"key {kind}, id bigint, value string", "Append", "None")
+
+
+class _Keyed(StatefulProcessor):
+    """Value state (rows so far), list state (the last three ids), map state (rows by kind) and a reduced value."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.n = handle.getValueState("n", "n bigint, hi double")
+        self.recent = handle.getListState("recent", "id bigint")
+        self.kinds = handle.getMapState("kinds", "kind string", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, hi = self.n.get() if self.n.exists() else (0, None)
+        recent = [r[0] for r in self.recent.get()] if self.recent.exists() else []
+        frame = pd.concat(list(rows)).sort_values(["in_time", "in_id"], kind="stable")
+        out = []
+        for i, kind, v in zip(frame["in_id"].tolist(), frame["in_kind"].tolist(), frame["in_value"].tolist(), strict=True):
+            of_kind = (self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0) + 1
+            self.kinds.updateValue((kind,), (of_kind,))
+            n, recent = n + 1, [*recent, int(i)][-3:]
+            hi = hi if pd.isna(v) else v if hi is None else max(hi, v)
+            out.append((key[0], int(i), n, of_kind, recent[0], hi))
+        self.n.update((n, hi))
+        self.recent.put([(i,) for i in recent])
+        yield pd.DataFrame(out, columns=["key", "id", "n", "of_kind", "third_last", "hi"])
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_states(stream: DataFrame, key: str, ts: str, ident: str, kind: str, value: str) -> DataFrame:
+    """Per row: its number in the key and in its kind, the id two rows before, and the largest value so far (reducing state)."""
+    rows = stream.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("in_time"), F.col(ident).cast("long").alias("in_id"), F.col(kind).cast("string").alias("in_kind"), F.col(value).cast("double").alias("in_value"))
+    return rows.groupBy("key").transformWithStateInPandas(_Keyed(), f"key {_key(stream, key)}, id bigint, n bigint, of_kind bigint, third_last bigint, hi double", "Append", "None")
