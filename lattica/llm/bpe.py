@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from lattica.llm._text import blocks, bounded_batches, lean
 
-CACHE_PIECES = 200_000
-BLOCK_BYTES = 2 << 20
+CACHE_PIECES = 50_000
+BLOCK_BYTES = 512 << 10
 #: Symbols that share a pair index: more are no faster, as the index then outgrows a processor's cache.
 INDEX_BYTES = 32 << 10
 NO_RANK = (1 << 31) - 1
