@@ -25,7 +25,7 @@ def with_least(pairs: DataFrame, hub: int) -> DataFrame:
 
     The links of a vertex with more than ``hub`` of them stay where they are and get its minimum by broadcast; with
     :func:`_hub` there are at most 32 such vertices for each shuffle partition, however large the graph. The others meet
-    theirs in a shuffled join, where no key has more than ``hub`` rows.
+    theirs in a shuffled join, where no key has more than ``hub`` rows. ``pairs`` should come from files: it is read thrice.
     """
     least = pairs.groupBy("src").agg(F.min("dst").alias("m"), F.count(F.lit(1)).alias("n"))
     hubs = F.broadcast(least.where(F.col("n") > hub).select("src", "m"))
@@ -36,25 +36,26 @@ def with_least(pairs: DataFrame, hub: int) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(id, component)`` for every vertex of an undirected edge list; ``component`` is its smallest vertex.
 
-    Rounds go on until nothing moves; each is a min-aggregate (combined before the shuffle) and a join that spreads the
-    links of hub vertices over all tasks. Edges never reach the driver, only a count and a checksum do. Self loops keep
-    their vertex, null endpoints are ignored and an empty edge list gives an empty result.
+    Rounds go on until nothing moves; each is two min-aggregates (combined before the shuffle), each with a join that
+    spreads the links of hub vertices over all tasks. Edges never reach the driver, only a count and a checksum do. Self
+    loops keep their vertex, null endpoints are ignored and an empty edge list gives an empty result.
     """
     pairs = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
-    pairs = cut(pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
-    vertices = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    now = pairs.where("src <> dst")
-    before, mark, owned = None, _mark(now), None
+    ways = lambda a, b: F.explode(F.array(F.struct(F.col(a).alias("src"), F.col(b).alias("dst")), F.struct(F.col(b).alias("src"), F.col(a).alias("dst")))).alias("e")
+    start = cut(pairs.select(ways("src", "dst")).select("e.*").distinct(), "edges")  # links in both directions
+    now, before, owned = start.where("src <> dst"), None, None
+    mark = _mark(now)
     while mark != before and mark[0]:
         hub = _hub(now, mark[0])
-        both = now.select("src", "dst").union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        large = with_least(both, hub).where("dst > src").select(F.col("dst").alias("src"), F.least("m", "src").alias("dst")).where("src <> dst").distinct()
-        small = with_least(large, hub).select(
-            F.explode(F.array(F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")), F.struct("src", F.col("m").alias("dst")))).alias("e")
-        )
-        after = cut(small.select("e.src", "e.dst").where("src <> dst").distinct(), "stars")
+        large = with_least(now, hub).where("dst > src").select(F.col("dst").alias("src"), F.least("m", "src").alias("dst"))
+        large = cut(large.where("src <> dst").distinct(), "large-stars")
+        small = with_least(large, hub)
+        pulled = F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for x in ("src", "dst") for a, b in ((x, "m"), ("m", x))])
+        after = cut(small.select(F.explode(pulled).alias("e")).select("e.*").where("src <> dst").distinct(), "stars")
         before, mark = mark, _mark(after)
+        drop(large)
         if owned is not None:
             drop(owned)
         now = owned = after
-    return vertices.join(now.select(F.col("src").alias("id"), F.col("dst").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    least = now.where("dst < src").select(F.col("src").alias("id"), F.col("dst").alias("component"))
+    return start.select(F.col("src").alias("id")).distinct().join(least, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
