@@ -2,6 +2,10 @@
 
 ``STAGES`` lists (name, function). A function takes ``(spark, docs, sf_dir)`` and returns a frame; all but the last return
 the columns of ``documents``. :func:`run` writes each result as Parquet in the shared folder and rereads it for the next.
+
+Every stage keeps the columns as they are, takes empty tables and null texts and ids, and treats repeated rows alike: toxicity
+keeps texts without a token, exact dedup counts a null text as empty and lets a null ``doc_id`` lose against any other, near
+dedup keeps rows without words or ``doc_id``, decontamination keeps texts without words, and bpe gives null texts no tokens.
 """
 
 from __future__ import annotations
@@ -9,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm import bpe, decontaminate, filters, toxicity
+from lattica.llm._text import release_heap
 from lattica.llm.queries import vocabulary_path
 from lattica.plans.lineage import cut
 
@@ -20,21 +25,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest ``doc_id``."""
+    release_heap(spark)
     return filters.drop_repeats(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    release_heap(spark)
     return filters.drop_near_copies(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ``benchmark``."""
+    release_heap(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text."""
+    release_heap(spark)
     return bpe.encode_decode(docs, vocabulary_path())
 
 
@@ -46,7 +55,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Trained models and tokenisation are beyond SQL; tests compare run() with a brute-force version.
+#: Trained models and tokenisation are beyond SQL; tests compare run() with brute-force versions of the stages.
 ORACLE_SQL = None
 
 
