@@ -53,7 +53,7 @@ def d12_distinct_with_retraction(spark, sf_dir):
 
 @query("SELECT event_type AS key, count(*) AS n FROM events GROUP BY event_type")
 def s14_state_ttl(spark, sf_dir):
-    log = W.run_to_end(stateful.retracting_aggregates(stream_table(spark, sf_dir, "events"), "event_type", "value", ttl_ms=86_400_000))
+    log = W.run_to_end(stateful.retracting_aggregates(stream_table(spark, sf_dir, "events"), "event_type", "value", ttl_ms=86_400_000), once=True)
     return stateful.materialize(log.select("key", "n", "_op"))
 
 
@@ -116,9 +116,9 @@ def s17_async_lookup(spark, sf_dir):
 
 
 # time, state and timers
-@query("SELECT user_id AS key, CAST(epoch_ms(ts) AS BIGINT) AS ms, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS pos FROM events WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) FROM events)")
+@query("SELECT user_id AS key, epoch_us(ts) // 1000 AS ms, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS pos FROM events")
 def o03_stream_sort(spark, sf_dir):
-    """All rows that the last watermark, the largest time, has passed."""
+    """All rows: the last watermark is the largest time, and reaching a time is enough."""
     out = W.run_to_end(stateful.time_sort(stream_table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "value", "0 seconds"))
     return out.select("key", "ms", "id", "pos")
 
@@ -146,9 +146,9 @@ def s08_keyed_states(spark, sf_dir):
     return W.run_to_end(_keyed(spark, sf_dir)).drop("hi")
 
 
-@query("""WITH a AS (SELECT user_id, epoch_ms(ts) AS t, CASE WHEN epoch_ms(ts) > lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts)) + 600000 THEN 1 ELSE 0 END AS f FROM events),
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS t FROM events), a AS (SELECT user_id, t, CASE WHEN t > lag(t) OVER (PARTITION BY user_id ORDER BY t) + 600000 THEN 1 ELSE 0 END AS f FROM e),
 b AS (SELECT user_id, t, sum(f) OVER (PARTITION BY user_id ORDER BY t) AS g FROM a)
-SELECT user_id AS key, CAST(max(t) AS BIGINT) AS last_ms, count(*) AS n FROM b GROUP BY user_id, g HAVING max(t) + 600000 < (SELECT epoch_ms(max(ts)) FROM events) OR max(g) < (SELECT max(g) FROM b x WHERE x.user_id = b.user_id)""")
+SELECT user_id AS key, CAST(max(t) AS BIGINT) AS last_ms, count(*) AS n FROM b GROUP BY user_id, g HAVING max(t) + 600000 <= (SELECT max(t) FROM e) OR max(g) < (SELECT max(g) FROM b x WHERE x.user_id = b.user_id)""")
 def s11_timers(spark, sf_dir):
     """Pauses of more than ten minutes, from timers that each new row moves."""
     return W.run_to_end(stateful.inactivity(stream_table(spark, sf_dir, "events"), "user_id", "ts", 600_000, "0 seconds"))

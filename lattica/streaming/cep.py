@@ -322,12 +322,14 @@ class _Stream(StatefulProcessor):
         if self.state.exists():
             runs, matcher.n, matcher.blocked, last = self.state.get()
             matcher.runs = [Run(*r) for r in pickle.loads(runs)]
-        frame = pd.concat(list(rows)).sort_values(["__time", "__id"], kind="stable")
+        frame = pd.concat(list(rows)).sort_values(["in_time", "in_id"], kind="stable")
         out = []
-        for event in frame.to_dict("records"):
-            if event["__time"] < last:  # behind what was matched already
+        times = frame["in_time"].tolist()
+        frame = frame[[c for c in frame.columns if c.startswith("e_")]].rename(columns=lambda c: c[2:])
+        for time, event in zip(times, frame.to_dict("records"), strict=True):
+            if time < last:  # behind what was matched already
                 continue
-            last = event["__time"]
+            last = time
             found, expired = matcher.feed(event, last)
             for run in expired if self.timeouts else found:
                 made = self.row(run.events)
@@ -350,7 +352,6 @@ def match_stream(stream: DataFrame, pattern: Pattern, key: str, ts: str, ident:
     pattern.validate()
     _key(stream, key)
     time = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    rows = stream.select(*stream.columns, time.alias("__time"), F.col(ident).alias("__id"))
-    rows = rows.select(*[c for c in rows.columns if c != key], F.col(key), F.col(key).alias("__key"))
+    rows = stream.select(F.col(key).alias("key"), time.alias("in_time"), F.col(ident).alias("in_id"), *[F.col(c).alias(f"e_{c}") for c in stream.columns if c != key], F.coalesce(key, key).alias(f"e_{key}"))  # not the key's own column, which workers don't get twice
     processor = _Stream(cloudpickle.dumps(pattern), cloudpickle.dumps(select), [part.strip().split()[0] for part in schema.split(",")], timeouts)
-    return rows.groupBy("__key").transformWithStateInPandas(processor, schema, "Append", "None")
+    return rows.groupBy("key").transformWithStateInPandas(processor, schema, "Append", "None")
