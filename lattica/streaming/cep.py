@@ -126,7 +126,8 @@ class Pattern:
 
 
 def _two(condition: Callable) -> Condition:
-    return condition if condition.__code__.co_argcount >= 2 else lambda e, m: condition(e)
+    needed = condition.__code__.co_argcount - len(condition.__defaults__ or ())
+    return condition if needed >= 2 else lambda e, m: condition(e)
 
 
 @dataclasses.dataclass
