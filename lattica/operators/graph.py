@@ -89,6 +89,22 @@ def pregel(vertices: DataFrame, edges: DataFrame, message: Column, combine: Colu
     return now.select("id", "value")
 
 
+def scatter_gather(vertices: DataFrame, edges: DataFrame, message: Column, combine: Column, apply: Column) -> DataFrame:
+    """One superstep: every vertex sends ``message`` (over ``value``) along its out-edges, targets ``combine`` the column
+    ``msg`` and ``apply`` it (over ``value`` and ``msg``). Vertices without a message keep their value."""
+    sent = edges.select("src", "dst").join(vertices.select(F.col("id").alias("src"), "value"), "src").select(F.col("dst").alias("id"), message.alias("msg"))
+    got = sent.groupBy("id").agg(combine.alias("msg"))
+    return vertices.join(got, "id", "left").select("id", F.when(F.col("msg").isNotNull(), apply).otherwise(F.col("value")).alias("value"))
+
+
+def gather_sum_apply(vertices: DataFrame, edges: DataFrame, gather: Column, total: Column, apply: Column) -> DataFrame:
+    """One superstep: over each edge ``gather`` (of ``neighbor``, its target's value), ``total`` of the column ``gathered`` by
+    source, and ``apply`` (over ``value`` and ``summed``)."""
+    near = edges.select("src", "dst").join(vertices.select(F.col("id").alias("dst"), F.col("value").alias("neighbor")), "dst")
+    summed = near.select(F.col("src").alias("id"), gather.alias("gathered")).groupBy("id").agg(total.alias("summed"))
+    return vertices.join(summed, "id", "left").select("id", F.when(F.col("summed").isNotNull(), apply).otherwise(F.col("value")).alias("value"))
+
+
 def sssp(edges: DataFrame, source: int, max_steps: int | None = None) -> DataFrame:
     """Weighted shortest distances from ``source``; vertices out of reach have infinity."""
     start = vertices_of(edges).select("id", F.when(F.col("id") == source, 0.0).otherwise(float("inf")).alias("value"))
@@ -246,48 +262,72 @@ def _edges(spark: SparkSession, n: int, targets: Callable[[Column], list[Column]
     return spark.range(n).select(i.alias("src"), F.explode(F.array(*targets(i))).alias("dst"))
 
 
+def _least(name: str, value: int, least: int) -> None:
+    if value < least:
+        raise ValueError(f"{name} must be at least {least}")
+
+
 def complete_graph(spark: SparkSession, n: int) -> DataFrame:
+    _least("the vertex count", n, 2)
     return spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("dst")).where("src <> dst")
 
 
 def cycle_graph(spark: SparkSession, n: int) -> DataFrame:
+    _least("the vertex count", n, 3)
     return circulant_graph(spark, n, [1])
 
 
 def circulant_graph(spark: SparkSession, n: int, offsets: list[int]) -> DataFrame:
+    _least("the vertex count", n, 2)
+    for offset in offsets:
+        _least("an offset", offset, 1)
+        if offset >= n:
+            raise ValueError("an offset must be less than the vertex count")
     return _edges(spark, n, lambda i: [F.pmod(i + s * o, F.lit(n)) for o in offsets for s in (1, -1)]).distinct()
 
 
 def path_graph(spark: SparkSession, n: int) -> DataFrame:
+    _least("the vertex count", n, 2)
     return _edges(spark, n, lambda i: [i - 1, i + 1]).where(f"dst >= 0 AND dst < {n}")
 
 
 def star_graph(spark: SparkSession, n: int) -> DataFrame:
+    _least("the vertex count", n, 2)
     leaves = spark.range(1, n)
     return leaves.select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")).union(leaves.select(F.col("id"), F.lit(0).cast("long")))
 
 
 def grid_graph(spark: SparkSession, rows: int, columns: int) -> DataFrame:
+    _least("a dimension", min(rows, columns), 2)
     moves = _edges(spark, rows * columns, lambda i: [F.when(i % columns > 0, i - 1), F.when(i % columns < columns - 1, i + 1), i - columns, i + columns])
     return moves.where(f"dst IS NOT NULL AND dst >= 0 AND dst < {rows * columns}")
 
 
 def hypercube_graph(spark: SparkSession, dimensions: int) -> DataFrame:
+    _least("the number of dimensions", dimensions, 1)
     return _edges(spark, 1 << dimensions, lambda i: [i.bitwiseXOR(F.lit(1 << d).cast("long")) for d in range(dimensions)])
 
 
 def echo_graph(spark: SparkSession, n: int, degree: int) -> DataFrame:
-    """A regular graph of even ``degree``: near neighbours and their mirror across the ring."""
-    half = degree // 2
-    return _edges(spark, n, lambda i: [F.pmod(i + s * (n // 2 - k), F.lit(n)) for k in range(half) for s in (1, -1)]).where("src <> dst").distinct()
+    """A regular graph: each vertex is linked with the ``degree`` vertices that lie opposite to it on the ring."""
+    _least("the vertex count", n, 2)
+    _least("the vertex degree", degree, 1)
+    if degree >= n:
+        raise ValueError("the vertex degree must be less than the vertex count")
+    if (n % 2 == 0) == (degree % 2 == 0):
+        raise ValueError("either the vertex count or the vertex degree must be even, but not both")
+    first = (n - degree + 1) // 2
+    return _edges(spark, n, lambda i: [F.pmod(i + first + k, F.lit(n)) for k in range(degree)])
 
 
 def empty_graph(spark: SparkSession, n: int) -> DataFrame:
     """Vertices without edges."""
+    _least("the vertex count", n, 0)
     return spark.range(n)
 
 
 def singleton_edge_graph(spark: SparkSession, pairs: int) -> DataFrame:
+    _least("the number of pairs", pairs, 1)
     return spark.range(2 * pairs).select(F.col("id").alias("src"), F.col("id").bitwiseXOR(F.lit(1).cast("long")).alias("dst"))
 
 

@@ -123,6 +123,45 @@ def insert_into(spark: SparkSession, df: DataFrame, table: str) -> None:
     df.write.insertInto(table)
 
 
+class Catalog:
+    """Tables of one database: make, list, read, alter and drop. As a context, the database lives as long as the session needs
+    its frames; its table names are dropped at the end and the files stay, so that frames made inside remain readable."""
+
+    def __init__(self, spark: SparkSession, database: str):
+        self.spark, self.database = spark, database
+
+    def __enter__(self) -> Catalog:
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.sql(f"DROP DATABASE {self.database} CASCADE")
+
+    def create(self, name: str, schema: str, path: str, properties: dict[str, str] | None = None, format: str = "parquet") -> None:
+        """An external table over a folder."""
+        listed = ", ".join(f"'{k}' = '{v}'" for k, v in (properties or {}).items())
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.database}.{name}")
+        self.spark.sql(f"CREATE TABLE {self.database}.{name} ({schema}) USING {format} LOCATION '{path}'" + (f" TBLPROPERTIES ({listed})" if listed else ""))
+
+    def alter(self, name: str, properties: dict[str, str]) -> None:
+        self.spark.sql(f"ALTER TABLE {self.database}.{name} SET TBLPROPERTIES ({', '.join(f'{k!r} = {v!r}' for k, v in properties.items())})")
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {self.database}.{name}")
+
+    def tables(self) -> list[str]:
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database))
+
+    def properties(self, name: str) -> dict[str, str]:
+        return {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.database}.{name}").collect()}
+
+    def table(self, name: str) -> DataFrame:
+        """The table's files as they are now."""
+        location = next(r["data_type"] for r in self.spark.sql(f"DESCRIBE EXTENDED {self.database}.{name}").collect() if r["col_name"] == "Location")
+        table = self.spark.table(f"{self.database}.{name}")
+        return self.spark.read.schema(table.schema).parquet(location)
+
+
 def for_each_interval(df: DataFrame, write: Callable[[DataFrame, int], None], interval: str, checkpoint: str):
     """A stream written by a function every ``interval``."""
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
