@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.functions.scalars import similar_to_pattern
+from lattica.plans import validation
 
 _INTERVAL = r"INTERVAL\s+'(\d+)'\s+([A-Za-z]+)"
 _COLUMN = r"([A-Za-z_][\w.]*)"
@@ -67,8 +68,24 @@ class _Groups:
         return self.groups[i - 1]
 
 
+#: What the strict rules call an operation, and how it looks in SQL.
+_OPERATIONS = {
+    "intersect": r"\bINTERSECT\b(?!\s+ALL)", "intersect_all": r"\bINTERSECT\s+ALL\b", "minus": r"\b(EXCEPT|MINUS)\b(?!\s+ALL)", "minus_all": r"\b(EXCEPT|MINUS)\s+ALL\b",
+    "union_distinct": r"\bUNION\b(?!\s+ALL)", "in_subquery": r"\bIN\s*\(\s*SELECT\b", "distinct_aggregate": r"\w\s*\(\s*DISTINCT\b", "grouping_sets": r"\b(GROUPING\s+SETS|CUBE|ROLLUP)\s*\(",
+    "fetch": r"\b(LIMIT|FETCH)\b", "offset": r"\bOFFSET\b",
+}
+
+
+def operations(text: str) -> set[str]:
+    """The operations of a query that the rules for streaming tables name."""
+    plain = "''".join(_quoted(text)[::2])
+    return {name for name, pattern in _OPERATIONS.items() if re.search(pattern, plain, re.I)}
+
+
 def sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
-    """Run a query in this dialect over named frames."""
+    """Run a query in this dialect over named frames; raises for what streaming tables don't support."""
+    for operation in sorted(operations(text)):
+        validation.check(operation, *tables.values())
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     return spark.sql(rewrite(text))

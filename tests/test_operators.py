@@ -323,3 +323,13 @@ def test_iterations_that_do_not_end_raise(spark):
     ring = edges(spark, [(1, 2), (2, 3), (3, 1)]).withColumn("value", F.lit(-1.0))
     with pytest.raises(RuntimeError, match="still change"):
         G.sssp(ring, 1, max_steps=4)
+
+
+def test_queries_over_streams_are_checked(spark):
+    stream, table = spark.readStream.format("rate").load(), spark.range(3).withColumnRenamed("id", "value")
+    for text in ("SELECT value FROM v INTERSECT SELECT value FROM v", "SELECT value FROM v UNION SELECT value FROM v", "SELECT count(DISTINCT value) FROM v", "SELECT value FROM v LIMIT 3", "SELECT value FROM v WHERE value IN (SELECT value FROM v)", "SELECT count(*) FROM v GROUP BY CUBE (value)"):
+        with pytest.raises(validation.UnsupportedStreamingOp):
+            dialect.sql(spark, text, v=stream)
+        dialect.sql(spark, text, v=table)
+    assert dialect.operations("SELECT 'UNION LIMIT' AS x FROM v UNION ALL SELECT 'a' FROM v") == set()
+    assert dialect.sql(spark, "SELECT value FROM v UNION ALL SELECT value FROM v", v=stream).isStreaming
