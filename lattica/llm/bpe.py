@@ -10,7 +10,8 @@ right of each merge move to the lists of their new ranks; nothing else is looked
 pairs of higher rank (checked when the vocabulary loads), so the ranks come in ascending order for every word at once, and a
 word of any length takes time in proportion to its merges.
 
-Results are kept per piece in a dictionary of bounded size for the length of a task, so frequent pieces are encoded once.
+Results are kept per piece for the length of a task, in two dictionaries of bounded size of which the one that is older goes
+when the other is full, so frequent pieces are encoded once.
 
 Defined cases: null text is empty text, with 0 tokens and the hashes of empty strings; the strings of special tokens in a
 text become those tokens; texts of any length are encoded whole; repeated rows are encoded alike; other columns aren't read.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm._text import blocks, bounded_batches, lean
 
-CACHE_PIECES = 50_000
+CACHE_PIECES = 200_000
 BLOCK_BYTES = 512 << 10
 #: Symbols that share a pair index: more are no faster, as the index then outgrows a processor's cache.
 INDEX_BYTES = 32 << 10
@@ -90,6 +91,9 @@ class Vocabulary:
         self.last = np.array([self.ids.get(c + END, -1) for c in shown], np.int64)
         top = max(self.tokens) + 1
         self.id_text, self.token_text = [str(i) for i in range(top)], [self.tokens.get(i, "") for i in range(top)]
+        # with a line feed behind the tokens that end a word; no token holds one, as bytes are printable characters
+        ends = ["\n" * t.endswith(END) for t in self.token_text]
+        self.id_line, self.token_line = ([t + e for t, e in zip(texts, ends, strict=True)] for texts in (self.id_text, self.token_text))
         del self.ids, self.tokens
         self.special_pattern = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
@@ -202,6 +206,14 @@ class Vocabulary:
                     else:
                         own.append(near)
 
+    @staticmethod
+    def lines(line: list[str], text: list[str], flat: list[int], bounds: list[int]) -> list[str]:
+        """The texts of each word's ids, joined by one space: one join over all words, split where they end."""
+        out = " ".join(map(line.__getitem__, flat)).removesuffix("\n").split("\n ") if flat else []
+        if len(out) != len(bounds) - 1:  # a vocabulary without some byte, where a word may have no end or nothing at all
+            out = [" ".join([text[i] for i in flat[a:b]]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space, as the file names no decoder."""
         return " ".join([self.token_text[i] for i in ids])
@@ -225,6 +237,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.ids, self.shown, self.pattern = vocabulary, {}, {}, vocabulary.pieces
+        self.older: tuple[dict[str, str], dict[str, str]] = {}, {}  # pieces that weren't used lately
         self.unassigned, self.plain = vocabulary.unassigned, set()
 
     def chunks(self, text: str) -> list[str]:
@@ -250,10 +263,7 @@ class Encoder:
             for w in ws:
                 place.setdefault(w, len(place))
         flat, bounds = v.sweep(list(place))
-        texts = list(map(v.id_text.__getitem__, flat))
-        ids = [" ".join(texts[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-        texts = list(map(v.token_text.__getitem__, flat))
-        shown = [" ".join(texts[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        ids, shown = v.lines(v.id_line, v.id_text, flat, bounds), v.lines(v.token_line, v.token_text, flat, bounds)
         self.ids.update(zip(whole, ids, strict=False))
         self.shown.update(zip(whole, shown, strict=False))
         for c, ws in split:
@@ -275,9 +285,12 @@ class Encoder:
             else:
                 parts.append(self.chunks(text))
         wanted = set().union(*parts) if parts else set()
-        if len(self.ids) + len(wanted) > CACHE_PIECES:  # what this block uses stays
-            self.ids, self.shown = ({c: kept[c] for c in wanted if c in kept} for kept in (self.ids, self.shown))
+        if len(self.ids) + len(wanted) > CACHE_PIECES // 2:
+            self.older, self.ids, self.shown = (self.ids, self.shown), {}, {}
         missing = wanted.difference(self.ids)
+        for own, older in zip((self.ids, self.shown), self.older, strict=True):
+            own.update({c: older[c] for c in missing if c in older})
+        missing.difference_update(self.older[0])
         marks = {c for c in missing if c[0] == "\n"}
         self.learn(missing - marks)
         for c in marks:
