@@ -10,7 +10,7 @@ right of each merge move to the lists of their new ranks; nothing else is looked
 pairs of higher rank (checked when the vocabulary loads), so the ranks come in ascending order for every word at once, and a
 word of any length takes time in proportion to its merges.
 
-Results are kept per piece for the length of a task, in two dictionaries of bounded size of which the one that is older goes
+Results are kept per piece for the life of a worker, in two dictionaries of bounded size of which the one that is older goes
 when the other is full, so frequent pieces are encoded once.
 
 Defined cases: null text is empty text, with 0 tokens and the hashes of empty strings; the strings of special tokens in a
@@ -301,12 +301,12 @@ class Encoder:
         return [(" ".join(filter(None, map(ids, p))), " ".join(filter(None, map(shown, p)))) for p in parts]
 
 
-def _vocabulary(content: str) -> Vocabulary:
-    """One vocabulary per worker process; encoders, which keep pieces, live for one task."""
+def _encoder(content: str) -> Encoder:
+    """One encoder per worker process and vocabulary, so that later tasks find the pieces of earlier ones."""
     kept = sys.__dict__.setdefault("_lattica_bpe", {})
     key = hash(content)
     if key not in kept:
-        kept[key] = Vocabulary(content)
+        kept[key] = Encoder(Vocabulary(content))
     return kept[key]
 
 
@@ -347,7 +347,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False)
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(_vocabulary(shared.value))
+        encoder = _encoder(shared.value)
         gc.disable()  # no cycles here, only many strings, which a collection would walk through again and again
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
