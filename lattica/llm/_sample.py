@@ -26,8 +26,8 @@ def sample(rows: DataFrame, n: int, by: str | None = None, seed: int = 7) -> Dat
 def with_texts(docs: DataFrame, picked: DataFrame, rows: int, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The texts of a bounded sample (at most ``rows`` rows of ``doc_id`` and other columns, which may be broadcast).
 
-    A repeated row of ``docs`` counts once and a ``doc_id`` with several texts with each; at most ``rows`` rows and about
-    ``max_bytes`` of text are taken, in an order by hash.
+    A ``doc_id`` with several texts counts with each; at most ``rows`` different rows and about ``max_bytes`` of text are taken,
+    in an order by hash. ``row`` is the same for repeated rows of ``docs``, of which training takes one (:func:`first_of`).
     """
     source = docs.select("doc_id", "text")
     text_hash = F.xxhash64("text").alias("__hash")
@@ -37,5 +37,14 @@ def with_texts(docs: DataFrame, picked: DataFrame, rows: int, max_bytes: int = M
     before = F.sum("__size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))  # a bounded number of rows
     kept = keys.where(F.col("__hash").isNotNull()).withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < max_bytes).drop("__before", "__size")
     found = source.withColumn("__hash", F.xxhash64("text")).join(F.broadcast(kept), ["doc_id", "__hash"])
-    columns = [c for c in kept.columns if c != "__hash"]
-    return found.groupBy(*columns, "__hash").agg(F.first("text").alias("text")).drop("__hash")
+    return found.select(*[c for c in kept.columns if c != "__hash"], "text", F.xxhash64("doc_id", "__hash").alias("row"))
+
+
+def first_of(rows: list, seen: set) -> list[int]:
+    """Where rows stand that weren't seen before; remembers them."""
+    out = []
+    for i, row in enumerate(rows):
+        if row not in seen:
+            seen.add(row)
+            out.append(i)
+    return out

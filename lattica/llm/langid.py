@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm._sample import MAX_BYTES, fold, sample, with_texts
+from lattica.llm._sample import MAX_BYTES, first_of, fold, sample, with_texts
 from lattica.llm._text import U, blocks, bounded_batches, lean
 
 BUCKETS = 1 << 16
@@ -52,7 +52,9 @@ def _clean(text: str | None) -> str:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
+    seen: set[int] = set()
     for batch in batches:
+        batch = batch.take(pa.array(first_of(batch.column(2).to_pylist(), seen), pa.int64()))
         texts, langs = [_clean(t) for t in batch.column(0).to_pylist()], batch.column(1).to_pylist()
         for lang in sorted(set(langs)):
             own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
@@ -81,7 +83,7 @@ def train(docs: DataFrame, max_rows: int = 4000, max_bytes: int = MAX_BYTES, smo
     rows = rows.select("doc_id", F.col("lang").alias("label"))
     held = dict(rows.groupBy("label").count().collect())  # one row a language
     picked = sample(rows, max_rows, "label")
-    texts = with_texts(docs, picked, max_rows * max(1, len(held)), max_bytes).select("text", "label").repartition(8)
+    texts = with_texts(docs, picked, max_rows * max(1, len(held)), max_bytes).select("text", "label", "row").repartition(8, "row")
     counts = texts.mapInArrow(lean(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang, bucket, n = (counts[c].to_numpy() for c in ("lang", "bucket", "n"))
     langs = sorted(set(lang.tolist()))

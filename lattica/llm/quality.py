@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm._sample import MAX_BYTES, fold, sample, with_texts
+from lattica.llm._sample import MAX_BYTES, first_of, fold, sample, with_texts
 from lattica.llm._text import BY_LETTER, BY_SPACE, U, Words, blocks, bounded_batches, folded, lean, mix
 
 WORD_BUCKETS = 1 << 16
@@ -116,13 +116,16 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 own = [np.unique(b[bounds[i] : bounds[i + 1]], return_counts=True) for b, bounds in parts]
                 buckets.append(np.concatenate([own[0][0], own[1][0], bins[i]]).astype(np.int32).tobytes())
                 values.append(np.concatenate([own[0][1] / max(1, own[0][1].sum()), own[1][1] / max(1, own[1][1].sum()), [1.0, 1.0]]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(buckets, pa.binary()), pa.array(values, pa.binary())], names=["grade", "buckets", "amounts"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(buckets, pa.binary()), pa.array(values, pa.binary()), batch.column(2).slice(lo, hi - lo)], names=["grade", "buckets", "amounts", "row"])
 
 
 def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grades: list[int] = []
     rows: list[tuple[np.ndarray, np.ndarray]] = []
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
+        keys = list(zip(batch.column(3).to_pylist(), batch.column(0).to_pylist(), strict=True))  # a row may have several grades
+        batch = batch.take(pa.array(first_of(keys, seen), pa.int64()))
         grades += batch.column(0).to_pylist()
         rows += [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float64)) for i, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
     order = sorted(range(len(grades)), key=lambda i: (grades[i], rows[i][0].tobytes(), rows[i][1].tobytes()))  # rows come in any order
@@ -134,8 +137,8 @@ def train(docs: DataFrame, ratings: DataFrame, max_rows: int = 8000, max_bytes:
     """Train on at most ``max_rows`` rows of ``ratings`` (``doc_id, grade`` from 0) outside the held-out fold."""
     bounded_batches(docs.sparkSession)
     usable = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade >= 0").where(fold(5) != 0)
-    rows = with_texts(docs, sample(usable, max_rows), max_rows, max_bytes).select("text", "grade")
-    state = rows.mapInArrow(lean(_feature_rows), "grade int, buckets binary, amounts binary").repartition(1).mapInArrow(lean(_fit_rows), "model binary").first()
+    rows = with_texts(docs, sample(usable, max_rows), max_rows, max_bytes).select("text", "grade", "row")
+    state = rows.mapInArrow(lean(_feature_rows), "grade int, buckets binary, amounts binary, row long").repartition(1).mapInArrow(lean(_fit_rows), "model binary").first()
     return Model(**pickle.loads(state["model"])) if state else fit(np.zeros(0, int), [])
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm._sample import MAX_BYTES, fold, sample, with_texts
+from lattica.llm._sample import MAX_BYTES, first_of, fold, sample, with_texts
 from lattica.llm._text import BY_LETTER, U, Words, blocks, bounded_batches, folded, lean, mix
 
 BUCKETS = 1 << 18
@@ -237,12 +237,14 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Words(texts[lo:hi], BY_LETTER)
             found = features(words)
             rows = [np.ascontiguousarray(found[:, a:b]).tobytes() for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo).cast(pa.int32()), pa.array(rows, pa.binary())], names=["toxic", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo).cast(pa.int32()), pa.array(rows, pa.binary()), batch.column(2).slice(lo, hi - lo)], names=["toxic", "tokens", "row"])
 
 
 def _fit_rows(batches: Iterator[pa.RecordBatch], max_chains: int) -> Iterator[pa.RecordBatch]:
     labels, tokens = [], []
+    seen: set[int] = set()
     for batch in batches:
+        batch = batch.take(pa.array(first_of(batch.column(2).to_pylist(), seen), pa.int64()))
         labels += batch.column(0).to_pylist()
         tokens += [np.frombuffer(t, np.int32).reshape(N_FEATURES, -1) for t in batch.column(1).to_pylist()]
     order = sorted(range(len(labels)), key=lambda i: (hashlib.blake2b(tokens[i].tobytes()).digest(), labels[i]))  # rows come in any order
@@ -256,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean:
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(fold(5) != 0)
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = sample(usable.where("toxic = 1"), max_toxic).union(sample(usable.where("toxic = 0"), max_clean))
-    rows = with_texts(docs, picked, max_toxic + max_clean, max_bytes).select("text", "toxic").mapInArrow(lean(_token_rows), "toxic int, tokens binary")
+    rows = with_texts(docs, picked, max_toxic + max_clean, max_bytes).select("text", "toxic", "row").mapInArrow(lean(_token_rows), "toxic int, tokens binary, row long")
     state = rows.repartition(1).mapInArrow(lean(lambda batches: _fit_rows(batches, max_chains)), "model binary").first()
     return Model(**pickle.loads(state["model"])) if state else fit(np.zeros(0, int), [])
 
