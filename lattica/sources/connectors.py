@@ -150,7 +150,7 @@ class Catalog:
         self.spark.sql(f"DROP TABLE {self.database}.{name}")
 
     def tables(self) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(self.database))
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary)
 
     def properties(self, name: str) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.database}.{name}").collect()}
