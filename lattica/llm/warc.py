@@ -9,7 +9,8 @@ A revisit is resolved when its first usable validator agrees: ``ETag`` (weak mar
 the payload digest. The result's headers are the response's, replaced by those of the revisit that a 304 may update.
 
 Defined cases: a response at the same time is not earlier; of several at one time the largest ``record_id`` counts; null
-URLs and null times match nothing; a validator counts only where both sides have it; without any, ``unverified``; repeated
+URLs and null times match nothing; of a repeated ``record_id`` the headers that are largest as JSON count; URLs and headers of any
+length are taken whole; a validator counts only where both sides have it; without any, ``unverified``; repeated
 rows are each resolved; null headers are empty; empty tables give empty results; further columns are not read.
 """
 
@@ -70,8 +71,8 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
     found = found.select("record_id", "canonical_url", "captured_at", hit["record_id"].alias("response_id"), reason.alias("reason"), hit["digest"].alias("digest"))
     found = found.withColumn("resolved", F.col("reason").isin("etag", "last-modified", "digest"))
     none = F.create_map().cast("map<string,string>")
-    held = records.where("kind = 'response'").groupBy(F.col("record_id").cast("long").alias("response_id")).agg(F.first("headers", ignorenulls=True).alias("stored"))
-    fresh = records.where("kind = 'revisit'").groupBy(F.col("record_id").cast("long").alias("record_id")).agg(F.first("headers", ignorenulls=True).alias("update"))
+    held = records.where("kind = 'response'").groupBy(F.col("record_id").cast("long").alias("response_id")).agg(F.max_by("headers", F.to_json("headers")).alias("stored"))
+    fresh = records.where("kind = 'revisit'").groupBy(F.col("record_id").cast("long").alias("record_id")).agg(F.max_by("headers", F.to_json("headers")).alias("update"))
     rows = found.join(fresh, "record_id", "left").join(held, "response_id", "left")
     allowed = F.map_filter(F.coalesce("update", none), lambda k, v: k.isin(PERMITTED) & v.isNotNull())
     base = F.map_filter(F.coalesce("stored", none), lambda k, _: ~F.map_contains_key(allowed, k))

@@ -617,3 +617,12 @@ def test_warc_against_brute_force(spark, ranges):
             merged = dict(hit[7] or {}) | {k: v for k, v in (headers or {}).items() if k in warc.PERMITTED}
             assert json.loads(got[i].headers) == merged
     assert warc.resolve_revisits(d.where("record_id < 0")).count() == 0
+
+
+def test_warc_repeated_records_and_long_values(spark):
+    schema = "record_id long, url string, captured_at long, kind string, etag string, last_modified string, digest string, headers map<string,string>"
+    long = "http://a.com/" + "p" * 100_000
+    rows = [(1, long, 1, "response", '"e"', None, "d", {"x": v}) for v in ("1", "3", "2")] + [(2, long, 5, "revisit", '"e"', None, "d", {"date": v * 100_000}) for v in "ab"]
+    for order in (rows, rows[::-1]):
+        got = warc.resolve_revisits(spark.createDataFrame(order, schema).repartition(3)).collect()
+        assert len(got) >= 2 and all(json.loads(r.headers) == {"x": "3", "date": "b" * 100_000} and r.response_id == 1 for r in got)
