@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, decontaminate, exact_dedup, html_extract, langid, near_dedup, quality, tool_calls, toxicity, warc
+from lattica.llm import alignment, bpe, decontaminate, exact_dedup, html_extract, langid, line_dedup, near_dedup, quality, tool_calls, toxicity, txlog, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,19 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_tool_calls, op4_warc_revisits, op5_exact_dedup, op6_toxicity, op7_quality, op8_bpe, op9_near_dedup, op10_langid)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
+
+
+def op12_transaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return txlog.reassemble(txlog.from_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_tool_calls, op4_warc_revisits, op5_exact_dedup, op6_toxicity, op7_quality, op8_bpe, op9_near_dedup, op10_langid, op11_alignment, op12_transaction_log, op13_line_dedup)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -113,4 +125,31 @@ e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.d
   GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
 r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b AS doc_id, r.root FROM r JOIN e ON r.doc_id = e.a)
 SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(root) AS component_id, r.doc_id = min(root) AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op12_transaction_log": """
+WITH crc_table AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+crc AS MATERIALIZED (SELECT s, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT doc_id::VARCHAR AS s FROM documents WHERE doc_id IS NOT NULL), crc_table),
+log AS MATERIALIZED (
+  SELECT doc_id AS seq, source AS src, h % 23 AS r, (h // 100) % 300 AS key, CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) THEN text END AS text
+  FROM documents JOIN crc ON s = doc_id::VARCHAR),
+txns AS (SELECT *, coalesce(sum((r <= 2)::INT) OVER (PARTITION BY src ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS txn FROM log),
+walks AS (SELECT *, sum(CASE WHEN r IN (3, 4) THEN 1 WHEN r IN (5, 6) THEN -1 ELSE 0 END) OVER (PARTITION BY src, txn ORDER BY seq) AS walk FROM txns),
+depths AS (SELECT *, walk - least(0, min(walk) OVER (PARTITION BY src, txn ORDER BY seq)) AS depth FROM walks),
+levels AS (SELECT *, CASE WHEN r IN (5, 6) THEN coalesce(lag(depth) OVER (PARTITION BY src, txn ORDER BY seq), 0) ELSE depth END AS level,
+  max(CASE WHEN r <= 2 THEN seq END) OVER (PARTITION BY src, txn) AS ended, max(CASE WHEN r <= 2 THEN r END) OVER (PARTITION BY src, txn) AS how FROM depths),
+fate AS MATERIALIZED (SELECT * FROM (SELECT *, min(CASE WHEN r IN (5, 6) THEN seq END) OVER (PARTITION BY src, txn, level ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS undone FROM levels) WHERE r > 6),
+done AS (SELECT seq, (row_number() OVER (ORDER BY seq) - 1) // 4 + 1 AS epoch FROM log WHERE r <= 1),
+alive AS (SELECT epoch, done.seq AS committed, fate.seq, key, text FROM fate JOIN done ON undone IS NULL AND how <= 1 AND ended = done.seq),
+last_writes AS (SELECT * FROM alive QUALIFY row_number() OVER (PARTITION BY epoch, key ORDER BY committed DESC, seq DESC) = 1),
+marks AS MATERIALIZED (SELECT epoch, key, CASE WHEN text IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(key || ':' || text)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) END AS mark FROM last_writes, crc_table),
+moves AS (SELECT epoch, (mark IS NOT NULL)::BIGINT - (lag(mark) OVER w IS NOT NULL)::BIGINT AS dn, coalesce(mark, 0) - coalesce(lag(mark) OVER w, 0) AS dv FROM marks WINDOW w AS (PARTITION BY key ORDER BY epoch))
+SELECT 'state' AS kind, epoch AS id, (sum(n) OVER (ORDER BY epoch))::BIGINT AS n, (sum(v) OVER (ORDER BY epoch))::BIGINT AS value
+FROM (SELECT epoch, coalesce(sum(dn), 0) AS n, coalesce(sum(dv), 0) AS v FROM (SELECT DISTINCT epoch FROM done) LEFT JOIN moves USING (epoch) GROUP BY epoch)
+UNION ALL SELECT CASE WHEN undone IS NOT NULL THEN 'rollback' ELSE 'abort' END, seq, coalesce(undone, ended), key::BIGINT FROM fate WHERE undone IS NOT NULL OR how IS NULL OR how = 2""",
+    "op13_line_dedup": rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents),
+k AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM l),
+f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id""",
 }
