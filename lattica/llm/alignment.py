@@ -21,8 +21,10 @@ document of its own, rows with equal or null ``doc_id`` too. An empty table give
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,7 @@ class Tokenizers:
     """Both encoders, and each token's bytes by id."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks have one core, and a pool of threads its own memory each
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -69,6 +72,9 @@ class Tokenizers:
         if any("▁" in p.lstrip("▁") for p, _ in pieces):
             raise ValueError("a piece of B has a space behind another character, so segments would not be independent")
         self.sizes_a, self.sizes_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
+        # The names of all tokens as they stand in a list of groups: A's within a group, A's last of one, B's within, B's last.
+        names = [b"%d" % i + end for ids, ends in ((self.bytes_a, (b",", b"|")), (self.bytes_b, (b",", b";"))) for end in ends for i in range(len(ids))]
+        self.names, self.name_sizes = np.array([*names, None], object)[:-1], np.fromiter(map(len, names), np.int64, len(names))
 
     def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of segments that begin with a space, which B adds itself."""
@@ -84,7 +90,7 @@ def segments_of(text: str) -> list[str]:
 
 
 def _flat(ids: list[list[int]]) -> np.ndarray:
-    return np.fromiter((i for x in ids for i in x), np.int64, sum(map(len, ids)))
+    return np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
 
 
 def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,8 +123,6 @@ class _Aligned:
         self.good = np.zeros(0, bool)
         self.groups: list[bytes] = []
         self.link_at, self.link = np.zeros(1, np.int64), np.zeros(0, np.int64)
-        names_a, names_b = ([b"%d" % i for i in range(len(x))] for x in (tokenizers.bytes_a, tokenizers.bytes_b))
-        self.inner, self.last = ([np.array([*(n + x for n in names), None], object)[:-1] for names, x in zip((names_a, names_b), ends)] for ends in ((b",", b","), (b"|", b";")))
 
     def numbers(self, segments: list[str]) -> np.ndarray:
         """The numbers of segments; those not seen before are encoded and aligned together."""
@@ -134,11 +138,19 @@ class _Aligned:
 
     def _add(self, segments: list[str]) -> None:
         t = self.tokenizers
-        ids_a, ids_b = t.encode(segments)
+        ids = t.encode(segments)
+        sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in ids]
+        a, b = map(_flat, ids)
         raw = [s.encode("utf-8", "surrogatepass") for s in segments]
-        good = np.array([b"".join(t.bytes_a[a].tolist()) == r == b"".join(t.bytes_b[b].tolist()) for a, b, r in zip(ids_a, ids_b, raw)], bool)
-        a, b = (_flat([x for x, g in zip(ids, good) if g]) for ids in (ids_a, ids_b))
-        sizes = [np.array([len(x) if g else 0 for x, g in zip(ids, good)], np.int64) for ids in (ids_a, ids_b)]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        good = np.ones(len(raw), bool)
+        for x, n, of, token_bytes in ((a, sizes[0], t.sizes_a, t.bytes_a), (b, sizes[1], t.sizes_b, t.bytes_b)):
+            found = np.diff(_before(of[x])[_before(n)])
+            if (found != lengths).any() or b"".join(token_bytes[x].tolist()) != b"".join(raw):  # rare: look at each
+                at = _before(n).tolist()
+                good &= [b"".join(token_bytes[x[lo:hi]].tolist()) == r for lo, hi, r in zip(at[:-1], at[1:], raw)]
+        a, b = a[np.repeat(good, sizes[0])], b[np.repeat(good, sizes[1])]
+        sizes = [n * good for n in sizes]
         ends_a, ends_b = np.cumsum(t.sizes_a[a]), np.cumsum(t.sizes_b[b])
         _, own_a, own_b, closes_a, closes_b = overlaps(ends_a, ends_b)
         of_a = np.repeat(np.arange(len(segments)), sizes[0])
@@ -151,11 +163,12 @@ class _Aligned:
         self.counts = {c: np.concatenate([self.counts[c], new[c]]) for c in _PER_DOC}
         self.good = np.concatenate([self.good, good])
         # Names in the order of groups, A's tokens before B's.
-        names = np.empty(len(a) + len(b), object)
-        names[np.arange(len(a)) + _before(in_b)[group_a]] = np.where(closes_a, self.last[0][a], self.inner[0][a])
-        names[np.arange(len(b)) + _before(in_a)[1:][group_b]] = np.where(closes_b, self.last[1][b], self.inner[1][b])
-        at = _before(sizes[0] + sizes[1])
-        self.groups += [b"".join(names[lo:hi].tolist()) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist())]
+        name = np.empty(len(a) + len(b), np.int64)
+        name[np.arange(len(a)) + _before(in_b)[group_a]] = a + closes_a * len(t.bytes_a)
+        name[np.arange(len(b)) + _before(in_a)[1:][group_b]] = b + closes_b * len(t.bytes_b) + 2 * len(t.bytes_a)
+        text = b"".join(t.names[name].tolist())
+        at = _before(t.name_sizes[name])[_before(sizes[0] + sizes[1])].tolist()
+        self.groups += [text[lo:hi] for lo, hi in zip(at[:-1], at[1:])]
         pairs, which = np.unique(a[own_a] << 32 | b[own_b], return_inverse=True)
         number = self.pair_number
         added = [p for p in pairs.tolist() if p not in number]
