@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from lattica.plans.lineage import cut
+
 
 def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, rt: str, before: int, after: int, how: str = "inner") -> DataFrame:
     """Equi-join with ``left.lt BETWEEN right.rt - before AND right.rt + after`` (seconds).
@@ -41,13 +43,18 @@ def fixed_size_sample(df: DataFrame, k: int, seed: int = 0, replacement: bool =
 
 
 def zip_with_index(df: DataFrame, name: str = "index") -> DataFrame:
-    """Dense index in the frame's order: counts per partition give offsets, rows add their number within it."""
-    marked = df.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    counts = marked.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__p", before.alias("o"))  # one row a partition
-    within = F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33)
-    return marked.join(F.broadcast(offsets), "__p").withColumn(name, F.col("o") + within).drop("__p", "__m", "o")
+    """Dense index in the frame's order: counts per partition give offsets, rows add their number within it.
+
+    Rows are written once with their partition and number: executed a second time, a sorted frame would sample other ranges.
+    """
+    given = [F.col(f"`{c}`") for c in df.columns]
+    marked = cut(df.select(F.struct(*[c.alias(n) for c, n in zip(given, df.columns)]).alias("row"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")), "indexed")
+    counts = marked.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("p", before.alias("o"))  # one row a partition
+    within = F.col("m") - F.shiftleft(F.col("p").cast("long"), 33)
+    kept = [F.col(f"row.`{c}`").alias(c) for c in df.columns if c != name]
+    return marked.join(F.broadcast(offsets), "p").select(*kept, (F.col("o") + within).alias(name))
 
 
 def zip_with_unique_id(df: DataFrame, name: str = "id") -> DataFrame:

@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.plans import frame_queries, sql_queries
-from lattica.plans import stream_queries as stream_queries  # these two add their queries to those of frame_queries
+from lattica.plans import state_queries as state_queries  # these three add their queries to those of frame_queries
+from lattica.plans import stream_queries as stream_queries
 from lattica.plans import surface_queries as surface_queries
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:

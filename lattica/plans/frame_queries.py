@@ -253,16 +253,17 @@ def d29_count_per_partition(spark, sf_dir):
     return R.count_per_partition(df).select(F.col("partition").alias("part"), "n")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS index FROM orders")
+@query("SELECT o_orderkey, o_custkey, o_orderpriority, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS index FROM orders")
 def d30_zip_with_index(spark, sf_dir):
-    return R.zip_with_index(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")).select("o_orderkey", "index")
+    ordered = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return R.zip_with_index(ordered).drop("o_totalprice")
 
 
-@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS pos FROM customer")
+@query("SELECT c_custkey, c_name, c_mktsegment, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS pos FROM customer")
 def o01_order_by(spark, sf_dir):
     """A sort by ranges of the key; positions come from the counts of the ranges, not from one task."""
-    ordered = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey")
-    return R.zip_with_index(ordered, "pos").select("c_custkey", (F.col("pos") + 1).alias("pos"))
+    ordered = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_name", "c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
+    return R.zip_with_index(ordered, "pos").select("c_custkey", "c_name", "c_mktsegment", (F.col("pos") + 1).alias("pos"))
 
 
 @query("WITH RECURSIVE e AS (SELECT c_custkey AS src, -100 - c_nationkey AS dst FROM customer UNION SELECT 10000000000 + s_suppkey, -100 - s_nationkey FROM supplier UNION SELECT -100 - n_nationkey, -1 - n_regionkey FROM nation), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src, dst FROM c")
