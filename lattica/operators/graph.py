@@ -126,7 +126,7 @@ def community_detection(edges: DataFrame, steps: int = 10, delta: float = 0.5) -
     links = cut(undirected(edges), "links")
     state = vertices_of(edges).select("id", F.col("id").alias("label"), F.lit(1.0).alias("score"))
     for step in range(1, steps + 1):
-        votes = links.join(state.withColumnRenamed("id", "dst"), "dst").groupBy("src", "label").agg(F.sum("score").alias("total"), F.max("score").alias("best"))
+        votes = links.join(state.withColumnRenamed("id", "dst"), "dst").groupBy("src", "label").agg(F.round(F.sum("score"), 6).alias("total"), F.max("score").alias("best"))  # rounded, so that the order of the sum decides no tie
         won = votes.groupBy("src").agg(F.max(F.struct("total", "label", "best")).alias("m"))
         state = cut(won.join(state.withColumnRenamed("id", "src").withColumnRenamed("label", "old"), "src").select(F.col("src").alias("id"), F.col("m.label").alias("label"), F.when(F.col("m.label") == F.col("old"), F.col("m.best")).otherwise(F.col("m.best") - delta / step).alias("score")), "communities")
     return state

@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lattica.plans import analytics_queries as analytics_queries  # these four add their queries to those of frame_queries
 from lattica.plans import frame_queries, sql_queries
-from lattica.plans import state_queries as state_queries  # these three add their queries to those of frame_queries
+from lattica.plans import state_queries as state_queries
 from lattica.plans import stream_queries as stream_queries
 from lattica.plans import surface_queries as surface_queries
 

@@ -76,9 +76,8 @@ class Totals(StatefulProcessor):
             held["n"] += len(frame)
             if len(values):
                 held["s"] = (held["s"] or 0.0) + float(values.sum())
-                for f, pick in (("lo", min), ("hi", max)):
+                for f, pick, of in (("lo", min, float(values.min())), ("hi", max, float(values.max()))):
                     if f in held:
-                        of = float(values.agg(pick))
                         held[f] = of if held[f] is None else pick(held[f], of)
         state = tuple(held[f] for f in self.fields)
         self.acc.update(state)
