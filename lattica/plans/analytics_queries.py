@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import directed, graph
-from lattica.plans.frame_queries import query
-from lattica.session import read_table
+from lattica.operators import directed, graph, ml, sharded
+from lattica.plans.frame_queries import _scratch, query
+from lattica.session import read_table, stream_table
+from lattica.streaming import learning
 
 
 # directed graphs
@@ -69,3 +70,98 @@ def g10_community_detection(spark, sf_dir):
     """Communities of users and the hours in which they are active."""
     edges = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("src"), (-1 - F.hour("ts")).cast("long").alias("dst")).distinct()
     return graph.community_detection(edges, 4, 0.5).withColumn("score", F.round("score", 6))
+
+
+# sharded learning
+def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user"), F.substring("o_orderpriority", 1, 1).cast("long").alias("item"), (F.col("o_totalprice") / 100000).alias("rating"))
+
+
+@query("SELECT count(*) AS n, true AS close FROM orders")
+def g26_matrix_factorization(spark, sf_dir):
+    """Customers by priorities: the error over all orders is at most 5 % above that of alternating least squares of the same rank."""
+    r = _ratings(spark, sf_dir)
+    model = sharded.factorize(r, "user", "item", "rating", rank=4, epochs=6, blocks=3, rate=0.3, l2=0.01)
+    error = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("rating"), 2))).alias("e"))
+    ours = error(sharded.predict_ratings(r, model, "user", "item"))
+    theirs = error(ml.als(r.selectExpr("cast(user as int) user", "cast(item as int) item", "cast(rating as float) rating"), "user", "item", "rating", rank=4, steps=5)).select(F.col("e").alias("a"))
+    return ours.crossJoin(theirs).select("n", (F.col("e") <= 1.05 * F.col("a")).alias("close"))  # one row each
+
+
+@query("SELECT o_custkey AS user, rank, true AS same FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 100 = 0), (SELECT unnest([1, 2, 3]) AS rank)")
+def g26_best_items(spark, sf_dir):
+    """The three best items of every hundredth customer, from blocks, against all pairs."""
+    model = sharded.factorize(_ratings(spark, sf_dir), "user", "item", "rating", rank=4, epochs=1, blocks=3)
+    users = model.users.where("id % 100 = 0").select("id")
+    found = sharded.best_items(model, users, 3).select("user", "rank", "item")
+    pairs = users.select(F.col("id").alias("user")).crossJoin(model.items.select(F.col("id").alias("item")))
+    by = Window.partitionBy("user").orderBy(F.desc("prediction"), "item")
+    every = sharded.predict_ratings(pairs, model, "user", "item").withColumn("rank", F.row_number().over(by)).where("rank <= 3").select("user", "rank", F.col("item").alias("other"))
+    return found.join(every, ["user", "rank"], "full").select("user", "rank", F.col("item").eqNullSafe(F.col("other")).alias("same"))
+
+
+_C = 0.1
+
+
+def _shipped(orders: DataFrame) -> DataFrame:
+    """Orders as examples of the label fulfilled (1) or not (-1), in four shards."""
+    age = (F.year("o_orderdate") - 1995) / 3.0
+    return orders.where("o_totalprice is not null and o_orderdate is not null and o_orderstatus is not null").select((F.col("o_orderkey") % 4).alias("shard"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "1").otherwise("-1").alias("label"),
+        F.create_map(F.lit("bias"), F.lit(1.0), F.lit("price"), F.col("o_totalprice") / 200000, F.lit("age"), age).alias("features"), (F.floor(F.col("o_orderkey") / 4) % 3).alias("part"))
+
+
+_EXAMPLES = "x AS MATERIALIZED (SELECT o_orderkey AS id, o_orderkey % 4 AS shard, o_orderkey // 4 % 3 AS part, o_totalprice / 200000 AS p, (year(o_orderdate) - 1995) / 3.0 AS g, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE -1.0 END AS y FROM orders WHERE o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL AND o_orderstatus IS NOT NULL)"
+
+
+def _fold(step: int, where: str = "") -> str:
+    """One round of mixing in SQL: each shard's examples folded in order from the weights m(step - 1), then the mean by their number."""
+    tau = f"(CASE WHEN 1 - e.y * (a.w0 + a.w1 * e.p + a.w2 * e.g) > 0 THEN least({_C}, (1 - e.y * (a.w0 + a.w1 * e.p + a.w2 * e.g)) / (1 + e.p * e.p + e.g * e.g)) ELSE 0 END * e.y)"
+    return f""", l{step} AS (SELECT shard, count(*) AS n, list({{'w0': 0::DOUBLE, 'w1': 0::DOUBLE, 'w2': 0::DOUBLE, 'p': p::DOUBLE, 'g': g::DOUBLE, 'y': y::DOUBLE}} ORDER BY id) AS xs FROM x {where} GROUP BY shard),
+f{step} AS (SELECT n, list_reduce(list_prepend({{'w0': m.w0, 'w1': m.w1, 'w2': m.w2, 'p': 0::DOUBLE, 'g': 0::DOUBLE, 'y': 0::DOUBLE}}, xs), lambda a, e: {{'w0': a.w0 + {tau}, 'w1': a.w1 + {tau} * e.p, 'w2': a.w2 + {tau} * e.g, 'p': 0::DOUBLE, 'g': 0::DOUBLE, 'y': 0::DOUBLE}}) AS w FROM l{step}, m{step - 1} m),
+m{step} AS MATERIALIZED (SELECT sum(w.w0 * n) / sum(n) AS w0, sum(w.w1 * n) / sum(n) AS w1, sum(w.w2 * n) / sum(n) AS w2 FROM f{step})"""
+
+
+_M0 = "m0 AS (SELECT 0::DOUBLE AS w0, 0::DOUBLE AS w1, 0::DOUBLE AS w2)"
+
+
+@query(f"WITH {_EXAMPLES}, {_M0}{_fold(1)}{_fold(2)} SELECT unnest(['bias', 'price', 'age']) AS feature, round(unnest([w0, w1, w2]), 6) AS w FROM m2")
+def g26_passive_aggressive(spark, sf_dir):
+    """Two rounds over all orders in four shards; the twin folds each shard in SQL."""
+    model = sharded.mixed(_shipped(read_table(spark, sf_dir, "orders")), sharded.passive_aggressive(_C), 2)
+    return model.select("feature", F.round(F.col("w")[0], 6).alias("w"))
+
+
+@query("SELECT o_orderpriority AS kind, count(*) AS n, true AS accurate FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1")
+def g26_factorization_machine(spark, sf_dir):
+    """Whether an order's key and its customer's are both odd or both even, from features that tell it together only; held-out orders."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    one = F.lit(1.0)
+    features = F.create_map(F.concat(F.lit("order="), F.col("o_orderkey") % 2), one, F.concat(F.lit("customer="), F.col("o_custkey") % 2), one, F.concat(F.lit("priority="), F.col("o_orderpriority")), one)
+    rows = o.select(F.pmod(F.xxhash64("o_orderkey"), F.lit(4)).alias("shard"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == F.col("o_custkey") % 2, "1").otherwise("-1").alias("label"), features.alias("features"), "o_orderpriority")
+    model = sharded.mixed(rows.where("id % 5 <> 0"), sharded.factorization_machine(4, 0.2, 0.0005), 3)
+    scored = sharded.scores(rows.where("id % 5 = 0"), model, machine=True).join(rows.select("id", "label", "o_orderpriority"), "id")
+    right = F.avg(((F.col("scores")[0] > 0) == (F.col("label") == "1")).cast("double"))
+    return scored.groupBy(F.col("o_orderpriority").alias("kind")).agg(F.count(F.lit(1)).alias("n"), (right > 0.9).alias("accurate"))
+
+
+@query(f"WITH {_EXAMPLES}, {_M0}{_fold(1, 'WHERE part = 0')}{_fold(2, 'WHERE part = 1')} " + " UNION ALL ".join(f"SELECT id, {k}::BIGINT AS batch, round({'w0 + w1 * p + w2 * g' if k else 'NULL::DOUBLE'}, 6) AS score FROM x, m{k} WHERE part = {k}" for k in range(3)))
+def g28_streaming_classifier(spark, sf_dir):
+    """Orders come in three batches; each is scored by what the batches before have taught, and then taught."""
+    base, rows = _scratch(spark), _shipped(read_table(spark, sf_dir, "orders"))
+    schema, out = rows.drop("part").schema, None
+    for part in range(3):
+        rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/in")
+        out = learning.learn(spark.readStream.schema(schema).parquet(f"{base}/in"), sharded.passive_aggressive(_C), base)
+    return out.select("id", F.col("batch").cast("long").alias("batch"), F.round(F.get("scores", F.lit(0)), 6).alias("score"))
+
+
+@query(f"WITH {_EXAMPLES}, {_M0}{_fold(1, 'WHERE part = 0')}{_fold(2, 'WHERE part = 1')} SELECT id, v AS version, round(CASE v WHEN 1 THEN m1.w0 + m1.w1 * p + m1.w2 * g ELSE m2.w0 + m2.w1 * p + m2.w2 * g END, 6) AS score FROM x, m1, m2, (SELECT unnest([1, 2])::BIGINT AS v)")
+def g28_versioned_predictions(spark, sf_dir):
+    """A second stream of all orders asks for the model after the first and after the second batch."""
+    base, rows = _scratch(spark), _shipped(read_table(spark, sf_dir, "orders"))
+    for part in range(2):
+        rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/in")
+        learning.learn(spark.readStream.schema(rows.drop("part").schema).parquet(f"{base}/in"), sharded.passive_aggressive(_C), base)
+    asked = _shipped(stream_table(spark, sf_dir, "orders")).withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
+    asked.writeStream.foreachBatch(lambda batch, n: learning.predict(batch, base).write.mode("overwrite").parquet(f"{base}/asked/batch={n}")).option("checkpointLocation", f"{base}/asking").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/asked").select("id", "version", F.round(F.col("scores")[0], 6).alias("score"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,13 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def cut(df: DataFrame, name: str = "cut", by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back; ``by`` columns become folders, and come last.
 
     The result has no lineage but the files, so a lost executor costs a reread and not a recomputation of a loop.
     """
     path = f"{shared_dir(df.sparkSession)}/lattica/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
