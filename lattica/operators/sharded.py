@@ -64,6 +64,8 @@ def _sweep(rate: float, l2: float, rank: int) -> Callable[[Iterator[pa.RecordBat
             for side in (0, 1):
                 keys = list(places[side])
                 matrix = loads[side] if loads[side] is not None else np.array(factors[side], float).reshape(len(keys), rank + 2)
+                if not np.isfinite(matrix).all():
+                    raise ValueError("factors grow without bound: take a smaller rate")
                 for lo in range(0, len(keys), 4096):
                     part = keys[lo : lo + 4096]
                     values = pa.array(matrix[lo : lo + 4096].ravel())
@@ -96,7 +98,7 @@ def _sweep(rate: float, l2: float, rank: int) -> Callable[[Iterator[pa.RecordBat
                         rows, which, n = np.unique(at, return_inverse=True, return_counts=True)
                         total = np.zeros((len(rows), rank + 2))
                         np.add.at(total, which, step)
-                        matrix[rows] += total / np.sqrt(n)[:, None]  # the steps of a mini-batch begin at the same place
+                        matrix[rows] += total / n[:, None]  # all begin at the same place, so an id takes their mean
                 pending.clear()
 
             for n, (b, kind) in enumerate(zip(columns["block"], columns["kind"], strict=True)):
@@ -118,7 +120,7 @@ def _sweep(rate: float, l2: float, rank: int) -> Callable[[Iterator[pa.RecordBat
 def factorize(ratings: DataFrame, user: str, item: str, rating: str, rank: int = 8, epochs: int = 5, blocks: int = 8, rate: float = 0.1, l2: float = 0.02, decay: float = 0.9, start: Factors | None = None, seed: int = 1) -> Factors:
     """Factors of users and items by stratified stochastic gradient descent; rows with a null are left out.
 
-    ``start`` goes on from earlier factors, as for ratings that come later (online learning); ids that it hasn't begin anew and ids
+    Too large a ``rate`` is an error, as factors then grow without bound. ``start`` goes on from earlier factors, as for ratings that come later (online learning); ids that it hasn't begin anew and ids
     without new ratings stay.
     """
     given = ratings.select(F.col(user).cast("long").alias("user"), F.col(item).cast("long").alias("item"), F.col(rating).cast("double").alias("rating")).dropna()

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import directed, graph, ml, sharded
+from lattica.operators import directed, graph, ml, sharded, sketches
 from lattica.plans.frame_queries import _scratch, query
 from lattica.session import read_table, stream_table
-from lattica.streaming import learning
+from lattica.sources import ack_source
+from lattica.streaming import learning, supervise, windows as W
 
 
 # directed graphs
@@ -165,3 +166,46 @@ def g28_versioned_predictions(spark, sf_dir):
     asked = _shipped(stream_table(spark, sf_dir, "orders")).withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
     asked.writeStream.foreachBatch(lambda batch, n: learning.predict(batch, base).write.mode("overwrite").parquet(f"{base}/asked/batch={n}")).option("checkpointLocation", f"{base}/asking").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/asked").select("id", "version", F.round(F.col("scores")[0], 6).alias("score"))
+
+
+# feedback, acknowledgement
+@query("WITH RECURSIVE r AS (SELECT event_id, value, 0 AS steps FROM events UNION ALL SELECT event_id, value / 2, steps + 1 FROM r WHERE value >= 1) SELECT event_id, steps, value FROM r WHERE value < 1 OR value IS NULL")
+def s18_feedback(spark, sf_dir):
+    """Values are halved and sent back until they are under one."""
+    start = read_table(spark, sf_dir, "events").select("event_id", "value", F.lit(0).alias("steps"))
+    done = F.coalesce(F.col("value") < 1, F.lit(True))
+    step = lambda batch: (batch.where(done), batch.where(~done).select("event_id", (F.col("value") / 2).alias("value"), (F.col("steps") + 1).alias("steps")))
+    return supervise.feedback(start, step, _scratch(spark)).select("event_id", "steps", "value")
+
+
+@query("SELECT event_id, user_id FROM events")
+def a26_acknowledged_source(spark, sf_dir):
+    """Each tenth message is sent twice; each comes once, and all are acknowledged but those of the last batch."""
+    path = _scratch(spark)
+    sent = read_table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    sent.unionByName(sent.where("event_id % 10 = 0")).repartition(8).write.json(f"{path}/pending")
+    return W.run_to_end(ack_source.read_once(spark, path, sent.schema, "event_id", "us", "60 days", 3).select("event_id", "user_id"), drain=True)
+
+
+# sketches by time
+@query("SELECT strftime(d, '%Y-%m-%d') AS upto, true AS near FROM (SELECT DISTINCT date_trunc('day', ts) AS d FROM events)")
+def g27_time_aware_moments(spark, sf_dir):
+    """The second moment of user_id over the week that ends with each day, from day slices, within 4 / sqrt(64) of the exact one."""
+    e = sketches.slices(read_table(spark, sf_dir, "events"), "ts", "1 day")
+    ranges = e.select(F.col("slice").alias("day")).distinct().select(F.date_format("day", "yyyy-MM-dd").alias("range"), (F.col("day") - F.expr("INTERVAL 6 DAYS")).alias("lo"), (F.col("day") + F.expr("INTERVAL 1 DAY")).alias("hi"))
+    found = sketches.second_moment(sketches.tug_of_war(e, "user_id"), ranges)
+    by_user = e.groupBy("slice", "user_id").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(ranges), (F.col("slice") >= F.col("lo")) & (F.col("slice") < F.col("hi"))).groupBy("range", "user_id").agg(F.sum("n").alias("n"))
+    exact = by_user.groupBy("range").agg(F.sum(F.col("n") * F.col("n")).alias("exact"))
+    return found.join(exact, "range").select(F.col("range").alias("upto"), (F.abs(F.col("f2") - F.col("exact")) <= F.col("exact") * 0.5).alias("near"))
+
+
+@query("SELECT a.event_type AS a, b.event_type AS b, true AS near FROM (SELECT DISTINCT event_type FROM events) a JOIN (SELECT DISTINCT event_type FROM events) b ON a.event_type < b.event_type")
+def g27_time_aware_minhash(spark, sf_dir):
+    """How alike the users of two event types are in January's second week, within five standard errors of the exact share."""
+    e = sketches.slices(read_table(spark, sf_dir, "events"), "ts", "1 day")
+    lo, hi = F.lit("2024-01-08").cast("timestamp"), F.lit("2024-01-15").cast("timestamp")
+    found = sketches.resemblance(sketches.minhash(e, "event_type", "user_id"), "event_type", lo, hi)
+    users = e.where((F.col("slice") >= lo) & (F.col("slice") < hi)).groupBy("event_type").agg(F.collect_set("user_id").alias("users"))
+    x, y = users.select(F.col("event_type").alias("a"), F.col("users").alias("x")), users.select(F.col("event_type").alias("b"), F.col("users").alias("y"))
+    exact = x.join(y, F.col("a") < F.col("b")).select("a", "b", (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).alias("exact"))
+    return found.join(exact, ["a", "b"]).select("a", "b", (F.abs(F.col("jaccard") - F.col("exact")) <= 5 * 0.5 / 256**0.5).alias("near"))

@@ -54,12 +54,13 @@ def split_late(df: DataFrame, ts: str, watermark: Column) -> tuple[DataFrame, Da
     return df.where(F.col(ts) > watermark), df.where(F.col(ts) <= watermark)
 
 
-def run_to_end(stream: DataFrame, mode: str = "append", once: bool = False, checkpoint: str | None = None) -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str = "append", once: bool = False, checkpoint: str | None = None, drain: bool = False) -> DataFrame:
     """Run a stream over all available input into the shared folder and read the result back.
 
     Each micro-batch overwrites a folder of its own number, so a repeated batch leaves no second copy; in ``complete`` mode
     the last batch replaces the earlier ones. ``once`` runs a single batch: a query with state that expires by processing
     time would go on with empty ones. ``checkpoint`` names a folder for the state, to read it afterwards.
+    ``drain`` goes on until the source has no more, for sources that don't know at the start what is available.
     """
     spark: SparkSession = stream.sparkSession
     base = f"{shared_dir(spark)}/lattica/stream-{uuid.uuid4().hex}"
@@ -68,8 +69,15 @@ def run_to_end(stream: DataFrame, mode: str = "append", once: bool = False, chec
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{base}/out/batch={'all' if mode == 'complete' else batch}")
 
-    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint or f"{base}/checkpoint").trigger(**({"once": True} if once else {"availableNow": True})).start()
-    query.awaitTermination()
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint or f"{base}/checkpoint")
+    if drain:
+        query = writer.start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    else:
+        writer.trigger(**({"once": True} if once else {"availableNow": True})).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out/batch=*")
 
 
