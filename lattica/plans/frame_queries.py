@@ -82,10 +82,12 @@ def a22_replicating_source(spark, sf_dir):
     return read_table(spark, sf_dir, "nation").join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
 
 
-@query("SELECT range AS value FROM range(1, 501)")
+@query("SELECT range AS value, count(o_orderkey) AS n FROM range(1, 501) LEFT JOIN orders ON o_custkey = range GROUP BY range")
 def a25_generator_source(spark, sf_dir):
+    """Orders of the first customers, with those that have none."""
     spark.dataSource.register(C.SequenceSource)
-    return spark.read.format("sequence").options(**{"from": "1", "to": "500"}).load()
+    numbers = spark.read.format("sequence").options(**{"from": "1", "to": "500"}).load()
+    return numbers.join(read_table(spark, sf_dir, "orders"), F.col("value") == F.col("o_custkey"), "left").groupBy("value").agg(F.count("o_orderkey").alias("n"))
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -550,17 +552,18 @@ def g13_hits(spark, sf_dir):
     return G.hits(_order_parts(spark, sf_dir), 3).select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
 
 
-@query("SELECT range AS src, (range + k + 10) % 10 AS dst FROM range(10), (SELECT unnest([1, -1]) AS k)")
+@query("SELECT i AS src, (i + k + n) % n AS dst FROM (SELECT row_number() OVER () - 1 AS i, count(*) OVER () AS n FROM customer), (SELECT unnest([1, -1]) AS k)")
 def g16_cycle(spark, sf_dir):
-    return G.cycle_graph(spark, 10)
+    """A cycle of as many vertices as there are customers."""
+    return G.cycle_graph(spark, read_table(spark, sf_dir, "customer").count())
 
 
 # machine learning
-@query("SELECT a.vec_id, round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2)))), 6) AS euclidean, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: abs(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))), 6) AS manhattan FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b")
+@query("SELECT a.vec_id, b.vec_id AS query_id, round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2)))), 6) AS euclidean, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: abs(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))), 6) AS manhattan FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0")
 def g25_distances(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
-    one = e.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
-    return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(S.euclidean(F.col("embedding"), F.col("q")), 6).alias("euclidean"), F.round(S.manhattan(F.col("embedding"), F.col("q")), 6).alias("manhattan"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return ml.in_blocks(e, asked).select("vec_id", "query_id", F.round(S.euclidean(F.col("embedding"), F.col("q")), 6).alias("euclidean"), F.round(S.manhattan(F.col("embedding"), F.col("q")), 6).alias("manhattan"))
 
 
 @query("SELECT query_id, neighbor_id, rank FROM (SELECT q.vec_id AS query_id, t.vec_id AS neighbor_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])), t.vec_id) AS rank FROM embeddings q, embeddings t WHERE q.vec_id % 100 = 0) WHERE rank <= 5")

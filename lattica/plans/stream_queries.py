@@ -278,8 +278,8 @@ def d31_accumulators(spark, sf_dir):
     return spark.createDataFrame([(got["n"], got["most"], got["cheap"])], "n long, most double, cheap long")
 
 
-@query("SELECT CURRENT_DATE IS NOT NULL AS d, true AS t, true AS same")
+@query("SELECT o_orderkey, CURRENT_DATE IS NOT NULL AS d, true AS t, true AS same, o_orderdate < CURRENT_DATE AS past FROM orders")
 def f25_current_time(spark, sf_dir):
     now = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
     off = F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(F.lit(now).cast("timestamp")))
-    return spark.range(1).select(F.current_date().isNotNull().alias("d"), (off < 60).alias("t"), (F.localtimestamp() == F.current_timestamp().cast("timestamp_ntz")).alias("same"))
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", F.current_date().isNotNull().alias("d"), (off < 60).alias("t"), (F.localtimestamp() == F.current_timestamp().cast("timestamp_ntz")).alias("same"), (F.col("o_orderdate") < F.current_date()).alias("past"))

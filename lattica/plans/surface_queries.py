@@ -101,10 +101,12 @@ def a23_file_monitoring(spark, sf_dir):
     return W.run_to_end(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path))
 
 
-@query("SELECT range AS value FROM range(1, 301)")
+@query("SELECT range AS value, o_orderkey FROM range(1, 301) JOIN orders ON o_custkey = range")
 def a25_generator_stream(spark, sf_dir):
+    """A generated stream of customers meets the table of orders."""
     spark.dataSource.register(C.SequenceSource)
-    return W.run_to_end(spark.readStream.format("sequence").options(**{"from": "1", "to": "300"}).load())
+    numbers = spark.readStream.format("sequence").options(**{"from": "1", "to": "300"}).load()
+    return W.run_to_end(numbers.join(read_table(spark, sf_dir, "orders"), F.col("value") == F.col("o_custkey")).select("value", "o_orderkey"))
 
 
 @query("SELECT n_nationkey AS key, n_name AS value FROM nation")
@@ -172,17 +174,20 @@ def a49_catalog(spark, sf_dir):
         return catalog.table("kept").groupBy(F.lit("kept").alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'connector.path' AS key, 'x' AS value UNION ALL SELECT 'connector.type', 'filesystem' UNION ALL SELECT 'format.type', 'csv' UNION ALL SELECT 'schema', 'a int' UNION ALL SELECT 'connector.sep', '|'")
+@query("SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice * 2 AS twice, 'filesystem,csv,|' AS said FROM orders")
 def a50_descriptors(spark, sf_dir):
-    source = C.Source("filesystem", "csv", "x", "a int", {"sep": "|"})
-    source.validate()
-    return spark.createDataFrame(sorted(source.properties().items()), "key string, value string")
+    """Orders written as CSV and read as a descriptor says: connector, format, options, schema, renamed and computed fields."""
+    path = _scratch(spark)
+    read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").write.option("sep", "|").csv(path)
+    source = C.Source("filesystem", "csv", path, "k long, s string, x double", {"sep": "|"}, {"id": "k", "status": "s", "x": "x"}, {"twice": "x * 2"})
+    said = source.properties()
+    return source.load(spark).drop("x").withColumn("said", F.lit(",".join(said[k] for k in ("connector.type", "format.type", "connector.sep"))))
 
 
-@query("SELECT l_quantity AS label, 2 AS size, round(l_tax, 4) AS a, round(l_discount, 4) AS b FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_quantity AS label, 2 AS size, round(l_tax, 4) AS a, round(l_discount, 4) AS b FROM lineitem")
 def a52_libsvm(spark, sf_dir):
     path = _scratch(spark)
-    rows = read_table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    rows = read_table(spark, sf_dir, "lineitem")
     rows.select(F.concat_ws(" ", F.col("l_quantity").cast("string"), F.concat(F.lit("1:"), "l_tax"), F.concat(F.lit("2:"), "l_discount"))).write.text(path)
     from pyspark.ml.functions import vector_to_array
 
@@ -348,9 +353,11 @@ def v14_explain(spark, sf_dir):
     return spark.createDataFrame([("Filter" in text, "Scan parquet" in text)], "logical boolean, physical boolean")
 
 
-@query("SELECT 'spark.sql.session.timeZone=UTC' AS said")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H') AS hour, 'spark.sql.session.timeZone=UTC' AS said FROM events")
 def v15_configuration(spark, sf_dir):
-    return spark.createDataFrame([(Client(spark).run("SET spark.sql.session.timeZone=UTC"),)], "said string")
+    """The zone that the client sets is the one in which times are cast."""
+    said = Client(spark).run("SET spark.sql.session.timeZone=UTC")
+    return read_table(spark, sf_dir, "events").select("event_id", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH").alias("hour"), F.lit(said).alias("said"))
 
 
 # graphs and iteration
@@ -414,10 +421,12 @@ def g34_cross_validation(spark, sf_dir):
     return both.agg(F.count_distinct("l_orderkey", "l_linenumber").alias("n"), F.count(F.lit(1)).alias("parts"), F.count_distinct("fold").cast("int").alias("folds")).crossJoin(shared)  # one row each
 
 
-@query("SELECT true AS near")
+@query("SELECT count(*) AS n, true AS near FROM lineitem")
 def x09_pi(spark, sf_dir):
-    inside = spark.range(1_000_000).select((F.pow(F.rand(3) * 2 - 1, 2) + F.pow(F.rand(4) * 2 - 1, 2) <= 1).cast("int").alias("i"))
-    return inside.agg((F.abs(4 * F.avg("i") - F.pi()) < 0.02).alias("near"))
+    """A point of the square for each line item, from hashes of its key: within five standard errors."""
+    unit = lambda seed: F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit(seed)), F.lit(1 << 30)) / float(1 << 29) - 1
+    inside = read_table(spark, sf_dir, "lineitem").select((F.pow(unit(3), 2) + F.pow(unit(4), 2) <= 1).cast("int").alias("i"))
+    return inside.agg(F.count(F.lit(1)).alias("n"), (F.abs(4 * F.avg("i") - F.pi()) < 5 * 1.65 / F.sqrt(F.count(F.lit(1)))).alias("near"))
 
 
 @query("SELECT count(*) AS n, true AS converged FROM orders")
