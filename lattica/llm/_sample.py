@@ -16,10 +16,15 @@ def fold(n: int) -> Column:
 
 def sample(rows: DataFrame, n: int, by: str | None = None, seed: int = 7) -> DataFrame:
     """At most ``n`` different rows (of each value of ``by``), those with the least hash of ``doc_id``: a bounded sample that
-    doesn't hang on file order. Tasks cut their rows to ``n`` before the shuffle."""
+    doesn't hang on file order. Without ``by`` tasks cut their rows to ``n`` before the shuffle; with it, values that have more are
+    first cut to about ``2 n`` rows by a threshold on the hash, so that no value's rows meet in one task."""
     order = [F.xxhash64("doc_id", F.lit(seed)), *map(F.col, rows.columns)]
     if by is None:
         return rows.distinct().orderBy(*order).limit(n)
+    hashed = rows.distinct().withColumn("__u", F.pmod(order[0], F.lit(1 << 40)) / float(1 << 40))
+    counts = F.broadcast(hashed.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n")).limit(10_000).select(F.col(by).alias("__by"), "__n"))
+    least = F.coalesce((2.0 * n + 1000) / F.col("__n"), F.lit(1.0))
+    rows = hashed.join(counts, F.col(by).eqNullSafe(F.col("__by")), "left").where(F.col("__u") <= least).drop("__u", "__by", "__n")
     return rows.withColumn("__nth", F.dense_rank().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__nth") <= n).drop("__nth").distinct()
 
 

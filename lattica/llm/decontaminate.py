@@ -122,10 +122,12 @@ class Item:
 
     def common(self, words: list[int]) -> tuple[float, str]:
         """Share of the item in common with a stretch of words, and what that makes the stretch."""
-        length, bits = common_subsequence(self.mask, self.size, words)
-        there = (bits >> (self.size - self.answer)).bit_count() >= ANSWER * self.answer
-        share = length / self.size
-        return share, "copy" if share >= COPY else "paraphrase" if share >= PARAPHRASE and there else ""
+        share = common_subsequence(self.mask, self.size, words) / self.size
+        if share >= COPY or share < PARAPHRASE:
+            return share, "copy" if share >= COPY else ""
+        first = self.size - self.answer  # the answer counts by itself, wherever a paraphrase has moved it
+        answer = {w: m >> first for w, m in self.mask.items() if m >> first}
+        return share, "paraphrase" if common_subsequence(answer, self.answer, words) >= ANSWER * self.answer else ""
 
 
 class Index:
@@ -200,8 +202,8 @@ def _runs(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def common_subsequence(mask: dict[int, int], size: int, words: list[int]) -> tuple[int, int]:
-    """Length of the longest common subsequence with an item (bit-parallel), and the item's words in one such, as bits."""
+def common_subsequence(mask: dict[int, int], size: int, words: list[int]) -> int:
+    """Length of the longest common subsequence with an item (bit-parallel)."""
     full = (1 << size) - 1
     v = full
     for w in words:
@@ -209,7 +211,7 @@ def common_subsequence(mask: dict[int, int], size: int, words: list[int]) -> tup
         if m:
             u = v & m
             v = ((v + u) | (v - u)) & full
-    return size - v.bit_count(), full & ~v
+    return size - v.bit_count()
 
 
 Match = tuple[int, float, float, str]
@@ -303,7 +305,7 @@ def _search(index: Index, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[i
             if not starts:
                 continue
             words = h[starts[0] : min(int(bounds[doc + 1]), starts[-1] + own.stretch)].tolist()
-            if common_subsequence(own.mask, own.size, words)[0] < PARAPHRASE * own.size:
+            if common_subsequence(own.mask, own.size, words) < PARAPHRASE * own.size:
                 continue
             for s in starts:
                 share, kind = own.common(words[s - starts[0] : s - starts[0] + own.stretch])

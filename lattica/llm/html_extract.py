@@ -18,7 +18,8 @@ fused ratio reaches ``CONTENT`` of the largest (or the mean less one deviation,
 Defined cases: null and empty pages, and pages without content text, give an empty string; pages of any length are read whole;
 an empty table gives an empty result; unclosed, crossed and truncated tags are repaired as browsers do for paragraphs, list
 items and table cells; a script or another raw element ends at its own end tag, whatever stands in it, or with the page;
-unknown character references stay as they are; text outside any element is a block of its own; repeated rows are extracted
+unknown character references stay as they are; a quote opens a value only behind ``=``; elements nested more than 512 deep become
+siblings; text outside any element is a block of its own; repeated rows are extracted
 alike; other columns are not read.
 """
 
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from lattica.llm._text import bounded_batches, lean
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|[^<]+|<", re.S)
+_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？؟،]")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -63,14 +64,23 @@ PLAIN = frozenset("a the box block wrap wrapper container inner outer list item
 CONTAINERS = frozenset("div section article main ul ol dl table figure details center td".split())
 GENERIC = frozenset("div section article main center td".split())
 CONTENT, PART, LINKED = 0.5, 0.25, 0.5
+#: Elements that are nested deeper become siblings, as in browsers.
+DEEPEST = 512
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "off", "length", "hint", "within", "holds_title")
+    """``path`` is a number for the tags and names of all block elements down to this one, ``depth`` how many they are."""
+
+    __slots__ = ("tag", "parent", "path", "paths", "depth", "off", "length", "hint", "within", "holds_title", "linked")
 
     def __init__(self, tag: str, parent: _Node | None, off: bool = False, names: tuple[str, ...] = (), hint: int = 0):
         self.tag, self.parent, self.off, self.hint, self.length, self.holds_title = tag, parent, off, hint, 0.0, False
-        self.path = (parent.path if parent else ()) + (() if tag in INLINE or not tag else (".".join((tag, *names)),))
+        self.paths: dict[tuple[int, str], int] = parent.paths if parent else {}
+        above = parent.path if parent else 0
+        self.path, self.depth = above, parent.depth if parent else 0
+        if tag and tag not in INLINE:
+            self.path, self.depth = self.paths.setdefault((above, ".".join((tag, *names))), len(self.paths) + 1), self.depth + 1
+        self.linked = tag == "a" or parent is not None and parent.linked
         self.within = parent is not None and (parent.within or parent.tag in ("article", "main"))
 
 
@@ -137,7 +147,7 @@ def text_blocks(page: str) -> list[Block]:
         if tag is None:
             if not m[0].startswith(("<!", "<?")) and not stack[-1].off:
                 pending.append(m[0])
-                if any(x.tag == "a" for x in reversed(stack)):
+                if stack[-1].linked:
                     linked[0] += len(m[0].strip())
             elif m[0].startswith("<![CDATA[") and not stack[-1].off:
                 pending.append(html.escape(m[0][9:].removesuffix("]]>")))
@@ -176,6 +186,8 @@ def text_blocks(page: str) -> list[Block]:
                     break
         if tag not in INLINE:
             flush()
+        if len(stack) > DEEPEST:
+            pop_to(DEEPEST)
         stack.append(_element(tag, m[3], stack[-1]))
         if tag in ("article", "main", "h1") and not stack[-1].off:
             node = stack[-1].parent
@@ -189,10 +201,10 @@ def text_blocks(page: str) -> list[Block]:
 
 def path_ratios(blocks: list[Block]) -> tuple[list[float], list[float]]:
     """The smoothed and fused ratio of each block's path, and the same without smoothing."""
-    length: dict[tuple, float] = defaultdict(float)
-    marks: dict[tuple, float] = defaultdict(float)
-    links: dict[tuple, float] = defaultdict(float)
-    number: dict[tuple, int] = defaultdict(int)
+    length: dict[int, float] = defaultdict(float)
+    marks: dict[int, float] = defaultdict(float)
+    links: dict[int, float] = defaultdict(float)
+    number: dict[int, int] = defaultdict(int)
     for node, text, linked in blocks:
         length[node.path] += len(text)
         marks[node.path] += len(_PUNCTUATION.findall(text))
@@ -222,7 +234,7 @@ def _named_part(node: _Node) -> bool:
     return any(not x.holds_title and (x.hint >= 2 or x.hint == 1 and not x.within) for x in _up(node))
 
 
-def _content_node(blocks: list[Block], content: set[tuple]) -> _Node | None:
+def _content_node(blocks: list[Block], content: set[int]) -> _Node | None:
     """The element that holds most of the text of the content paths."""
     total = 0
     for node, text, _ in blocks:
@@ -233,7 +245,7 @@ def _content_node(blocks: list[Block], content: set[tuple]) -> _Node | None:
     best = None
     for node, _, _ in blocks:
         for x in _up(node):
-            rank = (x.tag == "article" and x.length >= 0.5 * total, x.tag == "main" and x.length >= 0.5 * total, x.length >= 0.8 * total, len(x.path))
+            rank = (x.tag == "article" and x.length >= 0.5 * total, x.tag == "main" and x.length >= 0.5 * total, x.length >= 0.8 * total, x.depth)
             if x.length >= 0.5 * total and (best is None or rank > best[0]):
                 best = rank, x
     top = best[1] if best else None

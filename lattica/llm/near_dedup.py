@@ -261,6 +261,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     signed = cut(signatures(docs), "signatures")
     classes = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = cut(classes, "classes")
+    # rows of one doc_id with different words are one document, so it links their classes
+    named = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest")
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    reps = cut(named.join(several, "doc_id", "left_semi").join(classes, "digest").select("doc_id", "rep").distinct(), "classes-of-ids")
+    same = reps.join(reps.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
     first = classes.select(F.col("rep").alias("doc_id"), "digest")
     registers = signed.join(first, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("id"), "registers")
     registers = cut(registers, "registers")
@@ -270,7 +275,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     members = cut(buckets.join(shared, "bucket"), "buckets")
     stars = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     stars = cut(stars, "stars-by-leader")
-    links = _links(stars, registers, docs)
+    links = _links(stars, registers, docs).unionByName(same)
     joined = cut(connected_components(links, "a", "b"), "components")
     # what a leader doesn't reach: members of one bucket that are still in different components
     placed = members.where("m > 2").join(joined, "id", "left").select("bucket", "band", "id", "m", F.coalesce("component", "id").alias("component"))

@@ -141,11 +141,14 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     rows = rows.withColumn("args", F.when(one_value, F.try_parse_json("arguments"))).withColumn("keys", F.when(F.col("args").isNotNull(), F.json_object_keys("arguments")))
     is_call = F.col("row").isNotNull()
     status = F.when(~is_call, "orphan_result").when(F.col("repeated"), "duplicate_call").when(F.col("answered"), "linked").otherwise("no_result")
+    # a path quotes a name with the quotes that it doesn't hold itself; a name with both, or an empty one, has no path and no type check
+    quote = lambda p: F.when(~p.contains("'") & (p != ""), F.concat(F.lit("$['"), p, F.lit("']"))).when(~p.contains('"') & (p != ""), F.concat(F.lit('$["'), p, F.lit('"]')))
     wrong_type = F.filter(
         F.col("schema"),
         lambda s: F.array_contains("keys", s["param"])
-        & (_kind(F.variant_get("args", F.concat(F.lit("$['"), s["param"], F.lit("']")), "variant")) != s["type"])
-        & ~((s["type"] == "number") & (_kind(F.variant_get("args", F.concat(F.lit("$['"), s["param"], F.lit("']")), "variant")) == "integer")),
+        & quote(s["param"]).isNotNull()
+        & (_kind(F.variant_get("args", quote(s["param"]), "variant")) != s["type"])
+        & ~((s["type"] == "number") & (_kind(F.variant_get("args", quote(s["param"]), "variant")) == "integer")),
     )
     params = F.transform("schema", lambda s: s["param"])
     errors = F.concat(

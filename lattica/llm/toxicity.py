@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,10 @@ _SEEDS = mix(np.arange(701, 701 + N_FEATURES, dtype=U))
 _COPY_SEEDS = mix(np.arange(801, 807, dtype=U))
 #: What marks a feature as toxic: significance, and odds against clean documents.
 LEAST_G2, LEAST_ODDS = 20.0, 50.0
+#: Where a sample is too small for any feature to reach both: the so many most significant of those in no clean document.
+FALLBACK = 32
+#: A training document that agrees in so many of six min-hashes with another is its copy.
+COPY_MARKS = 5
 SPAN = 0.5
 
 
@@ -133,11 +138,11 @@ def _by_doc(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _without_copies(tokens: list[np.ndarray]) -> list[int]:
-    """Documents that share none of six min-hashes of word trigrams with an earlier one.
+    """Documents that don't share five of six min-hashes of word trigrams with one that is kept.
 
     Copies of one document would otherwise make its ordinary words look like evidence.
     """
-    seen: set[tuple[int, int]] = set()
+    seen: dict[tuple[int, int], list[int]] = {}
     keep = []
     for i, t in enumerate(tokens):
         w = np.concatenate([t[0].astype(U), np.zeros(2, U)])
@@ -145,9 +150,11 @@ def _without_copies(tokens: list[np.ndarray]) -> list[int]:
         if not len(h):
             continue
         marks = {(j, int(mix(h ^ s).min())) for j, s in enumerate(_COPY_SEEDS)}
-        if not marks & seen:
+        shared = Counter(k for mark in marks for k in seen.get(mark, ()))
+        if max(shared.values(), default=0) < COPY_MARKS:
             keep.append(i)
-        seen |= marks
+            for mark in marks:
+                seen.setdefault(mark, []).append(i)
     return keep
 
 
@@ -173,7 +180,10 @@ def fit(labels: np.ndarray, tokens: list[np.ndarray], steps: int = 30, rate: flo
     odds = np.log((k1 + 0.5) / (n1 + 1)) - np.log((k0 + 0.5) / (n0 + 1))
     marked = (g2 >= LEAST_G2) & (odds >= np.log(LEAST_ODDS))
     if not marked.any():
-        return nothing
+        only = np.flatnonzero((k1 > 0) & (k0 == 0))
+        if not len(only):
+            return nothing
+        marked[only[np.argsort(-g2[only], kind="stable")[:FALLBACK]]] = True
     tags = [marked[x].any(axis=0) if y else np.zeros(x.shape[1], bool) for y, x in zip(labels, tokens, strict=True)]
     covered = ~marked
     order = []

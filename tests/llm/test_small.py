@@ -432,7 +432,7 @@ def test_common_subsequence_against_dynamic_programming():
         mask = {}
         for i, w in enumerate(a):
             mask[w] = mask.get(w, 0) | 1 << i
-        assert decontaminate.common_subsequence(mask, 20, b)[0] == table[20][30]
+        assert decontaminate.common_subsequence(mask, 20, b) == table[20][30]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header><h1>Site name</h1></header>
