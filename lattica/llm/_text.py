@@ -55,9 +55,9 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Bound Arrow batches by bytes as well as rows, so that very long texts can't pile up in one batch."""
+    """Bound Arrow batches by bytes as well as rows, so that very long texts can't pile up in one batch; a bound of the user's stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not spark.conf.get(key).removesuffix("b").isdigit() or int(spark.conf.get(key).removesuffix("b")) >= 1 << 30:
+    if spark.conf.get(key, None) is None:
         spark.conf.set(key, size)
 
 

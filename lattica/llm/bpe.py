@@ -3,8 +3,8 @@
 The vocabulary file (a public tokenizer in JSON; its path is a parameter, its content is broadcast, about 2 MB) fixes the
 rules: NFC, lower case, words by a pattern that drops white space, bytes as printable characters, an end-of-word mark.
 
-Within a partition, the distinct words that haven't been seen yet are laid out in one list of symbols with links to the
-neighbours. An index maps each pair (by its rank) to all positions where it occurs in any word; a heap holds the ranks that
+Within a partition, the distinct words that haven't been seen yet are laid out in lists of symbols (of about ``INDEX_BYTES``, or
+one longer word) with links to the neighbours. For each list an index maps each pair (by its rank) to all positions where it occurs in any word; a heap holds the ranks that
 are active. The least rank is taken out, all its positions are merged from left to right, and the pairs to the left and
 right of each merge move to the lists of their new ranks; nothing else is looked at again. A merge can only give rise to
 pairs of higher rank (checked when the vocabulary loads), so the ranks come in ascending order for every word at once, and a
@@ -349,20 +349,22 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(_vocabulary(shared.value))
         gc.disable()  # no cycles here, only many strings, which a collection would walk through again and again
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in blocks(texts, BLOCK_BYTES):
-                done = encoder.texts(texts[lo:hi])
-                columns = [
-                    batch.column(0).slice(lo, hi - lo),
-                    pa.array([i.count(" ") + 1 if i else 0 for i, _ in done], pa.int64()),
-                    pa.array([hashlib.sha256(i.encode()).hexdigest() for i, _ in done]),
-                    pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in done]),
-                ]
-                if keep_ids:
-                    columns += [pa.array([[int(x) for x in i.split()] for i, _ in done], pa.list_(pa.int32())), pa.array([d for _, d in done], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
-        gc.enable()
+        try:
+            for batch in batches:
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                for lo, hi in blocks(texts, BLOCK_BYTES):
+                    done = encoder.texts(texts[lo:hi])
+                    columns = [
+                        batch.column(0).slice(lo, hi - lo),
+                        pa.array([i.count(" ") + 1 if i else 0 for i, _ in done], pa.int64()),
+                        pa.array([hashlib.sha256(i.encode()).hexdigest() for i, _ in done]),
+                        pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in done]),
+                    ]
+                    if keep_ids:
+                        columns += [pa.array([[int(x) for x in i.split()] for i, _ in done], pa.list_(pa.int32())), pa.array([d for _, d in done], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
+        finally:
+            gc.enable()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
