@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lattica.llm import bpe, decontaminate, filters, toxicity
 from lattica.llm._text import release_heap
 from lattica.llm.queries import vocabulary_path
-from lattica.plans.lineage import cut
+from lattica.plans.lineage import cut, drop, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with scratch(spark):  # what a stage has written on its way goes when its result is written
+            docs = cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"), keep=True)
+        if last is not None:
+            drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,21 +25,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut", by: Sequence[str] = ()) -> DataFrame:
+#: Files written inside the open :func:`scratch` contexts.
+_written: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what :func:`cut` has written inside, but for frames cut with ``keep``.
+
+    For a result that is written inside the context: frames that still read the deleted files can't be used afterwards.
+    """
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            _delete(spark, path)
+
+
+def cut(df: DataFrame, name: str = "cut", by: Sequence[str] = (), keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back; ``by`` columns become folders, and come last.
 
     The result has no lineage but the files, so a lost executor costs a reread and not a recomputation of a loop.
     """
     path = f"{shared_dir(df.sparkSession)}/lattica/{name}-{uuid.uuid4().hex}"
+    if _written and not keep:
+        _written[-1].append(path)
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
     """Delete the files behind a frame that :func:`cut` returned and nothing needs any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/lattica/" in path:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lattica.streaming.stateful import PROVIDER
+from lattica.streaming.stateful import keep_in_rocksdb
 
 
 class _AsOf(StatefulProcessor):
@@ -71,8 +71,7 @@ class _AsOf(StatefulProcessor):
 
 def _joined(main: DataFrame, side: DataFrame, group: str, key: str, ts: str, tie: str, value: str, delay: str, how: str) -> DataFrame:
     """Both as rows of one stream, grouped by ``group``; main's columns come back from their JSON."""
-    spark = main.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    keep_in_rocksdb(main.sparkSession)
     columns = [c for c in main.columns if c != group]
     packed = main.select(*[c for c in columns], group, F.col(ts).cast("timestamp").alias("in_time"))
     a = packed.select(F.col(group).alias("in_group"), F.lit(0).alias("in_side"), "in_time", F.col(key).cast("string").alias("in_key"), F.lit(0).cast("long").alias("in_tie"), F.to_json(F.struct(*columns)).alias("in_row"))

@@ -5,17 +5,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_SETTING = "spark.sql.streaming.stateStore.providerClass"
+
+
+def keep_in_rocksdb(spark: SparkSession) -> None:
+    """State of these operators needs a store with several variables, which the session must name before a query starts; a choice
+    of the user's stays."""
+    if spark.conf.get(_SETTING, None) is None:
+        spark.conf.set(_SETTING, PROVIDER)
 
 
 def _key(df: DataFrame, key: str) -> str:
-    """The key's type. State of these operators is kept in RocksDB, which the session must name before the query starts."""
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    """The key's type."""
+    keep_in_rocksdb(df.sparkSession)
     return dict(df.dtypes)[key]
 
 

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,3 +335,21 @@ def test_queries_over_streams_are_checked(spark):
         dialect.sql(spark, text, v=table)
     assert dialect.operations("SELECT 'UNION LIMIT' AS x FROM v UNION ALL SELECT 'a' FROM v") == set()
     assert dialect.sql(spark, "SELECT value FROM v UNION ALL SELECT value FROM v", v=stream).isStreaming
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    from lattica.plans.lineage import cut, scratch
+
+    with scratch(spark):
+        inner = cut(spark.range(5))
+        kept = cut(inner.selectExpr("id + 1 AS id"), keep=True)
+        path = inner.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert kept.count() == 5 and not os.path.exists(path)
+
+
+def test_rows_and_queries_meet_in_blocks(spark):
+    a, b = spark.range(50).withColumnRenamed("id", "x"), spark.range(7).withColumnRenamed("id", "y")
+    got = ml.in_blocks(a, b, block=2)
+    assert got.count() == 350 and got.distinct().count() == 350
+    assert ml.in_blocks(a.limit(0), b).count() == 0
