@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from lattica.plans.frame_queries import _scratch, query
 from lattica.session import read_table, stream_table
-from lattica.sources import bucket_sink
-from lattica.streaming import control, over, state, stateful, windows as W
+from lattica.sources import bucket_sink, upsert_sink
+from lattica.streaming import control, firing, over, state, stateful, windows as W
 
 
 # state from outside
@@ -104,3 +104,22 @@ def a40_rolling_sink(spark, sf_dir):
     events = stream_table(spark, sf_dir, "events")
     bucket_sink.write_bucketed(events, path, "ts", _scratch(spark), "yyyy-MM-dd", roll_bytes=64 << 10).awaitTermination()
     return bucket_sink.read_bucketed(spark, path, events.schema).select("event_id", "user_id", "value", "bucket")
+
+
+@query("SELECT client_id, seq, source, segment, city, balance FROM client_changes WHERE client_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY seq DESC, change_id DESC) = 1 AND op <> 'D'")
+def a44_keyed_upsert_stream(spark, sf_dir):
+    """The clients after all changes, which come in three batches out of order and with repeats."""
+    base, changes = _scratch(spark), read_table(spark, sf_dir, "client_changes")
+    table = upsert_sink.KeyedTable(spark, f"{base}/table", changes.schema, ["client_id"], ["seq", "change_id"], buckets=16)
+    for part in (2, 0, 1):
+        changes.where(F.col("change_id") % 3 == part).write.mode("append").parquet(f"{base}/in")
+        table.write(spark.readStream.schema(changes.schema).parquet(f"{base}/in"), f"{base}/checkpoint").awaitTermination()
+    return table.read().select("client_id", "seq", "source", "segment", "city", "balance")
+
+
+@query("""WITH e AS (SELECT event_type AS key, epoch_us(ts) // 1000 AS ms, value FROM events), h AS (SELECT key, ms // 3600000 * 3600000 AS slice, count(*) AS k, count(value) AS kc, sum(value) AS ks FROM e GROUP BY ALL)
+SELECT key, slice // 21600000 * 21600000 AS window_ms, slice + 3600000 AS fired_ms, CAST(sum(k) OVER w AS BIGINT) AS n, CAST(sum(kc) OVER w AS BIGINT) AS c, round(sum(ks) OVER w, 4) AS s, (slice + 3600000) % 21600000 = 0 AS final
+FROM h WHERE slice + 3600000 <= (SELECT max(ms) FROM e) WINDOW w AS (PARTITION BY key, slice // 21600000 ORDER BY slice)""")
+def w22_early_firing_stream(spark, sf_dir):
+    """Six-hour windows of each event type that fire after every hour with rows."""
+    return W.run_to_end(firing.early_windows(stream_table(spark, sf_dir, "events"), "event_type", "ts", "value", 21_600_000, 3_600_000)).withColumn("s", F.round("s", 4))

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators import relational as R
-from lattica.sources import bucket_sink
-from lattica.streaming import control, over, state, windows as W
+from lattica.sources import bucket_sink, upsert_sink
+from lattica.streaming import control, firing, over, state, windows as W
 
 ROW = "k string, t timestamp, i long, v double"
 
@@ -168,3 +168,31 @@ def test_indexes_of_wide_frames_are_dense(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert tuple(checks)[:4] == (2_000_000, 2_000_000, 0, 1_999_999) and checks["ones"] == 2_000_000
+
+
+def test_keyed_table_takes_changes_in_any_order_and_batches_twice(spark, tmp_path):
+    rows = [(1, "a", 1, "I", 1.0), (2, "a", 3, "D", None), (3, "a", 2, "U", 2.0), (4, "b", 1, "I", 4.0), (5, None, 1, "I", 5.0), (6, "b", 2, "U", 6.0), (7, "c", 1, None, 7.0), (7, "c", 1, None, 7.0)]
+    frame = spark.createDataFrame(rows, "i long, k string, seq long, op string, v double")
+    table = upsert_sink.KeyedTable(spark, f"{tmp_path}/t", frame.schema, ["k"], ["seq", "i"], buckets=3)
+    assert table.read().count() == 0
+    for number, ids in enumerate(([2, 4, 5], [1, 7], [3, 6])):
+        table.apply(frame.where(F.col("i").isin(ids)), number)
+        table.apply(frame.where(F.col("i").isin(ids)), number)  # the batch comes again
+    assert sorted((r.k, r.seq, r.v) for r in table.read().collect()) == [("b", 2, 6.0), ("c", 1, 7.0)]
+    table.apply(frame.limit(0), 3)
+    assert table.read().count() == 2
+
+
+def test_windows_fire_early_whatever_the_order(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), rng.randrange(4_000_000), n, rng.choice([None, 1.0, 2.5])) for n in range(60)] + [("z", 60_000_000, 99, 1.0)]
+    got = W.run_to_end(firing.early_windows(batches(spark, tmp_path, [rows[:30], rows[30:]], ROW), "k", "t", "v", 1000, 250, "1 hour"))
+    assert got.count() == 0  # nothing is that far behind
+    stream = batches(spark, f"{tmp_path}/again", [rows[:30], rows[30:60], rows[60:]], ROW)
+    found = sorted(tuple(r) for r in W.run_to_end(firing.early_windows(stream, "k", "t", "v", 1000, 250, "10 seconds")).where("key <> 'z'").collect())
+    want = []
+    for k, w, f in sorted({(k, t // 1000 // 1000 * 1000, t // 1000 // 250 * 250 + 250) for k, t, _, _ in rows[:60]}):
+        seen = [v for k2, t, _, v in rows[:60] if k2 == k and w <= t // 1000 < f]
+        values = [v for v in seen if v is not None]
+        want.append((k, w, f, len(seen), len(values), sum(values) if values else None, f == w + 1000))
+    assert found == want
