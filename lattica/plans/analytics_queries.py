@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import directed, graph, ml, sharded, sketches
+from lattica.operators import directed, graph, ml, outliers, sharded, sketches
 from lattica.plans.frame_queries import _scratch, query
 from lattica.session import read_table, stream_table
 from lattica.sources import ack_source
@@ -209,3 +209,12 @@ def g27_time_aware_minhash(spark, sf_dir):
     x, y = users.select(F.col("event_type").alias("a"), F.col("users").alias("x")), users.select(F.col("event_type").alias("b"), F.col("users").alias("y"))
     exact = x.join(y, F.col("a") < F.col("b")).select("a", "b", (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).alias("exact"))
     return found.join(exact, ["a", "b"]).select("a", "b", (F.abs(F.col("jaccard") - F.col("exact")) <= 5 * 0.5 / 256**0.5).alias("near"))
+
+
+@query("SELECT vec_id, true AS valid, true AS same FROM embeddings WHERE vec_id % 100 = 0")
+def g24_stochastic_outliers(spark, sf_dir):
+    """Of every hundredth vector against all: the probability from large blocks, the same from small ones, within a millionth."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = e.where("vec_id % 100 = 0").select("vec_id")
+    a, b = (outliers.stochastic_outliers(e, "embedding", "vec_id", 30.0, asked, block).withColumnRenamed("outlier_probability", name) for block, name in ((1024, "p"), (200, "q")))
+    return a.join(b, "vec_id").select("vec_id", F.col("p").between(0, 1).alias("valid"), (F.abs(F.col("p") - F.col("q")) <= 1e-6).alias("same"))
