@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lattica.plans.lineage import cut
 
 
+#: Keys of which a task holds a reduced row before it passes them on.
+REDUCED = 100_000
+
+
 def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, rt: str, before: int, after: int, how: str = "inner") -> DataFrame:
     """Equi-join with ``left.lt BETWEEN right.rt - before AND right.rt + after`` (seconds).
 
@@ -193,3 +198,49 @@ def join_with_hint(left: DataFrame, right: DataFrame, on, how: str = "inner", hi
     """A join with one of the strategies of ``JOIN_HINTS``. Broadcast hints are the caller's word that a side is small."""
     first, second = JOIN_HINTS[hint]
     return (left.hint(first) if first else left).join(right.hint(second) if second else right, on, how)
+
+
+def reduce_rows(df: DataFrame, key: str, combine: Callable[[dict, dict], dict]) -> DataFrame:
+    """One row for each ``key``, from all of its rows by ``combine``, a function of two rows (without the key) that is associative and commutative.
+
+    Each task first reduces what it has and passes that on whenever it holds ``REDUCED`` keys, so a hot key leaves a task as few
+    rows; these are dealt by key and reduced again. Rows whose key is null are one group.
+    """
+    names = list(df.columns)
+    columns = [c for c in names if c != key]
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        out = lambda: pd.DataFrame([(k, *[r[c] for c in columns]) for k, r in held.items()], columns=[key, *columns])[names]
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                k = row.pop(key)
+                k = None if pd.isna(k) else k
+                held[k] = combine(held[k], row) if k in held else row
+            if len(held) > REDUCED:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    def last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # sorted by key, so that only one key is open at a time, whatever their number
+        open_key, held = None, None
+        for frame in frames:
+            rows = []
+            for row in frame.to_dict("records"):
+                k = row.pop(key)
+                k = None if pd.isna(k) else k
+                if held is not None and k == open_key:
+                    held = combine(held, row)
+                    continue
+                if held is not None:
+                    rows.append({key: open_key, **held})
+                open_key, held = k, row
+            if rows:
+                yield pd.DataFrame(rows)[names]
+        if held is not None:
+            yield pd.DataFrame([{key: open_key, **held}])[names]
+
+    first = df.mapInPandas(fold, df.schema)
+    return first.repartition(key).sortWithinPartitions(key).mapInPandas(last, df.schema)

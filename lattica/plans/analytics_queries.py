@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import directed, graph, ml, outliers, sharded, sketches
+from lattica.operators import directed, graph, ml, outliers, relational, sharded, sketches
 from lattica.plans.frame_queries import _scratch, query
 from lattica.session import read_table, stream_table
 from lattica.sources import ack_source
@@ -218,3 +218,36 @@ def g24_stochastic_outliers(spark, sf_dir):
     asked = e.where("vec_id % 100 = 0").select("vec_id")
     a, b = (outliers.stochastic_outliers(e, "embedding", "vec_id", 30.0, asked, block).withColumnRenamed("outlier_probability", name) for block, name in ((1024, "p"), (200, "q")))
     return a.join(b, "vec_id").select("vec_id", F.col("p").between(0, 1).alias("valid"), (F.abs(F.col("p") - F.col("q")) <= 1e-6).alias("same"))
+
+
+# losses
+def _descent(slope: str, steps: int, rate: float) -> str:
+    """Gradient descent written out: one CTE a step."""
+    sql = "WITH d AS MATERIALIZED (SELECT o_totalprice / 200000 AS x, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE -1.0 END::DOUBLE AS y FROM orders), g0 AS (SELECT 0::DOUBLE AS w, 0::DOUBLE AS b)"
+    for k in range(1, steps + 1):
+        sql += f", g{k} AS MATERIALIZED (SELECT w - {rate} / sqrt({k}) * avg({slope} * x) AS w, b - {rate} / sqrt({k}) * avg({slope}) AS b FROM d, g{k - 1} GROUP BY w, b)"
+    return sql + f" SELECT 'x' AS name, round(w, 6) AS weight FROM g{steps} UNION ALL SELECT 'intercept', round(b, 6) FROM g{steps}"
+
+
+def _fitted(spark: SparkSession, sf_dir: str, loss: str, steps: int, rate: float) -> DataFrame:
+    rows = read_table(spark, sf_dir, "orders").select((F.col("o_totalprice") / 200000).alias("x"), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(-1.0).alias("y"))
+    w = ml.gradient_descent(rows, ["x"], "y", loss, steps, rate)
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in sorted(w.items())], "name string, weight double")
+
+
+@query(_descent("(-y / (1 + exp(y * (w * x + b))))", 8, 0.5))
+def g22_logistic(spark, sf_dir):
+    return _fitted(spark, sf_dir, "logistic", 8, 0.5)
+
+
+@query(_descent("(CASE WHEN y * (w * x + b) < 1 THEN -y ELSE 0 END)", 8, 0.1))
+def g22_hinge(spark, sf_dir):
+    """The loss of a support vector machine."""
+    return _fitted(spark, sf_dir, "hinge", 8, 0.1)
+
+
+@query("SELECT l_suppkey AS key, min(l_shipdate) AS first, max(l_quantity) AS most, CAST(sum(l_quantity) AS DOUBLE) AS total FROM lineitem GROUP BY 1")
+def d20_general_reduce(spark, sf_dir):
+    """A reduction by a function of two rows, combined in the tasks before the shuffle and after it again."""
+    rows = read_table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_shipdate").alias("first"), F.col("l_quantity").cast("double").alias("most"), F.col("l_quantity").cast("double").alias("total"))
+    return relational.reduce_rows(rows, "key", lambda a, b: {"first": min(a["first"], b["first"]), "most": max(a["most"], b["most"]), "total": a["total"] + b["total"]})

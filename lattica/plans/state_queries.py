@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lattica.plans.frame_queries import _scratch, query
 from lattica.session import read_table, stream_table
 from lattica.sources import bucket_sink, upsert_sink
-from lattica.streaming import control, firing, over, state, stateful, windows as W
+from lattica.streaming import control, firing, lateness, over, state, stateful, windows as W
 
 
 # state from outside
@@ -123,3 +123,17 @@ FROM h WHERE slice + 3600000 <= (SELECT max(ms) FROM e) WINDOW w AS (PARTITION B
 def w22_early_firing_stream(spark, sf_dir):
     """Six-hour windows of each event type that fire after every hour with rows."""
     return W.run_to_end(firing.early_windows(stream_table(spark, sf_dir, "events"), "event_type", "ts", "value", 21_600_000, 3_600_000)).withColumn("s", F.round("s", 4))
+
+
+@query("""WITH c AS (SELECT click_id, epoch_us(ts) AS us, coalesce(month(arrived_at), 0) AS month FROM clicks), m AS (SELECT month, max(us) AS most FROM c GROUP BY 1),
+w AS (SELECT month, max(most) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM m)
+SELECT click_id, month, coalesce(us <= mark - 86400000000, false) AS late FROM c JOIN w USING (month)""")
+def s06_late_by_watermark(spark, sf_dir):
+    """Clicks come month by month of their arrival; those more than a day behind the watermark are late."""
+    base = _scratch(spark)
+    clicks = read_table(spark, sf_dir, "clicks").select("click_id", "ts", F.coalesce(F.month("arrived_at"), F.lit(0)).cast("long").alias("month"))
+    out = None
+    for month in sorted(r[0] for r in clicks.select("month").distinct().collect()):  # twelve at most
+        clicks.where(F.col("month") == month).write.mode("append").parquet(f"{base}/in")
+        out = lateness.with_lateness(spark.readStream.schema(clicks.schema).parquet(f"{base}/in"), "ts", 86_400_000_000, base)
+    return out.select("click_id", "month", "late")

@@ -353,3 +353,14 @@ def test_rows_and_queries_meet_in_blocks(spark):
     got = ml.in_blocks(a, b, block=2)
     assert got.count() == 350 and got.distinct().count() == 350
     assert ml.in_blocks(a.limit(0), b).count() == 0
+
+
+def test_reduce_by_a_function_of_two_rows(spark, monkeypatch):
+    rows = [(None if n % 7 == 0 else n % 5, float(n), f"t{n % 3}") for n in range(200)]
+    frame = spark.createDataFrame(rows, "k long, v double, t string").repartition(6)
+    combine = lambda a, b: {"v": a["v"] + b["v"], "t": max(a["t"], b["t"])}
+    want = {k: (sum(v for k2, v, _ in rows if k2 == k), "t2") for k in {k for k, _, _ in rows}}
+    for most in (100_000, 1):
+        monkeypatch.setattr(R, "REDUCED", most)
+        assert {r.k: (r.v, r.t) for r in R.reduce_rows(frame, "k", combine).collect()} == want
+    assert R.reduce_rows(frame.limit(0), "k", combine).collect() == []
