@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lattica.plans.lineage import cut
 
-_MINI_BATCH = 256
+_MINI_BATCH = 64
 
 
 # matrix factorisation
