@@ -199,12 +199,29 @@ def triad_counts(edges: DataFrame) -> DataFrame:
     return one.selectExpr("cast(c as bigint) closed", "cast(t - 3 * c as bigint) two_edges", "cast(m * (n - 2) - 2 * (t - 3 * c) - 3 * c as bigint) one_edge", "cast(n * (n - 1) * (n - 2) div 6 - c - (t - 3 * c) - (m * (n - 2) - 2 * (t - 3 * c) - 3 * c) as bigint) no_edge")
 
 
+#: Neighbours of one vertex are paired in blocks of about so many.
+PAIR_BLOCK = 1024
+
+
+def _pairs_at(links: DataFrame, degree: DataFrame) -> DataFrame:
+    """``dst, a, b, mid_degree``: the pairs ``a < b`` of sources that share a target, whose degree is in ``degree`` (``dst, mid_degree``).
+
+    A target's sources are dealt to blocks, and each block meets each in a group of its own: a hub with m sources is m / 1024 squared groups of
+    bounded size, for which either side is repeated m / 1024 times, and not one group with all its pairs.
+    """
+    blocks = F.ceil(F.col("mid_degree") / PAIR_BLOCK).cast("int")
+    dealt = links.select("dst", F.col("src").alias("v")).join(degree, "dst").withColumn("mine", F.pmod(F.xxhash64("v"), blocks).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    left = dealt.select("dst", "mid_degree", F.col("v").alias("a"), F.col("mine").alias("p"), other.alias("q"))
+    right = dealt.select("dst", F.col("v").alias("b"), F.col("mine").alias("q"), other.alias("p"))
+    return left.join(right, ["dst", "p", "q"]).where("a < b").select("dst", "a", "b", "mid_degree")
+
+
 def shared_neighbors(edges: DataFrame) -> DataFrame:
     """``a < b`` with the number of common neighbours, their Jaccard index and Adamic-Adar score."""
     links = cut(undirected(edges), "links")
     degree = cut(links.groupBy("src").agg(F.count(F.lit(1)).alias("d")), "degree")
-    by_mid = links.join(degree.select(F.col("src").alias("dst"), F.col("d").alias("mid_degree")), "dst")
-    pairs = by_mid.select("dst", F.col("src").alias("a"), "mid_degree").join(links.select("dst", F.col("src").alias("b")), "dst").where("a < b")
+    pairs = _pairs_at(links, degree.select(F.col("src").alias("dst"), F.col("d").alias("mid_degree")))
     counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum(1 / F.ln("mid_degree")).alias("adamic_adar"))
     sized = counts.join(degree.select(F.col("src").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("src").alias("b"), F.col("d").alias("db")), "b")
     return sized.select("a", "b", "shared", (F.col("shared") / (F.col("da") + F.col("db") - F.col("shared"))).alias("jaccard"), "adamic_adar")
@@ -218,8 +235,8 @@ def graph_metrics(edges: DataFrame) -> DataFrame:
 
 def bipartite_projection(edges: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of top vertices (``src``) that share a bottom vertex (``dst``), with the number they share."""
-    e = edges.select("src", "dst").distinct()
-    return e.select(F.col("src").alias("a"), "dst").join(e.select(F.col("src").alias("b"), "dst"), "dst").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    e = cut(edges.select("src", "dst").distinct(), "bipartite")
+    return _pairs_at(e, e.groupBy("dst").agg(F.count(F.lit(1)).alias("mid_degree"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
@@ -236,23 +253,39 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
     return paths
 
 
-def bulk_iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], n: int, done: Callable[[DataFrame], bool] | None = None) -> DataFrame:
-    """``n`` supersteps, or fewer when ``done`` says so."""
+def bulk_iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], n: int, done: Callable[[DataFrame], bool] | None = None, settle: bool = False) -> DataFrame:
+    """``n`` supersteps, or fewer when ``done`` says so; with ``settle`` it is an error if ``done`` never does."""
+    last = None
     for _ in range(n):
         state = cut(step(state), "bulk")
+        if last is not None:
+            drop(last)
+        last = state
         if done and done(state):
-            break
+            return state
+    if settle:
+        raise RuntimeError(f"not done after {n} supersteps")
     return state
 
 
-def delta_iterate(solution: DataFrame, workset: DataFrame, key: str, step: Callable[[DataFrame, DataFrame], DataFrame], n: int) -> DataFrame:
-    """``step(solution, workset)`` gives changed solution rows; they replace those of equal key and are the next workset."""
+def delta_iterate(solution: DataFrame, workset: DataFrame, key: str, step: Callable[[DataFrame, DataFrame], DataFrame], n: int, settle: bool = False) -> DataFrame:
+    """``step(solution, workset)`` gives changed solution rows; they replace those of equal key and are the next workset.
+
+    It ends with an empty workset or after ``n`` supersteps; with ``settle`` it is an error if rows still change then.
+    """
+    held: list[DataFrame] = []
     for _ in range(n):
         delta = cut(step(solution, workset), "delta")
         if delta.isEmpty():
-            break
+            for old in [delta, *held[1:]]:
+                drop(old)
+            return solution
         solution = cut(solution.join(delta.select(key), key, "left_anti").unionByName(delta), "solution")
-        workset = delta
+        for old in held:
+            drop(old)
+        held, workset = [solution, delta], delta
+    if settle and not step(solution, workset).isEmpty():
+        raise RuntimeError(f"rows still change after {n} supersteps")
     return solution
 
 
@@ -309,13 +342,12 @@ def hypercube_graph(spark: SparkSession, dimensions: int) -> DataFrame:
 
 
 def echo_graph(spark: SparkSession, n: int, degree: int) -> DataFrame:
-    """A regular graph: each vertex is linked with the ``degree`` vertices that lie opposite to it on the ring."""
-    _least("the vertex count", n, 2)
-    _least("the vertex degree", degree, 1)
-    if degree >= n:
-        raise ValueError("the vertex degree must be less than the vertex count")
-    if (n % 2 == 0) == (degree % 2 == 0):
-        raise ValueError("either the vertex count or the vertex degree must be even, but not both")
+    """A regular graph: each vertex is linked with the ``degree`` vertices that lie opposite to it on the ring.
+
+    An arc that lies the same way from both of its ends is centred on the opposite point, so ``n - degree`` is odd.
+    """
+    if not 0 < degree < n or (n - degree) % 2 == 0:
+        raise ValueError(f"no arc of {degree} vertices is centred opposite to a vertex on a ring of {n}")
     first = (n - degree + 1) // 2
     return _edges(spark, n, lambda i: [F.pmod(i + first + k, F.lit(n)) for k in range(degree)])
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark import SparkFiles
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import directed, graph, ml, outliers, relational, sharded, sketches
+from lattica.operators import directed, graph, ml, outliers, pipelines, relational, sharded, sketches
 from lattica.plans.frame_queries import _scratch, query
 from lattica.session import read_table, stream_table
-from lattica.sources import ack_source
+from lattica.sources import ack_source, connectors
 from lattica.streaming import learning, supervise, windows as W
 
 
@@ -251,3 +254,66 @@ def d20_general_reduce(spark, sf_dir):
     """A reduction by a function of two rows, combined in the tasks before the shuffle and after it again."""
     rows = read_table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_shipdate").alias("first"), F.col("l_quantity").cast("double").alias("most"), F.col("l_quantity").cast("double").alias("total"))
     return relational.reduce_rows(rows, "key", lambda a, b: {"first": min(a["first"], b["first"]), "most": max(a["most"], b["most"]), "total": a["total"] + b["total"]})
+
+
+# pipelines
+def _pipeline_twin(steps: int, rate: float) -> str:
+    """Scaled by the moments of the training orders, squared, and the descent written out."""
+    slope = "(w1 * x + w2 * x * x + b - y)"
+    sql = f"""WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS status, CAST(o_totalprice AS DOUBLE) AS p, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END::DOUBLE AS y, o_orderkey % 5 <> 0 AS teaches FROM orders WHERE o_totalprice IS NOT NULL),
+k AS (SELECT avg(p) AS m, stddev_pop(p) AS d FROM o WHERE teaches), z AS MATERIALIZED (SELECT id, status, (p - m) / d AS x, y, teaches FROM o, k), d AS (SELECT * FROM z WHERE teaches), g0 AS (SELECT 0::DOUBLE AS w1, 0::DOUBLE AS w2, 0::DOUBLE AS b)"""
+    for i in range(1, steps + 1):
+        r = f"{rate} / sqrt({i})"
+        sql += f", g{i} AS MATERIALIZED (SELECT w1 - {r} * avg({slope} * x) AS w1, w2 - {r} * avg({slope} * x * x) AS w2, b - {r} * avg({slope}) AS b FROM d, g{i - 1} GROUP BY w1, w2, b)"
+    return sql + f" SELECT id, y AS truth, round(w1 * x + w2 * x * x + b, 6) AS prediction FROM z, g{steps} WHERE NOT teaches"
+
+
+@query(_pipeline_twin(6, 0.2))
+def g21_pipeline(spark, sf_dir):
+    """Scaling, squares and regression as one pipeline, learned from four fifths of the orders and evaluated on the fifth."""
+    o = read_table(spark, sf_dir, "orders").where("o_totalprice is not null")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("x"), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("y"))
+    stages = [pipelines.Scaled(["x"]), pipelines.Powers("x", 2), pipelines.Descent(["x", "x_2"], "y", steps=6, rate=0.2)]
+    model = Pipeline(stages=stages).fit(rows.where("id % 5 <> 0"))
+    return model.transform(rows.where("id % 5 = 0")).select("id", F.col("y").alias("truth"), F.round("prediction", 6).alias("prediction"))
+
+
+# cached files
+@query("SELECT c_custkey, upper(n_name) AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def v16_distributed_cache(spark, sf_dir):
+    """Customers with the name that a function looks up in a file that every node got once."""
+    name = connectors.cached_file(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 1000)
+
+    def named(frames):
+        held = pd.read_parquet(SparkFiles.get(name)).set_index("n_nationkey")["n_name"].str.upper()
+        for frame in frames:
+            frame["nation"] = frame.pop("c_nationkey").map(held).astype(object).where(lambda s: s.notna(), None)
+            yield frame
+
+    customers = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return customers.mapInPandas(named, f"c_custkey {customers.schema['c_custkey'].dataType.simpleString()}, nation string")
+
+
+# generated graphs
+_GRID = 16
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS id, c_acctbal AS bal FROM customer), n AS (SELECT max(id) + 1 AS n FROM c), v AS (SELECT unnest(range(n)) AS i, n FROM n), h AS (SELECT i, n, CAST(floor(log2(n)) AS INT) AS d FROM v),
+e AS (SELECT 'path' AS kind, i AS src, i + unnest([-1, 1]) AS dst, n FROM v UNION ALL SELECT 'star', 0, i, n FROM v WHERE i > 0 UNION ALL SELECT 'star', i, 0, n FROM v WHERE i > 0
+  UNION ALL SELECT 'circulant', i, (i + unnest([1, -1, 3, -3]) + n) % n, n FROM v UNION ALL SELECT 'pairs', i, xor(i, 1), n // 2 * 2 FROM v WHERE i < n // 2 * 2
+  UNION ALL SELECT 'grid', i, i + unnest([-{_GRID}, {_GRID}]), n // {_GRID} * {_GRID} FROM v WHERE i < n // {_GRID} * {_GRID}
+  UNION ALL SELECT 'grid', i, i - 1, n FROM v WHERE i < n // {_GRID} * {_GRID} AND i % {_GRID} > 0 UNION ALL SELECT 'grid', i, i + 1, n FROM v WHERE i < n // {_GRID} * {_GRID} AND i % {_GRID} < {_GRID} - 1
+  UNION ALL SELECT 'hypercube', i, xor(i, CAST(pow(2, k) AS BIGINT)), n FROM (SELECT i, n, d, unnest(range(d)) AS k FROM h) WHERE i < pow(2, d)
+  UNION ALL SELECT 'echo', i, (i + (n - k + 1) // 2 + unnest(range(k))) % n, n FROM (SELECT i, n, 2 + (n + 1) % 2 AS k FROM v))
+SELECT kind, src, count(*) AS links, round(sum(bal), 2) AS balance FROM e JOIN c ON c.id = dst WHERE dst >= 0 AND dst < n GROUP BY ALL""")
+def g16_generated_neighbors(spark, sf_dir):
+    """Customers as vertices of generated graphs: what each vertex's neighbours have together."""
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("dst"), "c_acctbal")
+    n = c.agg(F.max("dst")).first()[0] + 1
+    graphs = {"path": graph.path_graph(spark, n), "star": graph.star_graph(spark, n), "circulant": graph.circulant_graph(spark, n, [1, 3]), "pairs": graph.singleton_edge_graph(spark, n // 2),
+        "grid": graph.grid_graph(spark, n // _GRID, _GRID), "hypercube": graph.hypercube_graph(spark, n.bit_length() - 1), "echo": graph.echo_graph(spark, n, 2 + (n + 1) % 2)}
+    edges = None
+    for kind, g in graphs.items():
+        g = g.select(F.lit(kind).alias("kind"), "src", "dst")
+        edges = g if edges is None else edges.union(g)
+    return edges.join(c, "dst").groupBy("kind", "src").agg(F.count(F.lit(1)).alias("links"), F.round(F.sum("c_acctbal"), 2).alias("balance"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lattica.plans.frame_queries import _scratch, query
 from lattica.session import read_table, stream_table
 from lattica.sources import bucket_sink, upsert_sink
-from lattica.streaming import control, firing, lateness, over, state, stateful, windows as W
+from lattica.streaming import control, firing, lateness, over, state, stateful, watermarks, windows as W
 
 
 # state from outside
@@ -137,3 +137,59 @@ def s06_late_by_watermark(spark, sf_dir):
         clicks.where(F.col("month") == month).write.mode("append").parquet(f"{base}/in")
         out = lateness.with_lateness(spark.readStream.schema(clicks.schema).parquet(f"{base}/in"), "ts", 86_400_000_000, base)
     return out.select("click_id", "month", "late")
+
+
+# watermarks by strategy
+_SIX = 21_600_000_000
+
+
+def _by_mark(level: str, columns: str = "") -> str:
+    """Clicks in batches by month of arrival; ``level`` is a CTE ``lv`` of each batch's own mark."""
+    return f"""WITH c0 AS (SELECT click_id, coalesce(kind, 'none') AS kind, value, epoch_us(ts) AS us, coalesce(month(arrived_at), 0) AS month, coalesce(quarter(arrived_at), 0) AS quarter FROM clicks),
+c AS (SELECT *, us // {_SIX} * {_SIX} AS start_us, dense_rank() OVER (ORDER BY month) - 1 AS b FROM c0), {level},
+l AS (SELECT b, max(lv) OVER (ORDER BY b) AS level, max(lv) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM lv),
+j AS (SELECT c.*, coalesce(start_us + {_SIX} <= past, false) AS late FROM c JOIN l USING (b)),
+w AS (SELECT kind AS key, start_us, count(*) AS n, count(value) AS c, round(sum(value), 4) AS s FROM j WHERE us IS NOT NULL AND NOT late GROUP BY ALL)
+"""
+
+
+def _in_months(spark, sf_dir, strategy, **options):
+    base = _scratch(spark)
+    clicks = read_table(spark, sf_dir, "clicks").select("click_id", F.coalesce("kind", F.lit("none")).alias("kind"), "value", "ts", F.coalesce(F.month("arrived_at"), F.lit(0)).alias("month"), F.coalesce(F.quarter("arrived_at"), F.lit(0)).cast("string").alias("quarter"))
+    clicks, out = clicks.withColumn("producer", F.concat_ws("-", "kind", "quarter")), None
+    for month in sorted(r[0] for r in clicks.select("month").distinct().collect()):  # thirteen at most
+        clicks.where(F.col("month") == month).write.mode("append").parquet(f"{base}/in")
+        out = watermarks.windows_by_mark(spark.readStream.schema(clicks.schema).parquet(f"{base}/in"), "kind", "ts", "value", _SIX, strategy, base, **options)
+    return out
+
+
+_PUNCTUATED = "lv AS (SELECT b, max(us) FILTER (kind = 'purchase') AS lv FROM c GROUP BY b)"
+_FIRED = f"SELECT w.*, (SELECT min(b) FROM l WHERE level >= start_us + {_SIX}) AS batch FROM w WHERE start_us + {_SIX} <= (SELECT max(level) FROM l)"
+
+
+@query(_by_mark(_PUNCTUATED) + _FIRED)
+def s04_punctuated_windows(spark, sf_dir):
+    """Six-hour windows of clicks by kind that close when a purchase of a later time has come."""
+    return _in_months(spark, sf_dir, watermarks.punctuated("kind = 'purchase'")).windows.withColumn("s", F.round("s", 4))
+
+
+@query(_by_mark(_PUNCTUATED) + "SELECT click_id, b AS batch FROM j WHERE late")
+def s04_punctuated_late(spark, sf_dir):
+    """The clicks whose window a purchase of an earlier batch has closed."""
+    return _in_months(spark, sf_dir, watermarks.punctuated("kind = 'purchase'")).late.select("click_id", "batch")
+
+
+_ACTIVE = """m AS (SELECT kind || '-' || quarter AS producer, b, max(us) - 86400000000 AS mk FROM c GROUP BY ALL), r AS (SELECT x.b, producer, max(mk) AS mk, max(m.b) AS seen FROM (SELECT DISTINCT b FROM c) x JOIN m ON m.b <= x.b GROUP BY ALL),
+lv AS (SELECT b, CASE WHEN count(mk) = count(*) THEN min(mk) END AS lv FROM r {} GROUP BY b)"""
+
+
+@query(_by_mark(_ACTIVE.format("WHERE seen = b")) + _FIRED)
+def s05_idle_sources(spark, sf_dir):
+    """Each kind has another producer in each quarter: those of the last quarter fall idle and don't hold the windows open."""
+    return _in_months(spark, sf_dir, watermarks.periodic(86_400_000_000), source="producer", idle_batches=1).windows.withColumn("s", F.round("s", 4))
+
+
+@query(_by_mark(_ACTIVE.format("")) + _FIRED)
+def s05_silent_sources(spark, sf_dir):
+    """The same without idleness: producers that have gone silent hold the windows of the next quarter open."""
+    return _in_months(spark, sf_dir, watermarks.periodic(86_400_000_000), source="producer").windows.withColumn("s", F.round("s", 4))

@@ -109,13 +109,13 @@ def a25_generator_stream(spark, sf_dir):
     return W.run_to_end(numbers.join(read_table(spark, sf_dir, "orders"), F.col("value") == F.col("o_custkey")).select("value", "o_orderkey"))
 
 
-@query("SELECT n_nationkey AS key, n_name AS value FROM nation")
+@query("SELECT c_custkey AS key, c_name AS value FROM customer")
 def a30_hadoop_formats(spark, sf_dir):
     """Key and value pairs in a sequence file, written and read through the Hadoop formats."""
     path = _scratch(spark)
-    rows = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rows = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     rows.rdd.map(tuple).saveAsSequenceFile(path)
-    return spark.createDataFrame(spark.sparkContext.sequenceFile(path), "key int, value string")
+    return spark.createDataFrame(spark.sparkContext.sequenceFile(path), "key long, value string")
 
 
 # sinks and catalog
@@ -204,14 +204,14 @@ def c10_join_with_tiny(spark, sf_dir):
     return read_table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "r_name")
 
 
-@query(_unrolled("SELECT n_nationkey AS id, 1 AS v FROM nation", "SELECT id, v + n_regionkey AS v FROM {r} JOIN nation ON id = n_nationkey", 3, "SELECT id, v FROM {r}"))
+@query(_unrolled("SELECT c_custkey AS id, 1 AS v FROM customer", "SELECT id, v + c_nationkey AS v FROM {r} JOIN customer ON id = c_custkey", 3, "SELECT id, v FROM {r}"))
 def c13_cached_side_in_iterations(spark, sf_dir):
     """The side that stays the same is written once and joined in every superstep."""
     from lattica.plans.lineage import cut
 
-    side = cut(read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), "n_regionkey"), "side")
+    side = cut(read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey"), "side")
     start = side.select("id", F.lit(1).alias("v"))
-    return G.bulk_iterate(start, lambda s: s.join(side, "id").select("id", (F.col("v") + F.col("n_regionkey")).alias("v")), 3)
+    return G.bulk_iterate(start, lambda s: s.join(side, "id").select("id", (F.col("v") + F.col("c_nationkey")).alias("v")), 3)
 
 
 @query("SELECT coalesce(c_nationkey, s_nationkey) AS k, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM customer FULL JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1")
@@ -386,16 +386,25 @@ def g06_gather_sum_apply(spark, sf_dir):
     return G.gather_sum_apply(start, e, F.col("neighbor"), F.sum("gathered"), F.col("value") + F.col("summed"))
 
 
-@query("SELECT n_nationkey AS id, n_nationkey + 4 AS v FROM nation")
+_HALVED = "WITH RECURSIVE r AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DOUBLE) AS v FROM orders UNION ALL SELECT id, v / 2 FROM r WHERE v >= 1000) SELECT id, v FROM r WHERE v < 1000"
+
+
+def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("v"))
+
+
+@query(_HALVED)
 def g18_bulk_iteration(spark, sf_dir):
-    start = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("v"))
-    return G.bulk_iterate(start, lambda s: s.withColumn("v", F.col("v") + 1), 10, done=lambda s: s.where("v < id + 4").isEmpty())
+    """All orders go through every superstep, in which prices from 1000 up are halved, until there are none."""
+    halve = lambda s: s.withColumn("v", F.when(F.col("v") >= 1000, F.col("v") / 2).otherwise(F.col("v")))
+    return G.bulk_iterate(_prices(spark, sf_dir), halve, 30, done=lambda s: s.where("v >= 1000").isEmpty(), settle=True)
 
 
-@query("SELECT n_nationkey AS id, greatest(n_nationkey, 10) AS v FROM nation")
+@query(_HALVED)
 def g19_delta_iteration(spark, sf_dir):
-    start = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("v"))
-    return G.delta_iterate(start, start, "id", lambda s, w: w.where("v < 10").withColumn("v", F.col("v") + 1), 20)
+    """The same with a workset: only orders that changed are looked at again."""
+    start = _prices(spark, sf_dir)
+    return G.delta_iterate(start, start, "id", lambda s, w: w.where("v >= 1000").withColumn("v", F.col("v") / 2), 30, settle=True)
 
 
 @query(f"SELECT src + 1 AS src, dst FROM {_ORDER_PARTS}")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from lattica.plans.lineage import cut
+
 
 @dataclasses.dataclass
 class Source:
@@ -86,7 +88,10 @@ def record_time(df: DataFrame, name: str = "rowtime") -> DataFrame:
     return df.select("*", F.col("_metadata.file_modification_time").alias(name))
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, lower: int = 0, upper: int = 0, parts: int = 1, **options: str) -> DataFrame:
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, lower: int = 0, upper: int = 0, parts: int = 1, predicates: Sequence[str] | None = None, **options: str) -> DataFrame:
+    """A table or ``(query) alias``, read in ranges of a numeric column or with one task for each of ``predicates``, which part all rows."""
+    if predicates is not None:
+        return spark.read.jdbc(url, table, predicates=list(predicates), properties=options)
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
     if column:
         reader = reader.options(partitionColumn=column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(parts))
@@ -100,6 +105,57 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", files: int | None = None
     df.write.mode("overwrite" if overwrite else "error").options(sep=sep, emptyValue="", nullValue="", quote="").csv(path)
 
 
+def apply_jdbc(df: DataFrame, url: str, staging: str, statements: Sequence[str], **options: str) -> None:
+    """Write ``df`` to the table ``staging`` from all tasks, run ``statements`` over it in one transaction, and drop it.
+
+    The statements (an insertion, update or merge from the staging table) take effect wholly or not at all, whatever tasks are repeated
+    or fail while the rows are staged.
+    """
+    df.write.mode("overwrite").jdbc(url, staging, properties=options)
+    _transact(df.sparkSession, url, statements)
+    _transact(df.sparkSession, url, [f"DROP TABLE {staging}"])
+
+
+def jdbc_sink(stream: DataFrame, url: str, staging: str, statements: Sequence[str], checkpoint: str, log: str, **options: str):
+    """Apply each micro-batch of ``stream`` as :func:`apply_jdbc` does, once: its number goes to the table ``log`` (``batch``, a primary key, which
+    must exist) in the same transaction, and a batch whose number is there is left out."""
+    spark = stream.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        if read_jdbc(spark, url, f"(SELECT batch FROM {log} WHERE batch = {number}) done", **options).isEmpty():
+            apply_jdbc(batch, url, staging, [*statements, f"INSERT INTO {log} VALUES ({number})"], **options)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _transact(spark: SparkSession, url: str, statements: Sequence[str]) -> None:
+    connection = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        connection.setAutoCommit(False)
+        run = connection.createStatement()
+        try:
+            for text in statements:
+                run.execute(text)
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+    finally:
+        connection.close()
+
+
+def cached_file(df: DataFrame, most_rows: int) -> str:
+    """Ship a small table to every node as one Parquet file; Python functions in tasks read it from ``SparkFiles.get(name)`` by the returned name.
+
+    A table of more than ``most_rows`` rows is an error: join it instead.
+    """
+    if df.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"a cached file holds {most_rows} rows at most; join larger tables")
+    path = cut(df.coalesce(1), "cached").inputFiles()[0]
+    df.sparkSession.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[1]
+
+
 def write_buckets(df: DataFrame, path: str, ts: str, pattern: str = "yyyy-MM-dd--HH", format: str = "parquet") -> None:
     """Files by time bucket."""
     df.withColumn("bucket", F.date_format(ts, pattern)).write.mode("append").partitionBy("bucket").format(format).save(path)
