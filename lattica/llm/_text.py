@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 U = np.uint64
 _P = 0xD1342543DE82EF95  # odd, so that it has an inverse mod 2**64
@@ -61,16 +60,6 @@ def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
         spark.conf.set(key, size)
 
 
-def release_heap(spark: SparkSession) -> None:
-    """Ask the JVMs of the executors to collect and give free heap back to the system.
-
-    For the pipeline's stages only: a heap that the shuffles of one stage have filled stays with its JVM, beside which the
-    Python workers of the next need memory of the same container. Best effort, and no result depends on it.
-    """
-    n = spark.sparkContext.defaultParallelism
-    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
-
-
 def _trim() -> None:
     """Give freed memory back to the system; Python workers live on between tasks and stages."""
     try:

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm._text import BY_LETTER, U, Words, blocks, bounded_batches, folded, lean, mix
+from lattica.plans.lineage import cut
 
 STEP = 8
 #: Words of a document's passages; items of up to the first have one passage, of the first length.
@@ -429,12 +430,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found, with all their columns; no shuffle."""
+    """The rows of ``docs`` in which no benchmark item is found, with all their columns; no shuffle.
+
+    Between passes the rows are written, so that a task holds the indexes of one pass only and a later pass reads what is left.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     at = docs.columns.index("text")
     out = docs
-    for indexes in build_indexes(docs, benchmark):
+    for number, indexes in enumerate(build_indexes(docs, benchmark)):
+        if number:
+            out = cut(out, "clean")
         shared = spark.sparkContext.broadcast(cloudpickle.dumps(indexes))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,20 @@ def test_moved_sentences_are_found(spark):
     assert kept == {6}
 
 
+def test_passes_over_the_documents(spark, monkeypatch):
+    """Many passes keep what one does; each is a stage of its own."""
+    monkeypatch.setattr(decontaminate, "PASSAGES", 3)
+    monkeypatch.setattr(decontaminate, "GROUPS", 1)
+    items = [[f"q{k}x{i}" for i in range(25)] for k in range(8)] + [["short", "run", "here"]]
+    texts = {k: prose(k, 60) + item + prose(k + 50, 60) for k, item in enumerate(items)} | {100 + k: prose(k + 200, 150) for k in range(4)}
+    docs = spark.createDataFrame([(i, " ".join(t), i * 2) for i, t in texts.items()] + [(None, None, 7)], "doc_id long, text string, item_id long")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and {(r.doc_id, r.item_id) for r in kept.collect()} == {(None, 7)} | {(100 + k, 200 + 2 * k) for k in range(4)}
+    assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(k, k) for k in range(9)}
+
+
 def test_answer_is_counted_by_itself():
     words = np.arange(1, 21, dtype=np.uint64)
     item = decontaminate.Item(1, words, 6)
