@@ -11,59 +11,49 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lattica.streaming.stateful import keep_in_rocksdb
+from lattica.streaming.stateful import Waiting, keep_in_rocksdb, nones
 
 
 class _AsOf(StatefulProcessor):
-    """Main rows wait by millisecond, with a timer each; versions wait by key in time order. Of versions that the watermark has passed
-    only the last is kept."""
+    """Main rows wait for the watermark; versions wait by key in time order. Of versions that the watermark has passed only the last is kept."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms bigint", "us array<bigint>, keys array<string>, rows array<string>")
+        self.waiting = Waiting(handle, "us array<bigint>, keys array<string>, rows array<string>")
         self.versions = handle.getMapState("versions", "key string", "us array<bigint>, tie array<bigint>, vals array<string>")
 
+    def _held(self, k: str) -> tuple:
+        return tuple(self.versions.getValue((k,))) if self.versions.containsKey((k,)) else ([], [], [])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[str, list[tuple]] = {}
+        chunks = []
         for frame in rows:
-            side = frame[frame["in_side"] == 1]
-            for k, part in side.groupby("in_key", sort=False):
-                held = self.versions.getValue((k,)) if self.versions.containsKey((k,)) else ([], [], [])
-                new = zip(part["in_us"].tolist(), part["in_tie"].tolist(), [None if pd.isna(v) else v for v in part["in_row"]], strict=True)
-                ordered = sorted([*zip(*held, strict=True), *new], key=lambda v: v[:2])
-                self.versions.updateValue((k,), tuple(map(list, zip(*ordered, strict=True))))
-            main = frame[frame["in_side"] == 0]
-            for ms, part in main.groupby("in_ms", sort=False):
-                us, keys, texts = part["in_us"].tolist(), [None if pd.isna(k) else k for k in part["in_key"]], part["in_row"].tolist()
-                if self.waiting.containsKey((int(ms),)):
-                    held = self.waiting.getValue((int(ms),))
-                    us, keys, texts = [*held[0], *us], [*held[1], *keys], [*held[2], *texts]
-                else:
-                    self.handle.registerTimer(int(ms))
-                self.waiting.updateValue((int(ms),), (us, keys, texts))
-        yield pd.DataFrame(columns=["row", "value", "since"])
+            side, main = frame[frame["in_side"] == 1], frame[frame["in_side"] == 0]
+            for k, *version in zip(side["in_key"].tolist(), side["in_us"].tolist(), side["in_tie"].tolist(), nones(side["in_row"]), strict=True):
+                new.setdefault(k, []).append(tuple(version))
+            chunks.append((main["in_ms"].tolist(), main["in_us"].tolist(), nones(main["in_key"]), main["in_row"].tolist()))
+        for k, versions in new.items():
+            ordered = sorted([*zip(*self._held(k), strict=True), *versions], key=lambda v: v[:2])
+            self.versions.updateValue((k,), tuple(map(list, zip(*ordered, strict=True))))
+        self.waiting.add(chunks)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = (expiredTimerInfo.getExpiryTimeInMs(),)
-        rows = list(zip(*self.waiting.getValue(due), strict=True))
-        self.waiting.removeKey(due)
-        known: dict = {}
-        out = []
-        for us, k, row in rows:
-            if k is not None and k not in known:
-                known[k] = tuple(map(list, self.versions.getValue((k,)))) if self.versions.containsKey((k,)) else ([], [], [])
-            times, _, values = known.get(k, ([], [], []))
-            i = bisect_right(times, us)
-            out.append((row, values[i - 1] if i else None, times[i - 1] if i else None))
-        first = min(us for us, _, _ in rows)
-        for k, (times, ties, values) in known.items():
-            if (i := bisect_right(times, first)) > 1:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due = pd.DataFrame(dict(zip(("us", "key", "row"), self.waiting.due(timerValues, 3), strict=True)))
+        yield pd.DataFrame({"row": due["row"][due["key"].isna()].tolist(), "value": None, "since": None})
+        for k, part in due.groupby("key", sort=False):
+            times, ties, values = self._held(k)
+            at = (np.searchsorted(np.array(times, "int64"), part["us"].to_numpy(), "right") - 1).tolist()
+            yield pd.DataFrame({"row": part["row"].tolist(), "value": pd.Series([values[i] if i >= 0 else None for i in at], dtype=object), "since": pd.Series([times[i] if i >= 0 else None for i in at], dtype=object)})
+            if (i := bisect_right(times, passed)) > 1:
                 self.versions.updateValue((k,), (times[i - 1 :], ties[i - 1 :], values[i - 1 :]))
-        yield pd.DataFrame(out, columns=["row", "value", "since"])
 
     def close(self) -> None:
         pass
