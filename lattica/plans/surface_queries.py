@@ -447,10 +447,7 @@ def g23_als(spark, sf_dir):
     return out.crossJoin(mean).agg(F.count(F.lit(1)).alias("n"), (F.avg(F.pow(F.col("prediction") - F.col("rating"), 2)) < F.avg(F.pow(F.col("rating") - F.col("m"), 2))).alias("converged"))
 
 
-def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.run_to_end(stateful.retracting_aggregates(stream_table(spark, sf_dir, "events"), "event_type", "value"))
-
-
 @query("SELECT event_type AS key, round(sum(value), 4) AS s, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1")
 def s09_reducing_state(spark, sf_dir):
-    return stateful.materialize(_changes(spark, sf_dir).select("key", F.round("s", 4).alias("s"), "lo", "hi", "_op"))
+    log = W.run_to_end(stateful.split_aggregates(stream_table(spark, sf_dir, "events"), "event_type", "value"))
+    return stateful.merge_shards(stateful.materialize(log.select("key", "shard", "s", "lo", "hi", "_op"))).withColumn("s", F.round("s", 4))
