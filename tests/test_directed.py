@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import re
+
 import pytest
 
 from lattica.operators import directed
@@ -49,3 +51,26 @@ def test_census_and_clustering_over_all_triples(spark, edges):
     triplets = sum(len(x) * (len(x) - 1) // 2 for x in near.values())
     closed = sum(y in near[x] for v in ids for x, y in itertools.combinations(near[v], 2))
     assert (g.triplets or 0, g.closed) == (triplets, closed) and g.average_coefficient == pytest.approx(sum(x[2] for x in local.values()) / len(ids))
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_pairs_are_made_behind_their_last_shuffle(spark, monkeypatch, block):
+    import itertools
+    import math
+
+    from lattica.operators import graph
+
+    monkeypatch.setattr(graph, "PAIR_BLOCK", block)
+    edges = {(a, 100 + b) for a in range(12) for b in range(6) if (a * b) % 4 < 2 or a == 3}
+    df = spark.createDataFrame(sorted(edges), "src long, dst long")
+    near: dict = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    both = {p: near[p[0]] & near[p[1]] for p in itertools.combinations(sorted(near), 2) if near[p[0]] & near[p[1]]}
+    got = graph.shared_neighbors(df)
+    assert {(r.a, r.b): (r.shared, round(r.jaccard, 9), round(r.adamic_adar, 6)) for r in got.collect()} == {p: (len(m), round(len(m) / len(near[p[0]] | near[p[1]]), 9), round(sum(1 / math.log(len(near[x])) for x in m), 6)) for p, m in both.items()}
+    tops = graph.bipartite_projection(df)
+    assert {(r.a, r.b): r.shared for r in tops.collect()} == {p: len(m) for p, m in both.items() if p[1] < 100}
+    for frame in (got, tops):
+        assert not re.search(r"hashpartitioning\(a#\w+, b#", frame._jdf.queryExecution().toString())
