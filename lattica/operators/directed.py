@@ -38,30 +38,37 @@ def coded_triangles(pairs: DataFrame) -> DataFrame:
     """Each triangle once: a, b, c with ab, ac, bc, the codes of its pairs in that order."""
     degree = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
     keyed = pairs.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst")
-    up = cut(keyed.where("d < e OR (d = e AND src < dst)").select("src", "dst", "code"), "oriented")
-    x, y = up.select("src", F.col("dst").alias("b"), F.col("code").alias("ab")), up.select("src", F.col("dst").alias("c"), F.col("code").alias("ac"))
-    wedges = x.join(y, "src").where("b < c").withColumnRenamed("src", "a")
-    return wedges.join(pairs.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("code").alias("bc")), ["b", "c"]).select("a", "b", "c", "ab", "ac", "bc")
-
-
-def clustering(edges: DataFrame) -> DataFrame:
-    """``id, degree, links, local`` of every vertex: the directed edges among its neighbours, of all that could be."""
+    up = keyed.where("d < e OR (d = e AND src < dst)").groupBy("src").agg(F.sort_array(F.collect_list(F.struct("e", "dst", "code"))).alias("outs"))
+    up = cut(up.select("src", "outs"), "oriented")
+    # An edge takes the targets behind its own to its end as one list, so a wedge is one entry of a list and not a row of a shuffle.
+    sent = up.select(F.col("src").alias("a"), "outs", F.posexplode("outs").alias("i", "o")).withColumn("rest", F.slice("outs", F.col("i") + 2, F.size("outs"))).where("size(rest) > 0")
+    sent = sent.select("a", F.col("o.dst").alias("b"), F.col("o.code").alias("ab"), F.col("rest.dst").alias("cs"), F.col("rest.code").alias("codes"))
+    met = sent.join(up.select(F.col("src").alias("b"), F.col("outs.dst").alias("ds"), F.col("outs.code").alias("nexts")), "b")
+    found = met.select("a", "b", "ab", "cs", "codes", "ds", "nexts", F.explode(F.array_intersect("cs", "ds")).alias("c"))
+    return found.select("a", "b", "c", "ab", F.expr("codes[int(array_position(cs, c)) - 1]").alias("ac"), F.expr("nexts[int(array_position(ds, c)) - 1]").alias("bc"))
+
+
+def _clustered(edges: DataFrame) -> DataFrame:
+    """``id, degree, links, triangles, local`` of every vertex, from one listing of the triangles."""
     pairs = cut(coded_pairs(edges), "pairs")
     size = lambda code: F.when(F.col(code) == 3, 2).otherwise(1)
     corners = F.array(*[F.struct(F.col(v).alias("id"), size(code).alias("n")) for v, code in (("a", "bc"), ("b", "ac"), ("c", "ab"))])
-    links = coded_triangles(pairs).select(F.explode(corners).alias("t")).groupBy("t.id").agg(F.sum("t.n").alias("links"))
+    links = coded_triangles(pairs).select(F.explode(corners).alias("t")).groupBy("t.id").agg(F.sum("t.n").alias("links"), F.count(F.lit(1)).alias("triangles"))
     out = vertices_of(edges).join(_degrees(pairs).select("id", "degree"), "id", "left").join(links, "id", "left")
-    out = out.select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = out.select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("degree", "links", "triangles")])
     return out.withColumn("local", F.when(F.col("degree") < 2, 0.0).otherwise(F.col("links") / (F.col("degree") * (F.col("degree") - 1))))
 
 
+def clustering(edges: DataFrame) -> DataFrame:
+    """``id, degree, links, local`` of every vertex: the directed edges among its neighbours, of all that could be."""
+    return _clustered(edges).drop("triangles")
+
+
 def global_clustering(edges: DataFrame) -> DataFrame:
     """One row: triplets (pairs of neighbours), closed (three for each triangle), their ratio, and the average local coefficient."""
-    pairs = cut(coded_pairs(edges), "pairs")
-    triplets = _degrees(pairs).agg(F.sum(F.expr("degree * (degree - 1) div 2")).alias("triplets"))
-    closed = coded_triangles(pairs).agg((3 * F.count(F.lit(1))).alias("closed"))
-    average = clustering(edges).agg(F.avg("local").alias("average_coefficient"))
-    return triplets.crossJoin(closed).crossJoin(average).withColumn("global_coefficient", F.when(F.col("triplets") > 0, F.col("closed") / F.col("triplets")))  # one row each
+    triplets = F.sum(F.when(F.col("degree") > 0, F.expr("degree * (degree - 1) div 2")))
+    one = _clustered(edges).agg(triplets.alias("triplets"), F.coalesce(F.sum("triangles"), F.lit(0)).alias("closed"), F.avg("local").alias("average_coefficient"))
+    return one.withColumn("global_coefficient", F.when(F.col("triplets") > 0, F.col("closed") / F.col("triplets")))
 
 
 def _type(ab: int, ac: int, bc: int) -> str:
