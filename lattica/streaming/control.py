@@ -47,7 +47,8 @@ class _AsOf(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         due = pd.DataFrame(dict(zip(("us", "key", "row"), self.waiting.due(timerValues, 3), strict=True)))
-        yield pd.DataFrame({"row": due["row"][due["key"].isna()].tolist(), "value": None, "since": None})
+        if lone := due["row"][due["key"].isna()].tolist():
+            yield pd.DataFrame({"row": lone, "value": None, "since": None})
         for k, part in due.groupby("key", sort=False):
             times, ties, values = self._held(k)
             at = (np.searchsorted(np.array(times, "int64"), part["us"].to_numpy(), "right") - 1).tolist()
