@@ -303,3 +303,46 @@ def test_left_rows_wait_for_the_right_ones_in_their_bucket(spark, tmp_path):
     l, r = (spark.readStream.schema(s).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{n}/*") for n, s in (("l", "k long, i long"), ("r", "k long, v string")))
     got = W.run_to_end(stateful.connect_enrich(l, r, "k", "i", "v", buckets=2))
     assert sorted(tuple(x) for x in got.collect()) == [(1, 10, "b"), (1, 11, "b"), (1, 12, "b"), (2, 20, "z"), (2, 21, "z"), (3, 30, "c")]
+
+
+def _bucket(n_keys, per_key=3):
+    """A frame of rows of many keys in one bucket, as the processors take it."""
+    import pandas as pd
+
+    rows = [(f"k{k}", 1000 * i + k, k + n_keys * i, float((k * 7 + i) % 5), "ab"[i % 2]) for i in range(per_key) for k in range(n_keys)]
+    frame = pd.DataFrame(rows, columns=["in_key", "in_ms", "in_id", "in_value", "in_kind"])
+    return frame.assign(in_us=frame["in_ms"] * 1000)
+
+
+def test_calls_of_the_sort_do_not_grow_with_the_keys_of_a_bucket():
+    from lattica.streaming import stateful
+
+    seen = []
+    for n in (50, 500):
+        counts, handle, times = _calls()
+        processor = stateful._TimeSort()
+        processor.init(handle)
+        assert not list(processor.handleInputRows((1,), iter([_bucket(n)]), times))
+        (out,) = processor.handleExpiredTimer((1,), times, None)
+        assert len(out) == 3 * n and out["pos"].tolist() == [1, 2, 3] * n
+        seen.append(sum(counts.values()))
+    assert seen[0] == seen[1]
+
+
+def test_sort_of_many_keys_over_micro_batches(spark, tmp_path):
+    from lattica.streaming import stateful
+
+    rng, base, far = random.Random(8), 1_700_000_000_000_000, 2**60 + 1
+    parts = [[(rng.choice([None, 1, 2, far, *range(10, 40)]), base + 10_000_000 * b + 1000 * rng.randrange(15_000), 100 * b + n, float(n)) for n in range(100)] for b in range(4)]
+    got = W.run_to_end(stateful.time_sort(batches(spark, tmp_path, parts, ROW.replace("k string", "k long")), "k", "t", "i", "v", "5 seconds"))
+    found = sorted(((r.key, r.ms, r.id, r.v, r.pos) for r in got.collect()), key=repr)
+    rows, mark, want, kept = [], None, [], []
+    for part in parts:
+        kept += [r for r in part if mark is None or r[1] // 1000 > mark]
+        mark = max(max(r[1] for r in part) // 1000 - 5000, mark or 0)
+    rows = sorted((r for r in kept if r[1] // 1000 <= mark), key=lambda r: r[1:3])
+    count = {}
+    for k, t, i, v in rows:
+        count[k] = count.get(k, 0) + 1
+        want.append((k, t // 1000, i, v, count[k]))
+    assert len(want) > 250 and {None, far} <= {w[0] for w in want} and found == sorted(want, key=repr)
