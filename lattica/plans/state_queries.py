@@ -19,9 +19,9 @@ def s22_queryable_state(spark, sf_dir):
     checkpoint = _scratch(spark)
     events = stream_table(spark, sf_dir, "events")
     W.run_to_end(stateful.keyed_states(events, "user_id", "ts", "event_id", "event_type", "value"), checkpoint=checkpoint)
-    total, recent, kinds = (state.state_of(spark, checkpoint, name) for name in ("n", "recent", "kinds"))
-    ids = recent.select("key", F.concat_ws(",", F.transform("items", lambda i: i["id"].cast("string"))).alias("recent"))
-    pairs = F.array_sort(F.transform(F.map_entries("entries"), lambda e: F.concat_ws(":", e["key"]["kind"], e["value"]["n"].cast("string"))))
+    total, recent, kinds = (state.by_key(spark, checkpoint, name, "bigint") for name in ("n", "recent", "kinds"))
+    ids = recent.select("key", F.concat_ws(",", F.transform("items", lambda i: i.cast("string"))).alias("recent"))
+    pairs = F.array_sort(F.transform(F.arrays_zip("kinds", "ns"), lambda e: F.concat_ws(":", e["kinds"], e["ns"].cast("string"))))
     return total.join(ids, "key").join(kinds.select("key", F.concat_ws(",", pairs).alias("kinds")), "key")
 
 
@@ -32,7 +32,7 @@ def s22_state_lookup(spark, sf_dir):
     events = stream_table(spark, sf_dir, "events")
     W.run_to_end(stateful.keyed_states(events, "user_id", "ts", "event_id", "event_type", "value"), checkpoint=checkpoint)
     wanted = read_table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("key"))
-    return state.lookup(spark, checkpoint, "n", wanted).select("key", "n", "hi")
+    return state.lookup(spark, checkpoint, "n", wanted, packed="bigint").select("key", "n", "hi")
 
 
 @query("SELECT user_id AS key, count(*) AS n, round(sum(value), 4) AS s, min(CASE WHEN event_id % 2 = 1 THEN value END) AS lo, max(CASE WHEN event_id % 2 = 1 THEN value END) AS hi FROM events GROUP BY user_id")

@@ -34,9 +34,16 @@ def state_of(spark: SparkSession, checkpoint: str, name: str, operator: int = 0,
     return found.select("key.*", "value.*")
 
 
-def lookup(spark: SparkSession, checkpoint: str, name: str, keys: DataFrame, operator: int = 0) -> DataFrame:
-    """The state of given keys: ``keys`` has the key's columns; keys without state are absent."""
-    state = state_of(spark, checkpoint, name, operator)
+def by_key(spark: SparkSession, checkpoint: str, name: str, kind: str, operator: int = 0, batch: int | None = None) -> DataFrame:
+    """All keys of a state variable that :class:`~lattica.streaming.stateful.Packed` holds: ``key`` of type ``kind`` and the value's fields."""
+    parts = state_of(spark, checkpoint, name, operator, batch).select(F.explode("entries").alias("part", "v")).select("v.*")
+    fields = [c for c in parts.columns if c != "ks"]
+    return parts.select(F.inline(F.arrays_zip("ks", *fields))).select(F.col("ks").cast(kind).alias("key"), *fields)
+
+
+def lookup(spark: SparkSession, checkpoint: str, name: str, keys: DataFrame, operator: int = 0, packed: str | None = None) -> DataFrame:
+    """The state of given keys: ``keys`` has the key's columns; keys without state are absent. ``packed`` is the key's type if state is (:func:`by_key`)."""
+    state = by_key(spark, checkpoint, name, packed, operator) if packed else state_of(spark, checkpoint, name, operator)
     return state.join(keys.select(*[c for c in keys.columns if c in state.columns]).distinct(), [c for c in keys.columns if c in state.columns], "left_semi")
 
 

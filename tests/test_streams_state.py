@@ -346,3 +346,43 @@ def test_sort_of_many_keys_over_micro_batches(spark, tmp_path):
         count[k] = count.get(k, 0) + 1
         want.append((k, t // 1000, i, v, count[k]))
     assert len(want) > 250 and {None, far} <= {w[0] for w in want} and found == sorted(want, key=repr)
+
+
+def test_calls_of_keyed_states_do_not_grow_with_the_keys_of_a_bucket():
+    from lattica.streaming import stateful
+
+    seen = []
+    for n in (50, 500):
+        counts, handle, times = _calls()
+        processor = stateful._Keyed()
+        processor.init(handle)
+        for _ in range(2):
+            (out,) = processor.handleInputRows((1,), iter([_bucket(n)]), times)
+            assert len(out) == 3 * n
+        seen.append(sum(counts.values()))
+    assert seen[0] == seen[1]
+
+
+def test_keyed_states_of_many_keys_go_on_over_micro_batches(spark, tmp_path):
+    from lattica.streaming import stateful
+
+    rng, base, far = random.Random(9), 1_700_000_000_000_000, 2**60 + 1
+    parts = [[(rng.choice([None, 1, 2, far, *range(10, 30)]), base + 1_000_000 * (100 * b + n), 100 * b + n, rng.choice([None, 1.0, 5.0, -2.0])) for n in range(100)] for b in range(3)]
+    stream = batches(spark, tmp_path, parts, ROW.replace("k string", "k long")).withColumn("kind", F.when(F.col("i") % 3 > 0, F.concat(F.lit("x"), F.col("i") % 3)))
+    got = W.run_to_end(stateful.keyed_states(stream, "k", "t", "i", "kind", "v"), checkpoint=f"file://{tmp_path}/c")
+    keys: dict = {}
+    want = []
+    for k, _, i, v in (r for part in parts for r in part):
+        ids, kinds, values = keys.setdefault(k, ([], {}, []))
+        kind = f"x{i % 3}" if i % 3 else None
+        ids.append(i)
+        kinds[kind] = kinds.get(kind, 0) + 1
+        values += [v] if v is not None else []
+        want.append((k, i, len(ids), kinds[kind], ids[-3:][0], max(values, default=None)))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    totals, recent, kinds = (state.by_key(spark, f"file://{tmp_path}/c", name, "bigint").collect() for name in ("n", "recent", "kinds"))
+    assert {(r.key, r.n, r.hi) for r in totals} == {(k, len(x[0]), max(x[2], default=None)) for k, x in keys.items()}
+    assert {r.key: r["items"] for r in recent} == {k: x[0][-3:] for k, x in keys.items()}
+    assert {r.key: dict(zip(r.kinds, r.ns, strict=True)) for r in kinds} == {k: x[1] for k, x in keys.items()}
+    few = state.lookup(spark, f"file://{tmp_path}/c", "n", spark.createDataFrame([(far,), (7,)], "key long"), packed="bigint").collect()
+    assert [(r.key, r.n) for r in few] == [(far, len(keys[far][0]))]
