@@ -386,3 +386,66 @@ def test_keyed_states_of_many_keys_go_on_over_micro_batches(spark, tmp_path):
     assert {r.key: dict(zip(r.kinds, r.ns, strict=True)) for r in kinds} == {k: x[1] for k, x in keys.items()}
     few = state.lookup(spark, f"file://{tmp_path}/c", "n", spark.createDataFrame([(far,), (7,)], "key long"), packed="bigint").collect()
     assert [(r.key, r.n) for r in few] == [(far, len(keys[far][0]))]
+
+
+def test_the_group_of_a_key_sees_chunks_and_not_rows():
+    import pandas as pd
+    import pyarrow as pa
+
+    from lattica.streaming import stateful
+
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 2**60 + 1, 5]), rng.choice([None, 0.1, 0.7, 1e9]), rng.choice([1, 1, 1, -1])) for _ in range(5000)]
+    keys, vs, ops = (list(x) for x in zip(*rows, strict=True))
+    given = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(vs), pa.array(ops, pa.int32())], ["key", "in_value", "in_op"])
+    (chunks,) = stateful._chunked(iter([given]))
+    assert chunks.num_rows <= 5000 / stateful.CHUNK + 3
+    found = []
+    for key in (None, 2**60 + 1, 5):
+        counts, handle, times = _calls()
+        processor = stateful._Starts(None)
+        processor.init(handle)
+        mine = [(r["ops"], r["vs"]) for r in chunks.to_pylist() if r["key"] == key]
+        frames = [pd.DataFrame(mine[:2], columns=["ops", "vs"]), pd.DataFrame(mine[2:], columns=["ops", "vs"])]
+        begun = pd.concat(processor.handleInputRows((key,), iter(frames), times), ignore_index=True)
+        assert sum(counts.values()) == 2 and len(begun) == len(mine)
+        columns = [pa.array([key] * len(begun), pa.int64()), *(pa.array(begun[c]) for c in ("n", "c", "s", "ops", "vs"))]
+        for out in stateful._changes_of(iter([pa.RecordBatch.from_arrays(columns, ["key", "n", "c", "s", "ops", "vs"])])):
+            found += [tuple(r.values()) for r in out.to_pylist()]
+    want = []
+    for key in (None, 2**60 + 1, 5):
+        n, c, s = 0, 0, 0.0
+        for k, v, op in rows:
+            if k == key:
+                before = (n, c, s)
+                n, c, s = n + op, c + op * (v is not None), s + op * (v or 0.0)
+                want += [(key, *x[:2], x[2] if x[1] else None, sign) for x, sign in ((before, -1), ((n, c, s), 1)) if x[0] > 0]
+    assert found == want
+
+
+def test_changes_of_a_hot_key_are_two_a_row_over_micro_batches(spark, tmp_path):
+    from lattica.streaming import stateful
+
+    for b in range(3):
+        spark.range(3000 * b, 3000 * b + 3000).selectExpr("if(id % 10 = 0, null, if(id % 10 = 1, 'b', 'a')) AS k", "id / 7 AS v", "1 AS _op").write.parquet(f"{tmp_path}/in/{b}")
+    stream = spark.readStream.schema("k string, v double, _op int").option("maxFilesPerTrigger", 4).parquet(f"{tmp_path}/in/*")
+    log = W.run_to_end(stateful.retracting_aggregate(stream, "k", "v"))
+    assert {r.key: r["count"] for r in log.groupBy("key").count().collect()} == {None: 1799, "a": 14399, "b": 1799}
+    assert {(r.key, r.n) for r in stateful.materialize(log).collect()} == {(None, 900), ("a", 7200), ("b", 900)}
+
+
+def test_a_shard_leaves_one_change_a_call_whatever_its_rows():
+    import pandas as pd
+
+    from lattica.streaming import stateful
+
+    counts, handle, times = _calls()
+    processor = stateful._Net()
+    processor.init(handle)
+    frame = lambda vs, op: pd.DataFrame({"in_op": op, "in_value": vs})
+    (first,) = processor.handleInputRows(("a", 1), iter([frame([1.0, 5.0, 9.0] * 1000, 1), frame([None, 9.0], [1, 1])]), times)
+    assert first.to_numpy(object).tolist() == [["a", 1, 3002, 3001, 15009.0, 1.0, 9.0, 3, 1]]
+    (second,) = processor.handleInputRows(("a", 1), iter([frame([9.0] * 1001 + [1.0], -1)]), times)
+    assert second["_op"].tolist() == [-1, 1] and second.iloc[1][["n", "lo", "hi", "d"]].tolist() == [2000, 1.0, 5.0, 2]
+    (gone,) = processor.handleInputRows(("a", 1), iter([frame([1.0] * 999 + [5.0] * 1000 + [None], -1)]), times)
+    assert gone["_op"].tolist() == [-1] and sum(counts.values()) < 60
