@@ -111,12 +111,21 @@ def sssp(edges: DataFrame, source: int, max_steps: int | None = None) -> DataFra
     return pregel(start, edges, F.col("value") + F.col("weight"), F.min("msg"), F.least("value", "msg"), max_steps)
 
 
+#: Links that a task of :func:`label_propagation` takes at most, about.
+LINKS_A_TASK = 500_000
+
+
 def label_propagation(edges: DataFrame, steps: int = 10) -> DataFrame:
-    """Each vertex takes its neighbours' most frequent label; ties go to the greater label."""
+    """Each vertex takes its neighbours' most frequent label; ties go to the greater label.
+
+    Tasks grow in number with the links, not in size. The links of a vertex lie together, so votes are counted where they are.
+    """
     links = cut(undirected(edges), "links")
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-links.count() // LINKS_A_TASK))
     labels = vertices_of(edges).select("id", F.col("id").alias("label"))
     for _ in range(steps):
-        votes = links.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
+        met = links.repartition(tasks, "dst").join(labels.withColumnRenamed("id", "dst"), "dst")
+        votes = met.select("src", "label").repartition(tasks, "src").groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
         labels = cut(votes.groupBy("src").agg(F.max(F.struct("n", "label")).alias("m")).select(F.col("src").alias("id"), F.col("m.label").alias("label")), "labels")
     return labels
 

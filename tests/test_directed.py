@@ -74,3 +74,13 @@ def test_pairs_are_made_behind_their_last_shuffle(spark, monkeypatch, block):
     assert {(r.a, r.b): r.shared for r in tops.collect()} == {p: len(m) for p, m in both.items() if p[1] < 100}
     for frame in (got, tops):
         assert not re.search(r"hashpartitioning\(a#\w+, b#", frame._jdf.queryExecution().toString())
+
+
+def test_label_propagation_takes_more_tasks_for_more_links(spark, monkeypatch):
+    from lattica.operators import graph as g
+
+    edges = spark.createDataFrame([(i, j) for i in range(0, 120, 3) for j in (i + 1, i + 2)] + [(i + 1, i + 2) for i in range(0, 120, 3)], "src long, dst long")
+    few = {tuple(r) for r in g.label_propagation(edges, 3).collect()}
+    monkeypatch.setattr(g, "LINKS_A_TASK", 10)
+    many = g.label_propagation(edges, 3)
+    assert len(many.inputFiles()) > int(spark.conf.get("spark.sql.shuffle.partitions")) and {tuple(r) for r in many.collect()} == few
