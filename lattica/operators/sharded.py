@@ -6,7 +6,8 @@ batch. The changed model leaves as rows and is written (:func:`~lattica.plans.li
 
 *Factorisation* goes by strata: users and items are dealt to ``blocks`` blocks each, and in sub-epoch s user block u meets item block
 u + s, so no two tasks touch the same factors. A user or item with more than its share of a block's ratings is split into parts that learn on
-their own and are averaged, by their ratings, after each epoch.
+their own and are averaged, by their ratings, after each epoch. One that most mini-batches have takes smaller steps the more of them there are;
+else it would follow the latest ratings and leave behind what the others have learned from it.
 
 *Linear learners and factorisation machines* go by iterative parameter mixing: each shard takes the weights of its own features, runs
 over its examples one by one, and a feature's weights are averaged over the shards that have seen it.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from lattica.plans.lineage import cut
 
 _MINI_BATCH = 64
+#: An id in more mini-batches of a pass takes smaller steps, so that all of them together go about as far as so many whole ones.
+_WHOLE_STEPS = 16
 
 
 # matrix factorisation
@@ -45,8 +48,8 @@ def _start(ids: DataFrame, rank: int, seed: int, side: int) -> DataFrame:
 
 
 def _parts(ratings: DataFrame, column: str, most: int) -> DataFrame:
-    """id and parts: in how many an id's ratings are dealt so that none has more than about ``most``."""
-    return ratings.groupBy(F.col(column).alias("id")).agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("parts"))
+    """id, n and parts: in how many an id's ``n`` ratings are dealt so that none has more than about ``most``."""
+    return ratings.groupBy(F.col(column).alias("id")).agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("parts"), F.count(F.lit(1)).alias("n"))
 
 
 def _dealt(ratings: DataFrame, side: str, other: str, parts: DataFrame, blocks: int) -> DataFrame:
@@ -58,60 +61,64 @@ def _dealt(ratings: DataFrame, side: str, other: str, parts: DataFrame, blocks:
 
 def _sweep(rate: float, l2: float, rank: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, places, factors, loads = None, ({}, {}), ([], []), [None, None]
+        block, sides = None, ([], [])  # of each side: batches of id, part, pace and factors; with the first examples one batch, and how to find an id
+
+        def load() -> None:
+            for side in sides:
+                if len(side) != 1 or len(side[0]) == 4:
+                    ids, parts, paces, matrix = (np.concatenate(x) for x in zip(*side, strict=True)) if side else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty((0, rank + 2)))
+                    known, rank_ = np.unique(ids, return_inverse=True)
+                    width = int(parts.max(initial=0)) + 1
+                    codes = rank_ * width + parts
+                    order = np.argsort(codes)
+                    side[:] = [(ids, parts, paces, matrix.copy(), known, width, codes[order], order)]
+
+        def at(side: int, ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
+            *_, known, width, codes, order = sides[side][0]
+            return order[np.searchsorted(codes, np.searchsorted(known, ids) * width + parts)]
 
         def leave() -> Iterator[pa.RecordBatch]:
-            for side in (0, 1):
-                keys = list(places[side])
-                matrix = loads[side] if loads[side] is not None else np.array(factors[side], float).reshape(len(keys), rank + 2)
+            load()
+            for n, side in enumerate(sides):
+                ids, parts, paces, matrix, *_ = side[0]
                 if not np.isfinite(matrix).all():
                     raise ValueError("factors grow without bound: take a smaller rate")
-                for lo in range(0, len(keys), 4096):
-                    part = keys[lo : lo + 4096]
-                    values = pa.array(matrix[lo : lo + 4096].ravel())
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * (rank + 2), pa.int32()), values)
-                    yield pa.RecordBatch.from_arrays([pa.array([side] * len(part), pa.int32()), pa.array([k[0] for k in part], pa.int64()), pa.array([k[1] for k in part], pa.int64()), lists], ["side", "id", "part", "f"])
-            for x in (*places, *factors):
-                x.clear()
-            loads[:] = [None, None]
+                for lo in range(0, len(ids), 4096):
+                    own = slice(lo, lo + 4096)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids[own]) + 1) * (rank + 2), pa.int32()), pa.array(matrix[own].ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids[own]), n), pa.int32()), pa.array(ids[own]), pa.array(parts[own]), pa.array(paces[own]), lists], ["side", "id", "part", "pace", "f"])
+                side.clear()
+
+        def learn(rows: pa.RecordBatch) -> None:
+            load()
+            column = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
+            users, items, ratings = at(0, column("id"), column("part")), at(1, column("other"), column("other_part")), column("r")
+            (_, _, user_pace, user_factors, *_), (_, _, item_pace, item_factors, *_) = sides[0][0], sides[1][0]
+            for lo in range(0, len(ratings), _MINI_BATCH):
+                u, i = users[lo : lo + _MINI_BATCH], items[lo : lo + _MINI_BATCH]
+                p, q = user_factors[u], item_factors[i]
+                error = (ratings[lo : lo + _MINI_BATCH] - (p * q).sum(1))[:, None]
+                for matrix, pace, ids, step, fixed in ((user_factors, user_pace, u, rate * (error * q - l2 * p), rank + 1), (item_factors, item_pace, i, rate * (error * p - l2 * q), rank)):
+                    step[:, fixed] = 0  # the one that carries the other side's bias
+                    found, which, n = np.unique(ids, return_inverse=True, return_counts=True)
+                    total = np.zeros((len(found), rank + 2))
+                    np.add.at(total, which, step)
+                    matrix[found] += total * (pace[found] / n)[:, None]  # all begin at the same place, so an id takes their mean
 
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in ("block", "kind", "id", "part", "other", "other_part", "r")}
-            vectors = batch.column("f")
-            pending: list[int] = []
-
-            def learn() -> None:
-                if not pending:
-                    return
-                if loads[0] is None:
-                    for side in (0, 1):
-                        loads[side] = np.array(factors[side], float).reshape(len(places[side]), rank + 2)
-                users = np.array([places[0][columns["id"][n], columns["part"][n]] for n in pending])
-                items = np.array([places[1][columns["other"][n], columns["other_part"][n]] for n in pending])
-                ratings = np.array([columns["r"][n] for n in pending])
-                for lo in range(0, len(pending), _MINI_BATCH):
-                    u, i = users[lo : lo + _MINI_BATCH], items[lo : lo + _MINI_BATCH]
-                    p, q = loads[0][u], loads[1][i]
-                    error = (ratings[lo : lo + _MINI_BATCH] - (p * q).sum(1))[:, None]
-                    for matrix, at, step, fixed in ((loads[0], u, rate * (error * q - l2 * p), rank + 1), (loads[1], i, rate * (error * p - l2 * q), rank)):
-                        step[:, fixed] = 0  # the one that carries the other side's bias
-                        rows, which, n = np.unique(at, return_inverse=True, return_counts=True)
-                        total = np.zeros((len(rows), rank + 2))
-                        np.add.at(total, which, step)
-                        matrix[rows] += total / n[:, None]  # all begin at the same place, so an id takes their mean
-                pending.clear()
-
-            for n, (b, kind) in enumerate(zip(columns["block"], columns["kind"], strict=True)):
-                if b != block:
-                    learn()
+            blocks, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "kind"))
+            ends = [*(np.nonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1]))[0] + 1), batch.num_rows]
+            for lo, hi in zip([0, *ends], ends, strict=False):
+                if lo == hi:
+                    continue
+                if blocks[lo] != block:
                     yield from leave()
-                    block = b
-                if kind == 2:
-                    pending.append(n)
+                    block = blocks[lo]
+                rows = batch.slice(lo, hi - lo)
+                if kinds[lo] == 2:
+                    learn(rows)
                 else:
-                    places[kind][columns["id"][n], columns["part"][n]] = len(factors[kind])
-                    factors[kind].append(vectors[n].as_py())
-            learn()
+                    sides[kinds[lo]].append((*(rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "part", "r")), rows.column("f").flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, rank + 2)))
         yield from leave()
 
     return run
@@ -134,12 +141,13 @@ def factorize(ratings: DataFrame, user: str, item: str, rating: str, rank: int =
     strata = cut(dealt.withColumn("stratum", F.pmod(F.col("item_block") - F.col("user_block"), F.lit(blocks))).withColumn("r", F.col("rating") - mean), "strata", by=["stratum"])
     sides = []
     for side, (name, part) in enumerate(zip(("user", "item"), parts, strict=True)):
-        ids = part.select("id", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        met = F.least(F.col("n") / (F.col("parts") * blocks), F.lit(size["n"] / (blocks * blocks * _MINI_BATCH)))  # mini-batches of a pass that have it
+        ids = part.select("id", F.least(F.lit(1.0), _WHOLE_STEPS / met).alias("pace"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
         first = _start(ids, rank, seed, side)
         if start:
             old = (start.users, start.items)[side].select("id", F.col("factors").alias("old"))
             first = first.join(old, "id", "left").withColumn("f", F.coalesce("old", "f")).drop("old")
-        sides.append(first.withColumn("block", F.pmod(F.xxhash64("id", "part"), F.lit(blocks))).withColumn("side", F.lit(side)).select("side", "id", "part", "block", "f"))
+        sides.append(first.withColumn("block", F.pmod(F.xxhash64("id", "part"), F.lit(blocks))).withColumn("side", F.lit(side)).select("side", "id", "part", "block", "pace", "f"))
     model = cut(sides[0].unionByName(sides[1]), "factors")
     none = F.lit(None)
     for epoch in range(epochs):
@@ -147,9 +155,9 @@ def factorize(ratings: DataFrame, user: str, item: str, rating: str, rank: int =
             rows = strata.where(F.col("stratum") == s)
             examples = rows.select(F.col("user_block").alias("block"), F.lit(2).alias("kind"), F.xxhash64("user", "item", "rating", F.lit(epoch)).alias("place"), F.col("user").alias("id"), F.col("user_part").alias("part"), F.col("item").alias("other"), F.col("item_part").alias("other_part"), "r", none.cast("array<double>").alias("f"))
             at = F.when(F.col("side") == 0, F.col("block")).otherwise(F.pmod(F.col("block") - s, F.lit(blocks)))
-            held = model.select(at.alias("block"), F.col("side").alias("kind"), F.xxhash64("id", "part").alias("place"), "id", "part", none.cast("long").alias("other"), none.cast("long").alias("other_part"), none.cast("double").alias("r"), "f")
+            held = model.select(at.alias("block"), F.col("side").alias("kind"), F.xxhash64("id", "part").alias("place"), "id", "part", none.cast("long").alias("other"), none.cast("long").alias("other_part"), F.col("pace").alias("r"), "f")
             dealt_rows = held.unionByName(examples).repartition(blocks, "block").sortWithinPartitions("block", "kind", "place", "id", "other", "r")
-            stepped = dealt_rows.mapInArrow(_sweep(rate * decay**epoch, l2, rank), "side int, id long, part long, f array<double>")
+            stepped = dealt_rows.mapInArrow(_sweep(rate * decay**epoch, l2, rank), "side int, id long, part long, pace double, f array<double>")
             model = cut(stepped.withColumn("block", F.pmod(F.xxhash64("id", "part"), F.lit(blocks))), "factors")
         model = cut(_averaged(model, strata, rank), "factors")
     plain = model.where("part = 0")
@@ -166,7 +174,7 @@ def _averaged(model: DataFrame, strata: DataFrame, rank: int) -> DataFrame:
     shared = model.join(split, ["side", "id"], "left_semi").join(n[0].unionByName(n[1]), ["side", "id", "part"])
     mean = shared.select("side", "id", "n", F.posexplode("f").alias("d", "x")).groupBy("side", "id", "d").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
     vectors = mean.groupBy("side", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("mean"))
-    return model.join(vectors, ["side", "id"], "left").select("side", "id", "part", "block", F.coalesce("mean", "f").alias("f"))
+    return model.join(vectors, ["side", "id"], "left").select("side", "id", "part", "block", "pace", F.coalesce("mean", "f").alias("f"))
 
 
 def predict_ratings(pairs: DataFrame, model: Factors, user: str, item: str) -> DataFrame:
