@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components: vertices merge into their least neighbours as long as that leaves fewer links, then large-star and small-star rounds alternate."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from lattica.plans.lineage import cut, drop
 
 #: A hub has more links than this, and than a sixteenth of a task's fair share of all links.
 LEAST_HUB = 256
+#: Merging goes on while it leaves less than this share of the links, which a long chain doesn't.
+SHRINKS = 0.9
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -33,10 +35,38 @@ def with_least(pairs: DataFrame, hub: int) -> DataFrame:
     return pairs.join(hubs, "src").union(others).select("src", "dst", "m")
 
 
+def _named(rows: DataFrame, column: str, names: DataFrame, hub: int) -> DataFrame:
+    """``rows`` with ``column`` replaced by its ``m`` in ``names`` (id, m, n); ids in ``n`` > ``hub`` rows get it by broadcast, and their rows are dealt by a hash."""
+    kind = dict(rows.dtypes)[column]
+    hubs = F.broadcast(names.where(F.col("n") > hub).select(F.col("id").alias(column), F.col("m").alias("__hub")))
+    others = names.where(F.col("n") <= hub).select(F.col("id").alias("__key"), F.col("m").alias("__m"))
+    dealt = F.pmod(F.xxhash64(*rows.columns), F.lit(2**31 - 1)).cast(kind)
+    keyed = rows.join(hubs, column, "left").withColumn("__key", F.when(F.col("__hub").isNull(), F.col(column)).otherwise(dealt))
+    return keyed.join(others, "__key", "left").withColumn(column, F.coalesce("__hub", "__m")).select(*rows.columns)
+
+
+def _merged(now: DataFrame, mark: tuple) -> tuple[DataFrame, DataFrame]:
+    """Links (both ways) between what vertices merge into, and id, m, n: each vertex, the least of it and its neighbours, and its links."""
+    hub = _hub(now, mark[0])
+    names = cut(now.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m"), F.count(F.lit(1)).alias("n")).select("id", F.least("id", "m").alias("m"), "n"), "merged")
+    links = _named(_named(now.where("src < dst"), "src", names, hub), "dst", names, hub).where("src <> dst")
+    links = links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    ways = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return cut(links.select(F.explode(ways).alias("e")).select("e.*"), "links"), names
+
+
+def _of_members(names: DataFrame, least: DataFrame) -> DataFrame:
+    """id and component of the vertices in ``names`` from those (``least``) of what they merged into, which without link is its own."""
+    rows = names.count()
+    held = names.groupBy(F.col("m").alias("id")).agg(F.count(F.lit(1)).alias("n")).join(least, "id", "left").select("id", F.coalesce("component", "id").alias("m"), "n")
+    return _named(names.select("id", F.col("m").alias("component")), "component", cut(held, "members"), _hub(names, rows))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(id, component)`` for every vertex of an undirected edge list; ``component`` is its smallest vertex.
 
-    Rounds go on until nothing moves; each is two min-aggregates (combined before the shuffle), each with a join that
+    A merge keeps the least vertex of each component, so what remains has the same smallest vertices; links shrink from merge to merge. Star
+    rounds on what remains go on until nothing moves; each is two min-aggregates (combined before the shuffle), each with a join that
     spreads the links of hub vertices over all tasks. Edges never reach the driver, only a count and a checksum do. Self
     loops keep their vertex, null endpoints are ignored and an empty edge list gives an empty result.
     """
@@ -44,7 +74,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     ways = lambda a, b: F.explode(F.array(F.struct(F.col(a).alias("src"), F.col(b).alias("dst")), F.struct(F.col(b).alias("src"), F.col(a).alias("dst")))).alias("e")
     start = cut(pairs.select(ways("src", "dst")).select("e.*").distinct(), "edges")  # links in both directions
     now, before, owned = start.where("src <> dst"), None, None
-    mark = _mark(now)
+    mark, levels = _mark(now), []
+    while mark[0] and dict(now.dtypes)["src"] in ("int", "bigint", "string") and now.dtypes[0][1] == now.dtypes[1][1]:
+        links, names = _merged(now, mark)
+        levels.append(names)
+        shrunk, mark = mark, _mark(links)
+        if owned is not None:
+            drop(owned)
+        now = owned = links
+        if mark[0] > SHRINKS * shrunk[0]:
+            break
     while mark != before and mark[0]:
         hub = _hub(now, mark[0])
         large = with_least(now, hub).where("dst > src").select(F.col("dst").alias("src"), F.least("m", "src").alias("dst"))
@@ -58,4 +97,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             drop(owned)
         now = owned = after
     least = now.where("dst < src").select(F.col("src").alias("id"), F.col("dst").alias("component"))
+    for names in reversed(levels):
+        least = _of_members(names, least)
     return start.select(F.col("src").alias("id")).distinct().join(least, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -364,3 +364,28 @@ def test_reduce_by_a_function_of_two_rows(spark, monkeypatch):
         monkeypatch.setattr(R, "REDUCED", most)
         assert {r.k: (r.v, r.t) for r in R.reduce_rows(frame, "k", combine).collect()} == want
     assert R.reduce_rows(frame.limit(0), "k", combine).collect() == []
+
+
+def test_components_merge_before_stars_turn(spark, monkeypatch):
+    """A dense graph with a hub shrinks to nothing by merging; ids may be strings, and chains are left to the stars."""
+    from lattica.operators import components
+
+    stars, least = [], components.with_least
+    monkeypatch.setattr(components, "with_least", lambda *a: stars.append(1) or least(*a))
+    links = spark.range(4000).selectExpr("5 + id AS src", "-1 - pmod(xxhash64(id), 40) AS dst").union(spark.range(600).selectExpr("7 AS src", "-100 - id AS dst")).union(spark.range(1).selectExpr("9000L", "9000L"))
+    got = dict(G.connected_components(links).collect())
+    whole = {i for i in range(5, 4005)} | {-1 - i for i in range(40)} | {-100 - i for i in range(600)}
+    edges_ = [tuple(r) for r in links.collect()]
+    up = {v: v for e in edges_ for v in e}
+
+    def root(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for a, b in edges_:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    assert whole <= set(got) and got == {v: root(v) for v in up} and not stars
+    named = spark.createDataFrame([("b", "a"), ("b", "c"), ("x", "y")], "src string, dst string")
+    assert dict(G.connected_components(named).collect()) == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
