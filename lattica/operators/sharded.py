@@ -5,7 +5,7 @@ examples follow in a fixed order, through one task as a stream of Arrow batches,
 batch. The changed model leaves as rows and is written (:func:`~lattica.plans.lineage.cut`), so a lost executor repeats a block only.
 
 *Factorisation* goes by strata: users and items are dealt to ``blocks`` blocks each, and in sub-epoch s user block u meets item block
-u + s, so no two tasks touch the same factors. A user or item with more than its share of a block's ratings is split into parts that learn on
+u + s, so no two tasks touch the same factors. Examples and factors travel as lists, so that a pass moves and sorts few rows. A user or item with more than its share of a block's ratings is split into parts that learn on
 their own and are averaged, by their ratings, after each epoch. One that most mini-batches have takes smaller steps the more of them there are;
 else it would follow the latest ratings and leave behind what the others have learned from it.
 
@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.plans.lineage import cut
+from lattica.plans.lineage import cut, drop
 
 _MINI_BATCH = 64
 #: An id in more mini-batches of a pass takes smaller steps, so that all of them together go about as far as so many whole ones.
 _WHOLE_STEPS = 16
+#: Examples that travel as one row, and about how many of a block a task packs.
+_CHUNK, _EXAMPLES_A_TASK = 256, 500_000
 
 
 # matrix factorisation
@@ -59,67 +61,143 @@ def _dealt(ratings: DataFrame, side: str, other: str, parts: DataFrame, blocks:
     return joined.withColumn(f"{side}_block", F.pmod(F.xxhash64(side, f"{side}_part"), F.lit(blocks)))
 
 
-def _sweep(rate: float, l2: float, rank: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values))
+
+
+def _packed_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Examples, which come by stratum and block, as rows that hold ``_CHUNK`` of them at most as lists."""
+    for batch in batches:
+        column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        n, cell = batch.num_rows, (column["stratum"], column["block"])
+        new = np.ones(n, bool)
+        new[1:] = (cell[0][1:] != cell[0][:-1]) | (cell[1][1:] != cell[1][:-1])
+        first = np.nonzero(new)[0]
+        new[(np.arange(n) - np.repeat(first, np.diff([*first, n]))) % _CHUNK == 0] = True
+        first = np.nonzero(new)[0]
+        ends = np.append(first, n)
+        yield pa.RecordBatch.from_arrays([*(pa.array(column[c][first]) for c in ("stratum", "block", "place")), *(_lists(column[c], ends) for c in ("id", "part", "other", "other_part", "r"))], ["stratum", "block", "place", "id", "part", "other", "other_part", "r"])
+
+
+_MODEL = "side int, block int, split boolean, id array<bigint>, part array<int>, pace array<double>, f array<double>"
+
+
+def _packed_ids(side: int, block: int, split: np.ndarray, ids: np.ndarray, parts: np.ndarray, paces: np.ndarray, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of the model that hold several ids as lists; a part of a split id has a row of its own."""
+    width = matrix.shape[1]
+    for alone in (False, True):
+        own = np.nonzero(split == alone)[0]
+        for lo in range(0, len(own), 1 << 16):
+            at = own[lo : lo + (1 << 16)]
+            ends = np.append(np.arange(0, len(at), 1 if alone else max(1, 4 * _CHUNK // width)), len(at))
+            n = len(ends) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, side), pa.int32()), pa.array(np.full(n, block), pa.int32()), pa.array(np.full(n, alone)), _lists(ids[at], ends), _lists(parts[at].astype(np.int32), ends), _lists(paces[at], ends), _lists(matrix[at].ravel(), ends * width)],
+                ["side", "block", "split", "id", "part", "pace", "f"])
+
+
+def _packed_start(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides, blocks, split, ids, parts, paces = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("side", "block", "split", "id", "part", "pace"))
+            matrix = batch.column("f").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            for side, block in set(zip(sides.tolist(), blocks.tolist(), strict=True)):
+                at = (sides == side) & (blocks == block)
+                yield from _packed_ids(side, block, split[at], ids[at], parts[at], paces[at], matrix[at])
+
+    return run
+
+
+def _unpacked(model: DataFrame, width: int) -> DataFrame:
+    """side, id, part and f, a row each."""
+    each = F.transform(F.sequence(F.lit(0), F.size("id") - 1), lambda k: F.struct(F.get("id", k).alias("id"), F.get("part", k).alias("part"), F.slice("f", k * width + 1, F.lit(width)).alias("f")))
+    return model.select("side", F.explode(each).alias("e")).select("side", "e.*")
+
+
+def _grouped(ids: np.ndarray, pace: np.ndarray) -> tuple[np.ndarray, ...]:
+    """How mini-batches of examples meet the ids of a side: of each, the order of its examples by id (from its first), then over all of them where an
+    id begins (from the mini-batch's first), the id, and its pace by its number; and where each mini-batch's ids begin."""
+    batch = np.arange(len(ids)) // _MINI_BATCH
+    order = np.lexsort((ids, batch))
+    by = ids[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (by[1:] != by[:-1]) | (batch[1:] != batch[:-1])
+    starts = np.nonzero(new)[0]
+    found = by[starts]
+    return order - batch * _MINI_BATCH, starts - batch[starts] * _MINI_BATCH, found, (pace[found] / np.diff([*starts, len(ids)]))[:, None], np.searchsorted(batch[starts], np.arange(batch[-1] + 2))
+
+
+def _sweep(rate: float, l2: float, rank: int, blocks: int, shift: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    width = rank + 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, sides = None, ([], [])  # of each side: batches of id, part, pace and factors; with the first examples one batch, and how to find an id
+        block, sides, turn = None, ([], []), None  # of each side: batches of id, part, pace, split and factors; with the first examples one batch, and how to find an id
 
         def load() -> None:
             for side in sides:
-                if len(side) != 1 or len(side[0]) == 4:
-                    ids, parts, paces, matrix = (np.concatenate(x) for x in zip(*side, strict=True)) if side else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty((0, rank + 2)))
+                if len(side) != 1 or len(side[0]) == 5:
+                    ids, parts, paces, split, matrix = (np.concatenate(x) for x in zip(*side, strict=True)) if side else (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0), np.empty(0, bool), np.empty((0, width)))
                     known, rank_ = np.unique(ids, return_inverse=True)
-                    width = int(parts.max(initial=0)) + 1
-                    codes = rank_ * width + parts
+                    many = int(parts.max(initial=0)) + 1
+                    codes = rank_ * many + parts
                     order = np.argsort(codes)
-                    side[:] = [(ids, parts, paces, matrix.copy(), known, width, codes[order], order)]
+                    side[:] = [(ids, parts, paces, split, matrix.copy(), known, many, codes[order], order)]
 
         def at(side: int, ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
-            *_, known, width, codes, order = sides[side][0]
-            return order[np.searchsorted(codes, np.searchsorted(known, ids) * width + parts)]
+            *_, known, many, codes, order = sides[side][0]
+            places = np.searchsorted(known, ids)
+            return order[places if many == 1 else np.searchsorted(codes, places * many + parts)]
 
         def leave() -> Iterator[pa.RecordBatch]:
             load()
             for n, side in enumerate(sides):
-                ids, parts, paces, matrix, *_ = side[0]
+                ids, parts, paces, split, matrix, *_ = side[0]
                 if not np.isfinite(matrix).all():
                     raise ValueError("factors grow without bound: take a smaller rate")
-                for lo in range(0, len(ids), 4096):
-                    own = slice(lo, lo + 4096)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids[own]) + 1) * (rank + 2), pa.int32()), pa.array(matrix[own].ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids[own]), n), pa.int32()), pa.array(ids[own]), pa.array(parts[own]), pa.array(paces[own]), lists], ["side", "id", "part", "pace", "f"])
+                if len(ids):
+                    yield from _packed_ids(n, block if n == 0 else (block + shift) % blocks, split, ids, parts, paces, matrix)
                 side.clear()
 
         def learn(rows: pa.RecordBatch) -> None:
             load()
-            column = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
-            users, items, ratings = at(0, column("id"), column("part")), at(1, column("other"), column("other_part")), column("r")
-            (_, _, user_pace, user_factors, *_), (_, _, item_pace, item_factors, *_) = sides[0][0], sides[1][0]
-            for lo in range(0, len(ratings), _MINI_BATCH):
-                u, i = users[lo : lo + _MINI_BATCH], items[lo : lo + _MINI_BATCH]
-                p, q = user_factors[u], item_factors[i]
-                error = (ratings[lo : lo + _MINI_BATCH] - (p * q).sum(1))[:, None]
-                for matrix, pace, ids, step, fixed in ((user_factors, user_pace, u, rate * (error * q - l2 * p), rank + 1), (item_factors, item_pace, i, rate * (error * p - l2 * q), rank)):
-                    step[:, fixed] = 0  # the one that carries the other side's bias
-                    found, which, n = np.unique(ids, return_inverse=True, return_counts=True)
-                    total = np.zeros((len(found), rank + 2))
-                    np.add.at(total, which, step)
-                    matrix[found] += total * (pace[found] / n)[:, None]  # all begin at the same place, so an id takes their mean
+            column = lambda c: rows.column(c).flatten().to_numpy(zero_copy_only=False)
+            ratings = column("r")
+            mixed = turn.permutation(len(ratings))
+            ratings, users, items = ratings[mixed], at(0, column("id"), column("part"))[mixed], at(1, column("other"), column("other_part"))[mixed]
+            user_factors, item_factors = sides[0][0][4], sides[1][0][4]
+            user_order, user_starts, user_found, user_pace, user_ends = _grouped(users, sides[0][0][2])
+            item_order, item_starts, item_found, item_pace, item_ends = _grouped(items, sides[1][0][2])
+            for n, lo in enumerate(range(0, len(ratings), _MINI_BATCH)):
+                own, u, i = slice(lo, lo + _MINI_BATCH), slice(user_ends[n], user_ends[n + 1]), slice(item_ends[n], item_ends[n + 1])
+                p, q = user_factors[users[own]], item_factors[items[own]]
+                error = (rate * (ratings[own] - np.einsum("ij,ij->i", p, q)))[:, None]
+                user_step, item_step = error * q - rate * l2 * p, error * p - rate * l2 * q
+                user_step[:, rank + 1] = item_step[:, rank] = 0  # the one that carries the other side's bias
+                # All begin at the same place, so an id takes their mean.
+                user_factors[user_found[u]] += np.add.reduceat(user_step[user_order[own]], user_starts[u]) * user_pace[u]
+                item_factors[item_found[i]] += np.add.reduceat(item_step[item_order[own]], item_starts[i]) * item_pace[i]
 
         for batch in batches:
-            blocks, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "kind"))
-            ends = [*(np.nonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1]))[0] + 1), batch.num_rows]
+            blocks_, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "kind"))
+            ends = [*(np.nonzero((blocks_[1:] != blocks_[:-1]) | (kinds[1:] != kinds[:-1]))[0] + 1), batch.num_rows]
             for lo, hi in zip([0, *ends], ends, strict=False):
                 if lo == hi:
                     continue
-                if blocks[lo] != block:
-                    yield from leave()
-                    block = blocks[lo]
+                if blocks_[lo] != block:
+                    if block is not None:
+                        yield from leave()
+                    block = int(blocks_[lo])
+                    turn = np.random.default_rng([seed, block])
                 rows = batch.slice(lo, hi - lo)
                 if kinds[lo] == 2:
-                    learn(rows)
+                    with np.errstate(all="ignore"):
+                        learn(rows)
                 else:
-                    sides[kinds[lo]].append((*(rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "part", "r")), rows.column("f").flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, rank + 2)))
-        yield from leave()
+                    lists = {c: rows.column(c) for c in ("id", "part", "r", "f")}
+                    split = np.repeat(rows.column("split").to_numpy(zero_copy_only=False), lists["id"].value_lengths().to_numpy())
+                    flat = {c: x.flatten().to_numpy(zero_copy_only=False) for c, x in lists.items()}
+                    sides[kinds[lo]].append((flat["id"], flat["part"], flat["r"], split, flat["f"].reshape(-1, width)))
+        if block is not None:
+            yield from leave()
 
     return run
 
@@ -138,43 +216,62 @@ def factorize(ratings: DataFrame, user: str, item: str, rating: str, rank: int =
     parts = [cut(_parts(given, c, most), f"{c}-parts") for c in ("user", "item")]
     for c, o, p in (("user", "item", parts[0]), ("item", "user", parts[1])):
         dealt = _dealt(dealt, c, o, p, blocks)
-    strata = cut(dealt.withColumn("stratum", F.pmod(F.col("item_block") - F.col("user_block"), F.lit(blocks))).withColumn("r", F.col("rating") - mean), "strata", by=["stratum"])
+    # Examples are shuffled and sorted once; passes move lists of them, and mix what comes together.
+    spread = -(-size["n"] // (blocks * blocks * _EXAMPLES_A_TASK)) or 1
+    named = [F.col("user_block").cast("int").alias("block"), F.xxhash64("user", "item", "rating").alias("place"), F.col("user").alias("id"), F.col("user_part").cast("int").alias("part"), F.col("item").alias("other"), F.col("item_part").cast("int").alias("other_part"), (F.col("rating") - mean).alias("r")]
+    rows = dealt.select(F.pmod(F.col("item_block") - F.col("user_block"), F.lit(blocks)).cast("int").alias("stratum"), *named)
+    cells = rows.repartition("stratum", "block", F.pmod("place", F.lit(spread))).sortWithinPartitions("stratum", "block", "place", "id", "other", "r")
+    strata = cut(cells.mapInArrow(_packed_examples, "stratum int, block int, place long, id array<bigint>, part array<int>, other array<bigint>, other_part array<int>, r array<double>"), "strata", by=["stratum"])
     sides = []
     for side, (name, part) in enumerate(zip(("user", "item"), parts, strict=True)):
         met = F.least(F.col("n") / (F.col("parts") * blocks), F.lit(size["n"] / (blocks * blocks * _MINI_BATCH)))  # mini-batches of a pass that have it
-        ids = part.select("id", F.least(F.lit(1.0), _WHOLE_STEPS / met).alias("pace"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        ids = part.select("id", (F.col("parts") > 1).alias("split"), F.least(F.lit(1.0), _WHOLE_STEPS / met).alias("pace"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
         first = _start(ids, rank, seed, side)
         if start:
             old = (start.users, start.items)[side].select("id", F.col("factors").alias("old"))
             first = first.join(old, "id", "left").withColumn("f", F.coalesce("old", "f")).drop("old")
-        sides.append(first.withColumn("block", F.pmod(F.xxhash64("id", "part"), F.lit(blocks))).withColumn("side", F.lit(side)).select("side", "id", "part", "block", "pace", "f"))
-    model = cut(sides[0].unionByName(sides[1]), "factors")
-    none = F.lit(None)
+        sides.append(first.select(F.lit(side).alias("side"), F.pmod(F.xxhash64("id", "part"), F.lit(blocks)).cast("int").alias("block"), "split", "id", F.col("part").cast("int").alias("part"), "pace", "f"))
+    model = held = cut(sides[0].unionByName(sides[1]).mapInArrow(_packed_start(rank + 2), _MODEL), "factors")
+    weights = cut(_weights(dealt, parts), "weights")
+    none, shared = F.lit(None), not weights.isEmpty()
     for epoch in range(epochs):
         for s in range(blocks):
-            rows = strata.where(F.col("stratum") == s)
-            examples = rows.select(F.col("user_block").alias("block"), F.lit(2).alias("kind"), F.xxhash64("user", "item", "rating", F.lit(epoch)).alias("place"), F.col("user").alias("id"), F.col("user_part").alias("part"), F.col("item").alias("other"), F.col("item_part").alias("other_part"), "r", none.cast("array<double>").alias("f"))
+            examples = strata.where(F.col("stratum") == s).select("block", F.lit(2).alias("kind"), F.xxhash64("place", F.lit(epoch)).alias("place"), F.lit(False).alias("split"), "id", "part", "other", "other_part", "r", none.cast("array<double>").alias("f"))
             at = F.when(F.col("side") == 0, F.col("block")).otherwise(F.pmod(F.col("block") - s, F.lit(blocks)))
-            held = model.select(at.alias("block"), F.col("side").alias("kind"), F.xxhash64("id", "part").alias("place"), "id", "part", none.cast("long").alias("other"), none.cast("long").alias("other_part"), F.col("pace").alias("r"), "f")
-            dealt_rows = held.unionByName(examples).repartition(blocks, "block").sortWithinPartitions("block", "kind", "place", "id", "other", "r")
-            stepped = dealt_rows.mapInArrow(_sweep(rate * decay**epoch, l2, rank), "side int, id long, part long, pace double, f array<double>")
-            model = cut(stepped.withColumn("block", F.pmod(F.xxhash64("id", "part"), F.lit(blocks))), "factors")
-        model = cut(_averaged(model, strata, rank), "factors")
-    plain = model.where("part = 0")
-    out = [plain.where(F.col("side") == side).select("id", F.col("f").alias("factors")) for side in (0, 1)]
+            known = model.select(at.alias("block"), F.col("side").alias("kind"), F.lit(0).cast("long").alias("place"), "split", "id", "part", none.cast("array<bigint>").alias("other"), none.cast("array<int>").alias("other_part"), F.col("pace").alias("r"), "f")
+            dealt_rows = known.unionByName(examples).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind", "place")
+            stepped = dealt_rows.mapInArrow(_sweep(rate * decay**epoch, l2, rank, blocks, s, epoch * blocks + s), _MODEL)
+            old, model = held, cut(stepped, "factors")
+            held = model
+            drop(old)
+        model = _averaged(model, weights) if shared else model
+    plain = _unpacked(model, rank + 2).where("part = 0")
+    plain = cut(plain.select("side", "id", F.col("f").alias("factors")), "factors", by=["side"])
+    for old in (held, strata, weights, *parts):
+        drop(old)
+    out = [plain.where(F.col("side") == side).select("id", "factors") for side in (0, 1)]
     if start:
         out = [o.unionByName(old.join(o, "id", "left_anti")) for o, old in zip(out, (start.users, start.items), strict=True)]
     return Factors(out[0], out[1], mean)
 
 
-def _averaged(model: DataFrame, strata: DataFrame, rank: int) -> DataFrame:
+def _weights(dealt: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """side, id, part and n, the ratings of each part of a split id; such ids are few (see :func:`_dealt`)."""
+    sides = []
+    for side, (c, own) in enumerate(zip(("user", "item"), parts, strict=True)):
+        split = F.broadcast(own.where("parts > 1").select(F.col("id").alias(c)))
+        sides.append(dealt.join(split, c, "left_semi").groupBy(F.lit(side).alias("side"), F.col(c).alias("id"), F.col(f"{c}_part").cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n")))
+    return sides[0].unionByName(sides[1])
+
+
+def _averaged(model: DataFrame, weights: DataFrame) -> DataFrame:
     """Parts of one id get their mean, weighed by their ratings; ids in one part are as they were."""
-    n = [strata.groupBy(F.lit(side).alias("side"), F.col(c).alias("id"), F.col(f"{c}_part").alias("part")).agg(F.count(F.lit(1)).alias("n")) for side, c in enumerate(("user", "item"))]
-    split = model.where("part > 0").select("side", "id").distinct()
-    shared = model.join(split, ["side", "id"], "left_semi").join(n[0].unionByName(n[1]), ["side", "id", "part"])
-    mean = shared.select("side", "id", "n", F.posexplode("f").alias("d", "x")).groupBy("side", "id", "d").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
-    vectors = mean.groupBy("side", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("mean"))
-    return model.join(vectors, ["side", "id"], "left").select("side", "id", "part", "block", "pace", F.coalesce("mean", "f").alias("f"))
+    split = model.where("split").withColumn("own", F.col("id")[0]).withColumn("own_part", F.col("part")[0])
+    n = weights.select("side", F.col("id").alias("own"), F.col("part").alias("own_part"), "n")
+    mean = split.join(F.broadcast(n), ["side", "own", "own_part"]).select("side", "own", "n", F.posexplode("f").alias("d", "x")).groupBy("side", "own", "d").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
+    vectors = mean.groupBy("side", "own").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("mean"))
+    same = split.join(F.broadcast(vectors), ["side", "own"], "left").withColumn("f", F.coalesce("mean", "f"))
+    return model.where("not split").unionByName(same.select(*model.columns))
 
 
 def predict_ratings(pairs: DataFrame, model: Factors, user: str, item: str) -> DataFrame:

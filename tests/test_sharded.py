@@ -1,7 +1,9 @@
 """Factorisation by strata and learners by parameter mixing."""
 
 import itertools
+import pathlib
 import random
+import urllib.parse
 
 import numpy as np
 import pytest
@@ -53,6 +55,26 @@ def test_items_that_all_batches_have_do_not_leave_users_behind(spark):
     rows.unpersist()
 
 
+def test_passes_move_lists_of_examples_and_leave_no_models_behind(spark, monkeypatch):
+    """Every example is in one list, none of which is long; the lists and former models are deleted."""
+    written, examples, cut = [], [], sharded.cut
+
+    def noted(df, name="cut", **rest):
+        out = cut(df, name, **rest)
+        written.append(pathlib.Path(urllib.parse.urlparse(out.inputFiles()[0]).path.split(f"/{name}-")[0], next(x for x in out.inputFiles()[0].split("/") if x.startswith(f"{name}-"))))
+        if name == "strata":
+            examples.append(out.selectExpr("count(*)", "sum(size(r))", "max(size(r))").first())
+        return out
+
+    monkeypatch.setattr(sharded, "cut", noted)
+    frame = spark.range(6000).select((F.col("id") % 700).alias("u"), (F.col("id") % 3).alias("i"), F.lit(1.5).alias("r"))
+    model = sharded.factorize(frame, "u", "i", "r", rank=2, epochs=2, blocks=2)
+    assert model.users.count() == 700 and model.items.count() == 3
+    lists, n, longest = examples[0]
+    assert n == 6000 and longest <= sharded._CHUNK and lists < 600
+    assert len(written) > 6 and [any(p.rglob("*.parquet")) for p in written] == [False] * (len(written) - 1) + [True]
+
+
 def test_factors_of_nothing(spark):
     model = sharded.factorize(spark.createDataFrame([], "u long, i long, r double"), "u", "i", "r", epochs=1, blocks=2)
     assert model.users.count() == 0 and rmse(spark, model, [(1, 1, 2.0)]) == 2.0
