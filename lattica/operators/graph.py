@@ -6,8 +6,11 @@ Iterative algorithms are driver loops over joins; each step's result is cut from
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,25 +175,70 @@ def hits(edges: DataFrame, steps: int = 10) -> DataFrame:
     return hub.join(authority, "id")
 
 
+#: A set of up to so many vertices without targets is broadcast to what would be sent to them in vain.
+BROADCAST_SINKS = 500_000
+
+
+def _oriented(edges: DataFrame) -> DataFrame:
+    """``src, d, es, outs``: of each vertex that has targets its degree, and its targets with their degrees ``es``, by (degree, id).
+
+    Edges point from lower to higher degree. They are shuffled once each way: to the lesser end, where they are made distinct and counted, to the
+    greater end, and to the source.
+    """
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").repartition("a").distinct()  # as the joins would filter, so that all uses share one shuffle
+    ends = [pairs.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("n")) for c in ("a", "b")]
+    degree = ends[0].union(ends[1]).groupBy("id").agg(F.sum("n").alias("d"))
+    of = lambda end: degree.select(F.col("id").alias(end), F.col("d").alias(f"d{end}")).hint("shuffle_hash")  # noqa: E731  # a row for each vertex, so edges need no sort
+    keyed = pairs.join(of("a"), "a").join(of("b"), "b")
+    up = F.expr("da < db OR (da = db AND a < b)")
+    edge = keyed.select(*[F.when(up, x).otherwise(y).alias(c) for c, x, y in (("src", F.col("a"), F.col("b")), ("d", F.col("da"), F.col("db")), ("e", F.col("db"), F.col("da")), ("dst", F.col("b"), F.col("a")))])
+    ordered = edge.repartition("src").sortWithinPartitions("src", "e", "dst")
+    kind = edge.schema["dst"].dataType.simpleString()
+    return cut(ordered.mapInArrow(_listed, f"src {kind}, d bigint, es array<bigint>, outs array<{kind}>"), "oriented")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that come by source as one row for each source; the last source of a batch waits for the next."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        rows = held if batch is None else batch if held is None else pa.concat_batches([held, batch])
+        if rows is None or not rows.num_rows:
+            continue
+        src, n = rows.column("src"), rows.num_rows
+        starts = np.append(0, np.nonzero(pc.not_equal(src.slice(1), src.slice(0, n - 1)).to_numpy(zero_copy_only=False))[0] + 1)
+        ends = np.append(starts, n) if batch is None else starts
+        first = pa.array(ends[:-1])
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows.column(c).slice(0, int(ends[-1]))) for c in ("e", "dst")]
+        yield pa.RecordBatch.from_arrays([src.take(first), rows.column("d").take(first), *lists], ["src", "d", "es", "outs"])
+        held = rows.slice(int(ends[-1]))
+
+
+def _closed(up: DataFrame) -> DataFrame:
+    """``s, p, qs``: the triangles over each edge of :func:`_oriented` ``up`` that has some."""
+    # An edge takes the targets behind its own to its end as one list, so a wedge is one entry of a list and not a row of a shuffle; an end without targets closes none.
+    sent = up.select(F.col("src").alias("s"), "outs", F.posexplode("outs").alias("i", "p")).where(F.col("i") + 1 < F.size("outs"))
+    ends = up.select(F.explode(F.slice("outs", 1, F.size("outs") - 1)).alias("p")).distinct()
+    sinks = cut(ends.join(up.select(F.col("src").alias("p")), "p", "left_anti"), "sinks")
+    if sinks.limit(BROADCAST_SINKS + 1).count() <= BROADCAST_SINKS:
+        sent = sent.join(F.broadcast(sinks), "p", "left_anti")
+    sent = sent.select("s", "p", F.slice("outs", F.col("i") + 2, F.size("outs")).alias("rest"))
+    return sent.join(up.select(F.col("src").alias("p"), "outs"), "p").select("s", "p", F.array_intersect("rest", "outs").alias("qs")).where("size(qs) > 0")
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """Each triangle once as ``a < b < c``; edges point from lower to higher degree, which bounds a hub's wedges."""
-    links = cut(undirected(edges), "links")
-    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    keyed = links.join(degree, "src").join(degree.withColumnRenamed("src", "dst").withColumnRenamed("d", "e"), "dst")
-    up = keyed.where("d < e OR (d = e AND src < dst)").groupBy("src").agg(F.sort_array(F.collect_list(F.struct("e", "dst"))).alias("outs"))
-    up = cut(up.select("src", F.col("outs.dst").alias("outs")), "oriented")
-    # An edge takes the targets behind its own to its end as one list, so a wedge is one entry of a list and not a row of a shuffle.
-    sent = up.select(F.col("src").alias("s"), "outs", F.posexplode("outs").alias("i", "p")).select("s", "p", F.slice("outs", F.col("i") + 2, F.size("outs")).alias("rest")).where("size(rest) > 0")
-    closed = sent.join(up.select(F.col("src").alias("p"), "outs"), "p").select("s", "p", F.explode(F.array_intersect("rest", "outs")).alias("q"))
+    closed = _closed(_oriented(edges)).select("s", "p", F.explode("qs").alias("q"))
     return closed.select(F.array_sort(F.array("s", "p", "q")).alias("t")).select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
 
 
 def clustering_coefficients(edges: DataFrame) -> DataFrame:
     """``id, degree, triangles, local`` of every vertex, undirected."""
-    links = undirected(edges)
-    degree = links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    counts = triangles(edges).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
-    out = degree.join(counts, "id", "left").select("id", "degree", F.coalesce("triangles", F.lit(0)).alias("triangles"))
+    up = _oriented(edges)
+    own = lambda id, degree, n: F.struct(id.alias("id"), degree.alias("degree"), n.cast("bigint").alias("triangles"))
+    zero, unknown = F.lit(0), F.lit(None).cast("bigint")
+    known = up.select(F.explode(F.concat(F.array(own(F.col("src"), F.col("d"), zero)), F.zip_with("outs", "es", lambda v, e: own(v, e, zero)))).alias("v"))
+    counts = _closed(up).select(F.explode(F.concat(F.array(*[own(F.col(c), unknown, F.size("qs")) for c in ("s", "p")]), F.transform("qs", lambda q: own(q, unknown, F.lit(1))))).alias("v"))
+    out = known.union(counts).groupBy("v.id").agg(F.max("v.degree").alias("degree"), F.sum("v.triangles").alias("triangles"))
     return out.withColumn("local", F.when(F.col("degree") < 2, 0.0).otherwise(2 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))))
 
 

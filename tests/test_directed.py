@@ -84,3 +84,32 @@ def test_label_propagation_takes_more_tasks_for_more_links(spark, monkeypatch):
     monkeypatch.setattr(g, "LINKS_A_TASK", 10)
     many = g.label_propagation(edges, 3)
     assert len(many.inputFiles()) > int(spark.conf.get("spark.sql.shuffle.partitions")) and {tuple(r) for r in many.collect()} == few
+
+
+def test_triangles_shuffle_edges_once_each_way(spark, monkeypatch):
+    """Edges are not shuffled in both directions; what would go to vertices without targets is left; with that set too large for a broadcast the same."""
+    from lattica.operators import graph as g
+
+    written, cut = [], g.cut
+
+    def noted(df, name="cut", **rest):
+        written.append(cut(df, name, **rest))
+        return written[-1]
+
+    monkeypatch.setattr(g, "cut", noted)
+    edges = {(a, b) for a in range(40) for b in range(a, 40) if (a * b + a + b) % 7 < 2} | {(a, 90 + b) for a in range(40) for b in range(3)} | {(95, a) for a in range(0, 40, 2)}
+    frame = spark.createDataFrame([*edges, *[(b, a) for a, b in list(edges)[:9]], (None, 3), (3, None)], "src long, dst long")
+    near: dict = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {t for t in itertools.combinations(sorted(near), 3) if t[1] in near[t[0]] and t[2] in near[t[0]] and t[2] in near[t[1]]}
+    for most in (g.BROADCAST_SINKS if hasattr(g, "BROADCAST_SINKS") else 0, 0):
+        monkeypatch.setattr(g, "BROADCAST_SINKS", most, raising=False)
+        got = [tuple(r) for r in g.triangles(frame).collect()]
+        assert len(got) == len(want) and set(got) == want
+        rows = {r.id: (r.degree, r.triangles) for r in g.clustering_coefficients(frame).collect()}
+        assert rows == {v: (len(n), sum(v in t for t in want)) for v, n in near.items()}
+    assert max(f.count() for f in written) <= len(near)  # no list of links in both directions
+    assert g.triangles(frame.limit(0)).count() == 0 and g.clustering_coefficients(frame.limit(0)).count() == 0
