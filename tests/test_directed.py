@@ -1,6 +1,7 @@
 """Directed clustering and census against all triples."""
 
 import itertools
+import math
 import random
 
 import re
@@ -113,3 +114,25 @@ def test_triangles_shuffle_edges_once_each_way(spark, monkeypatch):
         assert rows == {v: (len(n), sum(v in t for t in want)) for v, n in near.items()}
     assert max(f.count() for f in written) <= len(near)  # no list of links in both directions
     assert g.triangles(frame.limit(0)).count() == 0 and g.clustering_coefficients(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_pairs_are_packed_and_counted_without_a_table(spark, monkeypatch, block):
+    """Neighbours lie on both sides of a vertex, ids are far apart, a hub has several blocks; no aggregate holds the pairs."""
+    from lattica.operators import graph
+
+    monkeypatch.setattr(graph, "PAIR_BLOCK", block)
+    r = random.Random(6)
+    ids = [-(2**63), -(2**40), *range(-9, 9), 2**33, 2**62, 2**63 - 1]
+    edges = {(a, b) for a in ids for b in ids if a != b and r.random() < 0.15} | {(0, b) for b in ids if b}
+    near: dict = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    both = {p: near[p[0]] & near[p[1]] for p in itertools.combinations(sorted(near), 2) if near[p[0]] & near[p[1]]}
+    got = graph.shared_neighbors(spark.createDataFrame([*edges, (3, 3), (None, 1)], "src long, dst long"))
+    rows = [(r.a, r.b, r.shared, round(r.jaccard, 9), round(r.adamic_adar, 6)) for r in got.collect()]
+    assert sorted(rows) == [(*p, len(m), round(len(m) / len(near[p[0]] | near[p[1]]), 9), round(sum(1 / math.log(len(near[x])) for x in m), 6)) for p, m in sorted(both.items())]
+    assert not re.search(r"HashAggregate\(keys=\[[^\]]*\ba#\w+L?, [^\]]*\bb#\w+L?\], functions=\[[^\]]*(count|sum)", got._jdf.queryExecution().executedPlan().toString())
+    small = graph.bipartite_projection(spark.createDataFrame([(1, 9), (2, 9), (1, 8), (2, 8), (3, 8)], "src int, dst int"))
+    assert small.dtypes[0] == ("a", "int") and {tuple(r) for r in small.collect()} == {(1, 2, 2), (1, 3, 1), (2, 3, 1)}
